@@ -36,3 +36,48 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.ot
   d.doc_id = least(d.doc_id, coalesce(low.other, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.node = d.doc_id
 """
+
+ORACLES["op5_benchmark_decontamination"] = r"""
+WITH i AS (
+  SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), p AS (
+  SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(words) - size + 2), lambda k: array_to_string(words[k:k + size - 1], ' '))) AS win
+  FROM (SELECT *, least(13, len(words)) AS size FROM i WHERE len(words) > 0)
+), d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+  FROM documents
+), sizes AS (SELECT DISTINCT size FROM p
+), m AS (
+  SELECT doc_id, size, k, array_to_string(words[k:k + size - 1], ' ') AS win
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS k FROM d, sizes)
+), h AS (SELECT m.doc_id, m.k, m.size, p.item_id FROM m JOIN p ON p.win = m.win AND p.size = m.size
+), hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS w FROM h) GROUP BY doc_id
+), it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.words) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+ORACLES["op8_quality_rules"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, win) AS times
+  FROM (SELECT doc_id, unnest(range(1, len(words) - 3)) AS k, array_to_string(words[k:k + 4], ' ') AS win FROM w)
+), r AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS x FROM g WHERE times > 1) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
+    length(text) - length(replace(text, '!', '')) AS n_exclaims, coalesce(r.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols * 5 > n_words OR n_dup_lines * 2 > n_lines
+    OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)) OR n_exclaims * 4 > n_words) AS kept
+FROM m
+"""

@@ -5,14 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup, packing
+from . import decontamination, near_dup, packing, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark passages."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdict of every document under the latest policy."""
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    base_failed = F.col("failed").bitwiseAND(F.lit(quality_rules.mask(quality_rules.BASE)).cast("long")) != 0
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", *measures, base_failed.alias("base_failed"), quality_rules.passes(quality_rules.LATEST).alias("kept"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents on two-word shingles at a similarity of 0.8."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2, similarity=0.8)
@@ -26,6 +41,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
