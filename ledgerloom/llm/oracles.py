@@ -81,3 +81,84 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)) OR n_exclaims * 4 > n_words) AS kept
 FROM m
 """
+
+ORACLES["op1_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents
+), k AS (
+  SELECT doc_id, source, unnest(list_distinct(list_filter(lines, lambda x: length(x) >= 20 AND regexp_matches(x, '[^\x09-\x0D ]')))) AS line,
+    list_max(list_transform(lines, lambda x: {'n': length(x), 'x': x})).x AS around
+  FROM l
+), b AS (
+  SELECT line FROM k GROUP BY line
+  HAVING count(DISTINCT source) >= 5 AND count(DISTINCT around) >= greatest(5, count(*) / 2)
+), o AS (
+  SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)
+), j AS (
+  SELECT doc_id, string_agg(o.line, chr(10) ORDER BY i) FILTER (b.line IS NULL) AS text, count(b.line) AS n_removed
+  FROM o LEFT JOIN b ON b.line = o.line GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.text, '') END AS text, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN j USING (doc_id)
+"""
+
+ORACLES["op3_url_filters"] = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), q AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS plain FROM p
+), r AS (
+  SELECT *, CASE WHEN len(string_split(plain, '.')) > 1 THEN string_split(plain, '.')[-2] || '.' || string_split(plain, '.')[-1] ELSE plain END AS domain, string_split(plain, '.')[-1] AS suffix FROM q
+), o AS (
+  SELECT host, domain, suffix, quality AS good FROM r
+  JOIN labels ON labels.doc_id = try_cast(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT)
+  WHERE host <> '' AND quality IS NOT NULL
+), h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM o GROUP BY ALL
+), ds AS (
+  SELECT suffix, domain, sum(n) AS n, sum(good) AS good, count(*) AS j, sum(n * n) AS n2, sum(good * good / n) AS s2 FROM h GROUP BY ALL
+), d AS (
+  SELECT suffix, domain, n, good, least(0.5, greatest(0.01, coalesce((s2 - good * good / n - good / n * (1 - good / n) * (j - 1)) / nullif(good / n * (1 - good / n) * (n - n2 / n - (j - 1)), 0), 0.5))) AS x FROM ds
+), ss AS (
+  SELECT suffix, sum(n) AS n, sum(good) AS good, count(*) AS j, sum(n * n) AS n2, sum(good * good / n) AS s2 FROM d GROUP BY ALL
+), s AS (
+  SELECT suffix, n, good, least(0.5, greatest(0.01, coalesce((s2 - good * good / n - good / n * (1 - good / n) * (j - 1)) / nullif(good / n * (1 - good / n) * (n - n2 / n - (j - 1)), 0), 0.5))) AS x FROM ss
+), ts AS (
+  SELECT sum(n) AS n, sum(good) AS good, count(*) AS j, sum(n * n) AS n2, sum(good * good / n) AS s2 FROM s
+), t AS (
+  SELECT coalesce(n, 0) AS n, coalesce(good, 0) AS good, least(0.5, greatest(0.01, coalesce((s2 - good * good / n - good / n * (1 - good / n) * (j - 1)) / nullif(good / n * (1 - good / n) * (n - n2 / n - (j - 1)), 0), 0.5))) AS x,
+    coalesce(good, 0) + 1.0 AS a, coalesce(n, 0) - coalesce(good, 0) + 1.0 AS b FROM ts
+), sp AS (
+  SELECT suffix, s.x, s.good + (1 - t.x) / t.x * t.a / (t.a + t.b) AS a, s.n - s.good + (1 - t.x) / t.x * t.b / (t.a + t.b) AS b FROM s, t
+), dp AS (
+  SELECT domain, d.x, d.good + (1 - sp.x) / sp.x * sp.a / (sp.a + sp.b) AS a, d.n - d.good + (1 - sp.x) / sp.x * sp.b / (sp.a + sp.b) AS b FROM d JOIN sp USING (suffix)
+), hp AS (
+  SELECT host, h.good + (1 - dp.x) / dp.x * dp.a / (dp.a + dp.b) AS a, h.n - h.good + (1 - dp.x) / dp.x * dp.b / (dp.a + dp.b) AS b FROM h JOIN dp USING (domain)
+), ab AS (
+  SELECT r.*, coalesce(hp.a, dp.a, sp.a, t.a) AS a, coalesce(hp.b, dp.b, sp.b, t.b) AS b
+  FROM r LEFT JOIN hp USING (host) LEFT JOIN dp ON dp.domain = r.domain LEFT JOIN sp ON sp.suffix = r.suffix, t
+), rules(rule, rh, rp, rv) AS (
+  VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')
+), fit AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rv, length(rule)) AS rv
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ab LEFT JOIN fit USING (page_id)
+"""
+
+ORACLES["op6_chat_perspectives"] = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
+), x AS (
+  SELECT conv_id, perspective, CAST(floor(turn / 512) AS BIGINT) AS segment, turn, speaker, text,
+    '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head,
+    text || '<|im_end|>' AS body, CASE WHEN speaker = perspective THEN 1 ELSE 0 END AS own
+  FROM t JOIN p USING (conv_id)
+)
+SELECT conv_id, perspective, segment, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, speaker, text) AS dialogue,
+  string_agg(length(head) || ':0,' || length(body) || ':' || own || ',1:0', ',' ORDER BY turn, speaker, text) AS mask
+FROM x GROUP BY conv_id, perspective, segment
+"""

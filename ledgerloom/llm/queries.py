@@ -7,13 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dup, packing, quality_rules
+from . import chat, decontamination, line_dedup, near_dup, packing, quality_rules, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many sites share."""
+    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
+#: Rule to verdict.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page; a page's outcome is the quality label of the document that its path's last number names."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    doc_id = F.regexp_extract(url_filters.path_of(F.col("url")), r"([0-9]{1,18})[^0-9]*$", 1).try_cast("long")
+    outcomes = pages.select("url", doc_id.alias("doc_id")).join(labels.select("doc_id", F.col("quality").alias("good")), "doc_id")
+    return url_filters.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each of its speakers; mask as text: length:loss, ..."""
+    rows = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+    return rows.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["length"], m["loss"])), ","))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark passages."""
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -41,7 +64,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_url_filters": op3_url_filters,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_chat_perspectives": op6_chat_perspectives,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
