@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, near_dup, packing, quality_rules, url_filters
+from . import chat, decontamination, line_dedup, near_dup, packing, quality_pu, quality_rules, toxicity, url_filters
+from .samples import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,22 @@ def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["length"], m["loss"])), ","))
 
 
+def _verdicts(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a chain learnt from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return _verdicts(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a classifier learnt from good labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return _verdicts(quality_pu.score(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark passages."""
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -66,8 +83,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_url_filters": op3_url_filters,
+    "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_chat_perspectives": op6_chat_perspectives,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
