@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, near_dup, packing, quality_pu, quality_rules, toxicity, url_filters
+from . import chat, decontamination, line_dedup, near_dup, packing, pii, quality_pu, quality_rules, toxicity, url_filters
 from .samples import held_out
 
 
@@ -20,6 +20,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data, and how many it has of each kind."""
+    found = pii.surrogates(table(spark, sf_dir, "documents"), PII_KEY)
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("kinds") - F.size(F.array_remove("kinds", k))).alias(f"n_{k}") for k in pii.KINDS]
+    return found.withColumn("kinds", kinds).select("doc_id", "text", *counts)
+
+
+#: Key of the registered query; a real one comes from a secret store.
+PII_KEY = b"registered-query"
 #: Rule to verdict.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
@@ -82,6 +92,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_url_filters": op3_url_filters,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
