@@ -13,6 +13,7 @@ import sys
 import zlib
 from collections.abc import Iterator
 from itertools import pairwise
+from os.path import commonprefix
 from types import ModuleType
 
 import numpy as np
@@ -68,6 +69,10 @@ class BestFit:
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+#: Signs that may end a part: ASCII ones but the apostrophe, which some tokens join to letters.
+_TAIL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+
+
 class TokenIds:
     """Token ids, as little-endian 32-bit bytes, of a text's parts between ASCII white space.
 
@@ -85,8 +90,10 @@ class TokenIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.special = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # what all special tokens begin with; parts that hold it are encoded whole
+        self.mark = commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()] or ["\x00"]).encode()
         self.cache: dict[bytes, bytes] = {}
+        self.plain: dict[bytes, bytes] = {}
 
     def _encode(self, part: bytes) -> bytes:
         return np.array(self.tokenizer.encode(part.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -101,38 +108,48 @@ class TokenIds:
         return [data[i:j] for i, j in pairwise([0, *places])]
 
     def learn(self, parts: set[bytes]) -> None:
-        cache, cut, words = self.cache, [], set()
+        cache, plain, cut, words = self.cache, self.plain, [], set()
         for part in parts:
-            if any(s in part for s in self.special) or len(part) > 64:
-                cache[part] = self._encode(part)
-                continue
-            word = part.translate(_LOWER).rstrip(b".,!")
-            text = word.decode("utf-8")
-            if text.isalpha() and text.lower().isalpha() and text[-1] < "\u0250":
-                cut.append((part, word, part[len(word) :]))
-                if word not in cache:
-                    words.add(word)
-            else:
-                cache[part] = self._encode(part)
+            word = part.translate(_LOWER).rstrip(_TAIL)
+            if word not in plain and word not in words:
+                if self.mark in part or len(part) > 64 or not _letters(word):
+                    cache[part] = self._encode(part)
+                    continue
+                words.add(word)
+            cut.append((part, word))
         found = list(words)
         for i in range(0, len(found), 5000):
             some = found[i : i + 5000]
-            cache.update(zip(some, self._words(some), strict=True))
-        for part, word, tail in cut:
-            if tail and tail not in cache:
-                cache[tail] = self._encode(tail)
-            cache[part] = cache[word] + cache[tail] if tail else cache[word]
+            plain.update(zip(some, self._words(some), strict=True))
+        for part, word in cut:
+            if len(part) == len(word):
+                cache[part] = plain[word]
+            else:
+                tail = part[len(word) :]
+                if tail not in cache:
+                    cache[tail] = self._encode(tail)
+                cache[part] = plain[word] + cache[tail]
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        parts = [t.split() for t in texts]
-        missing = set().union(*parts).difference(self.cache)
-        if missing:
-            if len(self.cache) + len(missing) > CACHED_PARTS:
-                self.cache.clear()
-                missing = set().union(*parts)
-            self.learn(missing)
-        for p in parts:
-            yield b"".join(map(self.cache.__getitem__, p))
+        for i in range(0, len(texts), 16):
+            parts = [t.split() for t in texts[i : i + 16]]
+            missing = set().union(*parts).difference(self.cache)
+            if missing:
+                if len(self.cache) + len(missing) > CACHED_PARTS:
+                    self.cache.clear()
+                    self.plain.clear()
+                    missing = set().union(*parts)
+                self.learn(missing)
+            for p in parts:
+                yield b"".join(map(self.cache.__getitem__, p))
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a lower-cased part is one run of letters, ending in a Latin one, for the tokenizer too."""
+    if word.isalpha():
+        return True
+    text = word.decode("utf-8")
+    return text.isalpha() and text.lower().isalpha() and text[-1] < "\u0250"
 
 
 def _token_ids(model: str) -> TokenIds:
