@@ -21,12 +21,9 @@ def member(v: Column, name: str) -> Column:
 
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, NULL (JSON null) or null (absent)."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(s.startswith("OBJECT"), "OBJECT").when(s.startswith("ARRAY"), "ARRAY").when(s == "STRING", "STRING").when(s == "BOOLEAN", "BOOLEAN")
-        .when(F.is_variant_null(v) | (s == "VOID"), "NULL").otherwise("NUMBER")
-    )
+    # of a type's text the first word tells its kind; all other types are numbers here
+    head = F.regexp_extract(F.schema_of_variant(v), "^(OBJECT|ARRAY|STRING|BOOLEAN|VOID)", 1)
+    return F.when(v.isNotNull(), F.replace(F.coalesce(F.nullif(head, F.lit("")), F.lit("NUMBER")), F.lit("VOID"), F.lit("NULL")))
 
 
 def is_object(v: Column) -> Column:
@@ -37,15 +34,23 @@ def is_array(v: Column) -> Column:
     return F.coalesce(kind(v) == "ARRAY", F.lit(False))
 
 
+def let(v: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(v), f), 1)
+
+
 def text(v: Column) -> Column:
     """A scalar's or structure's text; null for absent and JSON null."""
-    return F.when(F.coalesce(kind(v) == "NULL", F.lit(True)), F.lit(None).cast("string")).otherwise(v.try_cast("string"))
+    return let(v, lambda x: F.when(~F.is_variant_null(x), x.try_cast("string")))
 
 
 def number(v: Column) -> Column:
     """A double: numbers and booleans as they are, texts by their digits, all else null."""
-    k = kind(v)
-    return F.when(k == "STRING", parse_number(strip(v.try_cast("string")))).when(k == "BOOLEAN", v.try_cast("boolean").cast("double")).when(k == "NUMBER", v.try_cast("double"))
+
+    def parsed(x: Column, k: Column) -> Column:
+        return F.when(k == "STRING", parse_number(strip(x.try_cast("string")))).when(k == "BOOLEAN", x.try_cast("boolean").cast("double")).when(k == "NUMBER", x.try_cast("double"))
+
+    return let(F.struct(v.alias("x"), kind(v).alias("k")), lambda s: parsed(s["x"], s["k"]))
 
 
 def is_number(v: Column) -> Column:
@@ -55,26 +60,30 @@ def is_number(v: Column) -> Column:
 
 def truthy(v: Column) -> Column:
     """Neither absent, null, false, zero, nor empty."""
-    k = kind(v)
-    s = v.try_cast("string")
-    full = F.when(k == "STRING", s != "").when(k == "BOOLEAN", v.try_cast("boolean")).when(k == "NUMBER", v.try_cast("double") != 0).when(k == "OBJECT", s != "{}").when(k == "ARRAY", s != "[]")
-    return F.coalesce(full, F.lit(False))
+
+    def full(x: Column) -> Column:
+        # a value's JSON text tells all falsy ones apart
+        return F.coalesce(~F.to_json(x).isin('""', "null", "false", "{}", "[]") & ~F.coalesce((kind(x) == "NUMBER") & (x.try_cast("double") == 0), F.lit(False)), F.lit(False))
+
+    return let(v, full)
 
 
 def first_truthy(*values: Column) -> Column:
     """The first truthy value, else the last one as it is."""
-    out = values[-1]
-    for v in reversed(values[:-1]):
-        out = F.when(truthy(v), v).otherwise(out)
-    return out
+    if len(values) == 1:
+        return values[0]
+    return F.coalesce(F.try_element_at(F.filter(F.array(*values[:-1]), truthy), F.lit(1)), values[-1])
 
 
 def present(v: Column, numeric: bool = False, collection: bool = False, numeric_text: bool = False) -> Column:
     """Filled in: a non-blank text (looking numeric, if asked), or what the flags allow."""
-    k, s = kind(v), strip(v.try_cast("string"))
-    full = (s != "") & (s.rlike(r"^[+-]?(?:\d+\.?\d*|\d*\.\d+)$") if numeric_text else F.lit(True))
-    found = F.when(k == "STRING", full).when(k.isin("NUMBER", "BOOLEAN"), F.lit(numeric)).when(k.isin("OBJECT", "ARRAY"), truthy(v) if collection else F.lit(False))
-    return F.coalesce(found, F.lit(False))
+
+    def filled(x: Column, k: Column) -> Column:
+        s = strip(x.try_cast("string"))
+        full = s.rlike(r"^[+-]?(?:\d+\.?\d*|\d*\.\d+)$") if numeric_text else s != ""
+        return F.when(k == "STRING", full).when(k.isin("NUMBER", "BOOLEAN"), F.lit(numeric)).when(k.isin("OBJECT", "ARRAY"), truthy(x) if collection else F.lit(False))
+
+    return F.coalesce(let(F.struct(v.alias("x"), kind(v).alias("k")), lambda s: filled(s["x"], s["k"])), F.lit(False))
 
 
 def items(v: Column) -> Column:
