@@ -21,17 +21,22 @@ def member(v: Column, name: str) -> Column:
 
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, NULL (JSON null) or null (absent)."""
-    # of a type's text the first word tells its kind; all other types are numbers here
-    head = F.regexp_extract(F.schema_of_variant(v), "^(OBJECT|ARRAY|STRING|BOOLEAN|VOID)", 1)
-    return F.when(v.isNotNull(), F.replace(F.coalesce(F.nullif(head, F.lit("")), F.lit("NUMBER")), F.lit("VOID"), F.lit("NULL")))
+
+    def found(x: Column) -> Column:
+        # only scalars are asked for their schema; a container's would walk all of it
+        word = F.schema_of_variant(x)
+        scalar = F.when(word.isin("STRING", "BOOLEAN"), word).when(word == "VOID", "NULL").otherwise("NUMBER")
+        return F.when(x.isNotNull(), F.when(is_object(x), "OBJECT").when(is_array(x), "ARRAY").otherwise(scalar))
+
+    return let(v, found)
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+    return v.try_cast("map<string,variant>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return F.coalesce(kind(v) == "ARRAY", F.lit(False))
+    return v.try_cast("array<variant>").isNotNull()
 
 
 def let(v: Column, f) -> Column:
@@ -88,4 +93,4 @@ def present(v: Column, numeric: bool = False, collection: bool = False, numeric_
 
 def items(v: Column) -> Column:
     """array<variant> of a JSON array; empty for anything else."""
-    return F.when(is_array(v), F.coalesce(v.try_cast("array<variant>"), F.array().cast("array<variant>"))).otherwise(F.array().cast("array<variant>"))
+    return F.coalesce(v.try_cast("array<variant>"), F.array().cast("array<variant>"))
