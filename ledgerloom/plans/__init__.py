@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables."""
 
-from . import fields, vouchers  # noqa: F401
+from . import fields, flow, matching, quality, vouchers  # noqa: F401

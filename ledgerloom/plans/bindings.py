@@ -98,7 +98,7 @@ master AS (
   UNION ALL SELECT 'stock_item', p_partkey, p_name, 'P' || p_partkey, p_name || ' ' || p_brand FROM part
 ), mname AS (SELECT entity_type, lower(name) AS key, arg_min(name, pos) AS name, arg_min(code, pos) AS code FROM master GROUP BY ALL
 ), mcode AS (SELECT entity_type, lower(code) AS key, arg_min(name, pos) AS name, arg_min(code, pos) AS code FROM master GROUP BY ALL
-), malias AS (SELECT entity_type, lower(alias) AS key, arg_min(name, pos) AS name, arg_min(code, pos) AS code FROM master GROUP BY ALL
+), malias AS (SELECT entity_type, lower(trim(alias)) AS key, arg_min(name, pos) AS name, arg_min(code, pos) AS code FROM master GROUP BY ALL
 )"""
 
 RULES = (
