@@ -28,9 +28,9 @@ from .wordhash import Words, _powers, chunks, mix, shingle_sets
 
 SEGMENT = 64
 TABLE_BITS = 18
-TRAIN_DOCS = 3000
-TRAIN_CHARS = 20_000
-TRAIN_SEGMENTS = 20_000
+TRAIN_DOCS = 1500
+TRAIN_CHARS = 10_000
+TRAIN_SEGMENTS = 12_000
 EPOCHS = 40
 
 _U = np.uint64
@@ -60,7 +60,7 @@ def _indices(features: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Table places (tokens, 7): the token's features, and the words before and after it."""
     n = len(features)
     shift = _U(64 - TABLE_BITS)
-    places = np.zeros((n, 7), dtype=np.int64)
+    places = np.zeros((n, 7), dtype=np.int32)
     places[:, :5] = mix(features) >> shift
     if n > 1:
         same = doc[1:] == doc[:-1]
@@ -130,15 +130,19 @@ def _cover(feature: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarra
     with the most toxic documents not yet covered, weighed by its log-odds, is
     added until none covers five more (fewer, if there are few toxic documents).
     """
-    pair = np.unique(np.stack((feature.view(np.int64), doc)), axis=1)
-    names, first, counts = np.unique(pair[0], return_index=True, return_counts=True)
-    hits = np.add.reduceat(toxic[pair[1]].astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64)
+    feature = feature.view(np.int64)
+    order = np.lexsort((doc, feature))
+    feature, doc = feature[order], doc[order]
+    new = np.concatenate(([True], (feature[1:] != feature[:-1]) | (doc[1:] != doc[:-1])))[: len(feature)]
+    feature, doc = feature[new], doc[new]
+    names, first, counts = np.unique(feature, return_index=True, return_counts=True)
+    hits = np.add.reduceat(toxic[doc].astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     ratio = ((hits + 0.5) / n1) / ((counts - hits + 0.5) / n0)
     need = max(2, min(5, n1 // 50))
     good = np.flatnonzero((hits >= need) & (ratio >= min(20, n1 / 4)))
     good = good[np.argsort(-hits[good], kind="stable")][:4000]
-    docs = {int(i): pair[1][first[i] : first[i] + counts[i]] for i in good}
+    docs = {int(i): doc[first[i] : first[i] + counts[i]] for i in good}
     open_ = toxic.copy()
     taken = []
     for i in [i for i in docs if hits[i] >= max(20, n1 // 200)]:
@@ -203,7 +207,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Chain:
     features, doc = np.concatenate(features), np.concatenate(doc)
     if not len(doc):
         return blank
-    taken = _cover(features.reshape(-1), np.repeat(doc, 5), toxic)
+    taken = _cover(features.reshape(-1), np.repeat(doc.astype(np.int32), 5), toxic)
     label = np.isin(features.view(np.int64), taken).any(axis=1) & toxic[doc]
     places = _indices(features, doc)
     segment, at, n = _segments(doc)
@@ -269,7 +273,8 @@ def _score(model, least: float):
                 x = _document_inputs(p, w.doc, w.n_docs)
                 scores.append(1 / (1 + np.exp(-np.clip(x @ chain.calibration, -30, 30))))
                 spans += _spans(w, p, least)
-            yield pa.record_batch([b.column(0), pa.array(np.concatenate(scores)), pa.array(spans, _SPAN)], names=["doc_id", "score", "spans"])
+            rest = [c for c in b.schema.names if c not in ("doc_id", "text")]
+            yield pa.record_batch([b.column(0), pa.array(np.concatenate(scores)), pa.array(spans, _SPAN), *(b.column(c) for c in rest)], names=["doc_id", "score", "spans", *rest])
 
     return run
 
@@ -285,14 +290,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(rows["text"].tolist(), rows["y"].to_numpy().astype(bool))
 
 
-def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """doc_id, score (0 to 1), spans (start, end, chance) of every document.
+def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, carry: bool = False) -> DataFrame:
+    """doc_id, score (0 to 1), spans (start, end, chance) of every document; with carry, also row, a struct of all its columns.
 
     Null, empty and wordless texts get the score of no toxic tokens and no
     spans. Rows are judged one by one from their text alone; repeated rows get
     equal scores; an empty table gives an empty one; other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(chain)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_score(model, least), f"doc_id {kind}, score double, spans {_SPANS}")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    rest = "".join(f", {f.name} {f.dataType.simpleString()}" for f in texts.schema[2:])
+    return texts.mapInArrow(_score(model, least), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, score double, spans {_SPANS}{rest}")
