@@ -148,9 +148,11 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(b.column(c) for c in extra), b.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array(bad), b.column("items"), pa.array(places, _SPAN)], names=[*extra, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, limit: int = AUTOMATON_BYTES, scratch: Scratch | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, limit: int = AUTOMATON_BYTES, carry: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, text, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
 
+    With carry, also row, a struct of all the document's columns.
+
     A word inside any occurrence of a window is hit; items: ids with occurring
     windows; spans: character places of hit passages in the original text;
     contaminated: at least one word in twenty is hit.
@@ -167,12 +169,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-total // limit) or 1
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = out.schema["doc_id"].dataType.simpleString()
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
     scratch = scratch or Scratch(spark, "decontamination")
     for n in range(passes):
         share = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).collect()]
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(sorted(share)), size, n == 0), f"doc_id {kind}, text string, {_HITS}")
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(sorted(share)), size, n == 0), f"{kept}, {_HITS}")
         if n + 1 < passes:
             out = scratch.save(out, f"pass-{n}")
-    return out.mapInArrow(_places, f"doc_id {kind}, text string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<bigint>, spans {_SPANS}")
+    return out.mapInArrow(_places, f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<bigint>, spans {_SPANS}")

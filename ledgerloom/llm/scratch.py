@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a narrow table for which a task of its own pays.
+ROWS_PER_TASK = 20_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more tasks than its rows pay for; large tables stay as they are."""
+    return df.coalesce(-(-rows // ROWS_PER_TASK) or 1) if rows < 100 * ROWS_PER_TASK else df
+
+
 class Scratch:
     """Parquet tables under ``spark.checkpoint.dir``.
 
@@ -21,7 +30,10 @@ class Scratch:
         root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
         self.spark, self.root = spark, f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """The table, written and read again. With about how many rows it comes from, small tables take few tasks."""
+        if rows is not None:
+            df = few(df, rows)
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
