@@ -29,4 +29,4 @@ def is_close(a: Column, b: Column, tolerance: float) -> Column:
 def snap(c: Column, tolerance: float) -> Column:
     """The nearest multiple of the tolerance (half to even) as text of six places; null is empty."""
     value = F.rint(c / tolerance) * tolerance if tolerance > 0 else c
-    return F.coalesce(F.format_string("%.6f", value), F.lit(""))
+    return F.when(c.isNull(), "").otherwise(F.format_string("%.6f", value))
