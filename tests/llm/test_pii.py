@@ -1,0 +1,48 @@
+import re
+
+from ledgerloom.llm import pii
+
+from .util import ODD, docs
+
+TEXT = 'Mail Ann.Lee@Ex-a.example.com or ann.lee@ex-a.example.com, call +1 (017) 555-7713, +1 017-555-7713, ip 97.51.17.173, card 4952 9359 0025 3052, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962". Mr. John Smith met Mrs. Mary Smith and Mr Smith; Госпожа Анна Петрова. Version 2.0 of 2024.'
+
+
+def run(spark, rows):
+    return {r.doc_id: r for r in pii.surrogates(docs(spark, rows), b"key").collect()}
+
+
+def test_format_type_gender_and_coreference(spark):
+    new = run(spark, [(1, TEXT)])[1].text
+    mails = re.findall(r"\S+@\S+\.com", new)
+    assert len(mails) == 2 and mails[0].lower() == mails[1].lower() and mails[0] != mails[1] and "ann" not in mails[1]
+    phones = re.findall(r"\+1 \(?\d{3}\)?[ -]\d{3}-\d{4}", new)
+    assert len(phones) == 2 and len({re.sub(r"\D", "", p) for p in phones}) == 1 and "555-7713" not in new
+    assert all(0 < int(o) < 256 for o in re.search(r"ip (\S+),", new)[1].split("."))
+    card = re.search(r"card (\d{4} \d{4} \d{4} \d{4})", new)[1]
+    assert pii._luhn(card.replace(" ", "")) == pii._luhn("4952935900253052") and card != "4952 9359 0025 3052"
+    assert re.search(r'token = "[0-9a-f]{40}"', new) and "04dbebab" not in new
+    john, smith, mary, smith2, smith3 = re.search(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+) and Mr (\w+);", new).groups()
+    assert smith == smith2 == smith3 != "Smith" and john != "John" and mary[-1] == "a" and john[-1] in "nrs"
+    assert re.search(r"Госпожа [А-Я][а-я]+а [А-Я][а-я]+\.|Госпожа [А-Я][а-я]+ия [А-Я][а-я]+\.", new)
+    assert new.endswith("Version 2.0 of 2024.")
+
+
+def test_spans_point_at_surrogates(spark):
+    r = run(spark, [(1, TEXT)])[1]
+    assert {s.kind for s in r.spans} == set(pii.KINDS)
+    assert all(pii.find(r.text[s.start : s.end]) or s.kind in ("secret", "person") for s in r.spans)
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    # few surrogates for many entities: one digit each
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, normal, attempt=0: f"10.0.0.{(sum(map(ord, normal)) + attempt * 7) % 60}")
+    rows = [(i, f"host 97.51.17.{i} up, 97.51.17.{i}") for i in range(20)]
+    found = run(spark, rows)
+    one = [set(re.findall(r"\d+\.\d+\.\d+\.\d+", r.text)) for r in found.values()]
+    assert all(len(s) == 1 for s in one) and len(set.union(*one)) == 20
+
+
+def test_odd_rows(spark):
+    found = pii.surrogates(docs(spark, ODD), b"key").collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in found))) == sorted(map(repr, ((i, t) for i, t in ODD)))
+    assert pii.surrogates(docs(spark, []), b"key").collect() == []
