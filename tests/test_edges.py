@@ -66,3 +66,16 @@ def test_files(spark, tmp_path):
     prf = spark.createDataFrame([("total", 1, 0, 0, 1.0, 1.0, 1.0), ("buyer", 1, 0, 1, 1.0, 0.5, 0.667)], "field string, tp int, fp int, fn int, precision double, recall double, f1 double")
     files.write_report(prf, prf.limit(1), rows, f"{tmp_path}/report")
     assert [r.field for r in spark.read.option("header", True).csv(f"{tmp_path}/report/fields").collect()] == ["buyer", "total", "line_items"]
+
+
+def test_docx_reader():
+    import io
+    import zipfile
+
+    from ledgerloom.sources import readers
+
+    body = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Invoice </w:t></w:r><w:r><w:t>7</w:t></w:r></w:p><w:p><w:r><w:t> </w:t></w:r></w:p><w:p><w:r><w:t>Total 5</w:t></w:r></w:p></w:body></w:document>'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", body)
+    assert list(readers.docx(data.getvalue(), "eng", [])) == ["Invoice 7\nTotal 5"]
