@@ -113,14 +113,18 @@ _SPANS = "array<struct<start:bigint,end:bigint>>"
 _HITS = f"n_words long, word_spans {_SPANS}, items array<bigint>"
 
 
-def _scan(items, size: int, first: bool):
+def _text_of(b: pa.RecordBatch, inside: str | None) -> pa.Array:
+    return b.column("text") if inside is None else b.column("row").field(inside)
+
+
+def _scan(items, size: int, first: bool, inside: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(items.value, size)
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 n, spans, found = [], [], []
-                texts = part.column("text")
+                texts = _text_of(part, inside)
                 before = [([], [])] * len(texts) if first else zip(part.column("word_spans").to_pylist(), part.column("items").to_pylist(), strict=True)
                 for text, (old, ids) in zip(texts.cast(pa.binary()).to_pylist(), before, strict=True):
                     words = words_of(text or b"")
@@ -134,24 +138,34 @@ def _scan(items, size: int, first: bool):
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        spans = [[(x["start"], x["end"]) for x in s] for s in b.column("word_spans").to_pylist()]
-        texts = b.column("text").to_pylist()
-        places = [[{"start": a, "end": e} for a, e in original_spans(t or "", s)] for t, s in zip(texts, spans, strict=True)]
-        n_hit = [sum(e - a for a, e in s) for s in spans]
-        items = b.column("items").to_pylist()
-        sha = [hashlib.sha256(",".join(sorted(map(str, i))).encode()).hexdigest() for i in items]
-        n = b.column("n_words").to_pylist()
-        bad = [h > 0 and 20 * h >= w for h, w in zip(n_hit, n, strict=True)]
-        extra = [c for c in b.schema.names if c not in ("n_words", "word_spans", "items")]
-        yield pa.record_batch([*(b.column(c) for c in extra), b.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array(bad), b.column("items"), pa.array(places, _SPAN)], names=[*extra, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
+def _places(inside: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [[(x["start"], x["end"]) for x in s] for s in b.column("word_spans").to_pylist()]
+            texts = _text_of(b, inside)
+            places = [[{"start": a, "end": e} for a, e in original_spans(texts[i].as_py() or "", s)] if s else [] for i, s in enumerate(spans)]
+            n_hit = [sum(e - a for a, e in s) for s in spans]
+            items = b.column("items").to_pylist()
+            sha = [hashlib.sha256(",".join(sorted(map(str, i))).encode()).hexdigest() for i in items]
+            n = b.column("n_words").to_pylist()
+            bad = [h > 0 and 20 * h >= w for h, w in zip(n_hit, n, strict=True)]
+            extra = [c for c in b.schema.names if c not in ("n_words", "word_spans", "items")]
+            yield pa.record_batch([*(b.column(c) for c in extra), b.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array(bad), b.column("items"), pa.array(places, _SPAN)], names=[*extra, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
+
+    return run
+
+
+def _chained(first, then):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(first(batches))
+
+    return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, limit: int = AUTOMATON_BYTES, carry: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, text, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
 
-    With carry, also row, a struct of all the document's columns.
+    With carry, row, a struct of all the document's columns, in place of text.
 
     A word inside any occurrence of a window is hit; items: ids with occurring
     windows; spans: character places of hit passages in the original text;
@@ -169,12 +183,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-total // limit) or 1
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    # with carry the text travels inside of row only
+    texts = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    out = docs.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row")) if carry else docs.select(*texts)
+    inside = text_col if carry else None
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
     scratch = scratch or Scratch(spark, "decontamination")
     for n in range(passes):
         share = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).collect()]
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(sorted(share)), size, n == 0), f"{kept}, {_HITS}")
+        scan = _scan(spark.sparkContext.broadcast(sorted(share)), size, n == 0, inside)
         if n + 1 < passes:
-            out = scratch.save(out, f"pass-{n}")
-    return out.mapInArrow(_places, f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<bigint>, spans {_SPANS}")
+            out = scratch.save(out.mapInArrow(scan, f"{kept}, {_HITS}"), f"pass-{n}")
+    # the last pass and the places come from one worker
+    return out.mapInArrow(_chained(scan, _places(inside)), f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<bigint>, spans {_SPANS}")

@@ -27,8 +27,9 @@ from .scratch import Scratch
 MAX_OPEN = 1 << 15
 #: Pieces that one task packs; a task leaves about one bin partly filled.
 PIECES_PER_TASK = 20_000
-#: Parts of text whose ids a worker process keeps, of about 200 bytes each.
-CACHED_PARTS = 1_000_000
+#: Parts of text whose ids a worker process keeps, of about 200 bytes each; when full, short ones stay, which come most often.
+CACHED_PARTS = 1_200_000
+KEPT_LENGTH = 7
 
 
 class BestFit:
@@ -79,8 +80,8 @@ class TokenIds:
     For a tokenizer that lower-cases, drops white space, and splits runs of
     letters from runs of other signs, with word ends marked by ``</w>``: no
     token spans two such runs, so a text's ids are its parts' ids in order.
-    Parts not seen before are encoded many at a time. The cache is emptied when
-    it is full.
+    Parts not seen before are encoded many at a time. The cache drops
+    its longer keys when it is full.
     """
 
     def __init__(self, model: str):
@@ -93,7 +94,6 @@ class TokenIds:
         # what all special tokens begin with; parts that hold it are encoded whole
         self.mark = commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()] or ["\x00"]).encode()
         self.cache: dict[bytes, bytes] = {}
-        self.plain: dict[bytes, bytes] = {}
 
     def _encode(self, part: bytes) -> bytes:
         return np.array(self.tokenizer.encode(part.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -108,27 +108,32 @@ class TokenIds:
         return [data[i:j] for i, j in pairwise([0, *places])]
 
     def learn(self, parts: set[bytes]) -> None:
-        cache, plain, cut, words = self.cache, self.plain, [], set()
+        cache, cut, words = self.cache, [], set()
         for part in parts:
             word = part.translate(_LOWER).rstrip(_TAIL)
-            if word not in plain and word not in words:
-                if self.mark in part or len(part) > 64 or not _letters(word):
+            # a tail is cut from a letter or digit only: other signs would run on into it
+            if word not in words:
+                known = word in cache and word != part
+                if known and word[-1:].isalnum():
+                    pass
+                elif self.mark in part or len(part) > 64 or not _letters(word):
                     cache[part] = self._encode(part)
                     continue
-                words.add(word)
+                elif not known:
+                    words.add(word)
             cut.append((part, word))
         found = list(words)
         for i in range(0, len(found), 5000):
             some = found[i : i + 5000]
-            plain.update(zip(some, self._words(some), strict=True))
+            cache.update(zip(some, self._words(some), strict=True))
         for part, word in cut:
-            if len(part) == len(word):
-                cache[part] = plain[word]
-            else:
+            if len(part) != len(word):
                 tail = part[len(word) :]
                 if tail not in cache:
                     cache[tail] = self._encode(tail)
-                cache[part] = plain[word] + cache[tail]
+                cache[part] = cache[word] + cache[tail]
+            elif part != word:
+                cache[part] = cache[word]
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         for i in range(0, len(texts), 16):
@@ -136,9 +141,9 @@ class TokenIds:
             missing = set().union(*parts).difference(self.cache)
             if missing:
                 if len(self.cache) + len(missing) > CACHED_PARTS:
-                    self.cache.clear()
-                    self.plain.clear()
-                    missing = set().union(*parts)
+                    short = {k: v for k, v in self.cache.items() if len(k) <= KEPT_LENGTH}
+                    self.cache = short if 2 * len(short) < CACHED_PARTS else {}
+                    missing = set().union(*parts).difference(self.cache)
                 self.learn(missing)
             for p in parts:
                 yield b"".join(map(self.cache.__getitem__, p))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .samples import held_out, sample_ids
+from .scratch import small_batches
 from .wordhash import NON_SPACE, Words, chunks
 
 TRAIN_POSITIVES = 6000
@@ -162,6 +163,7 @@ def _scored(model):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = TRAIN_POSITIVES, unlabelled: int = TRAIN_UNLABELLED) -> Network:
     """A network from labelled good documents that are not held out, and any documents as unlabelled."""
+    small_batches(docs.sparkSession)
     good = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y = 1")
     good = good.where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -182,6 +184,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     other. Rows are judged one by one from their text alone; repeated rows get
     equal scores; an empty table gives an empty one; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(net)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .wordhash import Words, chunks
 
 REPEAT_WINDOW = 5
@@ -110,6 +111,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ids come back as they are; an empty table gives an empty one; other columns
     are not read.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     measured = texts.mapInArrow(_measure, ", ".join([f"doc_id {kind}", *(f"{m} long" for m in _MEASURES)]))

@@ -28,6 +28,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
+        small_batches(spark)
         self.spark, self.root = spark, f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -45,3 +46,15 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+
+
+#: Texts that an Arrow batch holds at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most BATCH_ROWS rows, so that long ones fit their memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import _TABLE
 from .samples import held_out, sample_ids
+from .scratch import small_batches
 from .wordhash import Words, _powers, chunks, mix, shingle_sets
 
 SEGMENT = 64
@@ -262,19 +263,22 @@ def _spans(w: Words, p: np.ndarray, least: float) -> list[list[dict]]:
     return out
 
 
-def _score(model, least: float):
+def _score(model, least: float, inside: tuple[str, str] | None = None):
+    """inside: names of id and text in the column row, where that is all there is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = model.value
         for b in batches:
             scores, spans = [np.zeros(0)], []
-            for _, w in chunks(b.column(1), is_word=_IS_WORD, fold_case=True):
+            texts, ids = (b.column(1), b.column(0)) if inside is None else (b.column("row").field(inside[1]), b.column("row").field(inside[0]))
+            for _, w in chunks(texts, is_word=_IS_WORD, fold_case=True):
                 segment, at, n = _segments(w.doc)
                 p = chain.marginals(_indices(token_features(w), w.doc), segment, at, n) if n else np.zeros(0)
                 x = _document_inputs(p, w.doc, w.n_docs)
                 scores.append(1 / (1 + np.exp(-np.clip(x @ chain.calibration, -30, 30))))
                 spans += _spans(w, p, least)
             rest = [c for c in b.schema.names if c not in ("doc_id", "text")]
-            yield pa.record_batch([b.column(0), pa.array(np.concatenate(scores)), pa.array(spans, _SPAN), *(b.column(c) for c in rest)], names=["doc_id", "score", "spans", *rest])
+            yield pa.record_batch([ids, pa.array(np.concatenate(scores)), pa.array(spans, _SPAN), *(b.column(c) for c in rest)], names=["doc_id", "score", "spans", *rest])
 
     return run
 
@@ -298,6 +302,11 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     equal scores; an empty table gives an empty one; other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(chain)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
-    rest = "".join(f", {f.name} {f.dataType.simpleString()}" for f in texts.schema[2:])
-    return texts.mapInArrow(_score(model, least), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, score double, spans {_SPANS}{rest}")
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = f"doc_id {kind}, score double, spans {_SPANS}"
+    if carry:
+        rows = docs.select(F.struct("*").alias("row"))
+        return rows.mapInArrow(_score(model, least, (id_col, text_col)), f"{fields}, row {rows.schema['row'].dataType.simpleString()}")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(_score(model, least), fields)
