@@ -6,6 +6,12 @@ threshold decide; lines near it are counted exactly. A line is boilerplate if it
 stands on many sites in many different surroundings, so the lines of a document
 that was itself copied from site to site stay, for near-duplicate removal to
 judge.
+
+That rule counts a document by its longest line (``surroundings``). The other
+rule (``independent``) counts each document that is no copy: one that was first
+to bring at least half of its text besides the line, in pieces between
+punctuation. A group of copies of any size then counts about once, and can
+neither make a line boilerplate nor keep one.
 """
 
 from __future__ import annotations
@@ -19,6 +25,10 @@ MIN_SITES = 5
 MIN_CHARS = 20
 #: Estimates within this share of a threshold are counted exactly: six standard errors of a sketch of 2^12 registers.
 NEAR = 0.1
+#: Share of a line's documents that its surroundings make, where those are longest lines.
+SHARE = 0.5
+#: What ends a piece of text.
+PIECE_ENDS = r"[\n.,;:!?。、，！？]+"
 #: Documents with lines to remove, up to which their list is broadcast.
 BROADCAST_DOCS = 200_000
 
@@ -44,41 +54,72 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_c
     return rows.select("doc_id", F.col("k.h").alias("h"), F.col("k.g").alias("g"), F.when(F.col("known"), F.col("s")).alias("site"), "around")
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
+def _pieces(line: Column) -> Column:
+    """Different pieces of a line (h, n characters)."""
+    parts = F.transform(F.split(line, PIECE_ENDS), F.trim)
+    return F.array_distinct(F.transform(F.filter(parts, lambda x: F.length(x) > 0), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).cast("long").alias("n"))))
+
+
+def _weight(pieces: Column) -> Column:
+    return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+
+
+def independent_line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int, scratch: Scratch) -> DataFrame:
+    """A line table whose site and around are null in documents that copy; around tells documents apart.
+
+    Of all documents that hold a piece, the one of the smallest hash owns it. A
+    document counts if it owns at least half of its text, by characters of
+    different pieces.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.xxhash64(F.col(id_col), text).alias("doc"), text.alias("text"))
+    owners = rows.select("doc", F.explode(_pieces(F.col("text"))).alias("p")).groupBy(F.col("p.h").alias("h")).agg(F.min("doc").alias("doc"), F.max("p.n").alias("n"))
+    owned = scratch.save(owners.groupBy("doc").agg(F.sum("n").alias("own")), "owned")
+    lines = rows.select("doc_id", "site", "doc", _weight(_pieces(F.col("text"))).alias("whole"), F.array_distinct(F.filter(_lines(F.col("text")), lambda x: (F.length(x) >= min_chars) & x.rlike(r"[^\x09-\x0D ]"))).alias("lines"))
+    lines = lines.join(owned, "doc", "left")
+    lines = lines.withColumn("counts", F.coalesce(2 * F.col("own") >= F.col("whole"), F.lit(False)))
+    lines = lines.select("doc_id", "site", "doc", "counts", F.explode(F.transform("lines", _key)).alias("k"))
+    site = F.when(F.col("counts") & F.col("site").isNotNull(), F.xxhash64("site"))
+    return lines.select("doc_id", F.col("k.h").alias("h"), F.col("k.g").alias("g"), site.alias("site"), F.when(F.col("counts"), F.col("doc")).alias("around"))
+
+
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, share: float = SHARE) -> DataFrame:
     """(h, g, n_docs, sites, surroundings) of boilerplate lines of a line table.
 
     A line is boilerplate if it has at least min_sites different sites, at least
-    min_sites different surroundings, and one of those for every two documents.
+    min_sites different surroundings, and that share of its documents in those.
     """
     found = lines.groupBy("h", "g").agg(F.count("*").alias("n_docs"), F.hll_sketch_agg("site").alias("site_sketch"), F.hll_sketch_agg("around").alias("around_sketch")).where(F.col("n_docs") >= min_sites)
     found = found.select("h", "g", "n_docs", F.hll_sketch_estimate("site_sketch").alias("sites"), F.hll_sketch_estimate("around_sketch").alias("surroundings"))
-    need = F.greatest(F.lit(min_sites), F.col("n_docs") / 2)
+    need = F.greatest(F.lit(min_sites), F.col("n_docs") * share)
     sure = (F.col("sites") >= min_sites * (1 + near)) & (F.col("surroundings") >= need * (1 + near))
     maybe = (F.col("sites") >= min_sites * (1 - near)) & (F.col("surroundings") >= need * (1 - near)) & ~sure
     return found.withColumn("sure", sure).where(sure | maybe)
 
 
-def _exact(lines: DataFrame, maybe: DataFrame, min_sites: int) -> DataFrame:
+def _exact(lines: DataFrame, maybe: DataFrame, min_sites: int, share: float) -> DataFrame:
     pairs = lines.join(maybe.select("h", "g"), ["h", "g"], "left_semi")
     sites = pairs.select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("site").alias("sites"))
     around = pairs.select("h", "g", "around").distinct().groupBy("h", "g").agg(F.count("around").alias("surroundings"))
     exact = maybe.select("h", "g", "n_docs").join(sites, ["h", "g"]).join(around, ["h", "g"])
-    return exact.where((F.col("sites") >= min_sites) & (F.col("surroundings") >= F.greatest(F.lit(min_sites), F.col("n_docs") / 2)))
+    return exact.where((F.col("sites") >= min_sites) & (F.col("surroundings") >= F.greatest(F.lit(min_sites), F.col("n_docs") * share)))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, near: float = NEAR, scratch: Scratch | None = None) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, near: float = NEAR, independent: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """docs with boilerplate lines cut out of the text, and n_removed (lines cut).
 
     All rows and columns stay; a column of docs named n_removed gives way. Lines
     are \\n-split; those of fewer than min_chars characters, and blank ones, are
     never cut. A null text stays null and an empty one empty; a null site is no
     site. Repeated rows, and rows that share an id, are all cleaned alike; a row
-    without an id keeps its text. An empty table gives an empty one.
+    without an id keeps its text. An empty table gives an empty one. With
+    independent, documents that are no copies are counted in place of surroundings.
     """
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
-    lines = scratch.save(line_table(docs, id_col, text_col, site_col, min_chars), "lines")
-    found = scratch.save(boilerplate(lines, min_sites, near), "found")
-    exact = scratch.save(_exact(lines, found.where("not sure"), min_sites), "exact")
+    table = independent_line_table(docs, id_col, text_col, site_col, min_chars, scratch) if independent else line_table(docs, id_col, text_col, site_col, min_chars)
+    lines, share = scratch.save(table, "lines"), 0.0 if independent else SHARE
+    found = scratch.save(boilerplate(lines, min_sites, near, share), "found")
+    exact = scratch.save(_exact(lines, found.where("not sure"), min_sites, share), "exact")
     cut = found.where("sure").select("h", "g").unionByName(exact.select("h", "g"))
     hits = lines.where("doc_id is not null").join(cut, ["h", "g"]).groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("__cut"))
     hits = scratch.save(hits.withColumnRenamed("doc_id", "__id"), "hits")
