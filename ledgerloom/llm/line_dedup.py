@@ -68,8 +68,8 @@ def independent_line_table(docs: DataFrame, id_col: str, text_col: str, site_col
     """A line table whose site and around are null in documents that copy; around tells documents apart.
 
     Of all documents that hold a piece, the one of the smallest hash owns it. A
-    document counts if it owns at least half of its text, by characters of
-    different pieces.
+    document counts for a line if it owns at least half of its text besides the
+    line, by characters of different pieces.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.xxhash64(F.col(id_col), text).alias("doc"), text.alias("text"))
@@ -77,8 +77,9 @@ def independent_line_table(docs: DataFrame, id_col: str, text_col: str, site_col
     owned = scratch.save(owners.groupBy("doc").agg(F.sum("n").alias("own")), "owned")
     lines = rows.select("doc_id", "site", "doc", _weight(_pieces(F.col("text"))).alias("whole"), F.array_distinct(F.filter(_lines(F.col("text")), lambda x: (F.length(x) >= min_chars) & x.rlike(r"[^\x09-\x0D ]"))).alias("lines"))
     lines = lines.join(owned, "doc", "left")
-    lines = lines.withColumn("counts", F.coalesce(2 * F.col("own") >= F.col("whole"), F.lit(False)))
-    lines = lines.select("doc_id", "site", "doc", "counts", F.explode(F.transform("lines", _key)).alias("k"))
+    keys = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), _weight(_pieces(x)).alias("n")))
+    lines = lines.select("doc_id", "site", "doc", "own", "whole", F.explode(keys).alias("k"))
+    lines = lines.withColumn("counts", F.coalesce(2 * F.col("own") >= F.col("whole") - F.col("k.n"), F.lit(False)))
     site = F.when(F.col("counts") & F.col("site").isNotNull(), F.xxhash64("site"))
     return lines.select("doc_id", F.col("k.h").alias("h"), F.col("k.g").alias("g"), site.alias("site"), F.when(F.col("counts"), F.col("doc")).alias("around"))
 

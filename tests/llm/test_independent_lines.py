@@ -32,6 +32,13 @@ def test_copies_near_and_exact_keep_their_lines(spark):
     assert all(found[i] == t for i, t, _ in rows)
 
 
+def test_passage_longer_than_all_own_lines(spark):
+    passage = ", ".join(words(5000 + n, 12) for n in range(5))
+    rows = [(i, f"{words(i, 9)}\n{passage}\n{words(100 + i, 8)}", f"site{i % 20}") for i in range(100)]
+    found = stage(spark, rows)
+    assert all(found[i] == f"{words(i, 9)}\n{words(100 + i, 8)}" for i in range(100))
+
+
 def test_odd_rows(spark):
     frame = docs(spark, [*ODD, (30, "x", None)])
     found = line_dedup.remove_boilerplate(frame, independent=True)
