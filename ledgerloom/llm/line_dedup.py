@@ -8,14 +8,16 @@ that was itself copied from site to site stay, for near-duplicate removal to
 judge.
 
 That rule counts a document by its longest line (``surroundings``). The other
-rule (``independent``) counts each document that is no copy: one that was first
-to bring at least half of its text besides the line, in pieces between
+rule (``independent``) adds lines by documents that are no copies: those that
+were first to bring most of their text besides the line, in pieces between
 punctuation. A group of copies of any size then counts about once, and can
 neither make a line boilerplate nor keep one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,14 @@ from .scratch import Scratch
 
 MIN_SITES = 5
 MIN_CHARS = 20
+#: Sites and documents that shorter lines than those need, where they are counted: natural sentences are often as short.
+SHORT_SITES = 2 * MIN_SITES
 #: Estimates within this share of a threshold are counted exactly: six standard errors of a sketch of 2^12 registers.
 NEAR = 0.1
 #: Share of a line's documents that its surroundings make, where those are longest lines.
 SHARE = 0.5
+#: Share of its text that a document must be the first to bring; edited copies of a document bring up to about two thirds.
+OWN = 0.75
 #: What ends a piece of text.
 PIECE_ENDS = r"[\n.,;:!?。、，！？]+"
 #: Documents with lines to remove, up to which their list is broadcast.
@@ -65,10 +71,10 @@ def _weight(pieces: Column) -> Column:
 
 
 def independent_line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int, scratch: Scratch) -> DataFrame:
-    """A line table whose site and around are null in documents that copy; around tells documents apart.
+    """A line table with short, whose site and around are null in documents that copy; around tells documents apart.
 
     Of all documents that hold a piece, the one of the smallest hash owns it. A
-    document counts for a line if it owns at least half of its text besides the
+    document counts for a line if it owns a share of OWN of its text besides the
     line, by characters of different pieces.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -77,11 +83,11 @@ def independent_line_table(docs: DataFrame, id_col: str, text_col: str, site_col
     owned = scratch.save(owners.groupBy("doc").agg(F.sum("n").alias("own")), "owned")
     lines = rows.select("doc_id", "site", "doc", _weight(_pieces(F.col("text"))).alias("whole"), F.array_distinct(F.filter(_lines(F.col("text")), lambda x: (F.length(x) >= min_chars) & x.rlike(r"[^\x09-\x0D ]"))).alias("lines"))
     lines = lines.join(owned, "doc", "left")
-    keys = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), _weight(_pieces(x)).alias("n")))
+    keys = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), _weight(_pieces(x)).alias("n"), (F.length(x) < MIN_CHARS).alias("short")))
     lines = lines.select("doc_id", "site", "doc", "own", "whole", F.explode(keys).alias("k"))
-    lines = lines.withColumn("counts", F.coalesce(2 * F.col("own") >= F.col("whole") - F.col("k.n"), F.lit(False)))
+    lines = lines.withColumn("counts", F.coalesce(F.col("own") >= OWN * (F.col("whole") - F.col("k.n")), F.lit(False)))
     site = F.when(F.col("counts") & F.col("site").isNotNull(), F.xxhash64("site"))
-    return lines.select("doc_id", F.col("k.h").alias("h"), F.col("k.g").alias("g"), site.alias("site"), F.when(F.col("counts"), F.col("doc")).alias("around"))
+    return lines.select("doc_id", F.col("k.h").alias("h"), F.col("k.g").alias("g"), site.alias("site"), F.when(F.col("counts"), F.col("doc")).alias("around"), F.col("k.short").alias("short"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, share: float = SHARE) -> DataFrame:
@@ -114,14 +120,22 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     never cut. A null text stays null and an empty one empty; a null site is no
     site. Repeated rows, and rows that share an id, are all cleaned alike; a row
     without an id keeps its text. An empty table gives an empty one. With
-    independent, documents that are no copies are counted in place of surroundings.
+    independent, lines also go that min_sites sites and documents that are no copies
+    share; under MIN_CHARS characters only those do, from SHORT_SITES of them.
     """
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
-    table = independent_line_table(docs, id_col, text_col, site_col, min_chars, scratch) if independent else line_table(docs, id_col, text_col, site_col, min_chars)
-    lines, share = scratch.save(table, "lines"), 0.0 if independent else SHARE
-    found = scratch.save(boilerplate(lines, min_sites, near, share), "found")
-    exact = scratch.save(_exact(lines, found.where("not sure"), min_sites, share), "exact")
-    cut = found.where("sure").select("h", "g").unionByName(exact.select("h", "g"))
+    table = line_table(docs, id_col, text_col, site_col, max(min_chars, MIN_CHARS) if independent else min_chars)
+    lines = scratch.save(table, "lines")
+    parts = [("", lines, min_sites, SHARE)]
+    if independent:
+        lines = scratch.save(independent_line_table(docs, id_col, text_col, site_col, min_chars, scratch), "lines-independent")
+        parts += [("-independent", lines.where("not short"), min_sites, 0.0), ("-short", lines.where("short"), max(min_sites, SHORT_SITES), 0.0)]
+    cuts = []
+    for name, part, least, share in parts:
+        found = scratch.save(boilerplate(part, least, near, share), f"found{name}")
+        exact = scratch.save(_exact(part, found.where("not sure"), least, share), f"exact{name}")
+        cuts += [found.where("sure").select("h", "g"), exact.select("h", "g")]
+    cut = reduce(DataFrame.unionByName, cuts)
     hits = lines.where("doc_id is not null").join(cut, ["h", "g"]).groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("__cut"))
     hits = scratch.save(hits.withColumnRenamed("doc_id", "__id"), "hits")
     if hits.count() <= BROADCAST_DOCS:

@@ -26,8 +26,8 @@ def test_copies_veto_no_line(spark):
 def test_copies_near_and_exact_keep_their_lines(spark):
     whole = [", ".join(words(2000 + 10 * n + m, 6) for m in range(10)) for n in range(4)]
     rows = [(i, "\n".join(whole), f"site{i % 8}") for i in range(40)]
-    # every near copy has a word of its own in two places of its longest line
-    rows += [(100 + i, "\n".join([whole[0].replace("w2001x3", f"own{i}").replace("w2007x3", f"more{i}{'y' * 20}"), *whole[1:]]), f"site{i % 8}") for i in range(40)]
+    # near copies have words of their own in two places of the longest line
+    rows += [(100 + i, "\n".join([whole[0].replace("w2001x3", f"own{i}").replace("w2007x3", f"more{i}{'y' * 20}"), *whole[1:]]), f"site{i % 8}") for i in range(20)]
     found = stage(spark, rows)
     assert all(found[i] == t for i, t, _ in rows)
 
@@ -39,6 +39,12 @@ def test_passage_longer_than_all_own_lines(spark):
     assert all(found[i] == f"{words(i, 9)}\n{words(100 + i, 8)}" for i in range(100))
 
 
+def test_short_lines_need_more_sites(spark):
+    rows = [(i, f"{words(i, 9)}\nRead more\n \n{'On nine sites' if i % 12 < 9 else ''}", f"site{i % 12}") for i in range(48)]
+    found = stage(spark, rows)
+    assert all(found[i] == t.replace("Read more\n", "") for i, t, _ in rows)
+
+
 def test_odd_rows(spark):
     frame = docs(spark, [*ODD, (30, "x", None)])
     found = line_dedup.remove_boilerplate(frame, independent=True)
