@@ -29,6 +29,8 @@ from .scratch import Scratch
 KINDS = ("email", "secret", "ip", "card", "phone", "person")
 #: Draws before giving up on telling entities apart.
 MOST_DRAWS = 25
+#: Draws after which surrogates grow by a syllable or sign, so that a crowded format never runs out.
+GROW_EVERY = 3
 #: Documents with redrawn surrogates, up to which their list is broadcast.
 BROADCAST_DOCS = 100_000
 
@@ -103,12 +105,12 @@ _SYLLABLES = {
 }
 
 
-def _name(draw: _Draw, role: str, original: str) -> str:
+def _name(draw: _Draw, role: str, original: str, more: int = 0) -> str:
     script = next((s for c in original for s in _SYLLABLES if unicodedata.name(c, "").startswith(s)), None)
     if script is None:  # another script: each letter becomes another of its block
-        return "".join(chr(ord(c) - ord(c) % 16 + draw.below(16)) if c.isalpha() else c for c in original)
+        return "".join(chr(ord(c) - ord(c) % 16 + draw.below(16)) if c.isalpha() else c for c in original + original[-1:] * more)
     onsets, vowels, male, female, family = _SYLLABLES[script]
-    n = max(2, min(4, (len(original) + 1) // 3))
+    n = max(2, min(4, (len(original) + 1) // 3)) + more
     body = "".join(onsets[draw.below(len(onsets))] + vowels[draw.below(len(vowels))] for _ in range(n))
     endings = {"m": male, "f": female, "s": family}[role]
     if role == "f":
@@ -117,11 +119,13 @@ def _name(draw: _Draw, role: str, original: str) -> str:
 
 
 def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
-    """The surrogate's normal form."""
-    draw = _Draw(key, kind, normal, attempt)
+    """The surrogate's normal form; later attempts draw from larger spaces."""
+    draw, more = _Draw(key, kind, normal, attempt), attempt // GROW_EVERY
     if kind == "person":
         role, _, name = normal.partition(":")
-        return f"{role}:{_name(draw, role, name)}"
+        return f"{role}:{_name(draw, role, name, more)}"
+    if kind == "ip" and more:
+        return ".".join(str(draw.below(256) if i else 1 + draw.below(223)) for i in range(4))
     if kind == "ip":
         # octets keep their number of digits, and the first stays clear of 0 and 224 up
         low, most = {1: 1, 2: 10, 3: 100}, {1: 9, 2: 90, 3: 124}
@@ -129,12 +133,14 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
     if kind == "email":
         user, _, domain = normal.partition("@")
         head, _, top = domain.rpartition(".")
-        return "".join(_sign(draw, c) for c in user) + "@" + "".join(_sign(draw, c) for c in head) + "." + top
+        return "".join(_sign(draw, c) for c in user + "x" * more) + "@" + "".join(_sign(draw, c) for c in head) + "." + top
     if kind == "secret":
         digits = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", normal) else None
-        return "".join(digits[draw.below(16)] if digits else _sign(draw, c) for c in normal)
+        return "".join(digits[draw.below(16)] if digits else _sign(draw, c) for c in normal + "x" * more)
     kept = 1 if kind == "phone" else 0
     out = normal[:kept] + "".join(str(draw.below(10)) for _ in normal[kept:])
+    if kind == "phone":
+        out += "".join(str(draw.below(10)) for _ in range(more))
     if kind == "card":
         out = str(1 + draw.below(9)) + out[1:]
         # the last digit makes the check sum right if it was, and wrong by as much if not
@@ -157,8 +163,10 @@ def written(original: str, kind: str, replacement: str) -> str:
         return name.upper() if original.isupper() else name.capitalize()
     if kind in ("card", "phone"):
         digits = iter(replacement)
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        return "".join(next(digits) if c.isdigit() else c for c in original) + "".join(digits)
     if kind == "email":
+        user, at = original.index("@"), replacement.index("@")
+        original = original[:user] + "x" * (at - user) + original[user:]
         return "".join(r.upper() if o.isupper() else r for o, r in zip(original, replacement, strict=True))
     return replacement
 
