@@ -60,10 +60,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+    for m in _SECRET.finditer(text):
+        g = 1 if m[1] else 2
+        found.append((*m.span(g), "secret", m[g]))
     if _DIGIT.search(text):
-        for m in _SECRET.finditer(text):
-            g = 1 if m[1] else 2
-            found.append((*m.span(g), "secret", m[g]))
         found += [(*m.span(1), "ip", m[1]) for m in _IP.finditer(text)]
         found += [(*m.span(1), "card", re.sub("[^0-9]", "", m[1])) for m in _CARD.finditer(text)]
         found += [(*m.span(1), "phone", re.sub("[^0-9]", "", m[1])) for m in _PHONE.finditer(text)]
@@ -135,6 +135,8 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         head, _, top = domain.rpartition(".")
         return "".join(_sign(draw, c) for c in user + "x" * more) + "@" + "".join(_sign(draw, c) for c in head) + "." + top
     if kind == "secret":
+        if not any(map(str.isalnum, normal)):
+            return "".join("_+/=-"[draw.below(5)] for _ in normal + "x" * more)
         digits = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", normal) else None
         return "".join(digits[draw.below(16)] if digits else _sign(draw, c) for c in normal + "x" * more)
     kept = 1 if kind == "phone" else 0

@@ -22,3 +22,9 @@ def test_grown_surrogates_keep_the_written_form():
     for kind, text, normal in (("email", "A.b@C.de", "a.b@c.de"), ("phone", "12 345 678", "12345678"), ("secret", "correct-horse-battery", "correct-horse-battery")):
         new = pii.written(text, kind, pii.surrogate(b"key", kind, normal, 7))
         assert len(new) == len(text) + 2 and new[0].isupper() == text[0].isupper()
+
+
+def test_secrets_without_digits(spark):
+    rows = [(1, "password: correct-horse-battery"), (2, "password: correct-horse-battery in 2024"), (3, "password: ____________")]
+    found = {r.doc_id: r.text for r in pii.surrogates(docs(spark, rows), b"key").collect()}
+    assert found[1] + " in 2024" == found[2] and "correct" not in found[1] and found[3] != rows[2][1]
