@@ -1,149 +1,131 @@
 """Cross-site removal of boilerplate lines.
 
-Lines are reduced to hashes once. HyperLogLog sketches of each line's sites,
-and of the documents around it, merge in one aggregation. Estimates far from a
-threshold decide; lines near it are counted exactly. A line is boilerplate if it
-stands on many sites in many different surroundings, so the lines of a document
-that was itself copied from site to site stay, for near-duplicate removal to
-judge.
-
-That rule counts a document by its longest line (``surroundings``). The other
-rule (``independent``) adds lines by documents that are no copies: those that
-were first to bring most of their text besides the line, in pieces between
-punctuation. A group of copies of any size then counts about once, and can
-neither make a line boilerplate nor keep one.
+Lines are reduced to hashes once and counted by hash. Lines that are frequent
+enough get one HyperLogLog sketch of their sites each, merged by aggregation;
+estimates far from the threshold decide, and lines near it are counted exactly.
+A line on enough distinct sites is wide.
+
+A document copied from site to site makes all its lines wide, though none is
+boilerplate. So a wide line is cut only if enough sites still hold it when
+copies are left out: a text counts for its wide lines if most of the rest of it
+is its own, in pieces between punctuation. Of texts that share a piece, the one
+of the smallest id owns it. A group of copies, exact or edited, then counts
+about once, and can neither make a line boilerplate nor keep one.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 MIN_SITES = 5
-MIN_CHARS = 20
-#: Sites and documents that shorter lines than those need, where they are counted: natural sentences are often as short.
+#: Lines of fewer characters need SHORT_SITES sites: natural sentences are often as short.
+SHORT = 20
 SHORT_SITES = 2 * MIN_SITES
 #: Estimates within this share of a threshold are counted exactly: six standard errors of a sketch of 2^12 registers.
 NEAR = 0.1
-#: Share of a line's documents that its surroundings make, where those are longest lines.
-SHARE = 0.5
-#: Share of its text that a document must be the first to bring; edited copies of a document bring up to about two thirds.
-OWN = 0.75
+#: Share (own, whole) of its rest that a text must own to count; edited copies of a text own up to about two thirds.
+OWN = (3, 4)
 #: What ends a piece of text.
 PIECE_ENDS = r"[\n.,;:!?。、，！？]+"
-#: Documents with lines to remove, up to which their list is broadcast.
-BROADCAST_DOCS = 200_000
+_BLANK = " \t\n\x0b\x0c\r"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _key(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("h"), F.hash(line).alias("g"))
-
-
-def line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    """(doc_id, h, g, site, around) for each different line of a document with min_chars characters or more.
-
-    around: hash of the document's longest line, the largest of them in ties.
-    """
-    lines = _lines(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), lines.alias("lines"))
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
-    keys = F.array_distinct(F.transform(F.filter("lines", lambda x: (F.length(x) >= min_chars) & x.rlike(r"[^\x09-\x0D ]")), _key))
-    rows = rows.select("doc_id", F.xxhash64("site").alias("s"), F.col("site").isNotNull().alias("known"), F.xxhash64(longest["x"]).alias("around"), F.explode(keys).alias("k"))
-    return rows.select("doc_id", F.col("k.h").alias("h"), F.col("k.g").alias("g"), F.when(F.col("known"), F.col("s")).alias("site"), "around")
-
-
-def _pieces(line: Column) -> Column:
-    """Different pieces of a line (h, n characters)."""
-    parts = F.transform(F.split(line, PIECE_ENDS), F.trim)
-    return F.array_distinct(F.transform(F.filter(parts, lambda x: F.length(x) > 0), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).cast("long").alias("n"))))
+def _key(text: Column) -> Column:
+    """96 bits of hash."""
+    return F.struct(F.xxhash64(text).alias("h"), F.hash(text).alias("g"))
 
 
-def _weight(pieces: Column) -> Column:
-    return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_chars: int = 1) -> DataFrame:
+    """(doc_id, t, k, short, site) for each different line of a document with min_chars characters or more, but blank ones.
 
-
-def independent_line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int, scratch: Scratch) -> DataFrame:
-    """A line table with short, whose site and around are null in documents that copy; around tells documents apart.
-
-    Of all documents that hold a piece, the one of the smallest hash owns it. A
-    document counts for a line if it owns a share of OWN of its text besides the
-    line, by characters of different pieces.
+    t and k: keys of the text and of the line; site: hash, or null.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.xxhash64(F.col(id_col), text).alias("doc"), text.alias("text"))
-    owners = rows.select("doc", F.explode(_pieces(F.col("text"))).alias("p")).groupBy(F.col("p.h").alias("h")).agg(F.min("doc").alias("doc"), F.max("p.n").alias("n"))
-    owned = scratch.save(owners.groupBy("doc").agg(F.sum("n").alias("own")), "owned")
-    lines = rows.select("doc_id", "site", "doc", _weight(_pieces(F.col("text"))).alias("whole"), F.array_distinct(F.filter(_lines(F.col("text")), lambda x: (F.length(x) >= min_chars) & x.rlike(r"[^\x09-\x0D ]"))).alias("lines"))
-    lines = lines.join(owned, "doc", "left")
-    keys = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), _weight(_pieces(x)).alias("n"), (F.length(x) < MIN_CHARS).alias("short")))
-    lines = lines.select("doc_id", "site", "doc", "own", "whole", F.explode(keys).alias("k"))
-    lines = lines.withColumn("counts", F.coalesce(F.col("own") >= OWN * (F.col("whole") - F.col("k.n")), F.lit(False)))
-    site = F.when(F.col("counts") & F.col("site").isNotNull(), F.xxhash64("site"))
-    return lines.select("doc_id", F.col("k.h").alias("h"), F.col("k.g").alias("g"), site.alias("site"), F.when(F.col("counts"), F.col("doc")).alias("around"), F.col("k.short").alias("short"))
-
-
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, share: float = SHARE) -> DataFrame:
-    """(h, g, n_docs, sites, surroundings) of boilerplate lines of a line table.
-
-    A line is boilerplate if it has at least min_sites different sites, at least
-    min_sites different surroundings, and that share of its documents in those.
-    """
-    found = lines.groupBy("h", "g").agg(F.count("*").alias("n_docs"), F.hll_sketch_agg("site").alias("site_sketch"), F.hll_sketch_agg("around").alias("around_sketch")).where(F.col("n_docs") >= min_sites)
-    found = found.select("h", "g", "n_docs", F.hll_sketch_estimate("site_sketch").alias("sites"), F.hll_sketch_estimate("around_sketch").alias("surroundings"))
-    need = F.greatest(F.lit(min_sites), F.col("n_docs") * share)
-    sure = (F.col("sites") >= min_sites * (1 + near)) & (F.col("surroundings") >= need * (1 + near))
-    maybe = (F.col("sites") >= min_sites * (1 - near)) & (F.col("surroundings") >= need * (1 - near)) & ~sure
-    return found.withColumn("sure", sure).where(sure | maybe)
-
-
-def _exact(lines: DataFrame, maybe: DataFrame, min_sites: int, share: float) -> DataFrame:
-    pairs = lines.join(maybe.select("h", "g"), ["h", "g"], "left_semi")
-    sites = pairs.select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("site").alias("sites"))
-    around = pairs.select("h", "g", "around").distinct().groupBy("h", "g").agg(F.count("around").alias("surroundings"))
-    exact = maybe.select("h", "g", "n_docs").join(sites, ["h", "g"]).join(around, ["h", "g"])
-    return exact.where((F.col("sites") >= min_sites) & (F.col("surroundings") >= F.greatest(F.lit(min_sites), F.col("n_docs") * share)))
-
-
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, near: float = NEAR, independent: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    text, site = F.col(text_col).cast("string"), F.col(site_col).cast("string")
+    rows = docs.where(F.length(text) > 0).select(F.col(id_col).alias("doc_id"), _key(text).alias("t"), F.when(site.isNotNull(), F.xxhash64(site)).alias("site"), F.explode(F.array_distinct(_lines(text))).alias("line"))
+    rows = rows.where((F.length("line") >= min_chars) & (F.trim(F.col("line"), F.lit(_BLANK)) != ""))
+    return rows.select("doc_id", "t", _key(F.col("line")).alias("k"), (F.length("line") < SHORT).alias("short"), "site")
+
+
+def _need(min_sites: int) -> Column:
+    return F.when(F.col("short"), F.lit(max(min_sites, SHORT_SITES))).otherwise(F.lit(min_sites))
+
+
+def sketched(pairs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
+    """(k, short, sites, sure) of lines of (k, short, site) whose estimated sites reach, or come near, what they need."""
+    frequent = pairs.groupBy("k", "short").agg(F.count("site").alias("n")).where(F.col("n") >= _need(min_sites)).select("k")
+    found = pairs.join(frequent, "k").groupBy("k", "short").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site")).alias("sites"))
+    need = _need(min_sites)
+    return found.withColumn("sure", F.col("sites") >= need * (1 + near)).where(F.col("sites") >= need * (1 - near))
+
+
+def spread(pairs: DataFrame, min_sites: int, near: float, scratch: Scratch, name: str) -> DataFrame:
+    """(k, short) of lines of (k, short, site) that stand on as many distinct sites as they need."""
+    found = scratch.save(sketched(pairs, min_sites, near), f"{name}-sketched")
+    close = pairs.join(found.where("not sure").select("k"), "k", "left_semi")
+    exact = close.select("k", "short", "site").distinct().groupBy("k", "short").agg(F.count("site").alias("sites"))
+    exact = exact.where(F.col("sites") >= _need(min_sites)).select("k", "short")
+    found = scratch.save(found.where("sure").select("k", "short").unionByName(exact), name)
+    scratch.drop(f"{name}-sketched")
+    return found
+
+
+def _cut(text: Column, keys: Column) -> Column:
+    """Lines of a text but those with one of these keys."""
+    return F.filter(_lines(text), lambda x: ~F.array_contains(keys, _key(x)))
+
+
+def independent(docs: DataFrame, holders: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(t) of the holders (t, first (doc_id, site), keys of wide lines) that own most of their rest."""
+    t = fresh(docs, "t")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumn(t, _key(F.col("text"))).join(holders.select(F.col("t").alias(t), F.col("first.doc_id").alias("doc_id"), "keys"), [t, "doc_id"])
+    pieces = F.transform(F.split(F.array_join(_cut(F.col("text"), F.col("keys")), "\n"), PIECE_ENDS), F.trim)
+    pieces = texts.select(F.col(t).alias("t"), "doc_id", F.explode(F.array_distinct(pieces)).alias("piece")).where("piece <> ''")
+    pieces = scratch.save(pieces.select("t", "doc_id", _key(F.col("piece")).alias("p"), F.length("piece").cast("long").alias("n")).distinct(), "pieces")
+    owner = pieces.groupBy("p").agg(F.min(F.struct("doc_id", "t")).alias("o"), F.max("n").alias("n"))
+    own = owner.groupBy(F.col("o.t").alias("t")).agg(F.sum("n").alias("own"))
+    whole = pieces.groupBy("t").agg(F.sum("n").alias("whole"))
+    found = whole.join(own, "t").where(F.col("own") * OWN[1] >= F.col("whole") * OWN[0]).select("t")
+    found = scratch.save(found, "independent")
+    scratch.drop("pieces")
+    return found
+
+
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = 1, near: float = NEAR, scratch: Scratch | None = None) -> DataFrame:
     """docs with boilerplate lines cut out of the text, and n_removed (lines cut).
 
     All rows and columns stay; a column of docs named n_removed gives way. Lines
-    are \\n-split; those of fewer than min_chars characters, and blank ones, are
+    are \\n-split; blank ones, and those of fewer than min_chars characters, are
     never cut. A null text stays null and an empty one empty; a null site is no
-    site. Repeated rows, and rows that share an id, are all cleaned alike; a row
-    without an id keeps its text. An empty table gives an empty one. With
-    independent, lines also go that min_sites sites and documents that are no copies
-    share; under MIN_CHARS characters only those do, from SHORT_SITES of them.
+    site. Equal texts are cleaned alike and count once, with their first row in
+    order of id and site, so repeated rows change nothing; texts of which no row
+    has an id are cleaned but count for no line. An empty table gives an empty
+    one. A line goes if min_sites sites (SHORT_SITES at least for lines under SHORT
+    characters) hold it, and still do with copies left out.
     """
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
-    table = line_table(docs, id_col, text_col, site_col, max(min_chars, MIN_CHARS) if independent else min_chars)
-    lines = scratch.save(table, "lines")
-    parts = [("", lines, min_sites, SHARE)]
-    if independent:
-        lines = scratch.save(independent_line_table(docs, id_col, text_col, site_col, min_chars, scratch), "lines-independent")
-        parts += [("-independent", lines.where("not short"), min_sites, 0.0), ("-short", lines.where("short"), max(min_sites, SHORT_SITES), 0.0)]
-    cuts = []
-    for name, part, least, share in parts:
-        found = scratch.save(boilerplate(part, least, near, share), f"found{name}")
-        exact = scratch.save(_exact(part, found.where("not sure"), least, share), f"exact{name}")
-        cuts += [found.where("sure").select("h", "g"), exact.select("h", "g")]
-    cut = reduce(DataFrame.unionByName, cuts)
-    hits = lines.where("doc_id is not null").join(cut, ["h", "g"]).groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("__cut"))
-    hits = scratch.save(hits.withColumnRenamed("doc_id", "__id"), "hits")
-    if hits.count() <= BROADCAST_DOCS:
-        hits = F.broadcast(hits)
-    rows = docs.drop("n_removed").join(hits, docs[id_col] == F.col("__id"), "left")
-    split = _lines(F.col(text_col))
-    kept = F.filter(split, lambda x: ~((F.length(x) >= min_chars) & F.array_contains(F.col("__cut"), _key(x))))
-    rows = rows.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept))
-    rows = rows.withColumn("n_removed", F.when(F.col("__kept").isNotNull(), (F.size(split) - F.size("__kept")).cast("long")).otherwise(F.lit(0).cast("long")))
-    text = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*(c for c in docs.columns if c != "n_removed"), "n_removed")
+    lines = scratch.save(line_table(docs, id_col, text_col, site_col, min_chars), "lines")
+    wide = spread(lines, min_sites, near, scratch, "wide")
+    holding = lines.join(wide.select("k"), "k", "left_semi").groupBy("t")
+    holders = holding.agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "site"))).alias("first"), F.collect_set(F.struct("k", "short")).alias("ks"))
+    holders = scratch.save(holders.select("t", "first", "ks", F.col("ks.k").alias("keys")), "holders")
+    scratch.drop("lines")
+    counting = holders.join(independent(docs, holders, id_col, text_col, scratch), "t", "left_semi")
+    counting = counting.select(F.explode("ks").alias("x"), F.col("first.site").alias("site")).select("x.k", "x.short", "site")
+    cut = spread(counting, min_sites, near, scratch, "cut")
+    hits = holders.select("t", F.explode("keys").alias("k")).join(cut.select("k"), "k", "left_semi")
+    hits = hits.groupBy("t").agg(F.collect_list("k").alias("keys"))
+    t, keys, left = (fresh(docs, c) for c in ("t", "keys", "left"))
+    hits = scratch.save(hits.select(F.col("t").alias(t), F.col("keys").alias(keys)), "hits")
+    text = F.col(text_col).cast("string")
+    rows = docs.drop("n_removed").withColumn(t, _key(text)).join(hits, t, "left").withColumn(left, F.when(F.col(keys).isNotNull(), _cut(text, F.col(keys))))
+    n_removed = F.when(F.col(left).isNotNull(), (F.size(_lines(text)) - F.size(left)).cast("long")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("n_removed", n_removed).withColumn(text_col, F.coalesce(F.array_join(left, "\n"), F.col(text_col)))
+    return rows.select(*(c for c in docs.columns if c != "n_removed"), "n_removed")

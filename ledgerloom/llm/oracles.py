@@ -84,19 +84,33 @@ FROM m
 
 ORACLES["op1_line_dedup"] = r"""
 WITH l AS (
-  SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents
-), k AS (
-  SELECT doc_id, source, unnest(list_distinct(list_filter(lines, lambda x: length(x) >= 20 AND regexp_matches(x, '[^\x09-\x0D ]')))) AS line,
-    list_max(list_transform(lines, lambda x: {'n': length(x), 'x': x})).x AS around
-  FROM l
+  SELECT doc_id, source, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D ]')))) AS line
+  FROM documents
+), w AS (
+  SELECT line FROM l GROUP BY line HAVING count(DISTINCT source) >= CASE WHEN length(line) < 20 THEN 10 ELSE 5 END
+), o AS (SELECT l.* FROM l JOIN w USING (line)
+), f AS (
+  SELECT min(struct_pack(doc_id := doc_id, source := source)) AS first
+  FROM documents WHERE doc_id IN (SELECT doc_id FROM o) GROUP BY text
+), p AS (
+  SELECT DISTINCT doc_id, piece
+  FROM (
+    SELECT doc_id, unnest(list_transform(string_split_regex(line, '[\n.,;:!?。、，！？]+'), lambda x: trim(x, ' '))) AS piece
+    FROM l WHERE doc_id IN (SELECT first.doc_id FROM f) AND line NOT IN (SELECT line FROM w)
+  ) WHERE piece <> ''
+), own AS (SELECT piece, min(doc_id) AS owner FROM p GROUP BY piece
+), ok AS (
+  SELECT p.doc_id FROM p JOIN own USING (piece) GROUP BY p.doc_id
+  HAVING 4 * sum(CASE WHEN owner = p.doc_id THEN length(piece) ELSE 0 END) >= 3 * sum(length(piece))
 ), b AS (
-  SELECT line FROM k GROUP BY line
-  HAVING count(DISTINCT source) >= 5 AND count(DISTINCT around) >= greatest(5, count(*) / 2)
-), o AS (
-  SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)
+  SELECT line FROM o JOIN f ON f.first.doc_id = o.doc_id AND f.first.source = o.source JOIN ok ON ok.doc_id = o.doc_id GROUP BY line
+  HAVING count(DISTINCT o.source) >= CASE WHEN length(line) < 20 THEN 10 ELSE 5 END
+), q AS (
+  SELECT doc_id, i, lines[i] AS line
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
 ), j AS (
-  SELECT doc_id, string_agg(o.line, chr(10) ORDER BY i) FILTER (b.line IS NULL) AS text, count(b.line) AS n_removed
-  FROM o LEFT JOIN b ON b.line = o.line GROUP BY doc_id
+  SELECT doc_id, string_agg(q.line, chr(10) ORDER BY i) FILTER (b.line IS NULL) AS text, count(b.line) AS n_removed
+  FROM q LEFT JOIN b ON b.line = q.line GROUP BY doc_id
 )
 SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.text, '') END AS text, coalesce(n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN j USING (doc_id)

@@ -17,17 +17,30 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(-(-rows // ROWS_PER_TASK) or 1) if rows < 100 * ROWS_PER_TASK else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Parquet tables under ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset, as in local
-    tests, a temporary folder of this machine takes its place. A table that was
-    saved does not depend on earlier stages, so lost executors cost no rerun of
-    them.
+    The setting is read from the session. Only on a local master, as in tests, a
+    temporary folder of this machine takes its place where it is unset; a cluster
+    without the setting is refused, for its executors would write to folders that
+    the others cannot see. A table that was saved does not depend on earlier
+    stages, so lost executors cost no rerun of them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.conf.get("spark.master", "local").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="ledgerloom-")
         small_batches(spark)
         self.spark, self.root = spark, f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
 

@@ -37,7 +37,7 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     rows += [(50 + i, f"Words of their own in document {50 + i} and more of them\nA footer on four different sites\n", f"s{i % 4}") for i in range(10)]
     found = {r.doc_id: r.n_removed for r in line_dedup.remove_boilerplate(docs(spark, rows)).collect()}
     assert all(found[i] == 1 for i in range(10)) and all(found[50 + i] == 0 for i in range(10))
-    sketches = line_dedup.boilerplate(line_dedup.line_table(docs(spark, rows), "doc_id", "text", "source", 20), near=0.1).collect()
+    sketches = line_dedup.sketched(line_dedup.line_table(docs(spark, rows)), near=0.1).collect()
     assert [r.sure for r in sketches] == [False]
 
 
@@ -47,3 +47,27 @@ def test_odd_rows(spark):
     assert set(found.columns) == set(frame.columns)
     assert sorted(map(repr, ((r.doc_id, r.text) for r in found.collect()))) == sorted(map(repr, ((r.doc_id, r.text) for r in frame.collect())))
     assert line_dedup.remove_boilerplate(docs(spark, [])).collect() == []
+
+
+def test_repeated_rows_and_long_notices_change_nothing(spark):
+    notice = "This notice stands on every page and is longer than all else that the page holds."
+    rows = [(i, f"own words {i} of this page\n{notice}", f"site{i}") for i in range(40)]
+    for some in (rows, rows * 3, [(i + 1000 * n, t, s) for n in range(3) for i, t, s in rows]):
+        found = line_dedup.remove_boilerplate(docs(spark, some)).collect()
+        assert len(found) == len(some) and all(r.n_removed == 1 and r.text == f"own words {r.doc_id % 1000} of this page" for r in found)
+
+
+def test_pages_of_little_but_boilerplate(spark):
+    parts = [f"Boilerplate number {n}, of which every page holds several, and so on" for n in range(4)]
+    rows = [(i, "\n".join([*parts, f"own {i}"]), f"site{i % 7}") for i in range(21)]
+    rows += [(50 + i, "\n".join(parts), f"site{i}") for i in range(3)]
+    found = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.remove_boilerplate(docs(spark, rows)).collect()}
+    assert all(found[i] == (f"own {i}", 4) for i in range(21)) and all(found[50 + i] == ("", 4) for i in range(3))
+
+
+def test_names_that_the_operator_uses(spark):
+    frame = docs(spark, [(i, f"own {i}\nA footer on all of the sites", f"s{i % 9}") for i in range(18)])
+    clashing = frame.selectExpr("*", "1 AS __cut", "2 AS t", "3 AS keys", "4 AS left", "5 AS __id", "6 AS k")
+    found = line_dedup.remove_boilerplate(clashing)
+    assert set(found.columns) == set(clashing.columns)
+    assert {(r.n_removed, r["keys"], r["left"]) for r in found.collect()} == {(1, 3, 4)}
