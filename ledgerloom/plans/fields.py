@@ -60,8 +60,8 @@ def voucher_date(spark, sf_dir):
 @query("currency_normalise", """
 SELECT n_nationkey, CASE n_nationkey % 9 WHEN 0 THEN 'USD' WHEN 1 THEN 'USD' WHEN 2 THEN 'INR' WHEN 3 THEN 'AUD' WHEN 4 THEN 'INR' WHEN 5 THEN 'US$' WHEN 6 THEN '' WHEN 7 THEN 'CAD' ELSE upper(n_name) END AS code,
   CASE n_nationkey % 9 WHEN 5 THEN false WHEN 6 THEN false WHEN 8 THEN length(n_name) = 3 ELSE true END AS confident,
-  CASE n_nationkey % 9 WHEN 1 THEN 'Currency ''$100'' normalized to ''USD''.' WHEN 3 THEN 'Currency ''A$5'' normalized to ''AUD''.' WHEN 5 THEN 'Unrecognized currency ''US$''; retained upper-case literal.' WHEN 6 THEN 'Currency missing; left blank.'
-    WHEN 8 THEN CASE WHEN length(n_name) = 3 THEN NULL ELSE 'Unrecognized currency ''' || n_name || '''; retained upper-case literal.' END END AS warning FROM nation""")
+  CASE n_nationkey % 9 WHEN 1 THEN 'CURRENCY_READ: $100, USD' WHEN 3 THEN 'CURRENCY_READ: A$5, AUD' WHEN 5 THEN 'CURRENCY_UNKNOWN: US$' WHEN 6 THEN 'CURRENCY_MISSING'
+    WHEN 8 THEN CASE WHEN length(n_name) = 3 THEN NULL ELSE 'CURRENCY_UNKNOWN: ' || n_name END END AS warning FROM nation""")
 def currency_normalise(spark, sf_dir):
     n = F.col("n_nationkey") % 9
     raw = F.col("n_name")
@@ -73,7 +73,7 @@ def currency_normalise(spark, sf_dir):
 
 @query("tax_alias_pick", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN n = 0 OR n = 3 OR n = 4 THEN 0.0 ELSE q END AS tax, n IN (1, 2, 5) AS confident,
-  CASE n WHEN 0 THEN 'Tax field ''tax'' was not numeric; defaulting tax to 0.0.' WHEN 1 THEN 'Mapped ''taxes'' to canonical ''tax''.' WHEN 3 THEN 'No tax/GST field found; defaulting tax to 0.0.' WHEN 4 THEN 'Tax field ''vat'' was not numeric; defaulting tax to 0.0.' WHEN 5 THEN 'Mapped ''gst_amount'' to canonical ''tax''.' END AS warning
+  CASE n WHEN 0 THEN 'TAX_NOT_A_NUMBER: tax' WHEN 1 THEN 'TAX_TAKEN_FROM: taxes' WHEN 3 THEN 'TAX_MISSING' WHEN 4 THEN 'TAX_NOT_A_NUMBER: vat' WHEN 5 THEN 'TAX_TAKEN_FROM: gst_amount' END AS warning
 FROM (SELECT *, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS q, l_linenumber % 6 AS n FROM lineitem)""")
 def tax_alias_pick(spark, sf_dir):
     n, q = F.col("l_linenumber") % 6, F.round("l_quantity", 0).cast("bigint").cast("string")
@@ -103,7 +103,7 @@ def _payloads(spark, sf_dir):
 
 
 @query("line_item_normalise", f"""WITH {b.SQL}, q AS (
-  SELECT *, CAST(CAST(quantity AS BIGINT) AS DOUBLE) AS n, CASE WHEN line_no <> 2 THEN 2.0 ELSE 0.0 END AS p FROM il)
+  SELECT *, CAST(CAST(quantity AS BIGINT) AS DOUBLE) AS n, CAST(CASE WHEN line_no <> 2 THEN 2 ELSE 0 END AS DOUBLE) AS p FROM il)
 SELECT invoice_id, 'part ' || l_partkey AS description, n AS quantity, p AS unit_price, CASE WHEN line_no <> 3 THEN CAST(taxable_value AS DOUBLE) ELSE n * p END AS total_price FROM q""")
 def line_item_normalise(spark, sf_dir):
     rows = _payloads(spark, sf_dir).withColumn("payload", v.parse_json(F.to_json(F.struct(F.col("items").alias("line_items")))))
@@ -111,6 +111,36 @@ def line_item_normalise(spark, sf_dir):
     return rows.select("invoice_id", F.inline(items))
 
 
+@query("flat_profile", f"""WITH {b.SQL}, l AS (
+  SELECT invoice_id, count(*) AS c, bool_and(line_no NOT IN (2, 3)) AS priced,
+    string_agg(CASE line_no WHEN 2 THEN 'UNIT_PRICE_NOT_A_NUMBER: ' || pos WHEN 3 THEN 'TOTAL_PRICE_COMPUTED: ' || pos || ', ' || CAST(CAST(CAST(quantity AS BIGINT) * 2 AS DECIMAL(18,2)) AS VARCHAR) END, '; ' ORDER BY pos) AS notes
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY line_no) AS pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY line_no, l_partkey, l_suppkey) AS i FROM il) WHERE i = line_no
+  ) GROUP BY invoice_id
+), q AS (SELECT inv.*, inv.invoice_id % 6 AS n, coalesce(c, 0) AS c, coalesce(priced, true) AS priced, l.notes FROM inv LEFT JOIN l USING (invoice_id))
+SELECT invoice_id, n = 5 AS bad,
+  CASE n WHEN 5 THEN NULL ELSE concat_ws('; ', CASE n WHEN 1 THEN 'DATE_NOT_READ: soon' END, CASE n WHEN 0 THEN 'CURRENCY_MISSING' WHEN 2 THEN 'CURRENCY_READ: $ 5, USD' END, CASE n WHEN 3 THEN 'SUBTOTAL_NOT_A_NUMBER' END,
+    CASE n WHEN 4 THEN 'TAX_MISSING' ELSE 'TAX_TAKEN_FROM: taxes' END, CASE n WHEN 0 THEN 'TOTAL_NOT_A_NUMBER' END, CASE WHEN n = 4 THEN 'LINES_NOT_A_LIST' ELSE notes END) END AS warnings,
+  CASE n WHEN 5 THEN NULL ELSE concat_ws(';', 'currency_confident=' || (n <> 0), 'invoice_date_confident=' || (n <> 1), CASE WHEN n <> 4 THEN 'line_item_pricing_confident=' || priced END, CASE WHEN n <> 4 THEN 'line_item_quantity_confident=true' END,
+    'line_items_present=' || (n <> 4 AND c > 0), 'tax_confident=' || (n <> 4)) END AS flags,
+  CASE WHEN n NOT IN (0, 5) THEN CAST(total AS DOUBLE) WHEN n = 0 THEN 0.0 END AS total
+FROM q""")
+def flat_profile(spark, sf_dir):
+    """Warnings, flags and faults of whole payloads: a bad date, no currency, texts for amounts, no tax, no list of lines, no object."""
+    n = F.col("invoice_id") % 6
+    lines = F.transform(F.filter("ls", lambda x, i: x["line_no"] == i + 1), lambda x: x["item"])
+    doc = F.to_json(F.struct(
+        "invoice_number", F.when(n == 1, "soon").otherwise(F.date_format("invoice_date", "yyyy-MM-dd")).alias("invoice_date"), F.when(n == 0, "").when(n == 2, "$ 5").otherwise("INR").alias("currency"),
+        F.when(n == 3, "none").otherwise(F.col("subtotal").cast("string")).alias("subtotal"), F.when(n != 4, F.col("tax")).alias("taxes"), F.when(n == 0, "?").otherwise(F.col("total").cast("string")).alias("total"),
+        F.when(n != 4, F.coalesce(lines, F.array().cast("array<struct<description:string,quantity:string,unit_price:int,total_price:decimal(18,2)>>"))).alias("line_items"),
+    ))
+    rows = _payloads(spark, sf_dir).select("invoice_id", v.parse_json(F.when(n == 5, "[1]").otherwise(doc)).alias("payload"))
+    i = normalize.normalize_flat(rows)
+    flags = F.array_join(F.transform(F.array_sort(F.map_entries("flags")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return i.select("invoice_id", F.col("error").isNotNull().alias("bad"), F.array_join("warnings", "; ").alias("warnings"), flags.alias("flags"), F.col("invoice.total").alias("total"))
+
+
 _V2 = """WITH {sql}, q AS (SELECT *, invoice_id % 4 AS n FROM inv)
 SELECT q.invoice_id, CASE WHEN n = 3 THEN 'UNKNOWN' ELSE invoice_number END AS invoice_number, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, CASE WHEN n = 0 THEN buyer ELSE 'Unknown' END AS buyer, CASE WHEN n = 0 THEN NULL ELSE 'L' || q.invoice_id END AS line1,
   CASE n WHEN 0 THEN true WHEN 1 THEN false END AS reverse_charge, 'INR' AS currency, greatest(coalesce(c, 0), 1) AS n_lines,
@@ -139,24 +169,26 @@ def reverse_charge_bool(spark, sf_dir):
 
 
 def _v2_payloads(spark, sf_dir):
-    """A valid v2 document for every invoice with lines, with one fault by order number."""
+    """A v2 document for every invoice, with one fault by order number; those without lines lack items and a seller's name."""
     n = F.col("invoice_id") % 9
     place = F.struct(*(F.lit(None).cast("string").alias(a) for a in checks.ADDRESS))
     side = lambda name, tin: F.struct(F.col(name).alias("name"), tin.alias("gstin"), F.lit("").alias("pan"), place.alias("address"))
     items = F.transform("ls", lambda x: F.struct(F.lit("Part").alias("description"), x["quantity"].cast("double").alias("quantity"), F.lit(1.0).alias("unit_price"), x["taxable_value"].alias("total_price")))
+    items = F.coalesce(items, F.array().cast("array<struct<description:string,quantity:double,unit_price:double,total_price:decimal(18,2)>>"))
     doc = F.to_json(F.struct(
         F.when(n == 1, "1.0").otherwise("2.0").alias("schema_version"), F.when(n == 2, "").otherwise(F.col("invoice_number")).alias("invoice_number"), F.when(n == 3, "bill").otherwise(F.col("invoice_type")).alias("invoice_type"),
         F.when(n == 4, F.date_format("invoice_date", "dd-MM-yyyy")).otherwise(F.date_format("invoice_date", "yyyy-MM-dd")).alias("invoice_date"), side("seller", F.when(n == 5, "X").otherwise("")).alias("seller"), side("buyer", F.lit("22AAAAA0000A1Z5")).alias("buyer"),
         F.when(n != 6, F.lit("INR")).alias("currency"), items.alias("line_items"), "subtotal", "tax", "total",
     ), {"ignoreNullFields": "false"})
     doc = F.when(n == 7, F.regexp_replace(doc, r"^\{", '{"extra": 1,')).when(n == 8, F.regexp_replace(doc, r'"quantity":[0-9.]+', '"quantity":true')).otherwise(doc)
-    return _payloads(spark, sf_dir).where("ls IS NOT NULL").select("invoice_id", "subtotal", "tax", "total", v.parse_json(doc).alias("payload"))
+    return _payloads(spark, sf_dir).select("invoice_id", "subtotal", "tax", "total", v.parse_json(doc).alias("payload"))
 
 
-@query("schema_violations", f"""WITH {b.SQL}, i AS (SELECT inv.invoice_id, invoice_id % 9 AS n, c FROM inv JOIN (SELECT invoice_id, count(*) AS c FROM il GROUP BY invoice_id) USING (invoice_id))
+@query("schema_violations", f"""WITH {b.SQL}, i AS (SELECT inv.invoice_id, invoice_id % 9 AS n, coalesce(c, 0) AS c, seller FROM inv LEFT JOIN (SELECT invoice_id, count(*) AS c FROM il GROUP BY invoice_id) USING (invoice_id))
 SELECT 'schema_version' AS path, 'const' AS keyword, count(*) AS n FROM i WHERE n = 1 UNION ALL SELECT 'invoice_number', 'minLength', count(*) FROM i WHERE n = 2 UNION ALL SELECT 'invoice_type', 'enum', count(*) FROM i WHERE n = 3
 UNION ALL SELECT 'invoice_date', 'pattern', count(*) FROM i WHERE n = 4 UNION ALL SELECT 'seller.gstin', 'pattern', count(*) FROM i WHERE n = 5 UNION ALL SELECT 'currency', 'type', count(*) FROM i WHERE n = 6
-UNION ALL SELECT 'invoice', 'additionalProperties', count(*) FROM i WHERE n = 7 UNION ALL SELECT 'line_items[].quantity', 'type', CAST(sum(c) AS BIGINT) FROM i WHERE n = 8""")
+UNION ALL SELECT 'invoice', 'additionalProperties', count(*) FROM i WHERE n = 7 UNION ALL SELECT 'line_items[].quantity', 'type', CAST(sum(c) AS BIGINT) FROM i WHERE n = 8
+UNION ALL SELECT 'line_items', 'minItems', count(*) FROM i WHERE c = 0 HAVING count(*) > 0 UNION ALL SELECT 'seller.name', 'type', count(*) FROM i WHERE seller IS NULL HAVING count(*) > 0""")
 def schema_violations(spark, sf_dir):
     found = _v2_payloads(spark, sf_dir).select("invoice_id", F.inline(checks.violations(F.col("payload"))))
     return found.groupBy(F.regexp_replace("path", r"\[[0-9]+\]", "[]").alias("path"), "keyword").agg(F.count("*").alias("n"))
@@ -172,9 +204,15 @@ def accounting_checks(spark, sf_dir):
     return checks.report(rows).select("invoice_id", "accounting.header_ok", "accounting.lines_ok", "critical_failure")
 
 
-@query("confidence_score", f"""WITH {b.SQL}, i AS (SELECT inv.*, invoice_id % 9 AS n FROM inv WHERE EXISTS (SELECT 1 FROM il WHERE il.invoice_id = inv.invoice_id)),
-c AS (SELECT invoice_id, CASE WHEN n IN (2, 6) THEN 0.9 ELSE 1.0 END AS completeness, CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END AS schema_valid, CASE WHEN abs(subtotal + tax - total) <= 0.05 THEN 1.0 ELSE 0.0 END AS accounting FROM i)
-SELECT invoice_id, CAST(completeness AS DOUBLE) AS completeness, CAST(schema_valid AS DOUBLE) AS schema_valid, CAST(accounting AS DOUBLE) AS accounting, CAST(round(0.5 * completeness + 0.25 * schema_valid + 0.25 * accounting, 3) AS DOUBLE) AS overall FROM c""")
+@query("confidence_score", f"""WITH {b.SQL}, i AS (SELECT inv.*, invoice_id % 9 AS n, EXISTS (SELECT 1 FROM il WHERE il.invoice_id = inv.invoice_id) AS listed FROM inv),
+c AS (
+  SELECT invoice_id, (10 - CASE WHEN n IN (2, 6) THEN 1 ELSE 0 END - CASE WHEN listed THEN 0 ELSE 2 END) / 10.0 AS completeness,
+    CASE WHEN n = 0 AND listed THEN 1.0 ELSE 0.0 END AS schema_valid, CASE WHEN abs(subtotal + tax - total) <= 0.05 THEN 1.0 ELSE 0.0 END AS accounting
+  FROM i
+)
+SELECT invoice_id, CAST(completeness AS DOUBLE) AS completeness, CAST(schema_valid AS DOUBLE) AS schema_valid, CAST(accounting AS DOUBLE) AS accounting,
+  CAST(round(CAST(0.5 * completeness + 0.25 * schema_valid + 0.25 * accounting AS DECIMAL(10,6)), 3) AS DOUBLE) AS overall
+FROM c""")
 def confidence_score(spark, sf_dir):
     rows = _v2_payloads(spark, sf_dir).select("invoice_id", checks.confidence(F.col("payload")).alias("c"))
     return rows.select("invoice_id", "c.completeness", "c.schema_valid", "c.accounting", "c.overall")

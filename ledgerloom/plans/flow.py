@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import workflow
-from ..sources import documents, master
+from ..functions import variants as v
+from ..operators import jobs, workflow
+from ..sources import documents, master, shared
 from . import bindings as b
 from .catalog import query
 from .matching import _INVOICE_RES, invoice_report
@@ -27,10 +27,10 @@ def alias_split(spark, sf_dir):
     return b.table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(aliases, "|").alias("aliases"), F.size(aliases).alias("n"))
 
 
-@query("route_by_extension", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' WHEN 2 THEN '.docx' WHEN 3 THEN '.gif' WHEN 4 THEN '' ELSE '.tiff' END AS extension,
-  CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'word' WHEN 3 THEN 'image' WHEN 4 THEN 'unsupported' ELSE 'image' END AS branch FROM pages""")
+@query("route_by_extension", """SELECT page_id, CASE page_id % 7 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' WHEN 2 THEN '.docx' WHEN 3 THEN '.gif' WHEN 4 THEN '' WHEN 5 THEN '.tiff' ELSE '.tif' END AS extension,
+  CASE page_id % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'word' WHEN 3 THEN 'image' WHEN 4 THEN 'unsupported' ELSE 'image' END AS branch FROM pages""")
 def route_by_extension(spark, sf_dir):
-    ends = F.element_at(F.array(*map(F.lit, (".PDF", ".png", ".docx", ".gif", "", ".Tiff"))), (F.col("page_id") % 6 + 1).cast("int"))
+    ends = F.element_at(F.array(*map(F.lit, (".PDF", ".png", ".docx", ".gif", "", ".Tiff", ".TIF"))), (F.col("page_id") % 7 + 1).cast("int"))
     rows = b.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/in.box/doc"), "page_id", ends).alias("path"))
     return rows.select("page_id", documents.extension(F.col("path")).alias("extension"), documents.branch(F.col("path")).alias("branch"))
 
@@ -74,20 +74,84 @@ def idempotency_dedup(spark, sf_dir):
     return workflow.post_once(batch, posted).select("arrival", "idempotency_key", "post_status")
 
 
+@query("job_states", f"""WITH {b.SQL}, j AS (
+  SELECT invoice_id, invoice_id % 10 AS n, seller IS NULL OR invoice_id % 10 = 2 AS blocked, '' AS again FROM inv UNION ALL SELECT invoice_id, invoice_id % 10, seller IS NULL, 'b' FROM inv WHERE invoice_id % 10 IN (5, 7))
+SELECT invoice_id || again AS job_id,
+  CASE WHEN n IN (3, 4) THEN 'failed' WHEN n = 0 OR blocked OR n = 1 THEN 'review_required' WHEN n = 7 AND again = 'b' THEN 'retry_pending' WHEN n IN (6, 7) THEN 'failed' ELSE 'posted' END AS state,
+  CASE WHEN n IN (3, 4) THEN NULL WHEN n = 0 OR blocked THEN 'validation_failed' WHEN n = 1 THEN 'manual_review_required' END AS reason,
+  CASE n WHEN 4 THEN 'OCR_TIMEOUT' WHEN 3 THEN 'FIELD_NORMALIZATION_ERROR' WHEN 0 THEN 'ACCOUNTING_VALIDATION_ERROR' WHEN 6 THEN CASE WHEN blocked THEN NULL ELSE 'UPLOAD_FAILED' END
+    WHEN 7 THEN CASE WHEN blocked OR again = 'b' THEN NULL ELSE 'UPLOAD_FAILED' END END AS error_code,
+  CASE WHEN n = 4 THEN 3 WHEN n IN (0, 3) THEN 4 WHEN blocked OR n = 1 THEN 5 WHEN n = 5 AND again = 'b' THEN 5 ELSE 6 END AS n_events
+FROM j""")
+def job_states(spark, sf_dir):
+    """Jobs of all invoices from payload to the server's answer, which refuses some; some invoices are sent in twice."""
+    n = F.col("invoice_id") % 10
+    lines = b.invoice_lines(spark, sf_dir).groupBy("invoice_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "l_partkey", "taxable_value"))).alias("ls"))
+    item = lambda x: F.struct(F.concat(F.lit("P"), x["l_partkey"]).alias("description"), F.lit(1).alias("quantity"), x["taxable_value"].alias("unit_price"), x["taxable_value"].alias("total_price"))
+    items = F.coalesce(F.transform("ls", item), F.array().cast("array<struct<description:string,quantity:int,unit_price:decimal(18,2),total_price:decimal(18,2)>>"))
+    total = F.col("subtotal") + F.col("tax") + F.when(n == 0, 100).otherwise(0)
+    doc = F.to_json(F.struct(
+        "invoice_number", F.col("invoice_date").cast("string").alias("invoice_date"), F.when(n != 2, F.col("seller")).alias("seller"), F.when(n == 1, "Nobody").otherwise(F.col("buyer")).alias("buyer"), F.lit("INR").alias("currency"),
+        "subtotal", "tax", total.alias("total"), items.alias("line_items"),
+    ))
+    rows = b.invoices(spark, sf_dir).join(lines, "invoice_id", "left")
+    again = F.when(n.isin(5, 7), F.array(F.lit(""), F.lit("b"))).otherwise(F.array(F.lit("")))
+    # not in one select: beside a generator, fields of structs lose their names
+    rows = rows.select("invoice_id", F.when(n == 3, "[1]").otherwise(doc).alias("doc")).select("invoice_id", F.explode(again).alias("again"), "doc")
+    asked = rows.select(
+        F.concat("invoice_id", "again").alias("job_id"), F.lit("t9").alias("tenant_id"), F.lit("clerk").alias("operator"), F.length("again").alias("arrival"),
+        v.parse_json(F.when(n != 4, F.col("doc"))).alias("payload"), F.when(n == 4, "OCR_TIMEOUT").alias("payload_error"),
+    )
+    config = jobs.JobConfig(review_below=0.6)
+    place = shared.folder(spark, "jobs")
+    jobs.process(asked, b.master(spark, sf_dir), b.rules(spark), spark.createDataFrame([], "idempotency_key string"), config).write.parquet(place)
+    done = spark.read.parquet(place)
+    answers = jobs.ready(done).select("job_id", (~F.col("job_id").substr(-1, 1).isin("6", "7")).alias("ok"), F.lit("answer").alias("message"))
+    return jobs.finish(done, answers, config).select("job_id", "state", "reason", "error_code", F.size("events").alias("n_events"))
+
+
 @query("audit_latest_state", "SELECT user_id AS job_id, arg_max(event_type, event_id) AS state, count(*) AS n_events FROM events GROUP BY user_id")
 def audit_latest_state(spark, sf_dir):
     return workflow.latest_state(b.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state")))
 
 
+@query("post_once_ties", """
+WITH a AS (SELECT event_type AS idempotency_key, user_id % 50 AS arrival, event_id % 3 AS clerk FROM events),
+k AS (SELECT CASE WHEN clerk = 2 AND arrival > 40 THEN NULL ELSE idempotency_key END AS idempotency_key, arrival, clerk FROM a),
+n AS (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY arrival, clerk) AS i FROM k)
+SELECT idempotency_key, arrival, clerk, CASE WHEN idempotency_key IS NULL THEN 'unkeyed' WHEN i = 1 AND idempotency_key <> 'click' THEN 'new' ELSE 'duplicate' END AS post_status, count(*) AS n FROM n GROUP BY ALL""")
+def post_once_ties(spark, sf_dir):
+    """Many rows a key, equal arrivals, rows equal throughout, rows without a key, and a key posted before."""
+    rows = b.table(spark, sf_dir, "events").select(F.col("event_type").alias("idempotency_key"), (F.col("user_id") % 50).alias("arrival"), (F.col("event_id") % 3).alias("clerk"))
+    rows = rows.withColumn("idempotency_key", F.when(~((F.col("clerk") == 2) & (F.col("arrival") > 40)), F.col("idempotency_key")))
+    posted = spark.createDataFrame([("click",), ("click",), (None,)], "idempotency_key string")
+    return workflow.post_once(rows, posted).groupBy("idempotency_key", "arrival", "clerk", "post_status").agg(F.count("*").alias("n"))
+
+
 @query("stream_replay_equals_batch", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def stream_replay_equals_batch(spark, sf_dir):
+    """Events through a posting stream of several batches, stopped and started again; the ledger it leaves is the answer."""
     from ..streaming import posting
 
+    place = shared.folder(spark, "replay")
     rows = b.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return posting.replay(rows, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
+    keyed = rows.withColumn("idempotency_key", F.sha2(F.to_json(F.struct("user_id", "event_type")), 256)).withColumn("arrival", F.col("event_id"))
+    bounds = rows.agg(F.min("event_id").alias("a"), F.max("event_id").alias("z")).first()
+    step = ((bounds.z or 0) - (bounds.a or 0)) // REPLAY_PARTS + 1
+    for start in range(0, REPLAY_PARTS, REPLAY_PARTS // 2):
+        # later events reach the folder only once the stream has ended, and is started anew
+        for n in range(start, start + REPLAY_PARTS // 2):
+            low = (bounds.a or 0) + n * step
+            keyed.where(F.col("event_id").between(low, low + step - 1)).coalesce(1).write.mode("append").parquet(f"{place}/arrivals")
+        stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/arrivals")
+        posting.start(stream, f"{place}/ledger", f"{place}/checkpoint", available_now=True).awaitTermination()
+    return posting.posted(spark, f"{place}/ledger", keyed.schema).select("user_id", "event_type", "event_id")
+
+
+#: Batches of the replayed stream.
+REPLAY_PARTS = 4
 
 
 @query("first_arrivals_window", "SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type")
 def first_arrivals_window(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return b.table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).where("n = 1").select("event_type", "event_id")
+    return workflow.first_arrivals(b.table(spark, sf_dir, "events").select("event_type", "event_id", "user_id"), "event_type", "event_id").select("event_type", "event_id")

@@ -11,9 +11,9 @@ def write_artifact(rows: DataFrame, root: str, stage: str) -> None:
     rows.write.mode("append").partitionBy("day").parquet(f"{root}/{stage}")
 
 
-def append_review_queue(rows: DataFrame, path: str) -> None:
+def append_review_queue(rows: DataFrame, path: str, mode: str = "append") -> None:
     """One JSON line per row."""
-    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode(mode).text(path)
 
 
 def write_voucher_xml(vouchers: DataFrame, path: str, xml: str = "xml") -> None:

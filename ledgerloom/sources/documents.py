@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import mimetypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Extensions and the branch each takes.
-BRANCHES = {".pdf": "pdf", ".png": "image", ".jpg": "image", ".jpeg": "image", ".tiff": "image", ".gif": "image", ".bmp": "image", ".webp": "image", ".doc": "word", ".docx": "word"}
+#: Extensions by branch: every registered image type goes to OCR, which refuses those it cannot read.
+IMAGES = tuple(sorted(ext for ext, kind in mimetypes.MimeTypes().types_map[True].items() if kind.startswith("image/")))
+BRANCHES = {".pdf": "pdf", ".doc": "word", ".docx": "word"} | dict.fromkeys(IMAGES, "image")
+# What OCR reads, and the order of its steps.
 OCR_EXTENSIONS = (".png", ".jpg", ".jpeg", ".tiff")
 STEPS = ("deskew", "binarization", "contrast_enhancement")
 MAX_PAGES, TIMEOUT_SECONDS = 20, 30.0
@@ -21,10 +24,8 @@ def extension(path: Column) -> Column:
 
 
 def branch(path: Column) -> Column:
-    out = F.lit("unsupported")
-    for ext, name in BRANCHES.items():
-        out = F.when(extension(path) == ext, name).otherwise(out)
-    return out
+    pairs = F.create_map(*(F.lit(x) for pair in BRANCHES.items() for x in pair))
+    return F.coalesce(F.try_element_at(pairs, extension(path)), F.lit("unsupported"))
 
 
 def tenant_language(tenant: Column, overrides: dict[str, str], default: str) -> Column:
@@ -59,31 +60,103 @@ class Limits:
         return Limits(max(1, self.max_pages), max(0.0, self.timeout_seconds))
 
 
-#: A reader takes (content, language, steps) and yields page texts one by one.
-Reader = Callable[[bytes, str, list], Iterator[str]]
+@dataclass
+class Pages:
+    """What a reader finds: page texts one by one, where from, whether OCR limits hold, and how many there are if known."""
 
+    texts: Iterator[str]
+    source: str
+    limited: bool = True
+    n_pages: int | None = None
 
-def read_pages(reader: Reader, content: bytes, language: str, on: list[str], limits: Limits, clock: Callable[[], float], n_pages: int | None = None) -> tuple[str | None, str | None]:
-    """(text, error code): page at a time, with page and time limits looked at before each page and after the last."""
+
+#: A reader takes (content, language, steps) and gives Pages, or yields page texts that OCR limits hold for.
+Reader = Callable[[bytes, str, list], "Pages | Iterator[str]"]
+
+
+class ReadError(Exception):
+    """code, message and context of a document that cannot be read."""
+
+    def __init__(self, code: str, message: str, **context):
+        super().__init__(message)
+        self.code, self.context = code, {k: str(v) for k, v in context.items()}
+
+
+def limit_message(code: str, context: dict) -> str:
+    """What a limit's failure says, with the way out of it."""
+    if code == "OCR_PAGE_LIMIT_EXCEEDED":
+        return f"{context['detected_pages']} pages, of which OCR takes {context['max_pages']}: split the document or raise the page limit."
+    if code == "OCR_TIMEOUT":
+        return f"OCR took {context['elapsed_seconds']} s for {context['processed_pages']} pages, with {context['timeout_seconds']} s allowed: raise the limit or send a smaller file."
+    return "OCR went beyond a limit."
+
+
+def _over(code: str, **context) -> ReadError:
+    return ReadError(code, limit_message(code, context), **context)
+
+
+def read_pages(found: Pages, limits: Limits, clock: Callable[[], float]) -> str:
+    """Page texts joined by newlines. OCR is limited in pages, counted before the first, and in time, looked at before each page and after the last."""
+    if not found.limited:
+        return "\n".join(found.texts).strip()
     limits = limits.clamped()
-    if n_pages is not None and n_pages > limits.max_pages:
-        return None, "OCR_PAGE_LIMIT_EXCEEDED"
+    if found.n_pages is not None and found.n_pages > limits.max_pages:
+        raise _over("OCR_PAGE_LIMIT_EXCEEDED", max_pages=limits.max_pages, detected_pages=found.n_pages)
     began, texts = clock(), []
-    late = lambda: limits.timeout_seconds and clock() - began > limits.timeout_seconds
-    for text in reader(content, language, on):
-        if len(texts) >= limits.max_pages:
-            return None, "OCR_PAGE_LIMIT_EXCEEDED"
+    for n, text in enumerate(_timed(found.texts, began, limits, clock)):
+        if n >= limits.max_pages:
+            raise _over("OCR_PAGE_LIMIT_EXCEEDED", max_pages=limits.max_pages, detected_pages=f"over {n}")
         texts.append(text)
-        if late():
-            return None, "OCR_TIMEOUT"
-    return "\n".join(texts), None
+    return "\n".join(texts)
+
+
+def _timed(texts: Iterator[str], began: float, limits: Limits, clock: Callable[[], float]) -> Iterator[str]:
+    texts, n, done = iter(texts), 0, False
+    while not done:
+        took = clock() - began
+        if limits.timeout_seconds and took > limits.timeout_seconds:
+            raise _over("OCR_TIMEOUT", timeout_seconds=limits.timeout_seconds, elapsed_seconds=round(took, 3), processed_pages=n)
+        text = next(texts, None)
+        done = text is None
+        if not done:
+            n += 1
+            yield text
+
+
+def read_one(reader: Reader | None, source: str, ext: str, content: bytes | None, language: str, on: list[str], limits: Limits, clock: Callable[[], float]) -> dict:
+    """One document's text with its diagnostics, or its error; never raises."""
+    began = clock()
+    out = {"text": None, "source": source, "n_pages": None, "seconds": 0.0, "error": None, "message": None, "context": {}}
+    try:
+        if content is None:
+            raise ReadError("INGESTION_ERROR", "There is no such file.")
+        if source == "unsupported" or (source == "image" and ext not in OCR_EXTENSIONS):
+            raise ReadError("INGESTION_ERROR", f"{ext or 'A file without an extension'} is not read; PDF, PNG, JPG, JPEG, TIFF, DOC and DOCX are.")
+        if reader is None:
+            raise ReadError("INGESTION_ERROR", f"No reader is set up for {source} files.")
+        found = reader(content, language, on)
+        found = found if isinstance(found, Pages) else Pages(found, {"pdf": "ocr_pdf", "image": "ocr_image", "word": "word_parser"}[source], source != "word")
+        out |= {"source": found.source, "n_pages": found.n_pages}
+        text = read_pages(found, limits, clock)
+        if found.source == "word_parser" and not text:
+            raise ReadError("INGESTION_ERROR", "The file holds no text that can be selected.")
+        out["text"] = text
+    except ReadError as e:
+        out |= {"error": e.code, "message": str(e), "context": e.context}
+    except Exception as e:  # a reader's failure is this row's error
+        out |= {"error": "INGESTION_ERROR", "message": f"{type(e).__name__}: {e}"}
+    return out | {"seconds": round(clock() - began, 3)}
+
+
+_READ = "path string, tenant_id string, source string, language string, text string, n_pages int, seconds double, error string, message string, context map<string,string>"
 
 
 def extract(files: DataFrame, readers: dict[str, Reader], overrides: dict[str, str] | None = None, default_language: str = "eng", flags: dict[str, bool] | None = None, limits: Limits = Limits()) -> DataFrame:
-    """files (path, tenant_id, content) with text, source, language, preprocessing_steps and error.
+    """files (path, tenant_id, content) with text, source, language, n_pages, seconds, error (code), message, context and preprocessing_steps.
 
-    readers by branch (pdf, image, word); a missing one, or one that fails, gives
-    the row an INGESTION_ERROR and never fails the batch.
+    readers by branch (pdf, image, word). A file that is missing (content null) or
+    of another type, a missing reader, and one that fails or goes beyond a limit
+    give the row an error and never fail the batch. Steps are only OCR's.
     """
     on = steps(flags or {})
     rows = files.select("path", "tenant_id", "content", extension(F.col("path")).alias("extension"), branch(F.col("path")).alias("source"), tenant_language(F.col("tenant_id"), overrides or {}, default_language).alias("language"))
@@ -91,20 +164,18 @@ def extract(files: DataFrame, readers: dict[str, Reader], overrides: dict[str, s
     def run(batches):
         import time
 
+        import pandas as pd
+
         for pdf in batches:
-            texts, errors = [], []
-            for _, r in pdf.iterrows():
-                reader = readers.get(r["source"])
-                if reader is None or (r["source"] == "image" and r["extension"] not in OCR_EXTENSIONS):
-                    text, error = None, "INGESTION_ERROR"
-                else:
-                    try:
-                        text, error = read_pages(reader, r["content"], r["language"], on, limits, time.monotonic)
-                    except Exception:  # a reader's failure is this row's error
-                        text, error = None, "INGESTION_ERROR"
-                texts.append(text)
-                errors.append(error)
-            yield pdf.assign(text=texts, error=errors)[["path", "tenant_id", "source", "language", "text", "error"]]
-
-    out = rows.mapInPandas(run, "path string, tenant_id string, source string, language string, text string, error string")
-    return out.withColumn("preprocessing_steps", F.array(*map(F.lit, on)).cast("array<string>"))
+            found = [read_one(readers.get(s), s, e, c, lang, on, limits, time.monotonic) for s, e, c, lang in zip(pdf["source"], pdf["extension"], pdf["content"], pdf["language"], strict=True)]
+            yield pd.concat([pdf[["path", "tenant_id", "language"]].reset_index(drop=True), pd.DataFrame(found)], axis=1)[[c.split()[0] for c in _READ.split(", ")]].astype({"n_pages": "Int32"})
+
+    ocr = F.col("source").startswith("ocr_")
+    out = rows.mapInPandas(run, _READ)
+    return out.withColumn("preprocessing_steps", F.when(ocr, F.array(*map(F.lit, on)).cast("array<string>")).otherwise(F.array().cast("array<string>"))).withColumn("language", F.when(ocr, F.col("language")))
+
+
+def listed(spark: SparkSession, asked: DataFrame, path: str) -> DataFrame:
+    """asked (path, tenant_id) with content from the files below a folder; null where there is no such file."""
+    found = read_files(spark, path).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    return asked.join(found, "path", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,33 @@ def read_master(spark: SparkSession, path: str) -> DataFrame:
 
 def read_collection(answers: DataFrame, entity_type: str, row_tag: str, body: str = "body") -> DataFrame:
     """Records of XML answers: names and codes by either spelling, aliases split; nameless ones are dropped."""
-    one = "NAME string, Name string, _NAME string, MASTERID string, MasterId string, ALIASES string"
-    parsed = F.from_xml(F.col(body), f"COLLECTION struct<{row_tag}:array<struct<{', '.join(f'{x.split()[0]}:string' for x in one.split(', '))}>>>", {"mode": "PERMISSIVE"})
+    # tags that differ in case alone would be one column twice
+    upper = F.regexp_replace(F.regexp_replace(F.col(body), r"<(/?)Name>", "<$1NAME>"), r"<(/?)MasterId>", "<$1MASTERID>")
+    parsed = F.from_xml(upper, f"COLLECTION struct<{row_tag}:array<struct<NAME:string,_NAME:string,MASTERID:string,ALIASES:string>>>", {"mode": "PERMISSIVE"})
     rows = answers.select(F.posexplode(parsed["COLLECTION"][row_tag]).alias("pos", "r"))
-    name, code = F.trim(F.coalesce("r.NAME", "r.Name", "r._NAME")), F.trim(F.coalesce("r.MASTERID", "r.MasterId"))
+    name, code = F.trim(F.coalesce("r.NAME", "r._NAME")), F.trim("r.MASTERID")
     return rows.select(F.lit(entity_type).alias("entity_type"), "pos", name.alias("name"), F.nullif(code, F.lit("")).alias("code"), F.coalesce(split_aliases(F.col("r.ALIASES")), F.array().cast("array<string>")).alias("aliases")).where("name <> ''")
 
 
+#: Collections that the accounting server is asked for: name, the tag of its rows, and what they are.
+COLLECTIONS = (("Ledger", "LEDGER", "ledger"), ("StockItem", "STOCKITEM", "stock_item"))
+
+
+def fetch_collections(spark: SparkSession, ask: Callable[[str], str], collections: tuple = COLLECTIONS) -> DataFrame:
+    """Master records from the server's answers: ask(collection name) gives the XML body. Ledgers whose name tells a party are parties too."""
+    parts = None
+    for name, tag, kind in collections:
+        rows = read_collection(spark.createDataFrame([(ask(name),)], "body string"), kind, tag)
+        parts = rows if parts is None else parts.unionByName(rows)
+    parties = parts.where((F.col("entity_type") == "ledger") & is_party(F.col("name"))).withColumn("entity_type", F.lit("party"))
+    return parts.unionByName(parties)
+
+
+def of_type(master: DataFrame, entity_type: str) -> DataFrame:
+    """Records of one type (party, ledger or stock_item) in their order."""
+    return master.where(F.col("entity_type") == entity_type).orderBy("pos")
+
+
 def cached(spark: SparkSession, path: str, fetch, ttl: float = CACHE_SECONDS, force: bool = False, now: float | None = None) -> DataFrame:
     """The snapshot at path while it is at most ttl seconds old, else what fetch() gives, stored there."""
     now = time.time() if now is None else now

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import variants as v
-from ..functions.text import clean
+from ..functions.text import clean, strip
+from . import shared
 
 SCHEMA = "scope string, tenant_id string, entity_type string, key string, target string, provenance string, learned_at string"
 KINDS = ("party", "ledger", "stock_item")
@@ -42,6 +45,64 @@ def learning_enabled(spark: SparkSession, path: str) -> DataFrame:
     return everyone.unionByName(tenants)
 
 
-def from_snapshot(rows: DataFrame) -> DataFrame:
-    """Rules of a database snapshot (tenant_id, entity_type, normalized_value, ledger_name, ...) in scope db."""
-    return rows.select(F.lit("db").alias("scope"), "tenant_id", "entity_type", F.col("normalized_value").alias("key"), F.col("ledger_name").alias("target"), F.lit(None).cast("string").alias("provenance"), F.lit(None).cast("string").alias("learned_at"))
+def from_snapshot(rows: DataFrame, target: str = "ledger_name") -> DataFrame:
+    """Rules of a database snapshot (tenant_id, entity_type, normalized_value, target, ...) in scope db; older ones lack provenance."""
+    more = [F.col(c) if c in rows.columns else F.lit(None) for c in ("provenance_json", "learned_at")]
+    return rows.select(F.lit("db").alias("scope"), "tenant_id", "entity_type", F.col("normalized_value").alias("key"), F.col(target).alias("target"), more[0].cast("string").alias("provenance"), more[1].cast("string").alias("learned_at"))
+
+
+def read_database(spark: SparkSession, url: str, table: str = "mapping_rules", target: str = "ledger_name", **options) -> DataFrame:
+    """Rules of a database table over JDBC. A missing table, or a database that is not there, gives no rules."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    try:
+        rows = reader.load()
+    except Exception as missing:
+        if not any(m in str(missing) for m in ("does not exist", "no such table", "not found", "not exist", "Database '")):
+            raise
+        return spark.createDataFrame([], SCHEMA)
+    return from_snapshot(rows.select(*(F.col(c).alias(c.lower()) for c in rows.columns)), target)
+
+
+def merged(rules: DataFrame, learned: DataFrame, scope: str = "tenant", now: str | None = None) -> DataFrame:
+    """rules with those of learned (tenant_id, entity_type, key, target, status, approved_by) that are new put in; a key's later rule wins."""
+    at = F.lit(now) if now is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    provenance = F.to_json(F.struct(F.lit("approval").alias("source"), "approved_by", "tenant_id"))
+    new = learned.where("status = 'learned'").select(F.lit(scope).alias("scope"), "tenant_id", "entity_type", "key", strip(F.col("target")).alias("target"), provenance.alias("provenance"), at.alias("learned_at"))
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    both = rules.select(*columns, F.lit(0).alias("turn")).unionByName(new.withColumn("turn", F.lit(1)))
+    best = F.max_by(F.struct("target", "provenance", "learned_at"), F.struct("turn", F.coalesce("learned_at", F.lit("")), F.coalesce("target", F.lit(""))))
+    return both.groupBy("scope", "tenant_id", "entity_type", "key").agg(best.alias("r")).select("scope", "tenant_id", "entity_type", "key", "r.*")
+
+
+def write_rules(rules: DataFrame, path: str, settings: dict | None = None) -> None:
+    """One JSON file as read_rules reads it, put in place whole: written beside it and renamed. Rules fill one row, as their file does.
+
+    settings: tenant_id (None for all) to whether approvals are learnt.
+    """
+    spark = rules.sparkSession
+    rule = F.when(F.col("provenance").isNull() & F.col("learned_at").isNull(), F.to_json(F.struct(F.col("target").alias("v")))).otherwise(
+        F.concat(F.lit('{"v":'), F.to_json(F.struct(F.col("target").alias("value"), F.from_json("provenance", "map<string,string>").alias("provenance"), "learned_at")), F.lit("}"))
+    )
+    rows = rules.where("scope <> 'db'").select(F.when(F.col("scope") == "tenant", F.col("tenant_id")).alias("tenant_id"), "entity_type", "key", rule.alias("rule"))
+    kinds: dict = {}
+    for r in rows.toLocalIterator():
+        kinds.setdefault(r.tenant_id, {}).setdefault(r.entity_type, {})[r.key] = json.loads(r.rule).get("v")
+    for tenant, on in (settings or {}).items():
+        kinds.setdefault(tenant, {})["settings"] = {"learn_on_approval": on}
+    text = json.dumps({"global": kinds.pop(None, {}), "tenants": kinds}, indent=2, sort_keys=True, ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.new")
+    system, place = shared.files(spark, path)
+    _, fresh = shared.files(spark, f"{path}.new")
+    part = next(x.getPath() for x in system.listStatus(fresh) if x.getPath().getName().startswith("part-"))
+    system.delete(place, True)
+    if not system.rename(part, place):
+        raise OSError(f"{path}.new holds the rules, but could not be renamed")
+    system.delete(fresh, True)
+
+
+def write_database(rules: DataFrame, url: str, table: str = "mapping_rules", target: str = "ledger_name", **options) -> None:
+    """The rules of scope db as the whole of a database table: the rows of `merged`, with the columns of from_snapshot."""
+    rows = rules.where("scope = 'db'").select("tenant_id", "entity_type", F.col("key").alias("normalized_value"), F.col("target").alias(target), F.col("provenance").alias("provenance_json"), "learned_at")
+    place = shared.folder(rules.sparkSession, "rules")
+    rows.write.parquet(place)  # the table may be what the rows come from
+    rules.sparkSession.read.schema(rows.schema).parquet(place).write.format("jdbc").options(url=url, dbtable=table, **options).mode("overwrite").save()

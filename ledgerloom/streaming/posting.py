@@ -1,42 +1,97 @@
-"""Micro-batch posting: each key once, over any number of batches."""
+"""Micro-batch posting: each key once, over any number of batches, restarts and writers.
+
+The ledger is a folder: ``claims/batch=N`` holds the rows that batch N posts,
+written before anything is uploaded, and ``answers/batch=N`` (idempotency_key, ok,
+...) what the server said; a row that it refused counts as not posted.
+Writing a batch again replaces its folder, so a batch that was cut off half-way is
+done over with the very same rows, under the same idempotency keys. Only one
+writer holds the ledger at a time, by a lock file that a file system creates once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+import time
+import uuid
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import workflow
+from ..sources import shared
+
+#: Folders by the first signs of a key, so that a small batch reads the few that hold its keys.
+PREFIX = 2
+
+
+@contextlib.contextmanager
+def locked(spark: SparkSession, path: str, wait: float = 600.0, step: float = 0.2) -> Iterator[None]:
+    """Hold the ledger alone; a TimeoutError names the holder's file after waiting in vain."""
+    began = time.monotonic()
+    while not shared.create(spark, f"{path}/_lock"):
+        if time.monotonic() - began > wait:
+            raise TimeoutError(f"{path}/_lock is held; remove it if its writer has died")
+        time.sleep(step)
+    try:
+        yield
+    finally:
+        shared.delete(spark, f"{path}/_lock")
+
 
+def posted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows of the ledger (its claims), with the batch that posted them."""
+    full = StructType(list(schema.fields)).add("batch", "string").add("prefix", "string")
+    if not shared.exists(spark, f"{path}/claims"):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(f"{path}/claims")
 
-def replay(rows: DataFrame, keys: list[str], order: str, batches: int = 4) -> DataFrame:
-    """The first arrival of each key, found batch after batch against what was posted before."""
-    keyed = rows.withColumn("idempotency_key", F.sha2(F.to_json(F.struct(*keys)), 256)).withColumn("arrival", F.col(order))
-    n = F.pmod(F.floor(F.col(order) / 1000), F.lit(batches))
-    posted = None
-    for i in range(batches):
-        batch = keyed.where(n == i)
-        done = posted if posted is not None else keyed.limit(0)
-        new = workflow.post_once(batch, done).where("post_status = 'new'").drop("post_status")
-        posted = new if posted is None else posted.unionByName(new)
-    # batches are dealt by number, not by time, so of one key the least arrival of all counts
-    return keyed.join(posted.select("idempotency_key").distinct(), "idempotency_key", "left_semi").groupBy(*keys).agg(F.min(order).alias(order))
 
+def done(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of the ledger but those that the server refused, which may be posted again."""
+    rows = posted(spark, path, schema)
+    if not shared.exists(spark, f"{path}/answers"):
+        return rows
+    refused = spark.read.schema("idempotency_key string, ok boolean, batch string").parquet(f"{path}/answers").where("NOT ok").select("batch", "idempotency_key")
+    return rows.join(refused, ["batch", "idempotency_key"], "left_anti")
 
-def post_batch(batch: DataFrame, path: str, upload=None) -> DataFrame:
-    """One atomic micro-batch: rows that are new against the table at path are uploaded and appended to it."""
+
+def post_batch(batch: DataFrame, path: str, upload: Callable[[DataFrame], DataFrame] | None = None, number: str | None = None, wait: float = 600.0) -> DataFrame:
+    """Post the rows of one batch that are new against the ledger at path; what comes back is read from there.
+
+    With upload, the answers (upload's rows) of the new rows, else the rows. A
+    number that was posted before stands for the same batch: its rows are claimed
+    and uploaded as they were then, and answers that exist are not asked for again.
+    """
     spark = batch.sparkSession
-    try:
-        posted = spark.read.parquet(path).select("idempotency_key")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        posted = batch.select("idempotency_key").limit(0)
-    new = workflow.post_once(batch, posted).where("post_status = 'new'").drop("post_status")
-    new = upload(new) if upload else new
-    new.write.mode("append").parquet(path)
-    return new
-
-
-def start(stream: DataFrame, path: str, checkpoint: str, upload=None):
+    number = uuid.uuid4().hex if number is None else str(number)
+    schema = batch.schema
+    mine = F.col("batch") == number
+    with locked(spark, path, wait):
+        if not shared.exists(spark, f"{path}/answers/batch={number}/_SUCCESS"):
+            if not shared.exists(spark, f"{path}/claims/batch={number}/_SUCCESS"):
+                prefix = F.substring("idempotency_key", 1, PREFIX)
+                keyed = batch.withColumn("prefix", prefix)
+                known = done(spark, path, schema).where(~mine)
+                # a small batch is broadcast, and prunes the ledger's folders as well as its rows
+                known = known.join(keyed.select("prefix", "idempotency_key").distinct(), ["prefix", "idempotency_key"], "left_semi")
+                new = workflow.post_once(batch, known).where("post_status = 'new'").drop("post_status")
+                new.withColumn("prefix", prefix).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/claims/batch={number}")
+            if upload is not None:
+                claimed = posted(spark, path, schema).where(mine).select(*schema.names)
+                upload(claimed).write.mode("overwrite").parquet(f"{path}/answers/batch={number}")
+    if upload is not None:
+        return spark.read.parquet(f"{path}/answers/batch={number}")
+    return posted(spark, path, schema).where(mine).select(*schema.names)
+
+
+def start(stream: DataFrame, path: str, checkpoint: str, upload=None, available_now: bool = False):
     """A stream of invoices with idempotency_key and arrival, posted once each; restarts go on from the checkpoint."""
-    return stream.writeStream.foreachBatch(lambda batch, _: post_batch(batch, path, upload)).option("checkpointLocation", checkpoint).start()
+    name = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+
+    def post(batch: DataFrame, n: int) -> None:
+        post_batch(batch, path, upload, f"{name}-{n}")
+
+    writer = stream.writeStream.foreachBatch(post).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

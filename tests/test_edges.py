@@ -78,4 +78,4 @@ def test_docx_reader():
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
         z.writestr("word/document.xml", body)
-    assert list(readers.docx(data.getvalue(), "eng", [])) == ["Invoice 7\nTotal 5"]
+    assert list(readers.word()(data.getvalue(), "eng", []).texts) == ["Invoice 7\nTotal 5"]

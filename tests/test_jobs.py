@@ -3,7 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import variants as v
-from ledgerloom.operators import jobs, workflow
+from ledgerloom.operators import batch, jobs, workflow
+from ledgerloom.sources import providers, readers
 
 MASTER = [("party", 0, "Buyer", "B1", []), ("ledger", 0, "Seller", "S1", []), ("stock_item", 0, "Item", "I1", [])]
 GOOD = {"invoice_number": "7", "invoice_date": "2025-01-31", "seller": "Seller", "buyer": "Buyer", "currency": "INR", "subtotal": 100, "tax": 18, "total": 118, "line_items": [{"description": "Item", "quantity": 1, "unit_price": 100, "total_price": 100}]}
@@ -21,11 +22,11 @@ def run(spark, payloads, posted=(), **config):
 def test_states(spark):
     got = run(spark, [GOOD, GOOD, GOOD | {"seller": "Nobody"}, GOOD | {"buyer": "Nobody"}, GOOD | {"total": 300}, [1], None, GOOD | {"invoice_number": "8", "invoice_date": "soon"}])
     assert [(got[f"j{i}"].state, got[f"j{i}"].reason, got[f"j{i}"].error_code) for i in range(8)] == [
-        ("posted", None, None), ("posted", None, None), ("review_required", "validation_failed", None), ("review_required", "manual_review_required", None), ("review_required", None, "ACCOUNTING_VALIDATION_ERROR"),
+        ("validated", None, None), ("posted", None, None), ("review_required", "validation_failed", None), ("review_required", "manual_review_required", None), ("review_required", "validation_failed", "ACCOUNTING_VALIDATION_ERROR"),
         ("failed", None, "FIELD_NORMALIZATION_ERROR"), ("failed", None, "FIELD_NORMALIZATION_ERROR"), ("failed", None, "VOUCHER_DATE"),
     ]
     assert (got["j0"].post_status, got["j1"].post_status) == ("new", "duplicate") and got["j0"].xml and not got["j1"].xml
-    assert "<AMOUNT>118.00</AMOUNT>" in got["j0"].xml and [e.state for e in got["j0"].events] == ["ingested", "ingested", "extracted", "validated", "posted"]
+    assert "<AMOUNT>118.00</AMOUNT>" in got["j0"].xml and [e.state for e in got["j0"].events] == ["ingested", "ingested", "extracted", "validated", "validated"]
     told = [("j0", "ann", [(e.state, e.action) for e in got["j0"].events])]
     events = workflow.audit_events(spark.createDataFrame(told, "job_id string, operator string, events array<struct<state:string,action:string>>"))
     assert [(r.seq, r.actor) for r in events.orderBy("seq").collect()][:2] == [(0, "ann"), (1, "system")]
@@ -37,3 +38,46 @@ def test_history_dry_run_and_thresholds(spark):
     assert run(spark, [GOOD], dry_run=True)["j0"].state == "dry_run"
     assert run(spark, [GOOD], review_below=0.8)["j0"].reason == "low_confidence"
     assert run(spark, [GOOD], strict_reference=True)["j0"].error_code == "SCHEMA_VALIDATION_ERROR"
+
+
+def test_from_files_to_answers(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.png").write_bytes(b"one")
+    (inbox / "b.png").write_bytes(b"two")
+    (inbox / "c.txt").write_bytes(b"three")
+    (inbox / "d.png").write_bytes(b"four")
+    answers = {"one": json.dumps(GOOD), "two": json.dumps(GOOD | {"buyer": "Nobody"}), "four": json.dumps(GOOD | {"invoice_number": "9"})}
+    asked = spark.createDataFrame([(x, "t", "ann", i, f"{inbox}/{x}") for i, x in enumerate(("a.png", "b.png", "c.txt", "d.png", "e.png"))], "job_id string, tenant_id string, operator string, arrival long, path string")
+    master = spark.createDataFrame(MASTER, "entity_type string, pos int, name string, code string, aliases array<string>")
+    rules = spark.createDataFrame([], "scope string, tenant_id string, entity_type string, key string, target string")
+    sent = tmp_path / "sent"
+
+    def transport(xml, key):
+        with open(sent, "a") as f:
+            f.write(key + "\n")
+        return (400, "") if ">9<" in xml else (200, "<R><CREATED>1</CREATED><ERRORS>0</ERRORS></R>")
+
+    outside = batch.Outside({"image": readers.ocr_image(lambda image, lang=None: image.decode())}, providers.FixtureProvider(answers), transport, delay=0.0)
+    for _ in range(2):  # a batch that is started again asks nobody anything
+        done = {r.job_id: r for r in batch.run(asked, str(inbox), master, rules, str(tmp_path / "out"), "1", outside, jobs.JobConfig(review_below=0.7)).collect()}
+        assert [(k, done[k].state, done[k].error_code) for k in sorted(done)] == [
+            ("a.png", "posted", None), ("b.png", "review_required", None), ("c.txt", "failed", "INGESTION_ERROR"), ("d.png", "failed", "UPLOAD_FAILED"), ("e.png", "failed", "INGESTION_ERROR"),
+        ]
+        assert len(sent.read_text().split()) == 2
+    queue = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/review_queue").collect()]
+    assert [(q["job_id"], q["reason"], q["issues"][0]["suggestions"][0]["name"]) for q in queue] == [("b.png", "manual_review_required", "Buyer")]
+    assert done["a.png"].events[-1].action == "system:posted" and done["a.png"].invoice.line_items[0].description == "Item"
+    # a later batch: what was posted is a duplicate, what was refused is tried again
+    later = {r.job_id: r.state for r in batch.run(asked, str(inbox), master, rules, str(tmp_path / "out"), "2", outside, jobs.JobConfig(review_below=0.7)).collect()}
+    assert (later["a.png"], later["d.png"]) == ("posted", "failed") and len(sent.read_text().split()) == 3
+
+
+def test_refused_uploads_hold_back_their_duplicates(spark):
+    rows = spark.createDataFrame([("j0", "t", "ann", 0, json.dumps(GOOD)), ("j1", "t", "ann", 1, json.dumps(GOOD))], "job_id string, tenant_id string, operator string, arrival long, p string")
+    rows = rows.select("job_id", "tenant_id", "operator", "arrival", v.parse_json(F.col("p")).alias("payload"))
+    master = spark.createDataFrame(MASTER, "entity_type string, pos int, name string, code string, aliases array<string>")
+    done = jobs.process(rows, master, spark.createDataFrame([], "scope string, tenant_id string, entity_type string, key string, target string"), spark.createDataFrame([], "idempotency_key string"), jobs.JobConfig(review_below=0.7))
+    for ok, strict, want in ((False, False, ["failed", "retry_pending"]), (True, False, ["posted", "posted"]), (False, True, ["posted", "posted"])):
+        answers = spark.createDataFrame([("j0", ok, "m")], "job_id string, ok boolean, message string")
+        assert [r.state for r in jobs.finish(done, answers, jobs.JobConfig(strict_reference=strict)).orderBy("job_id").collect()] == want

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import evaluate, reconcile, voucher, workflow
-from ledgerloom.sources import documents, master
+from ledgerloom.sources import documents, labels, master, readers, rules
 from ledgerloom.streaming import posting
 
 LINES = "invoice_id int, taxable_value string, cgst_amount string, sgst_amount string, igst_amount string, tax_amount string, total_price string"
@@ -101,8 +101,128 @@ def test_file_routing_and_limits(spark):
     got = {r.path[-5:]: r for r in documents.extract(files, {"pdf": pages, "image": pages}, {"t": "deu", "u": ""}, flags={"binarization": True, "deskew": True}, limits=documents.Limits(max_pages=2)).collect()}
     assert got["x.PDF"].text == "one\ntwo" and got["x.PDF"].language == "deu" and got["x.PDF"].preprocessing_steps == ["deskew", "binarization"]
     assert got["y.gif"].error == got["z.txt"].error == "INGESTION_ERROR" and got["y.pdf"].error == "OCR_PAGE_LIMIT_EXCEEDED" and got["y.pdf"].language == "eng"
-    clock = iter((0, 0.2, 1.2))
-    assert documents.read_pages(pages, b"a|b", "eng", [], documents.Limits(5, 1.0), lambda: next(clock)) == (None, "OCR_TIMEOUT")
+    assert "split the document" in got["y.pdf"].message and got["y.pdf"].context == {"max_pages": "2", "detected_pages": "over 2"} and "DOCX" in got["z.txt"].message
+    assert got["x.PDF"].source == "ocr_pdf" and got["x.PDF"].n_pages is None
+
+
+def test_readers_and_limits(tmp_path):
+    limits, now = documents.Limits(20, 1.0), iter(x / 10 for x in range(1000))
+    layer = documents.Pages(iter(["p"] * 25 + [" "]), "pdf_text_layer", limited=False, n_pages=26)
+    assert documents.read_pages(layer, limits, lambda: 0).count("p") == 25
+    rendered = []
+    counted = readers.ocr_pdf(lambda image, lang=None: f"{image} {lang}", lambda c: len(c), lambda c, n: rendered.append(n) or n)
+    with pytest.raises(documents.ReadError, match="21 pages"):
+        documents.read_pages(counted(b"x" * 21, "eng", []), limits, lambda: 0)
+    assert rendered == [] and documents.read_pages(counted(b"xx", "", ["deskew"]), limits, lambda: 0) == "1 None\n2 None" and rendered == [1, 2]
+    clock = iter((0, 0.2, 0.9, 1.0, 1.1))
+    with pytest.raises(documents.ReadError) as late:  # the third page is never asked for
+        documents.read_pages(counted(b"xxxxx", "deu", []), limits, lambda: next(clock))
+    assert late.value.code == "OCR_TIMEOUT" and late.value.context == {"timeout_seconds": "1.0", "elapsed_seconds": "1.1", "processed_pages": "3"}
+    assert documents.read_one(None, "image", ".png", None, "", [], limits, lambda: next(now))["message"] == "There is no such file."
+    assert documents.read_one(readers.doc("no-such-program"), "word", ".doc", b"x", "", [], limits, lambda: next(now))["context"] == {"program": "no-such-program"}
+    program = tmp_path / "reader"
+    program.write_text("#!/bin/sh\nprintf ' Old \\377 file '")
+    program.chmod(0o755)
+    assert documents.read_one(readers.word(readers.doc(str(program))), "word", ".doc", b"x", "", [], limits, lambda: next(now))["text"] == "Old  file"
+    assert documents.read_one(readers.doc("true"), "word", ".doc", b"x", "", [], limits, lambda: next(now))["error"] == "INGESTION_ERROR"
+    assert readers.prepared("image", ["contrast_enhancement", "deskew"]) == ("image", ["deskew", "contrast_enhancement"])
+    assert documents.limit_message("OTHER", {}) == "OCR went beyond a limit."
+
+
+def test_posting_survives_a_restart_and_refusals(spark, tmp_path):
+    root, asked = str(tmp_path / "ledger"), []
+    rows = spark.createDataFrame([("ab", 1), ("ab", 1), ("cd", 2), (None, 3)], "idempotency_key string, arrival long")
+
+    def upload(claimed):
+        asked.append(sorted(r.idempotency_key for r in claimed.collect()))
+        if len(asked) == 1:
+            raise ConnectionError("cut off")
+        return claimed.withColumn("ok", F.col("idempotency_key") != "cd")
+
+    with pytest.raises(ConnectionError):
+        posting.post_batch(rows, root, upload, "7")
+    assert not (tmp_path / "ledger" / "_lock").exists()
+    # the same batch asks for the same rows again, and no more once it has its answers
+    for _ in range(2):
+        assert {r.idempotency_key: r.ok for r in posting.post_batch(rows, root, upload, "7").collect()} == {"ab": True, "cd": False}
+    assert asked == [["ab", "cd"]] * 2
+    # what was refused may come again, what was posted may not
+    assert [r.idempotency_key for r in posting.post_batch(rows, root, lambda c: c.withColumn("ok", F.lit(True)), "8").collect()] == ["cd"]
+    with posting.locked(spark, root), pytest.raises(TimeoutError), posting.locked(spark, root, wait=0.1, step=0.05):
+        pass
+
+
+def test_first_arrivals_and_ties(spark):
+    rows = spark.createDataFrame([("a", 2, 1), ("a", 1, 9), ("a", 1, 8), ("a", 1, 8), ("b", None, 1), (None, 1, 1)], "idempotency_key string, arrival int, n int")
+    got = sorted(((r.idempotency_key, r.arrival, r.n, r.post_status) for r in workflow.post_once(rows, rows.limit(0)).collect()), key=repr)
+    assert got == sorted([("a", 1, 8, "new"), ("a", 1, 8, "duplicate"), ("a", 1, 9, "duplicate"), ("a", 2, 1, "duplicate"), ("b", None, 1, "new"), (None, 1, 1, "unkeyed")], key=repr)
+    many = spark.range(20_000).select(F.lit("k").alias("idempotency_key"), F.lit(0).alias("arrival"))
+    assert {r.post_status: r["count"] for r in workflow.post_once(many, many.limit(0)).groupBy("post_status").count().collect()} == {"new": 1, "duplicate": 19_999}
+    assert [tuple(r) for r in workflow.first_arrivals(rows.where("idempotency_key = 'a'"), "idempotency_key", "arrival").collect()] == [("a", 1, 8)]
+
+
+def test_label_folders(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"total": "10", "line_items": [{"description": "X", "quantity": 1}]}')
+    (tmp_path / "a.json").write_text('{"total": 5}')
+    (tmp_path / "note.txt").write_text("x")
+    truth = labels.read_truth(spark, str(tmp_path))
+    assert [r.doc_id for r in truth.collect()] == ["a", "b"]
+    fields = labels.fields_of(truth, ("total",))
+    rows = evaluate.compared(fields, fields.where("doc_id = 'b'"), ("total",)).orderBy("doc_id").collect()
+    assert [(r.prediction_found, r.outcomes[0].matched) for r in rows] == [(False, False), (True, True)]
+    assert [(r.doc_id, r.description, r.quantity) for r in labels.lines_of(truth).collect()] == [("b", "X", 1.0)]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no ground truth"):
+        labels.read_truth(spark, str(tmp_path / "none"))
+
+
+def test_rules_are_written_back(spark, tmp_path):
+    path, now = str(tmp_path / "rules.json"), "2025-01-01T00:00:00Z"
+    old = spark.createDataFrame([("tenant", "t", "ledger", "old", "Old", None, None), ("global", None, "party", "a", "A", None, None)], rules.SCHEMA)
+    learned = spark.createDataFrame([("t", "ledger", "new", " New ", "learned", "ann"), ("t", "ledger", "old", "Newer", "learned", "ann"), ("t", "party", "x", "X", "duplicate", "ann")], "tenant_id string, entity_type string, key string, target string, status string, approved_by string")
+    for _ in range(2):
+        rules.write_rules(rules.merged(old, learned, now=now), path, {None: True, "t": False})
+        got = {(r.scope, r.tenant_id, r.entity_type, r.key): (r.target, r.learned_at) for r in rules.read_rules(spark, path).collect()}
+        assert got == {("tenant", "t", "ledger", "old"): ("Newer", now), ("tenant", "t", "ledger", "new"): ("New", now), ("global", None, "party", "a"): ("A", None)}
+        old = rules.read_rules(spark, path)
+    assert {r.tenant_id: r.enabled for r in rules.learning_enabled(spark, path).collect()} == {None: True, "t": False}
+    assert any("ann" in (r.provenance or "") for r in old.collect())
+
+
+def test_rules_of_a_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/rules;create=true"
+    assert rules.read_database(spark, url).collect() == []
+    learned = spark.createDataFrame([("t", "ledger", "k", "K", "learned", "ann")], "tenant_id string, entity_type string, key string, target string, status string, approved_by string")
+    for _ in range(2):
+        rules.write_database(rules.merged(rules.read_database(spark, url), learned, "db", "2025-01-01"), url)
+        assert [(r.scope, r.tenant_id, r.key, r.target, r.learned_at) for r in rules.read_database(spark, url).collect()] == [("db", "t", "k", "K", "2025-01-01")]
+
+
+def test_collections_of_the_server(spark):
+    answers = {"Ledger": "<E><COLLECTION><LEDGER><NAME>Acme (Sundry Debtors)</NAME></LEDGER><LEDGER NAME=\"Sales\"><MasterId>7</MasterId></LEDGER><LEDGER><Name> </Name></LEDGER></COLLECTION></E>", "StockItem": "<E><COLLECTION><STOCKITEM><NAME>W</NAME></STOCKITEM></COLLECTION></E>"}
+    found = master.fetch_collections(spark, answers.__getitem__)
+    assert sorted((r.entity_type, r.name) for r in found.collect()) == [("ledger", "Acme (Sundry Debtors)"), ("ledger", "Sales"), ("party", "Acme (Sundry Debtors)"), ("stock_item", "W")]
+    assert [r.name for r in master.of_type(found, "ledger").collect()] == ["Acme (Sundry Debtors)", "Sales"]
+
+
+def test_issues_carry_suggestions(spark):
+    entities = spark.createDataFrame([(0, "t", "party", "acme corporatlon"), (1, "t", "ledger", None), (2, "t", "ledger", "Sales")], "ord int, tenant_id string, entity_type string, value string")
+    records = spark.createDataFrame(MASTER, NAMES)
+    resolved = reconcile.resolve(entities, records, spark.createDataFrame([], RULES))
+    got = {r.ord: r.issue for r in reconcile.advise(resolved, records).collect()}
+    assert [s.code for s in got[0].suggestions] == ["P100", "P101"] and got[0].suggestions[0].score >= got[0].suggestions[1].score and "tenant t" in got[0].message
+    assert got[1].suggestions == [] and got[1].remedies == ["IMPROVE_EXTRACTION", "MAP_EMPTY_VALUE_BY_RULE"] and got[2] is None
+
+
+def test_suggestions_in_blocks_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abl10s5") for _ in range(rng.randint(1, 5)))
+    records = spark.createDataFrame([("party", i, f"{word()} {word()}", str(i), [word()] * rng.randint(0, 2)) for i in range(60)] + [("ledger", 0, "x", None, None)], NAMES)
+    values = spark.createDataFrame([("party", f"{word()} {word()}") for _ in range(20)] + [("party", None), ("stock_item", "x")], "entity_type string, value string")
+    few, one = ({(r.value, r.rank): (r.name, r.code, round(r.score, 9)) for r in reconcile.suggest(values, records, block=b).collect()} for b in (7, 1000))
+    assert few == one and len(few) == 3 * len({v for v, _ in few})
 
 
 def test_master_sources(spark, tmp_path):
@@ -126,4 +246,4 @@ def test_stream_posts_once(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         query = stream.writeStream.foreachBatch(lambda batch, _: posting.post_batch(batch, f"{tmp_path}/posted")).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
         query.awaitTermination()
-        assert sorted((r.idempotency_key, r.arrival) for r in spark.read.parquet(f"{tmp_path}/posted").collect()) == [("a", 1), ("b", 2), ("c", 5)][: 2 + n]
+        assert sorted((r.idempotency_key, r.arrival) for r in posting.posted(spark, f"{tmp_path}/posted", stream.schema).collect()) == [("a", 1), ("b", 2), ("c", 5)][: 2 + n]
