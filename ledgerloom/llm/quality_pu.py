@@ -162,14 +162,18 @@ def _scored(model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = TRAIN_POSITIVES, unlabelled: int = TRAIN_UNLABELLED) -> Network:
-    """A network from labelled good documents that are not held out, and any documents as unlabelled."""
+    """A network from labelled good documents that are not held out, and any documents as unlabelled.
+
+    An id counts once, with the least of its texts.
+    """
     small_batches(docs.sparkSession)
     good = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y = 1")
     good = good.where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     p_ids = sample_ids(good, positives, 2).withColumn("positive", F.lit(True))
-    u_ids = sample_ids(texts.select("doc_id"), unlabelled, 3).distinct().withColumn("positive", F.lit(False))
+    u_ids = sample_ids(texts.select("doc_id").distinct(), unlabelled, 3).withColumn("positive", F.lit(False))
     some = texts.join(F.broadcast(p_ids.select("doc_id").unionByName(u_ids.select("doc_id")).distinct()), "doc_id")
+    some = some.groupBy("doc_id").agg(F.min("text").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     x = some.mapInArrow(_measured, f"doc_id {kind}, x array<double>")
     rows = x.join(F.broadcast(p_ids.unionByName(u_ids)), "doc_id").toPandas().sort_values(["positive", "doc_id"])

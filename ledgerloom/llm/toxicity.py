@@ -6,10 +6,12 @@ two states over hashed token features is trained on those; forward-backward
 marginals give each token's chance of being toxic. Spans of likely tokens are
 the offending offsets, and a document's marginals make its score.
 
-The chain runs over segments of ``SEGMENT`` tokens of one document, so all
-segments of a batch are computed at once. Training reads at most
-``TRAIN_DOCS`` documents of each class, of at most ``TRAIN_CHARS`` characters
-each; scoring reads all texts whole.
+A document is one chain. It is computed in segments of ``SEGMENT`` tokens, all
+of a batch at once: each segment is first reduced to the 2 x 2 matrix of its
+steps, messages pass from segment to segment through those, and then run
+inside all segments together. Training takes segments one by one: at most
+``TRAIN_SEGMENTS`` of at most ``TRAIN_DOCS`` documents of each class, of at most
+``TRAIN_CHARS`` characters each; scoring reads all texts whole.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ TRAIN_DOCS = 1500
 TRAIN_CHARS = 10_000
 TRAIN_SEGMENTS = 12_000
 EPOCHS = 40
+#: Most frequent telling features among which the greedy cover of labels chooses.
+COVER_FEATURES = 4000
 
 _U = np.uint64
 _IS_WORD = np.array([b != 32 for b in _TABLE])
@@ -71,14 +75,19 @@ def _indices(features: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return places
 
 
-def _segments(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(segment, place in it) of each token, and the number of segments."""
+def _segments(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment and place in it of each token, and for each segment the number of segments of its document before it."""
     if not len(doc):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+        return (np.zeros(0, dtype=np.int64),) * 3
     start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     at = np.arange(len(doc)) - np.repeat(start, np.diff(np.concatenate((start, [len(doc)]))))
     fresh = at % SEGMENT == 0
-    return np.cumsum(fresh) - 1, at % SEGMENT, int(fresh.sum())
+    return np.cumsum(fresh) - 1, at % SEGMENT, at[fresh] // SEGMENT
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors (n, 2), or matrices (n, 2, 2), of sum one; scale tells nothing here."""
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
 
 
 @dataclass
@@ -90,35 +99,61 @@ class Chain:
     steps: np.ndarray
     calibration: np.ndarray
 
-    def marginals(self, places: np.ndarray, segment: np.ndarray, at: np.ndarray, n: int, pairs: bool = False):
-        """Chance of toxic for each token; with pairs also expected transitions (2, 2)."""
+    def _ends(self, e: np.ndarray, live: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Messages (segments, 2) into each segment from those before it, and from those after it, of its document."""
+        n, m = len(before), np.exp(self.steps)
+        into, back = np.ones((n, 2)), np.ones((n, 2))
+        if not before.any():
+            return into, back
+        order = np.argsort(before, kind="stable")
+        bounds = np.searchsorted(before[order], np.arange(before.max() + 2))
+        through = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
+        for t in range(SEGMENT):
+            # a document's first token has no step into it
+            step = through @ m if t else np.where((before > 0)[:, None, None], through @ m, through)
+            step[:, :, 1] *= e[t][:, None]
+            through = np.where(live[t][:, None, None], _unit(step), through)
+        for r in range(1, len(bounds) - 1):
+            here = order[bounds[r] : bounds[r + 1]]
+            into[here] = _unit(np.einsum("ni,nij->nj", into[here - 1], through[here - 1]))
+        for r in range(len(bounds) - 2, 0, -1):
+            here = order[bounds[r] : bounds[r + 1]]
+            back[here - 1] = _unit(np.einsum("nij,nj->ni", through[here], back[here]))
+        return into, back
+
+    def marginals(self, places: np.ndarray, segment: np.ndarray, at: np.ndarray, before: np.ndarray, pairs: bool = False):
+        """Chance of toxic for each token; with pairs also expected transitions (2, 2) inside segments.
+
+        before: for each segment, how many segments of its document come right
+        before it; with zeros alone each segment is a chain of its own.
+        """
+        n = len(before)
         score = np.zeros((SEGMENT, n), dtype=np.float64)
         live = np.zeros((SEGMENT, n), dtype=bool)
         score[at, segment] = self.weights[places].sum(axis=1) + self.bias
         live[at, segment] = True
         m = np.exp(self.steps)
         e = np.exp(np.clip(score, -30, 30))
+        into, after = self._ends(e, live, before)
         a = np.empty((SEGMENT, n, 2))
-        a[0, :, 0], a[0, :, 1] = 1 / (1 + e[0]), e[0] / (1 + e[0])
+        a[0] = np.where((before > 0)[:, None], into @ m, 1.0)
+        a[0, :, 1] *= e[0]
+        a[0] = _unit(a[0])
         for t in range(1, SEGMENT):
             step = a[t - 1] @ m
             step[:, 1] *= e[t]
-            step /= step.sum(axis=1, keepdims=True)
-            a[t] = np.where(live[t][:, None], step, a[t - 1])
+            a[t] = np.where(live[t][:, None], _unit(step), a[t - 1])
         b = np.empty((SEGMENT, n, 2))
-        b[-1] = 1.0
+        b[-1] = after
         both = np.zeros((2, 2))
         for t in range(SEGMENT - 2, -1, -1):
             ahead = b[t + 1].copy()
             ahead[:, 1] *= e[t + 1]
             on = live[t + 1][:, None]
-            back = ahead @ m.T
-            back /= back.sum(axis=1, keepdims=True)
             if pairs:
-                x = a[t][:, :, None] * m[None] * ahead[:, None, :]
-                x /= x.sum(axis=(1, 2), keepdims=True)
+                x = _unit(a[t][:, :, None] * m[None] * ahead[:, None, :])
                 both += x[live[t + 1]].sum(axis=0)
-            b[t] = np.where(on, back, b[t + 1])
+            b[t] = np.where(on, _unit(ahead @ m.T), b[t + 1])
         p = a * b
         p = p[:, :, 1] / p.sum(axis=2)
         return (p[at, segment], both) if pairs else p[at, segment]
@@ -142,7 +177,7 @@ def _cover(feature: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarra
     ratio = ((hits + 0.5) / n1) / ((counts - hits + 0.5) / n0)
     need = max(2, min(5, n1 // 50))
     good = np.flatnonzero((hits >= need) & (ratio >= min(20, n1 / 4)))
-    good = good[np.argsort(-hits[good], kind="stable")][:4000]
+    good = good[np.argsort(-hits[good], kind="stable")][:COVER_FEATURES]
     docs = {int(i): doc[first[i] : first[i] + counts[i]] for i in good}
     open_ = toxic.copy()
     taken = []
@@ -189,29 +224,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Chain:
-    """A chain from labelled documents. Without both classes, every score is the share of toxic ones."""
+def _learnt(features: np.ndarray, places: np.ndarray, doc: np.ndarray, toxic: np.ndarray, some: np.ndarray, seed: int) -> Chain:
+    """A chain, not calibrated, from the tokens of some documents (mask)."""
     size = 1 << TABLE_BITS
-    share = float(np.mean(toxic)) if len(toxic) else 0.0
-    blank = Chain(np.zeros(size, dtype=np.float32), 0.0, np.zeros((2, 2)), np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0, 0, 0]))
-    if not toxic.any() or toxic.all():
-        return blank
-    # copies of one document would make their own words look telling
-    own = _unlike(texts)
-    texts, toxic = [texts[i] for i in own], toxic[own]
-    if not toxic.any() or toxic.all():
-        return blank
-    features, doc = [], []
-    for first, w in chunks(pa.array(texts, pa.large_string()), is_word=_IS_WORD, fold_case=True):
-        features.append(token_features(w))
-        doc.append(w.doc + first)
-    features, doc = np.concatenate(features), np.concatenate(doc)
+    mine = some[doc]
+    features, places, doc, toxic = features[mine], places[mine], (np.cumsum(some) - 1)[doc[mine]], toxic[some]
+    chain = Chain(np.zeros(size), -2.0, np.zeros((2, 2)), np.zeros(4))
     if not len(doc):
-        return blank
+        return chain
     taken = _cover(features.reshape(-1), np.repeat(doc.astype(np.int32), 5), toxic)
     label = np.isin(features.view(np.int64), taken).any(axis=1) & toxic[doc]
-    places = _indices(features, doc)
-    segment, at, n = _segments(doc)
+    segment, at, before = _segments(doc)
+    n = len(before)
     rng = np.random.default_rng(seed)
     telling = np.zeros(n, dtype=bool)
     telling[segment[label]] = True
@@ -220,14 +244,14 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Chain:
     number[order] = np.arange(len(order))
     use = number[segment] >= 0
     x, y, s, a = places[use], label[use], number[segment[use]], at[use]
-    chain = Chain(np.zeros(size), -2.0, np.zeros((2, 2)), np.zeros(4))
+    alone = np.zeros(len(order), dtype=np.int64)
     follows = np.flatnonzero((s[1:] == s[:-1]) & (a[1:] == a[:-1] + 1))
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[follows].astype(int), y[follows + 1].astype(int)), 1)
     flat, n_tokens = x.reshape(-1), len(y)
     g_w, g_b, g_s = np.full(size, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(EPOCHS):
-        p, both = chain.marginals(x, s, a, len(order), pairs=True)
+        p, both = chain.marginals(x, s, a, alone, pairs=True)
         miss = y - p
         d = np.bincount(flat, weights=np.repeat(miss, x.shape[1]), minlength=size) - 1e-2 * chain.weights
         d_b, d_s = float(miss.sum()), seen - both
@@ -241,8 +265,44 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Chain:
         if np.abs(miss).sum() < 1e-3 * n_tokens * max(y.mean(), 1e-6):
             break
     chain.weights = chain.weights.astype(np.float32)
-    p = chain.marginals(places, segment, at, n)
-    chain.calibration = _logistic(_document_inputs(p, doc, len(texts)), toxic.astype(float))
+    return chain
+
+
+def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Chain:
+    """A chain from labelled documents. Without both classes, every score is the share of toxic ones.
+
+    Scores are calibrated on documents that a chain has not seen: each half is
+    judged by one learnt from the other half.
+    """
+    size = 1 << TABLE_BITS
+    share = float(np.mean(toxic)) if len(toxic) else 0.0
+    blank = Chain(np.zeros(size, dtype=np.float32), 0.0, np.zeros((2, 2)), np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0, 0, 0]))
+    if not toxic.any() or toxic.all():
+        return blank
+    # copies of one document would make their own words look telling
+    own = _unlike(texts)
+    texts, toxic = [texts[i] for i in own], toxic[own]
+    if not toxic.any() or toxic.all():
+        return blank
+    features, doc = [], []
+    for first, w in chunks(pa.array(texts, pa.large_string()), is_word=_IS_WORD, fold_case=True):
+        features.append(token_features(w))
+        doc.append(w.doc + first)
+    features, doc = np.concatenate(features), np.concatenate(doc)
+    if not len(doc):
+        return blank
+    places = _indices(features, doc)
+    half = np.zeros(len(texts), dtype=bool)
+    for kind in (toxic, ~toxic):
+        half[np.flatnonzero(kind)[::2]] = True
+    inputs = np.zeros((len(texts), 4))
+    for fold in (half, ~half):
+        other = _learnt(features, places, doc, toxic, ~fold, seed)
+        mine = fold[doc]
+        p = other.marginals(places[mine], *_segments(doc[mine]))
+        inputs[fold] = _document_inputs(p, doc[mine], len(texts))[fold]
+    chain = _learnt(features, places, doc, toxic, np.ones(len(texts), dtype=bool), seed)
+    chain.calibration = _logistic(inputs, toxic.astype(float))
     return chain
 
 
@@ -272,8 +332,7 @@ def _score(model, least: float, inside: tuple[str, str] | None = None):
             scores, spans = [np.zeros(0)], []
             texts, ids = (b.column(1), b.column(0)) if inside is None else (b.column("row").field(inside[1]), b.column("row").field(inside[0]))
             for _, w in chunks(texts, is_word=_IS_WORD, fold_case=True):
-                segment, at, n = _segments(w.doc)
-                p = chain.marginals(_indices(token_features(w), w.doc), segment, at, n) if n else np.zeros(0)
+                p = chain.marginals(_indices(token_features(w), w.doc), *_segments(w.doc)) if len(w.doc) else np.zeros(0)
                 x = _document_inputs(p, w.doc, w.n_docs)
                 scores.append(1 / (1 + np.exp(-np.clip(x @ chain.calibration, -30, 30))))
                 spans += _spans(w, p, least)
@@ -284,13 +343,16 @@ def _score(model, least: float, inside: tuple[str, str] | None = None):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n: int = TRAIN_DOCS) -> Chain:
-    """A chain from labelled, not held-out documents: at most n of each class, of at most TRAIN_CHARS characters."""
+    """A chain from labelled, not held-out documents: at most n of each class, of at most TRAIN_CHARS characters.
+
+    An id counts once, with the greatest of its labels and the least of its texts.
+    """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.length("text").between(1, TRAIN_CHARS))
-    lengths = texts.select("doc_id").join(known, "doc_id")
-    ids = sample_ids(lengths.where("y = 1"), n, 1).unionByName(sample_ids(lengths.where("y = 0"), n, 1))
-    rows = texts.join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    ids = texts.select("doc_id").join(known, "doc_id").distinct()
+    ids = sample_ids(ids.where("y = 1"), n, 1).unionByName(sample_ids(ids.where("y = 0"), n, 1))
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return train(rows["text"].tolist(), rows["y"].to_numpy().astype(bool))
 
 

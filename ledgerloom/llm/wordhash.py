@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BYTES = np.arange(256)
 #: Bytes of words `[^\\x20\\x09-\\x0D]+`.

@@ -34,7 +34,7 @@ def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
     chain = toxicity.Chain(rng.normal(size=1 << toxicity.TABLE_BITS), -0.3, np.array([[0.0, -0.7], [-0.4, 0.9]]), np.zeros(4))
     places = rng.integers(0, 1 << toxicity.TABLE_BITS, size=(6, 7))
-    p = chain.marginals(places, np.zeros(6, dtype=int), np.arange(6), 1)
+    p = chain.marginals(places, np.zeros(6, dtype=int), np.arange(6), np.zeros(1, dtype=int))
     score = chain.weights[places].sum(axis=1) + chain.bias
     weight = np.zeros(64)
     states = np.array([[(n >> i) & 1 for i in range(6)] for n in range(64)])
@@ -43,6 +43,34 @@ def test_marginals_equal_enumeration():
     assert np.allclose(p, (weight[:, None] * states).sum(axis=0) / weight.sum())
 
 
+def test_marginals_over_segment_edges(monkeypatch):
+    # segments of three tokens; documents of 8, 1, 3 and 7 tokens against enumeration of each
+    monkeypatch.setattr(toxicity, "SEGMENT", 3)
+    rng = np.random.default_rng(3)
+    chain = toxicity.Chain(rng.normal(size=1 << toxicity.TABLE_BITS), -0.3, np.array([[0.0, -2.0], [-1.5, 1.0]]), np.zeros(4))
+    doc = np.repeat([0, 1, 2, 5], [8, 1, 3, 7])
+    places = rng.integers(0, 1 << toxicity.TABLE_BITS, size=(len(doc), 7))
+    found = chain.marginals(places, *toxicity._segments(doc))
+    for d in np.unique(doc):
+        score = chain.weights[places[doc == d]].sum(axis=1) + chain.bias
+        n = len(score)
+        states = np.array([[(i >> j) & 1 for j in range(n)] for i in range(1 << n)])
+        weight = np.exp((states * score).sum(axis=1) + chain.steps[states[:, :-1], states[:, 1:]].sum(axis=1))
+        assert np.allclose(found[doc == d], (weight[:, None] * states).sum(axis=0) / weight.sum())
+
+
+def test_an_id_is_learnt_from_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append(texts))
+    monkeypatch.setattr(quality_pu, "train", lambda p, u: seen.append((len(p), len(u))))
+    frame = docs(spark, [(i % 3 + 1, f"text {i}") for i in range(60)])
+    labels = spark.createDataFrame([(i % 3 + 1, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    toxicity.fit(frame, labels)
+    quality_pu.fit(frame, labels, unlabelled=3)
+    assert len(seen[0]) == len(set(seen[0])) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2, 3))
+    assert seen[1] == (len(seen[0]), 3)
+
+
 def test_spans_are_toxic_words(spark):
     rng = np.random.default_rng(2)
     clean = [" ".join(f"word{rng.integers(3000)}" for _ in range(80)) for _ in range(300)]
