@@ -7,9 +7,9 @@ A line on enough distinct sites is wide.
 
 A document copied from site to site makes all its lines wide, though none is
 boilerplate. So a wide line is cut only if enough sites still hold it when
-copies are left out: a text counts for its wide lines if most of the rest of it
-is its own, in pieces between punctuation. Of texts that share a piece, the one
-of the smallest id owns it. A group of copies, exact or edited, then counts
+copies are left out: a document counts for its wide lines if most of the rest of
+it is its own, in pieces between punctuation. Of documents with wide lines that
+share a piece, the one of the smallest id owns it. A group of copies, exact or edited, then counts
 about once, and can neither make a line boilerplate nor keep one.
 """
 
@@ -57,22 +57,25 @@ def _need(min_sites: int) -> Column:
     return F.when(F.col("short"), F.lit(max(min_sites, SHORT_SITES))).otherwise(F.lit(min_sites))
 
 
-def sketched(pairs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
+def sketched(pairs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, near: float = NEAR, name: str = "sites") -> DataFrame:
     """(k, short, sites, sure) of lines of (k, short, site) whose estimated sites reach, or come near, what they need."""
-    frequent = pairs.groupBy("k", "short").agg(F.count("site").alias("n")).where(F.col("n") >= _need(min_sites)).select("k")
-    found = pairs.join(frequent, "k").groupBy("k", "short").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site")).alias("sites"))
     need = _need(min_sites)
-    return found.withColumn("sure", F.col("sites") >= need * (1 + near)).where(F.col("sites") >= need * (1 - near))
+    frequent = pairs.groupBy("k", "short").agg(F.count("site").alias("n")).where(F.col("n") >= need).select("k")
+    found = pairs.join(scratch.side(frequent, f"{name}-frequent"), "k")
+    found = found.groupBy("k", "short").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site")).alias("sites"))
+    found = scratch.save(found.withColumn("sure", F.col("sites") >= need * (1 + near)).where(F.col("sites") >= need * (1 - near)), f"{name}-sketched")
+    scratch.drop(f"{name}-frequent")
+    return found
 
 
 def spread(pairs: DataFrame, min_sites: int, near: float, scratch: Scratch, name: str) -> DataFrame:
     """(k, short) of lines of (k, short, site) that stand on as many distinct sites as they need."""
-    found = scratch.save(sketched(pairs, min_sites, near), f"{name}-sketched")
-    close = pairs.join(found.where("not sure").select("k"), "k", "left_semi")
+    found = sketched(pairs, scratch, min_sites, near, name)
+    close = pairs.join(scratch.side(found.where("not sure").select("k"), f"{name}-close"), "k", "left_semi")
     exact = close.select("k", "short", "site").distinct().groupBy("k", "short").agg(F.count("site").alias("sites"))
     exact = exact.where(F.col("sites") >= _need(min_sites)).select("k", "short")
-    found = scratch.save(found.where("sure").select("k", "short").unionByName(exact), name)
-    scratch.drop(f"{name}-sketched")
+    found = scratch.side(found.where("sure").select("k", "short").unionByName(exact), name)
+    scratch.drop(f"{name}-sketched", f"{name}-close")
     return found
 
 
@@ -82,19 +85,21 @@ def _cut(text: Column, keys: Column) -> Column:
 
 
 def independent(docs: DataFrame, holders: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(t) of the holders (t, first (doc_id, site), keys of wide lines) that own most of their rest."""
-    t = fresh(docs, "t")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.withColumn(t, _key(F.col("text"))).join(holders.select(F.col("t").alias(t), F.col("first.doc_id").alias("doc_id"), "keys"), [t, "doc_id"])
+    """(doc_id) of the holders (t, first (doc_id, site), keys of wide lines) that own most of their rest."""
+    firsts = scratch.side(holders.select("t", F.col("first.doc_id").alias("doc_id"), "keys").where("doc_id is not null"), "firsts")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _key(text).alias("t")).join(firsts, ["t", "doc_id"])
     pieces = F.transform(F.split(F.array_join(_cut(F.col("text"), F.col("keys")), "\n"), PIECE_ENDS), F.trim)
-    pieces = texts.select(F.col(t).alias("t"), "doc_id", F.explode(F.array_distinct(pieces)).alias("piece")).where("piece <> ''")
-    pieces = scratch.save(pieces.select("t", "doc_id", _key(F.col("piece")).alias("p"), F.length("piece").cast("long").alias("n")).distinct(), "pieces")
-    owner = pieces.groupBy("p").agg(F.min(F.struct("doc_id", "t")).alias("o"), F.max("n").alias("n"))
-    own = owner.groupBy(F.col("o.t").alias("t")).agg(F.sum("n").alias("own"))
-    whole = pieces.groupBy("t").agg(F.sum("n").alias("whole"))
-    found = whole.join(own, "t").where(F.col("own") * OWN[1] >= F.col("whole") * OWN[0]).select("t")
-    found = scratch.save(found, "independent")
-    scratch.drop("pieces")
+    pieces = F.transform(F.filter(F.array_distinct(pieces), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.length(x).alias("n")))
+    pieces = scratch.save(texts.select("t", "doc_id", pieces.alias("pieces")), "pieces")
+    owner = pieces.select("doc_id", F.inline("pieces")).groupBy("h", "g", "n").agg(F.min("doc_id").alias("doc_id"))
+    own = owner.groupBy("doc_id").agg(F.sum("n").alias("own"))
+    # rows of one id and text say the same; different texts of one id are judged together
+    weight = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    whole = pieces.groupBy("doc_id", "t").agg(F.max(weight).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("whole"))
+    found = whole.join(own, "doc_id").where(F.col("own") * OWN[1] >= F.col("whole") * OWN[0]).select("doc_id")
+    found = scratch.side(found, "independent")
+    scratch.drop("pieces", "firsts")
     return found
 
 
@@ -117,13 +122,13 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     holders = holding.agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "site"))).alias("first"), F.collect_set(F.struct("k", "short")).alias("ks"))
     holders = scratch.save(holders.select("t", "first", "ks", F.col("ks.k").alias("keys")), "holders")
     scratch.drop("lines")
-    counting = holders.join(independent(docs, holders, id_col, text_col, scratch), "t", "left_semi")
-    counting = counting.select(F.explode("ks").alias("x"), F.col("first.site").alias("site")).select("x.k", "x.short", "site")
+    counting = holders.select(F.col("first.doc_id").alias("doc_id"), F.col("first.site").alias("site"), F.explode("ks").alias("x"))
+    counting = counting.join(independent(docs, holders, id_col, text_col, scratch), "doc_id", "left_semi").select("x.k", "x.short", "site")
     cut = spread(counting, min_sites, near, scratch, "cut")
     hits = holders.select("t", F.explode("keys").alias("k")).join(cut.select("k"), "k", "left_semi")
     hits = hits.groupBy("t").agg(F.collect_list("k").alias("keys"))
     t, keys, left = (fresh(docs, c) for c in ("t", "keys", "left"))
-    hits = scratch.save(hits.select(F.col("t").alias(t), F.col("keys").alias(keys)), "hits")
+    hits = scratch.side(hits.select(F.col("t").alias(t), F.col("keys").alias(keys)), "hits")
     text = F.col(text_col).cast("string")
     rows = docs.drop("n_removed").withColumn(t, _key(text)).join(hits, t, "left").withColumn(left, F.when(F.col(keys).isNotNull(), _cut(text, F.col(keys))))
     n_removed = F.when(F.col(left).isNotNull(), (F.size(_lines(text)) - F.size(left)).cast("long")).otherwise(F.lit(0).cast("long"))

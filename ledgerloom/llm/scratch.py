@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
+#: Bytes on disk up to which a saved table is broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Rows of a narrow table for which a task of its own pays.
 ROWS_PER_TASK = 20_000
 
@@ -52,17 +55,25 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def side(self, df: DataFrame, name: str) -> DataFrame:
+        """The table as one side of a join, saved, and broadcast if what was written is small."""
+        saved = self.save(df, name)
+        files, path = self._at(name)
+        return F.broadcast(saved) if files.getContentSummary(path).getLength() <= BROADCAST_BYTES else saved
+
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            files, path = self._at(name)
+            files.delete(path, True)
+
+    def _at(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 #: Texts that an Arrow batch holds at most.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def small_batches(spark: SparkSession) -> None:

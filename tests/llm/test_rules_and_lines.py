@@ -1,4 +1,5 @@
 from ledgerloom.llm import line_dedup, quality_rules
+from ledgerloom.llm.scratch import Scratch
 
 from .util import ODD, docs
 
@@ -37,7 +38,7 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     rows += [(50 + i, f"Words of their own in document {50 + i} and more of them\nA footer on four different sites\n", f"s{i % 4}") for i in range(10)]
     found = {r.doc_id: r.n_removed for r in line_dedup.remove_boilerplate(docs(spark, rows)).collect()}
     assert all(found[i] == 1 for i in range(10)) and all(found[50 + i] == 0 for i in range(10))
-    sketches = line_dedup.sketched(line_dedup.line_table(docs(spark, rows)), near=0.1).collect()
+    sketches = line_dedup.sketched(line_dedup.line_table(docs(spark, rows)), Scratch(spark, "t"), near=0.1).collect()
     assert [r.sure for r in sketches] == [False]
 
 
