@@ -1,49 +1,57 @@
 """Keyed surrogates for personal data.
 
-Entities (e-mail addresses, secrets, IPv4 addresses, card and phone numbers,
-persons after a title) are found by pattern. A keyed hash of an entity's normal
-form draws a surrogate of the same type and format: signs stay in place, digits
-stay digits, letters keep their case, a card number stays valid or invalid by
-its check digit, a person's name parts keep script and the gender that the title
-tells. The same entity has the same surrogate everywhere, however it is written.
+Entities (e-mail addresses, secrets, account numbers, IP addresses, card, phone
+and national numbers, persons after a title) are found by pattern; a person's
+names are then found without a title too, in the same text. A keyed hash of an
+entity's normal form draws a surrogate of the same type and format: signs stay
+in place, digits stay digits, letters keep their case, check digits stay right
+or wrong as they were, a person's name parts keep script and the gender that the
+title tells. The same entity has the same surrogate everywhere, however it is
+written.
 
 A check over all distinct entities of the corpus draws anew wherever two of
 them would share a surrogate, or a surrogate is itself an entity of the corpus,
-so different entities stay different.
+so different entities stay different. Spaces grow from draw to draw, so that it
+ends however crowded a format is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-KINDS = ("email", "secret", "ip", "card", "phone", "person")
-#: Draws before giving up on telling entities apart.
-MOST_DRAWS = 25
+KINDS = ("email", "secret", "iban", "ip", "card", "national", "phone", "person")
 #: Draws after which surrogates grow by a syllable or sign, so that a crowded format never runs out.
 GROW_EVERY = 3
-#: Documents with redrawn surrogates, up to which their list is broadcast.
-BROADCAST_DOCS = 100_000
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[:=]\s*[\"']?([A-Za-z0-9_+/=-]{12,})|(?<![A-Za-z0-9])([0-9a-f]{32,})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _IP = re.compile(rf"(?<![0-9.])({_OCTET}(?:\.{_OCTET}){{3}})(?![0-9]|\.[0-9])")
+_IP6 = re.compile(r"(?<![\w:.])(?=[A-Fa-f:]*[0-9])((?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4})(?![\w:.])")
 _CARD = re.compile(r"(?<![\w.-])([0-9](?:[ -]?[0-9]){12,18})(?![\w-])")
+#: Social security numbers of the USA, and national insurance numbers of the United Kingdom.
+_NATIONAL = re.compile(r"(?<![\w-])((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z](?: ?[0-9]{2}){3} ?[A-D])(?![\w-])")
 _PHONE = re.compile(r"(?<![\w.])((?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4})(?![\w-])")
-#: Titles that tell a gender.
+#: Titles that tell a gender, and titles that do not.
 _MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος")
 _FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Señorita", "Doña", "Госпожа", "Κυρία")
-_PERSON = re.compile(rf"\b({'|'.join((*_MALE, *_FEMALE))})\.?[  ]((?:[^\W\d_a-z][^\W\d_]+)(?:[ -][^\W\d_a-z][^\W\d_]+)?)")
+_EITHER = ("Dr", "Prof", "Professor", "Доктор", "Профессор")
+_NAME = r"[^\W\d_a-z][^\W\d_]+"
+_PERSON = re.compile(rf"\b({'|'.join((*_MALE, *_FEMALE, *_EITHER))})\.?[ \u00a0](?:({'|'.join(_EITHER)})\.? )?({_NAME}(?:[ -]{_NAME})?)")
+_WORD = re.compile(rf"\b{_NAME}")
 _DIGIT = re.compile("[0-9]")
 
 
@@ -55,6 +63,44 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
+def _mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _ip6(text: str) -> str | None:
+    """All 32 digits of an address of version 6, in groups; None for other texts and for addresses that belong to nobody."""
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return None if address.is_loopback or address.is_unspecified or address.is_multicast else address.exploded
+
+
+def _persons(text: str) -> list[tuple[int, int, str, str]]:
+    """Names after titles, and the same names elsewhere in the text; a name has one gender in a text if a title tells it."""
+    found, roles = [], {}
+    for m in _PERSON.finditer(text):
+        gender = "m" if m[1] in _MALE else "f" if m[1] in _FEMALE else "u"
+        parts = [(p.start() + m.start(3), p.end() + m.start(3)) for p in re.finditer(r"[^ -]+", m[3])]
+        for n, (a, b) in enumerate(parts):
+            role, name = gender if n == 0 and len(parts) > 1 else "s", text[a:b].casefold()
+            found.append((a, b, role, name))
+            given = roles.setdefault(name, {})
+            given.setdefault("s" if role == "s" else "given", role)
+            if role in "mf" and given["given"] == "u":
+                given["given"] = role
+    if not found:
+        return []
+    known = {(a, b): role for a, b, role, _ in found}
+    out = []
+    for m in _WORD.finditer(text):
+        given = roles.get(m[0].casefold())
+        if given and (m.span() in known or not m[0][0].islower()):
+            role = known.get(m.span(), "given" if "given" in given else "s")
+            out.append((*m.span(), "person", f"{role if role == 's' else given['given']}:{m[0].casefold()}"))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities of a text, in order, none overlapping; earlier kinds win."""
     found: list[tuple[int, int, str, str]] = []
@@ -64,20 +110,21 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         g = 1 if m[1] else 2
         found.append((*m.span(g), "secret", m[g]))
     if _DIGIT.search(text):
+        ibans = ((m, m[1].replace(" ", "")) for m in _IBAN.finditer(text))
+        found += [(*m.span(1), "iban", x) for m, x in ibans if 15 <= len(x) <= 34 and _mod97(x) == 1]
         found += [(*m.span(1), "ip", m[1]) for m in _IP.finditer(text)]
         found += [(*m.span(1), "card", re.sub("[^0-9]", "", m[1])) for m in _CARD.finditer(text)]
+        found += [(*m.span(1), "national", re.sub("[ -]", "", m[1])) for m in _NATIONAL.finditer(text)]
         found += [(*m.span(1), "phone", re.sub("[^0-9]", "", m[1])) for m in _PHONE.finditer(text)]
-    for m in _PERSON.finditer(text):
-        gender = "m" if m[1] in _MALE else "f"
-        parts = [(p.start() + m.start(2), p.end() + m.start(2)) for p in re.finditer(r"[^ -]+", m[2])]
-        for n, (a, b) in enumerate(parts):
-            role = gender if n == 0 and len(parts) > 1 else "s"
-            found.append((a, b, "person", f"{role}:{text[a:b].casefold()}"))
+    if "::" in text or text.count(":") > 6:
+        found += [(*m.span(1), "ip", x) for m in _IP6.finditer(text) if (x := _ip6(m[1]))]
+    found += _persons(text)
     out: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
     for e in sorted(found, key=lambda e: (KINDS.index(e[2]), e[0])):
-        if all(e[1] <= a or b <= e[0] for a, b in taken):
-            taken.append(e[:2])
+        a, b = e[:2]
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\x01" * (b - a)
             out.append(e)
     return sorted(out)
 
@@ -97,11 +144,11 @@ class _Draw:
         return x % limit
 
 
-#: Script to (onsets, vowels, endings of male, female, and family names).
+#: Script to (onsets, vowels, endings of male, female, and family names, and of names that tell no gender).
 _SYLLABLES = {
-    "LATIN": ("b d f g k l m n p r s t v".split(), "a e i o u".split(), ("n", "r", "s"), ("a", "ia", "ina"), ("er", "man", "son")),
-    "CYRILLIC": ("б в г д з к л м н п р с т".split(), "а е и о у".split(), ("н", "р", "с"), ("а", "ия", "ина"), ("ов", "ин", "ко")),
-    "GREEK": ("β γ δ κ λ μ ν π ρ σ τ".split(), "α ε ι ο υ".split(), ("ος", "ης", "ας"), ("α", "η", "ια"), ("ου", "ης", "ιδης")),
+    "LATIN": ("b d f g k l m n p r s t v".split(), "a e i o u".split(), ("n", "r", "s"), ("a", "ia", "ina"), ("er", "man", "son"), ("le", "ry", "kie")),
+    "CYRILLIC": ("б в г д з к л м н п р с т".split(), "а е и о у".split(), ("н", "р", "с"), ("а", "ия", "ина"), ("ов", "ин", "ко"), ("ли", "ше", "ню")),
+    "GREEK": ("β γ δ κ λ μ ν π ρ σ τ".split(), "α ε ι ο υ".split(), ("ος", "ης", "ας"), ("α", "η", "ια"), ("ου", "ης", "ιδης"), ("λι", "νω", "φυ")),
 }
 
 
@@ -109,10 +156,10 @@ def _name(draw: _Draw, role: str, original: str, more: int = 0) -> str:
     script = next((s for c in original for s in _SYLLABLES if unicodedata.name(c, "").startswith(s)), None)
     if script is None:  # another script: each letter becomes another of its block
         return "".join(chr(ord(c) - ord(c) % 16 + draw.below(16)) if c.isalpha() else c for c in original + original[-1:] * more)
-    onsets, vowels, male, female, family = _SYLLABLES[script]
+    onsets, vowels, male, female, family, either = _SYLLABLES[script]
     n = max(2, min(4, (len(original) + 1) // 3)) + more
     body = "".join(onsets[draw.below(len(onsets))] + vowels[draw.below(len(vowels))] for _ in range(n))
-    endings = {"m": male, "f": female, "s": family}[role]
+    endings = {"m": male, "f": female, "s": family, "u": either}[role]
     if role == "f":
         body = body[:-1]
     return body + endings[draw.below(len(endings))]
@@ -121,9 +168,27 @@ def _name(draw: _Draw, role: str, original: str, more: int = 0) -> str:
 def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
     """The surrogate's normal form; later attempts draw from larger spaces."""
     draw, more = _Draw(key, kind, normal, attempt), attempt // GROW_EVERY
+    late = max(0, more - 2)  # card and national numbers keep their length longer
     if kind == "person":
         role, _, name = normal.partition(":")
         return f"{role}:{_name(draw, role, name, more)}"
+    if kind == "iban":
+        # longer numbers keep their country and stay within 34 signs, in groups of four
+        body = "".join(str(draw.below(10)) if c.isdigit() else chr(65 + draw.below(26)) for c in normal[4:] + "0" * min(4 * more, (34 - len(normal)) // 4 * 4))
+        return f"{normal[:2]}{98 - _mod97(normal[:2] + '00' + body):02d}{body}"
+    if kind == "national" and normal[0].isdigit():
+        area = 1 + draw.below(897)  # 666 is given to nobody
+        return f"{area + (area >= 666):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}" + "".join(str(draw.below(10)) for _ in range(late))
+    if kind == "national":
+        letters = ("ABCEGHJKLMNOPRSTWXYZ", "ABCEGHJKLMNPRSTWXYZ", "ABCD")
+        one, two, end = (x[draw.below(len(x))] for x in letters)
+        return one + two + "".join(str(draw.below(10)) for _ in range(6 + late)) + end
+    if kind == "ip" and ":" in normal:
+        # groups keep their number of digits but grow, from the last, when crowded; zeros stay
+        groups = [g.lstrip("0") for g in normal.split(":")]
+        for i in range(min(more, 8)):
+            groups[-1 - i] = "ffff"
+        return ":".join(("123456789abcdef"[draw.below(15)] + "".join("0123456789abcdef"[draw.below(16)] for _ in g[1:])).rjust(4, "0") if g else "0000" for g in groups)
     if kind == "ip" and more:
         return ".".join(str(draw.below(256) if i else 1 + draw.below(223)) for i in range(4))
     if kind == "ip":
@@ -140,13 +205,15 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         digits = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", normal) else None
         return "".join(digits[draw.below(16)] if digits else _sign(draw, c) for c in normal + "x" * more)
     kept = 1 if kind == "phone" else 0
+    check = _luhn(normal) if kind == "card" else 0
+    normal += "0" * late if kind == "card" else ""
     out = normal[:kept] + "".join(str(draw.below(10)) for _ in normal[kept:])
     if kind == "phone":
         out += "".join(str(draw.below(10)) for _ in range(more))
     if kind == "card":
         out = str(1 + draw.below(9)) + out[1:]
         # the last digit makes the check sum right if it was, and wrong by as much if not
-        out = out[:-1] + str((int(out[-1]) + _luhn(normal) - _luhn(out)) % 10)
+        out = out[:-1] + str((int(out[-1]) + check - _luhn(out)) % 10)
     return out
 
 
@@ -163,9 +230,13 @@ def written(original: str, kind: str, replacement: str) -> str:
     if kind == "person":
         name = replacement.partition(":")[2]
         return name.upper() if original.isupper() else name.capitalize()
-    if kind in ("card", "phone"):
-        digits = iter(replacement)
-        return "".join(next(digits) if c.isdigit() else c for c in original) + "".join(digits)
+    if kind in ("card", "phone", "iban", "national"):
+        signs = iter(replacement)
+        return "".join(next(signs) if c.isalnum() else c for c in original) + "".join(signs)
+    if kind == "ip" and ":" in replacement:
+        new = ipaddress.IPv6Address(replacement).compressed if "::" in original else ":".join(g.lstrip("0") or "0" for g in replacement.split(":"))
+        new = replacement if len(original) == len(replacement) else new
+        return new.upper() if original.isupper() else new
     if kind == "email":
         user, at = original.index("@"), replacement.index("@")
         original = original[:user] + "x" * (at - user) + original[user:]
@@ -175,9 +246,9 @@ def written(original: str, kind: str, replacement: str) -> str:
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(d, *e) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in sorted({e[2:] for e in find(t or "")})]
+        rows = [(t, *e) for t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in sorted({e[2:] for e in find(text or "")})]
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.record_batch([pa.array(columns[0], b.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["doc_id", "kind", "normal"])
+        yield pa.record_batch([pa.array(columns[0], b.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["t", "kind", "normal"])
 
 
 def _drawn(key: bytes):
@@ -190,30 +261,36 @@ def _drawn(key: bytes):
     return run
 
 
+def _shown(normal: Column) -> Column:
+    """What readers see of a normal form: two names that differ in their role alone look the same."""
+    return F.when(F.col("kind") == "person", F.substring_index(normal, ":", -1)).otherwise(normal)
+
+
 def redrawn(entities: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
     """(kind, normal, attempt) of the distinct entities whose first surrogate is taken.
 
     Of entities that draw one surrogate the first in order keeps it; the others,
     and those that draw an entity of the corpus, draw again against all that is
-    kept. Each round handles only what is left.
+    kept. Each round handles only what is left, and spaces grow, so that rounds end.
     """
     real = scratch.save(entities.select("kind", "normal").distinct(), "real")
-    open_ = real.withColumn("attempt", F.lit(0))
-    kept = None
-    for n in range(MOST_DRAWS):
-        drawn = scratch.save(open_.select("kind", "normal", "attempt").mapInArrow(_drawn(key), "kind string, normal string, attempt int, surrogate string"), f"drawn-{n}")
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("normal").alias("owner"))
+    names = scratch.save(real.select("kind", _shown(F.col("normal")).alias("shown")).distinct(), "names")
+    open_, kept = real.withColumn("attempt", F.lit(0)), None
+    for n in count():
+        drawn = open_.select("kind", "normal", "attempt").mapInArrow(_drawn(key), "kind string, normal string, attempt int, surrogate string")
+        drawn = scratch.save(drawn.withColumn("shown", _shown(F.col("surrogate"))), f"drawn-{n}")
+        first = drawn.groupBy("kind", "shown").agg(F.min("normal").alias("normal"))
         # a surrogate that is real, or that an earlier round gave away, has no owner
-        first = first.join(real.select("kind", F.col("normal").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        first = first.join(names, ["kind", "shown"], "left_anti")
         if kept is not None:
-            first = first.join(kept.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        owners = first.select("kind", F.col("owner").alias("normal"))
-        good = drawn.join(owners, ["kind", "normal"], "left_semi")
-        kept = scratch.save(good if kept is None else kept.unionByName(good), f"kept-{n}")
+            first = first.join(kept.select("kind", "shown"), ["kind", "shown"], "left_anti")
+        owners = scratch.save(first.select("kind", "normal"), f"owners-{n}")
+        good = scratch.save(drawn.join(owners, ["kind", "normal"], "left_semi").select("kind", "normal", "attempt", "shown"), f"kept-{n}")
+        kept = good if kept is None else kept.unionByName(good)
         open_ = scratch.save(drawn.join(owners, ["kind", "normal"], "left_anti").select("kind", "normal", F.lit(n + 1).alias("attempt")), f"open-{n}")
+        scratch.drop(f"drawn-{n}", f"owners-{n}", f"open-{n - 1}")
         if open_.isEmpty():
             return kept.where("attempt > 0").select("kind", "normal", "attempt")
-    raise RuntimeError(f"some entities share surrogates after {MOST_DRAWS} draws")
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
@@ -225,13 +302,17 @@ def _replaced(key: bytes):
             texts, spans = [], []
             for text, changed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 attempts = {(c["kind"], c["normal"]): c["attempt"] for c in changed or []}
-                parts, at, mine = [], 0, []
+                drawn: dict[tuple[str, str], str] = {}
+                parts, at, out, mine = [], 0, 0, []
                 for start, end, kind, normal in find(text or ""):
-                    new = written(text[start:end], kind, surrogate(key, kind, normal, attempts.get((kind, normal), 0)))
+                    one = (kind, normal)
+                    if one not in drawn:
+                        drawn[one] = surrogate(key, kind, normal, attempts.get(one, 0))
+                    new = written(text[start:end], kind, drawn[one])
                     parts += [text[at:start], new]
-                    at = end
-                    a = sum(map(len, parts)) - len(new)
-                    mine.append({"start": a, "end": a + len(new), "kind": kind})
+                    out += start - at
+                    mine.append({"start": out, "end": out + len(new), "kind": kind})
+                    out, at = out + len(new), end
                 texts.append(text if text is None else "".join([*parts, text[at:]]))
                 spans.append(mine)
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(spans, _SPANS)], names=["doc_id", "text", "spans"])
@@ -242,17 +323,16 @@ def _replaced(key: bytes):
 def surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, text with surrogates, spans (start, end, kind in the new text) of every document.
 
-    Null texts stay null, empty ones empty. Repeated rows come back alike; a row
-    without an id takes first surrogates only. An empty table gives an empty one;
-    other columns are not read.
+    Null texts stay null, empty ones empty. Equal texts come back alike, whatever
+    their ids; ids may be null, repeated, and of any type. An empty table gives an
+    empty one; other columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "pii")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    entities = scratch.save(texts.mapInArrow(_listed, f"doc_id {kind}, kind string, normal string"), "entities")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.struct(F.xxhash64(text).alias("h"), F.hash(text).alias("g")).alias("t"))
+    entities = scratch.save(texts.select("t", "text").mapInArrow(_listed, "t struct<h:bigint,g:int>, kind string, normal string"), "entities")
     again = scratch.save(redrawn(entities, key, scratch), "again")
-    changed = entities.join(again, ["kind", "normal"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias("changed"))
+    changed = entities.join(again, ["kind", "normal"]).groupBy("t").agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias("changed"))
     changed = scratch.save(changed, "changed")
-    if changed.count() <= BROADCAST_DOCS:
-        changed = F.broadcast(changed)
-    return texts.join(changed, "doc_id", "left").select("doc_id", "text", "changed").mapInArrow(_replaced(key), f"doc_id {kind}, text string, spans array<struct<start:bigint,end:bigint,kind:string>>")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.join(changed, "t", "left").select("doc_id", "text", "changed").mapInArrow(_replaced(key), f"doc_id {kind}, text string, spans array<struct<start:bigint,end:bigint,kind:string>>")

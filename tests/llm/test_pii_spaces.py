@@ -28,3 +28,21 @@ def test_secrets_without_digits(spark):
     rows = [(1, "password: correct-horse-battery"), (2, "password: correct-horse-battery in 2024"), (3, "password: ____________")]
     found = {r.doc_id: r.text for r in pii.surrogates(docs(spark, rows), b"key").collect()}
     assert found[1] + " in 2024" == found[2] and "correct" not in found[1] and found[3] != rows[2][1]
+
+
+def test_any_number_of_names_and_addresses(spark):
+    # 100,000 surnames of six letters, of which the first space has 12,675 surrogates, and every address of four digits
+    names = ["".join(x).capitalize() for x in itertools.islice(itertools.product("bdfgklmnpr", "aeiou", "bdfgklmnpr", "aeiou", "bdfgklmnpr", "aeioubdf"), 100_000)]
+    ips = [".".join(x) for x in itertools.product(string.digits, repeat=4)]
+    rows = [(i, " ; ".join(f"Mr {n}" for n in part)) for i, part in enumerate(itertools.batched(names, 2000))]
+    rows += [(100 + i, " ; ".join(part)) for i, part in enumerate(itertools.batched(ips, 2000))]
+    found = pii.surrogates(docs(spark, rows), b"key").collect()
+    new = {(s.kind, r.text[s.start : s.end]) for r in found for s in r.spans}
+    assert sum(k == "person" for k, _ in new) == len(set(names)) == 100_000 and sum(k == "ip" for k, _ in new) == 10_000
+    assert not {x for _, x in new} & {*names, *ips}
+
+
+def test_many_entities_in_one_text(spark):
+    mails = [f"user{i}@host{i}.example" for i in range(200_000)]
+    r = pii.surrogates(docs(spark, [(None, " ".join(mails))]), b"key").first()
+    assert len(r.spans) == len(set(r.text.split())) == len(mails) and not set(r.text.split()) & set(mails)
