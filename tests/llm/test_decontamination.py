@@ -53,3 +53,25 @@ def test_odd_rows(spark):
     assert {r.doc_id: r.n_hit for r in found}[6] == 5
     assert d.contamination(docs(spark, []), bench).collect() == []
     assert all(not r.contaminated for r in d.contamination(docs(spark, ODD), bench.limit(0)).collect())
+
+
+def test_long_texts_come_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(d, "CHUNK", 40)
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choice("abcd") * rng.randint(1, 2) for _ in range(rng.choice((3, 12, 13, 14, 60))))) for i in range(10)]
+    automaton = d.Automaton([(i, p) for i, t in items for p in d.parts_of(t.encode(), 13)])
+    for _ in range(60):
+        text = " ".join(rng.choice("abcd") * rng.randint(1, 2) for _ in range(30)) + " " + rng.choice(items)[1][rng.randrange(9) :] + " x" * 30
+        n, spans, found = automaton.scan(text.encode())
+        want = brute(text, items)
+        assert (n, sum(b - a for a, b in spans), len(found)) == want[:3]
+
+
+def test_every_window_holds_a_block():
+    for size in range(1, 30):
+        words = [f"w{i}" for i in range(40)]
+        automaton = d.Automaton([(1, " ".join(words).encode())], size)
+        for at in range(len(words) - size + 1):
+            assert automaton.scan(" ".join(["zz", *words[at : at + size], "zz"]).encode()) == (size + 2, [(1, size + 1)], {1})
+            if size > 1:
+                assert automaton.scan(" ".join(["zz", *words[at : at + size - 1], "zz"]).encode())[1:] == ([], set())
