@@ -3,8 +3,9 @@
 A task packs its share of the pieces as they come: a piece goes to the fullest
 open bin that holds it, found in a bitset whose bit f says that some open bin
 has f tokens free. At most ``max_open`` bins are open; beyond that, the fullest
-closes first. Pieces reach the packer longest first, ties by id, so a rerun
-after a lost executor gives the same bins.
+closes first. Pieces come in order of a hash, so a rerun after a lost executor
+gives the same bins, and the packer looks ``LOOKAHEAD`` of them ahead: it takes
+the longest of those first.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-MAX_OPEN = 1 << 15
+MAX_OPEN = 256
+#: Pieces that the packer holds and takes longest first.
+LOOKAHEAD = 1000
 #: Pieces that one task packs; a task leaves about one bin partly filled.
 PIECES_PER_TASK = 20_000
 #: Parts of text whose ids a worker process keeps, of about 200 bytes each; when full, short ones stay, which come most often.
@@ -202,27 +205,42 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_length: int, end_id: int =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(model, max_length, end_id, keep_ids), schema)
 
 
-def _fit(capacity: int, max_open: int):
+def _runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, n at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        while sum(x.num_rows for x in held) >= n:
+            whole = pa.concat_batches(held)
+            yield whole.slice(0, n)
+            held = [whole.slice(n)]
+    if any(x.num_rows for x in held):
+        yield pa.concat_batches(held)
+
+
+def _fit(capacity: int, max_open: int, lookahead: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, first = BestFit(capacity, max_open), TaskContext.get().partitionId() << 32
-        for b in batches:
-            places = [packer.put(n) for n in b.column("length").to_pylist()]
-            places = (pa.array([first + p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64()))
-            yield pa.record_batch([*b.columns, *places], names=[*b.schema.names, "sequence_id", "offset"])
+        for b in _runs(batches, lookahead):
+            lengths = b.column("length").to_numpy()
+            places = np.empty((len(lengths), 2), dtype=np.int64)
+            for i in np.argsort(-lengths, kind="stable").tolist():
+                places[i] = packer.put(int(lengths[i]))
+            yield pa.record_batch([*b.columns, pa.array(first + places[:, 0]), pa.array(places[:, 1])], names=[*b.schema.names, "sequence_id", "offset"])
 
     return run
 
 
-def best_fit_pack(pieces: DataFrame, capacity: int, max_open: int = MAX_OPEN, per_task: int = PIECES_PER_TASK) -> DataFrame:
+def best_fit_pack(pieces: DataFrame, capacity: int, max_open: int = MAX_OPEN, per_task: int = PIECES_PER_TASK, lookahead: int = LOOKAHEAD) -> DataFrame:
     """pieces with sequence_id and offset; no sequence holds more than capacity tokens.
 
     Pieces are dealt out evenly, whatever their document, so a document of many
     pieces or repeated rows crowd no task.
     """
     tasks = max(1, -(-pieces.count() // per_task))
-    dealt = pieces.repartition(tasks).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    dealt = pieces.repartition(tasks).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32", "length")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.mapInArrow(_fit(capacity, max_open), f"{fields}, sequence_id long, offset long")
+    return dealt.mapInArrow(_fit(capacity, max_open, lookahead), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, max_open: int = MAX_OPEN, scratch: Scratch | None = None) -> DataFrame:

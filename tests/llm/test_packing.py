@@ -1,11 +1,13 @@
+import itertools
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import packing
+from ledgerloom.llm import packing, queries
 
 from .util import ODD, docs
 
@@ -32,6 +34,49 @@ def test_best_fit_rules():
     assert p.put(10) == (4, 0)
 
 
+class Plain:
+    """Best-fit without a bitset: open bins as a list of (free, how lately it was used, number)."""
+
+    def __init__(self, capacity, max_open):
+        self.capacity, self.max_open, self.open, self.n, self.time, self.closed = capacity, max_open, [], 0, 0, 0
+
+    def put(self, length):
+        fits = [b for b in self.open if b[0] >= length]
+        if fits:
+            one = min(fits, key=lambda b: (b[0], -b[1]))
+            self.open.remove(one)
+        else:
+            one, self.n = (self.capacity, 0, self.n), self.n + 1
+        self.time += 1
+        if one[0] > length:
+            self.open.append((one[0] - length, self.time, one[2]))
+        if len(self.open) > self.max_open:
+            self.open.remove(min(self.open, key=lambda b: (b[0], -b[1])))
+            self.closed += 1
+        return one[2], self.capacity - one[0]
+
+
+def test_equals_plain_best_fit(spark):
+    rng = random.Random(5)
+    rows = [(i, 0, rng.choice((64, rng.randint(1, 64), rng.randint(1, 20), rng.randint(33, 64))), i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long")
+    found = {r.doc_id: (r.sequence_id, r.offset) for r in packing.best_fit_pack(frame, 64, max_open=20, lookahead=100).collect()}
+    order = [r.doc_id for r in frame.orderBy(F.xxhash64("doc_id", "piece", "ids_crc32")).collect()]
+    plain, want = Plain(64, 20), {}
+    for run in itertools.batched(order, 100):
+        for i in sorted(run, key=lambda i: -rows[i][2]):
+            want[i] = plain.put(rows[i][2])
+    assert found == want and plain.closed > 100
+
+
+def test_few_open_bins_fill_sequences(spark):
+    lengths = [r.length for r in queries.op10_best_fit_packing(spark, "/root/testdata/sf0.01").collect()]
+    for n in (5, 40):
+        packer = packing.BestFit(2048)
+        places = [packer.put(x) for i in range(0, n * len(lengths), packing.LOOKAHEAD) for x in sorted((lengths * n)[i : i + packing.LOOKAHEAD], reverse=True)]
+        assert packer.n_bins <= 1.01 * sum(lengths) * n / 2048 + 1 and len(places) == n * len(lengths) and packer.n_open <= packing.MAX_OPEN
+
+
 def check(rows, texts, capacity):
     """Every document whole and in order; sequences gapless and within capacity. Returns their number."""
     tokenizer = Tokenizer.from_file(PATH)
