@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries of this subpackage."""
 
+from .url_filters import SUFFIXES
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op9_minhash_near_dedup"] = r"""
@@ -78,7 +80,10 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols * 5 > n_words OR n_dup_lines * 2 > n_lines
-    OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)) OR n_exclaims * 4 > n_words) AS kept
+    OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)) OR n_exclaims * 4 > n_words) AS kept,
+  CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (n_symbols * 5 > n_words)::INT + 8 * (n_dup_lines * 2 > n_lines)::INT
+    + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))::INT + 32 * (n_exclaims * 4 > n_words)::INT AS BIGINT) AS failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS kept_v1
 FROM m
 """
 
@@ -122,9 +127,11 @@ WITH p AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
 ), q AS (
-  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS plain FROM p
+  SELECT *, string_split(plain, '.') AS parts, regexp_matches(plain, '^\[.*\]$|^[0-9]{1,3}(\.[0-9]{1,3}){3}$') AS ip
+  FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS plain FROM p)
 ), r AS (
-  SELECT *, CASE WHEN len(string_split(plain, '.')) > 1 THEN string_split(plain, '.')[-2] || '.' || string_split(plain, '.')[-1] ELSE plain END AS domain, string_split(plain, '.')[-1] AS suffix FROM q
+  SELECT * EXCLUDE (parts, two, wide, ip), CASE WHEN ip THEN plain WHEN wide THEN array_to_string(parts[-3:], '.') ELSE two END AS domain, CASE WHEN ip THEN 'ip' WHEN wide THEN two ELSE parts[-1] END AS suffix
+  FROM (SELECT *, two IN (SUFFIXES) AS wide FROM (SELECT *, array_to_string(parts[-2:], '.') AS two FROM q))
 ), o AS (
   SELECT host, domain, suffix, quality AS good FROM r
   JOIN labels ON labels.doc_id = try_cast(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT)
@@ -160,11 +167,13 @@ WITH p AS (
 )
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM ab LEFT JOIN fit USING (page_id)
-"""
+""".replace("SUFFIXES", ", ".join(f"'{s}'" for s in SUFFIXES))
 
 ORACLES["op6_chat_perspectives"] = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '[\x00-\x1F\x7F]+', ' ', 'g'), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS speaker,
+    regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
 ), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
 ), x AS (
   SELECT conv_id, perspective, CAST(floor(turn / 512) AS BIGINT) AS segment, turn, speaker, text,

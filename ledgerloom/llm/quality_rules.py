@@ -127,6 +127,11 @@ def passes(version: int, failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(mask(POLICIES[version])).cast("long")) == 0
 
 
+def policies(rows: DataFrame) -> DataFrame:
+    """rows with kept_v1, kept_v2, ...: the verdict of every version of the policy, from the bits alone."""
+    return rows.select("*", *(passes(v).alias(f"kept_v{v}") for v in POLICIES))
+
+
 def ablations(rows: DataFrame, version: int = LATEST) -> DataFrame:
     """For each rule of a policy: n_failed, n_only (rows that this rule alone rejects), n_kept and n_kept_without.
 

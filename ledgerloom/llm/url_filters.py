@@ -19,10 +19,15 @@ from .scratch import Scratch
 Z = 1.645
 #: Block below this share of good pages.
 LEAST_GOOD = 0.5
-#: Rules are tested one by one on every row.
-MOST_RULES = 500
-#: Reputation rows up to this many are broadcast.
-BROADCAST_ROWS = 200_000
+#: Rules up to this many are tested one by one on every row; more are joined.
+INLINE_RULES = 200
+# Public suffixes of two labels, under which names are registered.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "asn.au", "co.at", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg",
+    "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.br", "edu.cn", "go.jp", "gob.mx",
+    "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.pl", "or.at", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.mx", "org.nz", "org.pl",
+    "org.tr", "org.uk", "org.za",
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,25 +41,48 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the last two labels and the last one, without user and port."""
-    plain = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
-    return F.substring_index(plain, ".", -2), F.substring_index(plain, ".", -1)
+def levels(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, public suffix), without user, port and a point at the end; an IP address is its own domain, of suffix ``ip``."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.$", "")
+    ip = plain.rlike(r"^\[.*\]$|^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    two = F.substring_index(plain, ".", -2)
+    wide = two.isin(*suffixes) if suffixes else F.lit(False)
+    domain = F.when(ip, plain).when(wide, F.substring_index(plain, ".", -3)).otherwise(two)
+    return domain, F.when(ip, "ip").when(wide, two).otherwise(F.substring_index(plain, ".", -1))
+
+
+def _fit(rule: Column, verdict: Column) -> Column:
+    return F.struct(F.length(rule).alias("n"), rule.alias("rule"), verdict.alias("verdict"))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """The longest fitting rule as struct(rule, verdict), or null. Rules are (host + path prefix, verdict)."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are tested on each row")
+    """The longest fitting rule as struct(n, rule, verdict), or null. Rules are (host + path prefix, verdict)."""
     fits = []
     for rule, verdict in rules:
         rule_host, slash, rest = rule.partition("/")
         inside = (host == rule_host) | host.endswith("." + rule_host)
-        ok = inside & path.startswith(slash + rest)
-        fits.append(F.when(ok, F.struct(F.lit(len(rule)).alias("n"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
+        fits.append(F.when(inside & path.startswith(slash + rest), _fit(F.lit(rule), F.lit(verdict))))
     return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
 
 
+def join_rules(rows: DataFrame, rules: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (host, path, ...) with fit as of rule_of, for any number of rules (rule, verdict).
+
+    A host's rules have prefixes of some lengths. Each different host and path asks
+    for its own beginnings of those lengths under each of the host's endings, by
+    equality, so neither rules nor pages are compared pair by pair.
+    """
+    split = rules.select("rule", "verdict", F.regexp_extract("rule", r"^([^/]*)", 1).alias("ending"), F.regexp_extract("rule", r"^[^/]*(.*)$", 1).alias("prefix"))
+    split = scratch.save(split.groupBy("ending", "prefix").agg(F.max(_fit(F.col("rule"), F.col("verdict"))).alias("fit")), "rules")
+    lengths = scratch.side(split.groupBy("ending").agg(F.collect_set(F.length("prefix")).alias("lengths")), "lengths")
+    labels = F.split("host", r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = rows.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(endings).alias("ending")).join(lengths, "ending")
+    asked = asked.select("host", "path", "ending", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("prefix"))
+    found = asked.join(split, ["ending", "prefix"]).groupBy("host", "path").agg(F.max("fit").alias("fit"))
+    return rows.join(found, ["host", "path"], "left")
+
+
 def _strength(children: DataFrame, by: list[str]) -> DataFrame:
     """Prior strength of each parent from its children's counts n and good.
 
@@ -77,7 +105,8 @@ def _posterior(df: DataFrame, prior: Column, name: str) -> DataFrame:
 
 
 def _bound(a: Column, b: Column, z: float) -> Column:
-    return a / (a + b) + z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    """z standard deviations above the mean of a beta distribution, one at most: a normal approximation of its quantile."""
+    return F.least(F.lit(1.0), a / (a + b) + z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
 
 
 def reputation(outcomes: DataFrame, url_col: str = "url", good_col: str = "good", z: float = Z, scratch: Scratch | None = None) -> DataFrame:
@@ -100,7 +129,7 @@ def reputation(outcomes: DataFrame, url_col: str = "url", good_col: str = "good"
     top = top.select("n", "good", (F.col("good") + 1.0).alias("a"), (F.col("n") - F.col("good") + 1.0).alias("b"), "strength").withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
     top = scratch.save(top, "whole")
     # prior strength of a level's nodes is their parent's
-    s = suffixes.withColumnRenamed("strength", "own").join(F.broadcast(top.select("strength", F.col("mean").alias("prior"))))
+    s = suffixes.withColumnRenamed("strength", "own").crossJoin(F.broadcast(top.select("strength", F.col("mean").alias("prior"))))  # one row
     s = scratch.save(_posterior(s, F.col("prior"), "s").select("suffix", "n", "good", F.col("own").alias("strength"), "s_a", "s_b", "s_mean"), "suffix-posterior")
     d = domains.withColumnRenamed("strength", "own").join(s.select("suffix", "strength", F.col("s_mean").alias("prior")), "suffix")
     d = scratch.save(_posterior(d, F.col("prior"), "d").select("domain", "n", "good", F.col("own").alias("strength"), "d_a", "d_b", "d_mean"), "domain-posterior")
@@ -114,12 +143,13 @@ def reputation(outcomes: DataFrame, url_col: str = "url", good_col: str = "good"
     return found.unionByName(level(s, "suffix", F.col("suffix"), "s_a", "s_b")).unionByName(level(top, "whole", F.lit(""), "a", "b"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", least_good: float = LEAST_GOOD, z: float = Z, scratch: Scratch | None = None) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", least_good: float = LEAST_GOOD, z: float = Z, scratch: Scratch | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, mean, upper for every page.
 
     A rule fits its host and all subdomains if the path starts with the rule's;
     the longest wins. Else the page is blocked if the upper posterior bound of
-    its host (or the nearest level with outcomes) is below least_good.
+    its host (or the nearest level with outcomes) is below least_good. rules: a list,
+    or a table (rule, verdict) of any size.
 
     Null urls and urls without `://` have an empty host and path, no rule, and
     the verdict of all pages together. Repeated rows each get their row; an
@@ -127,15 +157,17 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], i
     """
     scratch = scratch or Scratch(pages.sparkSession, "reputation")
     known = scratch.save(reputation(outcomes, z=z, scratch=scratch), "levels")
+    if isinstance(rules, list) and len(rules) > INLINE_RULES:
+        rules = pages.sparkSession.createDataFrame(rules, "rule string, verdict string")
     top = known.where("level = 'whole'").first()
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     domain, suffix = levels(F.col("host"))
     rows = rows.withColumn("domain", domain).withColumn("suffix", suffix)
-    small = known.count() <= BROADCAST_ROWS
     for kind in ("host", "domain", "suffix"):
         one = known.where(F.col("level") == kind).select(F.col("name").alias(kind), F.struct("mean", "upper").alias(f"{kind}_p"))
-        rows = rows.join(F.broadcast(one) if small else one, kind, "left")
+        rows = rows.join(scratch.side(one, f"known-{kind}"), kind, "left")
     p = F.coalesce("host_p", "domain_p", "suffix_p", F.struct(F.lit(top["mean"]).alias("mean"), F.lit(top["upper"]).alias("upper")))
-    rows = rows.withColumn("p", p).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn("p", p)
+    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)) if isinstance(rules, list) else join_rules(rows, rules, scratch)
     own = F.when(F.col("p.upper") < least_good, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), F.col("p.mean").alias("mean"), F.col("p.upper").alias("upper"))

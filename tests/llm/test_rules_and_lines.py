@@ -12,6 +12,8 @@ def test_ledger_and_ablations(spark):
     assert got[21].n_symbols == 10 and got[21].failed & 4
     assert got[9].word_chars == len("Ünïcode漢字\U0001f642\x00end")
     assert got[22].failed & 32 and got[5].n_words == 60_000
+    assert all(r.kept_v1 == (not r.failed & 3) and r.kept_v2 == (not r.failed & 63) for r in quality_rules.policies(rows).collect())
+    assert {r.rule: r.n_kept for r in quality_rules.ablations(rows, 1).collect()} == dict.fromkeys(quality_rules.BASE, sum(not r.failed & 3 for r in rows.collect()))
     table = {r.rule: r for r in quality_rules.ablations(rows).collect()}
     everything = rows.collect()
     whole = quality_rules.mask(quality_rules.POLICIES[quality_rules.LATEST])
