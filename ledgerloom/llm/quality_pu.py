@@ -22,23 +22,25 @@ from pyspark.sql import functions as F
 
 from .samples import held_out, sample_ids
 from .scratch import small_batches
-from .wordhash import NON_SPACE, Words, chunks
+from .wordhash import NON_SPACE, Words, chunks, mix
 
 TRAIN_POSITIVES = 6000
 TRAIN_UNLABELLED = 12_000
 HIDDEN = 16
 STEPS = 400
+#: Buckets of words, each counted up or down by a sign of its own.
+WORD_BUCKETS = 64
 
 #: Groups of bytes whose shares of a text are measured.
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"?", b".", b",", b"|", b"#", b"%", b"&", b"*", b"$", b"<>", b"\n", b"'\"", b"()[]{}", b":;", b"-_", b"/\\@", bytes(range(0x80, 0x100))]
 _GROUP = np.full(256, len(_GROUPS))
 for _i, _g in enumerate(_GROUPS):
     _GROUP[list(_g)] = _i
-N_FEATURES = len(_GROUPS) + 1 + 10
+N_FEATURES = len(_GROUPS) + 1 + 10 + WORD_BUCKETS
 
 
 def measures(w: Words) -> np.ndarray:
-    """(texts, N_FEATURES): shares of byte groups, word lengths, and repetition of words, pairs and lines."""
+    """(texts, N_FEATURES): shares of byte groups, word lengths, repetition of words, pairs and lines, and hashed words."""
     n, n_groups = w.n_docs, len(_GROUPS) + 1
     size = np.diff(w.offsets)
     doc_of_byte = np.repeat(np.arange(n), size)
@@ -64,7 +66,11 @@ def measures(w: Words) -> np.ndarray:
     two, h2 = w.windows(2)
     five, h5 = w.windows(5)
     lines = counts[:, 14] + 1
-    return np.column_stack((shares, np.log1p(words), mean / 10, spread / 10, capital, marked, twice, repeated(w.doc, w.hash), repeated(w.doc[two], h2), repeated(w.doc[five], h5), np.log1p(words / lines)))
+    h = mix(w.hash)
+    sign = (h >> np.uint64(32) & np.uint64(1)).astype(float) * 2 - 1
+    bucket = (h % np.uint64(WORD_BUCKETS)).astype(np.int64)
+    bag = np.bincount(w.doc * WORD_BUCKETS + bucket, weights=sign, minlength=n * WORD_BUCKETS).reshape(n, WORD_BUCKETS) / np.sqrt(some)[:, None]
+    return np.column_stack((shares, np.log1p(words), mean / 10, spread / 10, capital, marked, twice, repeated(w.doc, w.hash), repeated(w.doc[two], h2), repeated(w.doc[five], h5), np.log1p(words / lines), bag))
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +94,9 @@ class Network:
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.maximum(0, z @ self.w1 + self.b1) @ self.w2 + self.b2
+        # sums in one order, however many rows there are: equal texts have equal scores
+        hidden = np.maximum(0, np.einsum("ij,jk->ik", z, self.w1) + self.b1)
+        return np.einsum("ij,j->i", hidden, self.w2) + self.b2
 
 
 def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, seed: int, mean: np.ndarray, scale: np.ndarray) -> Network:
