@@ -87,7 +87,9 @@ def _segments(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _unit(x: np.ndarray) -> np.ndarray:
     """Vectors (n, 2), or matrices (n, 2, 2), of sum one; scale tells nothing here."""
-    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+    if x.ndim == 2:
+        return x / (x[:, 0] + x[:, 1])[:, None]
+    return x / (x[:, 0, 0] + x[:, 0, 1] + x[:, 1, 0] + x[:, 1, 1])[:, None, None]
 
 
 @dataclass
@@ -130,7 +132,10 @@ class Chain:
         n = len(before)
         score = np.zeros((SEGMENT, n), dtype=np.float64)
         live = np.zeros((SEGMENT, n), dtype=bool)
-        score[at, segment] = self.weights[places].sum(axis=1) + self.bias
+        one = np.full(len(places), self.bias)
+        for column in places.T:
+            one += self.weights[column]
+        score[at, segment] = one
         live[at, segment] = True
         m = np.exp(self.steps)
         e = np.exp(np.clip(score, -30, 30))
@@ -151,11 +156,12 @@ class Chain:
             ahead[:, 1] *= e[t + 1]
             on = live[t + 1][:, None]
             if pairs:
-                x = _unit(a[t][:, :, None] * m[None] * ahead[:, None, :])
-                both += x[live[t + 1]].sum(axis=0)
+                now, then = a[t][live[t + 1]], ahead[live[t + 1]]
+                scale = 1 / np.einsum("ni,ij,nj->n", now, m, then)
+                both += (now * scale[:, None]).T @ then * m
             b[t] = np.where(on, _unit(ahead @ m.T), b[t + 1])
         p = a * b
-        p = p[:, :, 1] / p.sum(axis=2)
+        p = p[:, :, 1] / (p[:, :, 0] + p[:, :, 1])
         return (p[at, segment], both) if pairs else p[at, segment]
 
 
@@ -239,7 +245,8 @@ def _learnt(features: np.ndarray, places: np.ndarray, doc: np.ndarray, toxic: np
     rng = np.random.default_rng(seed)
     telling = np.zeros(n, dtype=bool)
     telling[segment[label]] = True
-    order = np.concatenate((rng.permutation(np.flatnonzero(telling))[: TRAIN_SEGMENTS // 2], rng.permutation(np.flatnonzero(~telling))))[:TRAIN_SEGMENTS]
+    most = int(TRAIN_SEGMENTS * some.mean())
+    order = np.concatenate((rng.permutation(np.flatnonzero(telling))[: most // 2], rng.permutation(np.flatnonzero(~telling))))[:most]
     number = np.full(n, -1)
     number[order] = np.arange(len(order))
     use = number[segment] >= 0
@@ -334,7 +341,7 @@ def _score(model, least: float, inside: tuple[str, str] | None = None):
             for _, w in chunks(texts, is_word=_IS_WORD, fold_case=True):
                 p = chain.marginals(_indices(token_features(w), w.doc), *_segments(w.doc)) if len(w.doc) else np.zeros(0)
                 x = _document_inputs(p, w.doc, w.n_docs)
-                scores.append(1 / (1 + np.exp(-np.clip(x @ chain.calibration, -30, 30))))
+                scores.append(1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", x, chain.calibration), -30, 30))))
                 spans += _spans(w, p, least)
             rest = [c for c in b.schema.names if c not in ("doc_id", "text")]
             yield pa.record_batch([ids, pa.array(np.concatenate(scores)), pa.array(spans, _SPAN), *(b.column(c) for c in rest)], names=["doc_id", "score", "spans", *rest])
