@@ -81,3 +81,18 @@ def test_refused_uploads_hold_back_their_duplicates(spark):
     for ok, strict, want in ((False, False, ["failed", "retry_pending"]), (True, False, ["posted", "posted"]), (False, True, ["posted", "posted"])):
         answers = spark.createDataFrame([("j0", ok, "m")], "job_id string, ok boolean, message string")
         assert [r.state for r in jobs.finish(done, answers, jobs.JobConfig(strict_reference=strict)).orderBy("job_id").collect()] == want
+
+
+def test_evaluation_of_folders(spark, tmp_path, capsys):
+    from ledgerloom.__main__ import main
+
+    for name, rows in (("truth", {"a": GOOD, "b": GOOD | {"invoice_number": "8"}}), ("found", {"a": GOOD, "b": GOOD | {"invoice_number": "x"}, "other": GOOD})):
+        (tmp_path / name).mkdir()
+        for k, v_ in rows.items():
+            (tmp_path / name / f"{k}.json").write_text(json.dumps(v_))
+    folders = [str(tmp_path / x) for x in ("truth", "found", "report")]
+    assert main(["evaluate", *folders]) == 1 and main(["evaluate", *folders, "--critical", "total"]) == 0
+    told = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert told["passed"] and told["summary"]["documents"] == 2 and told["summary"]["exact_rate"] == 0.5 and told["summary"]["line_tp"] == 2
+    assert [r.field for r in spark.read.option("header", True).csv(f"{tmp_path}/report/fields").collect()][-1] == "line_items"
+    assert {r.doc_id: r.prediction_found for r in spark.read.json(f"{tmp_path}/report/documents").collect()} == {"a": True, "b": True}
