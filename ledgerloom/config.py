@@ -60,9 +60,13 @@ def load(env: Mapping[str, str] | None = None) -> Settings:
     env = os.environ if env is None else env
     d = Settings()
     return Settings(
-        env.get("OCR_LANGUAGE") or d.ocr_language, parse_mapping(env, "OCR_TENANT_LANGUAGES"), max(0.0, parse_float(env, "OCR_TIMEOUT_SECONDS", d.ocr_timeout_seconds)), max(1, parse_int(env, "OCR_MAX_PAGES", d.ocr_max_pages)),
+        env.get("OCR_LANGUAGE") or d.ocr_language, parse_mapping(env, "OCR_TENANT_LANGUAGES"), max(
+            0.0, parse_float(env, "OCR_TIMEOUT_SECONDS", d.ocr_timeout_seconds),
+        ), max(1, parse_int(env, "OCR_MAX_PAGES", d.ocr_max_pages)),
         parse_bool(env, "OCR_DESKEW"), parse_bool(env, "OCR_BINARIZATION"), parse_bool(env, "OCR_CONTRAST_ENHANCEMENT"), parse_float(env, "REVIEW_BELOW", d.review_below), parse_int(env, "EXTRACT_RETRY_ATTEMPTS", d.attempts),
-        parse_float(env, "EXTRACT_RETRY_BASE_DELAY_SECONDS", d.base_delay_seconds), parse_int(env, "UPLOAD_RETRIES", d.upload_retries), parse_float(env, "UPLOAD_TIMEOUT_SECONDS", d.upload_timeout_seconds),
+        parse_float(
+            env, "EXTRACT_RETRY_BASE_DELAY_SECONDS", d.base_delay_seconds,
+        ), parse_int(env, "UPLOAD_RETRIES", d.upload_retries), parse_float(env, "UPLOAD_TIMEOUT_SECONDS", d.upload_timeout_seconds),
     )
 
 

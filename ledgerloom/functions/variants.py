@@ -68,7 +68,10 @@ def truthy(v: Column) -> Column:
 
     def full(x: Column) -> Column:
         # a value's JSON text tells all falsy ones apart
-        return F.coalesce(~F.to_json(x).isin('""', "null", "false", "{}", "[]") & ~F.coalesce((kind(x) == "NUMBER") & (x.try_cast("double") == 0), F.lit(False)), F.lit(False))
+        return F.coalesce(
+            ~F.to_json(x).isin('""', "null", "false", "{}", "[]") & ~F.coalesce((kind(x) == "NUMBER") & (x.try_cast("double") == 0), F.lit(False)),
+            F.lit(False),
+        )
 
     return let(v, full)
 

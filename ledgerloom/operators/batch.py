@@ -54,9 +54,15 @@ def run(asked: DataFrame, folder: str, master: DataFrame, rules: DataFrame, root
     read = _once(spark, place("raw_text"), lambda: documents.extract(
         documents.listed(spark, asked.select("path", "tenant_id").distinct(), folder), outside.readers, outside.languages, outside.default_language, outside.flags, outside.limits))
     texts = asked.join(read.select("path", "tenant_id", "text", F.col("error").alias("read_error")), ["path", "tenant_id"], "left")
-    told = _once(spark, place("extracted"), lambda: providers.extract(texts.where("read_error IS NULL"), outside.provider, attempts=outside.attempts, delay=outside.delay))
+    told = _once(
+        spark, place("extracted"),
+        lambda: providers.extract(texts.where("read_error IS NULL"), outside.provider, attempts=outside.attempts, delay=outside.delay),
+    )
     found = texts.join(told.select("job_id", "payload", "error"), "job_id", "left")
-    found = found.select("job_id", "tenant_id", "operator", "arrival", v.parse_json(F.col("payload")).alias("payload"), F.coalesce("read_error", "error").alias("payload_error"))
+    found = found.select(
+        "job_id", "tenant_id", "operator", "arrival", v.parse_json(F.col("payload")).alias("payload"),
+        F.coalesce("read_error", "error").alias("payload_error"),
+    )
     ledger, keys = f"{root}/ledger", "idempotency_key string"
 
     def process() -> DataFrame:

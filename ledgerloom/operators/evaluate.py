@@ -39,7 +39,12 @@ def compared(truth: DataFrame, found: DataFrame, fields: tuple[str, ...] = FIELD
         t, p = F.col(f), F.col(f"{mine}.{f}")
         ok = values_match(f, t, p, tolerance)
         both, one = t.isNotNull() & p.isNotNull(), lambda c: c.cast("int")
-        outcomes.append(F.struct(F.lit(f).alias("field"), ok.alias("matched"), one(both & ok).alias("tp"), one(p.isNotNull() & ~(both & ok)).alias("fp"), one(t.isNotNull() & ~(both & ok)).alias("fn")))
+        outcomes.append(
+            F.struct(
+                F.lit(f).alias("field"), ok.alias("matched"), one(both & ok).alias("tp"), one(p.isNotNull() & ~(both & ok)).alias("fp"),
+                one(t.isNotNull() & ~(both & ok)).alias("fn"),
+            )
+        )
     return rows.select(id_col, F.col(mine).isNotNull().alias("prediction_found"), F.array(*outcomes).alias("outcomes"))
 
 
@@ -62,10 +67,15 @@ def line_outcomes(truth: DataFrame, found: DataFrame, tolerance: float = 0.01, i
 
     def canonical(df: DataFrame, side: int) -> DataFrame:
         text = F.coalesce(F.lower(strip(F.col("description"))), F.lit(""))
-        return df.select(id_col, text.alias("d"), *(snap(F.col(c).cast("double"), tolerance).alias(c[0]) for c in ("quantity", "unit_price", "total_price")), F.lit(side).alias("side"))
+        return df.select(
+            id_col, text.alias("d"), *(snap(F.col(c).cast("double"), tolerance).alias(c[0]) for c in ("quantity", "unit_price", "total_price")),
+            F.lit(side).alias("side"),
+        )
 
     # both sides are counted in one aggregation, which nothing has to join
-    both = canonical(truth, 0).unionByName(canonical(found, 1)).groupBy(*by).agg(F.count_if(F.col("side") == 0).alias("n_truth"), F.count_if(F.col("side") == 1).alias("n_found"))
+    both = canonical(truth, 0).unionByName(canonical(found, 1)).groupBy(*by).agg(
+        F.count_if(F.col("side") == 0).alias("n_truth"), F.count_if(F.col("side") == 1).alias("n_found"),
+    )
     tp = F.sum(F.least("n_truth", "n_found"))
     return both.groupBy(id_col).agg(tp.alias("tp"), (F.sum("n_found") - tp).alias("fp"), (F.sum("n_truth") - tp).alias("fn"))
 
@@ -73,11 +83,15 @@ def line_outcomes(truth: DataFrame, found: DataFrame, tolerance: float = 0.01, i
 def documents(rows: DataFrame, lines: DataFrame, critical: tuple[str, ...] = CRITICAL, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, prediction_found, exact_match, critical_pass, line_tp, line_fp, line_fn) of compared documents."""
     fields = rows.select(
-        id_col, "prediction_found", F.forall("outcomes", lambda x: x["matched"]).alias("all_fields"), F.forall("outcomes", lambda x: x["matched"] | ~x["field"].isin(*critical)).alias("critical_pass"),
+        id_col, "prediction_found", F.forall("outcomes", lambda x: x["matched"]).alias("all_fields"), F.forall(
+            "outcomes", lambda x: x["matched"] | ~x["field"].isin(*critical),
+        ).alias("critical_pass"),
     )
     rows = fields.join(lines, id_col, "left").na.fill(0, ["tp", "fp", "fn"])
     return rows.select(
-        id_col, "prediction_found", (F.col("all_fields") & (F.col("fp") == 0) & (F.col("fn") == 0)).alias("exact_match"), "critical_pass", F.col("tp").alias("line_tp"), F.col("fp").alias("line_fp"), F.col("fn").alias("line_fn"),
+        id_col, "prediction_found", (
+            F.col("all_fields") & (F.col("fp") == 0) & (F.col("fn") == 0)
+        ).alias("exact_match"), "critical_pass", F.col("tp").alias("line_tp"), F.col("fp").alias("line_fp"), F.col("fn").alias("line_fn"),
     )
 
 
@@ -85,7 +99,10 @@ def overall(fields: DataFrame, docs: DataFrame) -> DataFrame:
     """One row: micro scores over fields, line scores, and document rates."""
     f = fields.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     f = f.select("*", *(c.alias(n) for n, c in f1(F.col("tp"), F.col("fp"), F.col("fn")).items()))
-    d = docs.agg(F.count("*").alias("documents"), F.avg(F.col("exact_match").cast("int")).alias("exact_rate"), F.avg(F.col("critical_pass").cast("int")).alias("critical_rate"), *(F.sum(f"line_{c}").alias(f"line_{c}") for c in ("tp", "fp", "fn")))
+    d = docs.agg(
+        F.count("*").alias("documents"), F.avg(F.col("exact_match").cast("int")).alias("exact_rate"),
+        F.avg(F.col("critical_pass").cast("int")).alias("critical_rate"), *(F.sum(f"line_{c}").alias(f"line_{c}") for c in ("tp", "fp", "fn")),
+    )
     d = d.select("*", *(c.alias(f"line_{n}") for n, c in f1(F.col("line_tp"), F.col("line_fp"), F.col("line_fn")).items()))
     return f.join(d)  # one row each
 

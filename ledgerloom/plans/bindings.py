@@ -36,8 +36,14 @@ def _off(order: Column) -> Column:
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One invoice per order; its total is off by an amount that the order number sets."""
-    sums = invoice_lines(spark, sf_dir).groupBy("invoice_id").agg(F.sum("total_price").cast("decimal(28,4)").alias("gross"), F.sum("taxable_value").cast("decimal(28,2)").alias("net"), F.min("l_suppkey").alias("s_suppkey"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("invoice_id"), F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("invoice_date"), "o_orderpriority")
+    sums = invoice_lines(spark, sf_dir).groupBy("invoice_id").agg(
+        F.sum("total_price").cast("decimal(28,4)").alias("gross"), F.sum("taxable_value").cast("decimal(28,2)").alias("net"),
+        F.min("l_suppkey").alias("s_suppkey"),
+    )
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("invoice_id"), F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("invoice_date"),
+        "o_orderpriority",
+    )
     rows = orders.join(sums, "invoice_id", "left").join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("buyer")), "c_custkey", "left")
     rows = rows.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("seller")), "s_suppkey", "left")
     zero = F.lit(0).cast("decimal(28,4)")
@@ -85,9 +91,18 @@ am AS (
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as parties, suppliers as ledgers, parts as stock items; parts share names."""
     spaced = lambda c: F.regexp_replace(c, "#0*", " ")
-    c = table(spark, sf_dir, "customer").select(F.lit("party").alias("entity_type"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"), F.concat(F.lit("C"), "c_custkey").alias("code"), F.array(spaced(F.col("c_name"))).alias("aliases"))
-    s = table(spark, sf_dir, "supplier").select(F.lit("ledger").alias("entity_type"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"), F.concat(F.lit("S"), "s_suppkey").alias("code"), F.array(spaced(F.col("s_name"))).alias("aliases"))
-    p = table(spark, sf_dir, "part").select(F.lit("stock_item").alias("entity_type"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.concat(F.lit("P"), "p_partkey").alias("code"), F.array(F.concat("p_name", F.lit(" "), "p_brand")).alias("aliases"))
+    c = table(spark, sf_dir, "customer").select(
+        F.lit("party").alias("entity_type"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"),
+        F.concat(F.lit("C"), "c_custkey").alias("code"), F.array(spaced(F.col("c_name"))).alias("aliases"),
+    )
+    s = table(spark, sf_dir, "supplier").select(
+        F.lit("ledger").alias("entity_type"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"),
+        F.concat(F.lit("S"), "s_suppkey").alias("code"), F.array(spaced(F.col("s_name"))).alias("aliases"),
+    )
+    p = table(spark, sf_dir, "part").select(
+        F.lit("stock_item").alias("entity_type"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"),
+        F.concat(F.lit("P"), "p_partkey").alias("code"), F.array(F.concat("p_name", F.lit(" "), "p_brand")).alias("aliases"),
+    )
     return c.unionByName(s).unionByName(p)
 
 
@@ -111,7 +126,9 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(RULES), "scope string, tenant_id string, entity_type string, key string, target string")
 
 
-RULES_SQL = "rules(scope, tenant_id, entity_type, key, target) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in RULES) + ")"
+RULES_SQL = "rules(scope, tenant_id, entity_type, key, target) AS (VALUES " + ", ".join(
+    "(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in RULES
+) + ")"
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +138,17 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = orders.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left")
     value = (
-        F.when(n == 0, F.concat(F.lit("  "), F.upper("c_name"), F.lit(" "))).when(n == 1, "main").when(n == 2, F.lit("misc")).when(n == 3, F.concat(F.lit("c"), F.col("o_custkey")))
+        F.when(
+            n == 0, F.concat(F.lit("  "), F.upper("c_name"), F.lit(" ")),
+        ).when(n == 1, "main").when(n == 2, F.lit("misc")).when(n == 3, F.concat(F.lit("c"), F.col("o_custkey")))
         .when(n == 4, F.lit("   ")).when(n == 5, F.concat(F.lit("p"), F.col("o_custkey"))).when(n == 6, F.regexp_replace("c_name", "#0*", " ")).when(n == 7, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Unknown "), F.col("o_custkey")))
     )
     value = F.when((F.col("o_orderkey") % 45) == 18, "walk-in").otherwise(value)
-    return rows.select(F.col("o_orderkey").alias("invoice_id"), F.concat(F.lit("t"), F.col("o_orderkey") % 3 + F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(0)).alias("tenant_id"), kind.alias("entity_type"), value.alias("value"))
+    return rows.select(
+        F.col("o_orderkey").alias("invoice_id"),
+        F.concat(F.lit("t"), F.col("o_orderkey") % 3 + F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(0)).alias("tenant_id"),
+        kind.alias("entity_type"), value.alias("value"),
+    )
 
 
 ENTITIES_SQL = """

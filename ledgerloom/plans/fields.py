@@ -77,12 +77,17 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN n = 0 OR n = 3
 FROM (SELECT *, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS q, l_linenumber % 6 AS n FROM lineitem)""")
 def tax_alias_pick(spark, sf_dir):
     n, q = F.col("l_linenumber") % 6, F.round("l_quantity", 0).cast("bigint").cast("string")
-    forms = (('{"tax": null, "gst": ', "}"), ('{"taxes": ', "}"), ('{"vat": 1, "tax": ', "}"), ('{"other": ', "}"), ('{"vat": ["', '"]}'), ('{"vat": null, "gst_amount": "', ' INR"}'))
+    forms = (
+        ('{"tax": null, "gst": ', "}"), ('{"taxes": ', "}"), ('{"vat": 1, "tax": ', "}"), ('{"other": ', "}"), ('{"vat": ["', '"]}'),
+        ('{"vat": null, "gst_amount": "', ' INR"}'),
+    )
     raw = F.lit(None).cast("string")
     for i, (a, z) in enumerate(forms):
         raw = F.when(n == i, F.concat(F.lit(a), q, F.lit(z))).otherwise(raw)
     amount, confident, warning = normalize.tax(v.parse_json(raw))
-    return b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", amount.alias("tax"), confident.alias("confident"), warning.alias("warning"))
+    return b.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", amount.alias("tax"), confident.alias("confident"), warning.alias("warning"),
+    )
 
 
 @query("entity_flatten", """
@@ -90,16 +95,32 @@ SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name || ' | ' || n_name WHEN
 def entity_flatten(spark, sf_dir):
     rows = b.table(spark, sf_dir, "customer").join(b.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     n = F.col("c_custkey") % 5
-    raw = F.when(n == 0, F.to_json(F.struct(F.concat(F.lit(" "), "c_name").alias("name"), F.col("n_name").alias("address")))).when(n == 1, F.concat(F.lit('"'), "c_name", F.lit('  "'))).when(n == 2, F.concat(F.lit('{"name": "'), "c_name", F.lit('", "address": null, "gst_number": "G'), "c_custkey", F.lit('"}'))).when(n == 3, "[1]").otherwise(F.concat(F.lit('{"name": "'), "c_name", F.lit('", "address": " ", "gst_number": "G'), "c_custkey", F.lit('"}')))
+    raw = F.when(n == 0, F.to_json(F.struct(F.concat(F.lit(" "), "c_name").alias("name"), F.col("n_name").alias("address")))).when(n == 1, F.concat(F.lit('"'), "c_name", F.lit('  "'))).when(
+        n == 2, F.concat(F.lit('{"name": "'), "c_name", F.lit('", "address": null, "gst_number": "G'), "c_custkey", F.lit('"}')),
+    ).when(n == 3, "[1]").otherwise(F.concat(F.lit('{"name": "'), "c_name", F.lit('", "address": " ", "gst_number": "G'), "c_custkey", F.lit('"}')))
     return rows.select("c_custkey", normalize.entity(v.parse_json(raw)).alias("party"))
 
 
 def _payloads(spark, sf_dir):
     """Payloads of all invoices as JSON text; a fault in each that the order number sets (see the SQL beside each query)."""
     lines = b.invoice_lines(spark, sf_dir)
-    item = F.struct(F.concat(F.lit(" part "), "l_partkey", F.lit(" ")).alias("description"), F.round("quantity", 0).cast("bigint").cast("string").alias("quantity"), F.when(F.col("line_no") != 2, F.lit(2)).alias("unit_price"), F.when(F.col("line_no") != 3, F.col("taxable_value")).alias("total_price"))
-    grouped = lines.groupBy("invoice_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "l_partkey", "l_suppkey", "taxable_value", "quantity", "tax_amount", item.alias("item")))).alias("ls"))
-    return b.invoices(spark, sf_dir).join(grouped, "invoice_id", "left").withColumn("items", F.coalesce(F.transform("ls", lambda x: x["item"]), F.array().cast("array<struct<description:string,quantity:string,unit_price:int,total_price:decimal(18,2)>>")))
+    item = F.struct(
+        F.concat(F.lit(" part "), "l_partkey", F.lit(" ")).alias("description"),
+        F.round("quantity", 0).cast("bigint").cast("string").alias("quantity"), F.when(F.col("line_no") != 2, F.lit(2)).alias("unit_price"),
+        F.when(F.col("line_no") != 3, F.col("taxable_value")).alias("total_price"),
+    )
+    grouped = lines.groupBy("invoice_id").agg(
+        F.array_sort(
+            F.collect_list(F.struct("line_no", "l_partkey", "l_suppkey", "taxable_value", "quantity", "tax_amount", item.alias("item")))
+        ).alias("ls")
+    )
+    return b.invoices(spark, sf_dir).join(grouped, "invoice_id", "left").withColumn(
+        "items",
+        F.coalesce(
+            F.transform("ls", lambda x: x["item"]),
+            F.array().cast("array<struct<description:string,quantity:string,unit_price:int,total_price:decimal(18,2)>>"),
+        ),
+    )
 
 
 @query("line_item_normalise", f"""WITH {b.SQL}, q AS (
@@ -133,12 +154,17 @@ def flat_profile(spark, sf_dir):
     doc = F.to_json(F.struct(
         "invoice_number", F.when(n == 1, "soon").otherwise(F.date_format("invoice_date", "yyyy-MM-dd")).alias("invoice_date"), F.when(n == 0, "").when(n == 2, "$ 5").otherwise("INR").alias("currency"),
         F.when(n == 3, "none").otherwise(F.col("subtotal").cast("string")).alias("subtotal"), F.when(n != 4, F.col("tax")).alias("taxes"), F.when(n == 0, "?").otherwise(F.col("total").cast("string")).alias("total"),
-        F.when(n != 4, F.coalesce(lines, F.array().cast("array<struct<description:string,quantity:string,unit_price:int,total_price:decimal(18,2)>>"))).alias("line_items"),
+        F.when(
+            n != 4, F.coalesce(lines, F.array().cast("array<struct<description:string,quantity:string,unit_price:int,total_price:decimal(18,2)>>")),
+        ).alias("line_items"),
     ))
     rows = _payloads(spark, sf_dir).select("invoice_id", v.parse_json(F.when(n == 5, "[1]").otherwise(doc)).alias("payload"))
     i = normalize.normalize_flat(rows)
     flags = F.array_join(F.transform(F.array_sort(F.map_entries("flags")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
-    return i.select("invoice_id", F.col("error").isNotNull().alias("bad"), F.array_join("warnings", "; ").alias("warnings"), flags.alias("flags"), F.col("invoice.total").alias("total"))
+    return i.select(
+        "invoice_id", F.col("error").isNotNull().alias("bad"), F.array_join("warnings", "; ").alias("warnings"), flags.alias("flags"),
+        F.col("invoice.total").alias("total"),
+    )
 
 
 _V2 = """WITH {sql}, q AS (SELECT *, invoice_id % 4 AS n FROM inv)
@@ -151,17 +177,31 @@ FROM q LEFT JOIN (SELECT invoice_id, count(*) AS c, CAST(sum(CASE WHEN line_no <
 @query("v2_normalise", _V2.format(sql=b.SQL))
 def v2_normalise(spark, sf_dir):
     n = F.col("invoice_id") % 4
-    party = F.when(n == 0, F.to_json(F.struct(F.struct(F.col("buyer").alias("name"), F.struct(F.lit(" ").alias("line1")).alias("address")).alias("buyer")))).otherwise(F.to_json(F.struct(F.struct(F.concat(F.lit("L"), "invoice_id").alias("addr"), F.lit("").alias("gstin")).alias("buyer"))))
+    party = F.when(
+        n == 0, F.to_json(F.struct(F.struct(F.col("buyer").alias("name"), F.struct(F.lit(" ").alias("line1")).alias("address")).alias("buyer"))),
+    ).otherwise(F.to_json(F.struct(F.struct(F.concat(F.lit("L"), "invoice_id").alias("addr"), F.lit("").alias("gstin")).alias("buyer"))))
     head = F.to_json(F.struct(
-        F.when(n != 3, F.col("invoice_number")).alias("invoice_number"), F.date_format("invoice_date", "dd-MM-yyyy").alias("invoice_date"), F.element_at(F.array(F.lit("Yes"), F.lit(" NA "), F.lit("maybe"), F.lit("")), (n + 1).cast("int")).alias("reverse_charge"),
+        F.when(n != 3, F.col("invoice_number")).alias("invoice_number"), F.date_format("invoice_date", "dd-MM-yyyy").alias("invoice_date"), F.element_at(
+            F.array(F.lit("Yes"), F.lit(" NA "), F.lit("maybe"), F.lit("")), (n + 1).cast("int"),
+        ).alias("reverse_charge"),
         F.when(n != 2, F.col("subtotal")).alias("subtotal"), F.col("tax").alias("taxes"), F.col("items").alias("line_items"),
     ))
-    rows = _payloads(spark, sf_dir).select("invoice_id", v.parse_json(F.concat(F.regexp_replace(party, r"\}$", ","), F.regexp_replace(head, r"^\{", ""))).alias("payload"))
+    rows = _payloads(spark, sf_dir).select(
+        "invoice_id", v.parse_json(F.concat(F.regexp_replace(party, r"\}$", ","), F.regexp_replace(head, r"^\{", ""))).alias("payload"),
+    )
     i = normalize.normalize_v2(rows)
-    return i.select("invoice_id", "invoice.invoice_number", "invoice.invoice_date", F.col("invoice.buyer.name").alias("buyer"), F.col("invoice.buyer.address.line1").alias("line1"), "invoice.reverse_charge", "invoice.currency", F.size("invoice.line_items").cast("bigint").alias("n_lines"), F.round("invoice.subtotal", 2).alias("subtotal"), "invoice.tax", F.round("invoice.total", 2).alias("total"))
+    return i.select(
+        "invoice_id", "invoice.invoice_number", "invoice.invoice_date", F.col("invoice.buyer.name").alias("buyer"),
+        F.col("invoice.buyer.address.line1").alias("line1"), "invoice.reverse_charge", "invoice.currency",
+        F.size("invoice.line_items").cast("bigint").alias("n_lines"), F.round("invoice.subtotal", 2).alias("subtotal"), "invoice.tax",
+        F.round("invoice.total", 2).alias("total"),
+    )
 
 
-@query("reverse_charge_bool", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false END AS reverse_charge FROM orders")
+@query(
+    "reverse_charge_bool",
+    "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false END AS reverse_charge FROM orders",
+)
 def reverse_charge_bool(spark, sf_dir):
     words = ('" Applicable "', "true", '"Not Applicable"', "0", '"perhaps"', "null")
     raw = F.element_at(F.array(*map(F.lit, words)), (F.col("o_orderkey") % 6 + 1).cast("int"))
@@ -173,7 +213,13 @@ def _v2_payloads(spark, sf_dir):
     n = F.col("invoice_id") % 9
     place = F.struct(*(F.lit(None).cast("string").alias(a) for a in checks.ADDRESS))
     side = lambda name, tin: F.struct(F.col(name).alias("name"), tin.alias("gstin"), F.lit("").alias("pan"), place.alias("address"))
-    items = F.transform("ls", lambda x: F.struct(F.lit("Part").alias("description"), x["quantity"].cast("double").alias("quantity"), F.lit(1.0).alias("unit_price"), x["taxable_value"].alias("total_price")))
+    items = F.transform(
+        "ls",
+        lambda x: F.struct(
+            F.lit("Part").alias("description"), x["quantity"].cast("double").alias("quantity"), F.lit(1.0).alias("unit_price"),
+            x["taxable_value"].alias("total_price"),
+        ),
+    )
     items = F.coalesce(items, F.array().cast("array<struct<description:string,quantity:double,unit_price:double,total_price:decimal(18,2)>>"))
     doc = F.to_json(F.struct(
         F.when(n == 1, "1.0").otherwise("2.0").alias("schema_version"), F.when(n == 2, "").otherwise(F.col("invoice_number")).alias("invoice_number"), F.when(n == 3, "bill").otherwise(F.col("invoice_type")).alias("invoice_type"),
@@ -218,16 +264,25 @@ def confidence_score(spark, sf_dir):
     return rows.select("invoice_id", "c.completeness", "c.schema_valid", "c.accounting", "c.overall")
 
 
-@query("json_strict_parse", "SELECT event_id, event_id % 4 IN (0, 1) AS valid, CASE WHEN event_id % 4 IN (0, 1) THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
+@query(
+    "json_strict_parse",
+    "SELECT event_id, event_id % 4 IN (0, 1) AS valid, CASE WHEN event_id % 4 IN (0, 1) THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
+)
 def json_strict_parse(spark, sf_dir):
     n = F.col("event_id") % 4
-    raw = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(n == 2, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.concat(F.lit("{"), "props"))
+    raw = F.when(n == 0, F.col("props")).when(
+        n == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```")),
+    ).when(n == 2, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.concat(F.lit("{"), "props"))
     data = v.parse_json(text.clean_model_output(raw))
-    return b.table(spark, sf_dir, "events").select("event_id", v.is_object(data).alias("valid"), F.when(v.is_object(data), F.try_variant_get(data, "$.k", "bigint")).alias("k"))
+    return b.table(spark, sf_dir, "events").select(
+        "event_id", v.is_object(data).alias("valid"), F.when(v.is_object(data), F.try_variant_get(data, "$.k", "bigint")).alias("k"),
+    )
 
 
 @query("model_output_clean", "SELECT event_id, props AS answer FROM events")
 def model_output_clean(spark, sf_dir):
     n = F.col("event_id") % 4
-    raw = F.when(n == 0, F.concat(F.lit(" \t"), "props", F.lit("\n"))).when(n == 1, F.concat(F.lit("```JSON\n"), "props", F.lit("\n```  "))).when(n == 2, F.concat(F.lit("```"), "props", F.lit("```"))).otherwise(F.col("props"))
+    raw = F.when(n == 0, F.concat(F.lit(" \t"), "props", F.lit("\n"))).when(
+        n == 1, F.concat(F.lit("```JSON\n"), "props", F.lit("\n```  ")),
+    ).when(n == 2, F.concat(F.lit("```"), "props", F.lit("```"))).otherwise(F.col("props"))
     return b.table(spark, sf_dir, "events").select("event_id", text.clean_model_output(raw).alias("answer"))

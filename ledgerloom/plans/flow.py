@@ -42,12 +42,17 @@ def page_join_text(spark, sf_dir):
 
 @query("ocr_config_by_tenant", "SELECT doc_id, CASE source WHEN 'src1' THEN 'deu' WHEN 'src2' THEN 'fra' ELSE 'eng' END AS language FROM documents")
 def ocr_config_by_tenant(spark, sf_dir):
-    return b.table(spark, sf_dir, "documents").select("doc_id", documents.tenant_language(F.col("source"), {"src1": "deu", "src2": "fra", "src3": ""}, "eng").alias("language"))
+    return b.table(spark, sf_dir, "documents").select(
+        "doc_id", documents.tenant_language(F.col("source"), {"src1": "deu", "src2": "fra", "src3": ""}, "eng").alias("language"),
+    )
 
 
 @query("retry_classification", """SELECT event_id, event_id % 5 IN (0, 1) OR event_id % 7 IN (2, 4) AS transient FROM events""")
 def retry_classification(spark, sf_dir):
-    message = F.element_at(F.array(*map(F.lit, ("Read TIMED OUT", "429 from server", "bad request", "invalid key", "not found"))), (F.col("event_id") % 5 + 1).cast("int"))
+    message = F.element_at(
+        F.array(*map(F.lit, ("Read TIMED OUT", "429 from server", "bad request", "invalid key", "not found"))),
+        (F.col("event_id") % 5 + 1).cast("int"),
+    )
     status = F.element_at(F.array(*map(F.lit, (200, 404, 503, 400, 408, 401, 499))), (F.col("event_id") % 7 + 1).cast("int"))
     return b.table(spark, sf_dir, "events").select("event_id", workflow.is_transient(message, status).alias("transient"))
 
@@ -68,8 +73,15 @@ def route_review(spark, sf_dir):
 SELECT arrival, idempotency_key, CASE WHEN invoice_id % 10 <> 0 AND arrival % 2 = 0 THEN 'new' ELSE 'duplicate' END AS post_status FROM a""")
 def idempotency_dedup(spark, sf_dir):
     text = lambda c: F.col(c).cast("string")
-    rows = b.invoices(spark, sf_dir).withColumn("idempotency_key", workflow.idempotency_key(text("invoice_number"), text("invoice_date"), text("total"), F.col("seller"), F.col("buyer")))
-    batch = rows.select("invoice_id", "idempotency_key", (F.col("invoice_id") * 2).alias("arrival")).unionByName(rows.where("invoice_id % 3 = 0").select("invoice_id", "idempotency_key", (F.col("invoice_id") * 2 + 1).alias("arrival")))
+    rows = b.invoices(spark, sf_dir).withColumn(
+        "idempotency_key", workflow.idempotency_key(text("invoice_number"), text("invoice_date"), text("total"), F.col("seller"), F.col("buyer")),
+    )
+    place = shared.folder(spark, "keys")
+    rows.select("invoice_id", "idempotency_key").write.parquet(place)  # read three times
+    rows = spark.read.parquet(place)
+    batch = rows.select("invoice_id", "idempotency_key", (F.col("invoice_id") * 2).alias("arrival")).unionByName(
+        rows.where("invoice_id % 3 = 0").select("invoice_id", "idempotency_key", (F.col("invoice_id") * 2 + 1).alias("arrival"))
+    )
     posted = rows.where("invoice_id % 10 = 0").select("idempotency_key")
     return workflow.post_once(batch, posted).select("arrival", "idempotency_key", "post_status")
 
@@ -112,7 +124,9 @@ def job_states(spark, sf_dir):
 
 @query("audit_latest_state", "SELECT user_id AS job_id, arg_max(event_type, event_id) AS state, count(*) AS n_events FROM events GROUP BY user_id")
 def audit_latest_state(spark, sf_dir):
-    return workflow.latest_state(b.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state")))
+    return workflow.latest_state(
+        b.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+    )
 
 
 @query("post_once_ties", """
@@ -122,7 +136,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY arrival
 SELECT idempotency_key, arrival, clerk, CASE WHEN idempotency_key IS NULL THEN 'unkeyed' WHEN i = 1 AND idempotency_key <> 'click' THEN 'new' ELSE 'duplicate' END AS post_status, count(*) AS n FROM n GROUP BY ALL""")
 def post_once_ties(spark, sf_dir):
     """Many rows a key, equal arrivals, rows equal throughout, rows without a key, and a key posted before."""
-    rows = b.table(spark, sf_dir, "events").select(F.col("event_type").alias("idempotency_key"), (F.col("user_id") % 50).alias("arrival"), (F.col("event_id") % 3).alias("clerk"))
+    rows = b.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("idempotency_key"), (F.col("user_id") % 50).alias("arrival"), (F.col("event_id") % 3).alias("clerk"),
+    )
     rows = rows.withColumn("idempotency_key", F.when(~((F.col("clerk") == 2) & (F.col("arrival") > 40)), F.col("idempotency_key")))
     posted = spark.createDataFrame([("click",), ("click",), (None,)], "idempotency_key string")
     return workflow.post_once(rows, posted).groupBy("idempotency_key", "arrival", "clerk", "post_status").agg(F.count("*").alias("n"))
@@ -154,4 +170,6 @@ REPLAY_PARTS = 4
 
 @query("first_arrivals_window", "SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type")
 def first_arrivals_window(spark, sf_dir):
-    return workflow.first_arrivals(b.table(spark, sf_dir, "events").select("event_type", "event_id", "user_id"), "event_type", "event_id").select("event_type", "event_id")
+    return workflow.first_arrivals(
+        b.table(spark, sf_dir, "events").select("event_type", "event_id", "user_id"), "event_type", "event_id",
+    ).select("event_type", "event_id")

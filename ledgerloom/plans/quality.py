@@ -41,7 +41,10 @@ _P = f"""WITH {b.SQL}, t AS (
 
 def _truth(spark, sf_dir):
     text = lambda c: F.col(c).cast("string").alias(c)
-    return b.invoices(spark, sf_dir).select(F.col("invoice_id").alias("doc_id"), "invoice_number", text("invoice_date"), "seller", "buyer", F.lit("INR").alias("currency"), text("subtotal"), text("tax"), text("total"), F.col("total").alias("amount"))
+    return b.invoices(spark, sf_dir).select(
+        F.col("invoice_id").alias("doc_id"), "invoice_number", text("invoice_date"), "seller", "buyer", F.lit("INR").alias("currency"),
+        text("subtotal"), text("tax"), text("total"), F.col("total").alias("amount"),
+    )
 
 
 def _found(truth):
@@ -62,10 +65,16 @@ def _compared(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    rows = b.invoice_lines(spark, sf_dir).select(F.col("invoice_id").alias("doc_id"), "l_partkey", "line_no", F.concat(F.lit(" Part "), F.col("l_partkey") % 3).alias("description"))
+    rows = b.invoice_lines(spark, sf_dir).select(
+        F.col("invoice_id").alias("doc_id"), "l_partkey", "line_no", F.concat(F.lit(" Part "), F.col("l_partkey") % 3).alias("description"),
+    )
     truth = rows.select("doc_id", "description", F.col("line_no").alias("quantity"), F.lit(1).alias("unit_price"), F.lit(None).cast("double").alias("total_price"))
     kept = rows.where("l_partkey % 10 <> 0 AND doc_id % 12 <> 0")
-    found = kept.select("doc_id", F.upper("description").alias("description"), F.when(F.col("l_partkey") % 8 == 0, F.col("line_no") + 1).otherwise(F.col("line_no")).alias("quantity"), F.lit(1.001).alias("unit_price"), F.lit(None).cast("double").alias("total_price"))
+    found = kept.select(
+        "doc_id", F.upper("description").alias("description"),
+        F.when(F.col("l_partkey") % 8 == 0, F.col("line_no") + 1).otherwise(F.col("line_no")).alias("quantity"), F.lit(1.001).alias("unit_price"),
+        F.lit(None).cast("double").alias("total_price"),
+    )
     return evaluate.line_outcomes(truth, found)
 
 
@@ -99,7 +108,10 @@ def eval_overall(spark, sf_dir):
     return rows.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
 
 
-@query("release_gate", f"{_P}, g AS (SELECT bool_and({_F1.format(p='precision', r='recall')} >= 0.95) AS fields_pass FROM fs WHERE field IN ('invoice_number', 'invoice_date', 'total')) SELECT fields_pass, critical_rate >= 0.90 AS rate_pass, fields_pass AND critical_rate >= 0.90 AS passed FROM g, ov")
+@query(
+    "release_gate",
+    f"{_P}, g AS (SELECT bool_and({_F1.format(p='precision', r='recall')} >= 0.95) AS fields_pass FROM fs WHERE field IN ('invoice_number', 'invoice_date', 'total')) SELECT fields_pass, critical_rate >= 0.90 AS rate_pass, fields_pass AND critical_rate >= 0.90 AS passed FROM g, ov",
+)
 def release_gate(spark, sf_dir):
     o = _compared(spark, sf_dir)
     fields = evaluate.field_prf(o)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -14,6 +16,24 @@ from ..operators.workflow import TRANSIENT_STATUS
 Transport = Callable[[str, str], tuple[int, str]]
 
 
+def http_transport(url: str, timeout: float = 15.0) -> Transport:
+    """XML by POST, with the idempotency key as a header; a refusal is its status and body, whatever else a ConnectionError or TimeoutError."""
+
+    def ask(xml: str, key: str) -> tuple[int, str]:
+        request = urllib.request.Request(url, xml.encode(), {"Content-Type": "application/xml; charset=utf-8", "Idempotency-Key": key})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as found:
+                return found.status, found.read().decode("utf-8", errors="replace")
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode("utf-8", errors="replace")
+        except TimeoutError:
+            raise
+        except OSError as e:
+            raise (TimeoutError if "timed out" in str(e) else ConnectionError)(str(e)) from e
+
+    return ask
+
+
 def send(transport: Transport, xml: str, key: str, retries: int = 3, delay: float = 1.0, sleep=time.sleep) -> tuple[str | None, str | None, int]:
     """(body, error, attempts); never raises. Transient failures are tried again, after delays that double."""
     for n in range(retries + 1):

@@ -48,7 +48,9 @@ def join_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, content, extension and branch of the files below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content", extension(F.col("path")).alias("extension"), branch(F.col("path")).alias("branch"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        "path", "content", extension(F.col("path")).alias("extension"), branch(F.col("path")).alias("branch"),
+    )
 
 
 @dataclass(frozen=True)
@@ -151,7 +153,10 @@ def read_one(reader: Reader | None, source: str, ext: str, content: bytes | None
 _READ = "path string, tenant_id string, source string, language string, text string, n_pages int, seconds double, error string, message string, context map<string,string>"
 
 
-def extract(files: DataFrame, readers: dict[str, Reader], overrides: dict[str, str] | None = None, default_language: str = "eng", flags: dict[str, bool] | None = None, limits: Limits = Limits()) -> DataFrame:
+def extract(
+    files: DataFrame, readers: dict[str, Reader], overrides: dict[str, str] | None = None, default_language: str = "eng",
+    flags: dict[str, bool] | None = None, limits: Limits = Limits(),
+) -> DataFrame:
     """files (path, tenant_id, content) with text, source, language, n_pages, seconds, error (code), message, context and preprocessing_steps.
 
     readers by branch (pdf, image, word). A file that is missing (content null) or
@@ -159,7 +164,10 @@ def extract(files: DataFrame, readers: dict[str, Reader], overrides: dict[str, s
     give the row an error and never fail the batch. Steps are only OCR's.
     """
     on = steps(flags or {})
-    rows = files.select("path", "tenant_id", "content", extension(F.col("path")).alias("extension"), branch(F.col("path")).alias("source"), tenant_language(F.col("tenant_id"), overrides or {}, default_language).alias("language"))
+    rows = files.select(
+        "path", "tenant_id", "content", extension(F.col("path")).alias("extension"), branch(F.col("path")).alias("source"),
+        tenant_language(F.col("tenant_id"), overrides or {}, default_language).alias("language"),
+    )
 
     def run(batches):
         import time
@@ -167,12 +175,20 @@ def extract(files: DataFrame, readers: dict[str, Reader], overrides: dict[str, s
         import pandas as pd
 
         for pdf in batches:
-            found = [read_one(readers.get(s), s, e, c, lang, on, limits, time.monotonic) for s, e, c, lang in zip(pdf["source"], pdf["extension"], pdf["content"], pdf["language"], strict=True)]
-            yield pd.concat([pdf[["path", "tenant_id", "language"]].reset_index(drop=True), pd.DataFrame(found)], axis=1)[[c.split()[0] for c in _READ.split(", ")]].astype({"n_pages": "Int32"})
+            found = [
+                read_one(readers.get(s), s, e, c, lang, on, limits, time.monotonic) for s, e, c, lang in zip(
+                    pdf["source"], pdf["extension"], pdf["content"], pdf["language"], strict=True,
+                )
+            ]
+            yield pd.concat(
+                [pdf[["path", "tenant_id", "language"]].reset_index(drop=True), pd.DataFrame(found)], axis=1,
+            )[[c.split()[0] for c in _READ.split(", ")]].astype({"n_pages": "Int32"})
 
     ocr = F.col("source").startswith("ocr_")
     out = rows.mapInPandas(run, _READ)
-    return out.withColumn("preprocessing_steps", F.when(ocr, F.array(*map(F.lit, on)).cast("array<string>")).otherwise(F.array().cast("array<string>"))).withColumn("language", F.when(ocr, F.col("language")))
+    return out.withColumn(
+        "preprocessing_steps", F.when(ocr, F.array(*map(F.lit, on)).cast("array<string>")).otherwise(F.array().cast("array<string>")),
+    ).withColumn("language", F.when(ocr, F.col("language")))
 
 
 def listed(spark: SparkSession, asked: DataFrame, path: str) -> DataFrame:

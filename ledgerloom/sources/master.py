@@ -28,7 +28,9 @@ def read_master(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(f"parties {RECORD}, ledgers {RECORD}, stock_items {RECORD}").option("multiLine", True).json(path)
     kinds = (("party", "parties"), ("ledger", "ledgers"), ("stock_item", "stock_items"))
     parts = [rows.select(F.lit(k).alias("entity_type"), F.posexplode(c).alias("pos", "r")) for k, c in kinds]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("entity_type", "pos", "r.name", "r.code", F.coalesce("r.aliases", F.array().cast("array<string>")).alias("aliases"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
+        "entity_type", "pos", "r.name", "r.code", F.coalesce("r.aliases", F.array().cast("array<string>")).alias("aliases"),
+    )
 
 
 def read_collection(answers: DataFrame, entity_type: str, row_tag: str, body: str = "body") -> DataFrame:
@@ -38,7 +40,10 @@ def read_collection(answers: DataFrame, entity_type: str, row_tag: str, body: st
     parsed = F.from_xml(upper, f"COLLECTION struct<{row_tag}:array<struct<NAME:string,_NAME:string,MASTERID:string,ALIASES:string>>>", {"mode": "PERMISSIVE"})
     rows = answers.select(F.posexplode(parsed["COLLECTION"][row_tag]).alias("pos", "r"))
     name, code = F.trim(F.coalesce("r.NAME", "r._NAME")), F.trim("r.MASTERID")
-    return rows.select(F.lit(entity_type).alias("entity_type"), "pos", name.alias("name"), F.nullif(code, F.lit("")).alias("code"), F.coalesce(split_aliases(F.col("r.ALIASES")), F.array().cast("array<string>")).alias("aliases")).where("name <> ''")
+    return rows.select(
+        F.lit(entity_type).alias("entity_type"), "pos", name.alias("name"), F.nullif(code, F.lit("")).alias("code"),
+        F.coalesce(split_aliases(F.col("r.ALIASES")), F.array().cast("array<string>")).alias("aliases"),
+    ).where("name <> ''")
 
 
 #: Collections that the accounting server is asked for: name, the tag of its rows, and what they are.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -41,6 +43,59 @@ class FixtureProvider:
         return self.repairs.get(text, broken)
 
 
+class HttpProvider:
+    """A language model behind an HTTP endpoint that takes and gives JSON.
+
+    Requests are {model, messages: [{role: user, content}]}; the answer's text is
+    found by a path of keys and places. Without a key it is refused when made.
+    Every failure is a RuntimeError with the status or cause in it, so that
+    `with_retry` knows what is worth another try.
+    """
+
+    name = "http"
+
+    def __init__(self, url: str, model: str, key: str | None, timeout: float = 60.0, answer: tuple = ("choices", 0, "message", "content")):
+        if not key:
+            raise ValueError("the provider needs a key")
+        self.url, self.model, self.key, self.timeout, self.answer = url.rstrip("/"), model, key, timeout, answer
+
+    def _ask(self, path: str, body: dict | None = None) -> object:
+        data = None if body is None else json.dumps(body).encode()
+        request = urllib.request.Request(f"{self.url}/{path}", data, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as found:
+                return json.loads(found.read())
+        except urllib.error.HTTPError as e:
+            raise RuntimeError(f"status {e.code}: {e.reason}") from e
+        except (OSError, ValueError) as e:
+            raise RuntimeError(f"connection: {e}" if isinstance(e, OSError) else f"the answer is no JSON: {e}") from e
+
+    def _text(self, prompt: str) -> str:
+        return response_text(self._ask("chat/completions", {"model": self.model, "messages": [{"role": "user", "content": prompt}]}), self.answer)
+
+    def extract(self, text: str) -> str:
+        return self._text(extraction_prompt(text))
+
+    def repair(self, text: str, broken: str, error: str) -> str:
+        return self._text(repair_prompt(text, broken, error))
+
+    def models(self) -> list[str]:
+        """Names of the models that the endpoint offers, in order."""
+        return sorted(str(m["id"]) for m in self._ask("models")["data"])
+
+
+def response_text(answer: object, path: tuple) -> str:
+    """The text at a path of an answer; a RuntimeError where there is none."""
+    for step in path:
+        try:
+            answer = answer[step]
+        except (KeyError, IndexError, TypeError):
+            raise RuntimeError("the answer holds no text") from None
+    if not isinstance(answer, str) or not answer.strip():
+        raise RuntimeError("the answer holds no text")
+    return answer
+
+
 def extraction_prompt(text: str) -> str:
     return f"Return one JSON object with the invoice's number, date, seller, buyer, currency, line items, subtotal, taxes and total. Answer with JSON alone.\n\nInvoice text:\n{text}"
 
@@ -107,4 +162,6 @@ def extract(texts: DataFrame, provider: Provider, id_col: str = "job_id", text_c
             rows = [(i, *extract_one(provider, t or "", attempts, delay)) for i, t in zip(pdf["job_id"], pdf["text"], strict=True)]
             yield pd.DataFrame(rows, columns=["job_id", "payload", "strategy", "error", "attempts"])
 
-    return texts.select(F.col(id_col).cast("string").alias("job_id"), F.col(text_col).alias("text")).mapInPandas(run, "job_id string, payload string, strategy string, error string, attempts int")
+    return texts.select(F.col(id_col).cast("string").alias("job_id"), F.col(text_col).alias("text")).mapInPandas(
+        run, "job_id string, payload string, strategy string, error string, attempts int",
+    )

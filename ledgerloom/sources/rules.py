@@ -33,22 +33,33 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     rows = own.unionByName(tenants).select("scope", "tenant_id", F.explode(F.col("g").try_cast(kinds)).alias("entity_type", "m")).where(F.col("entity_type").isin(*KINDS))
     rows = rows.select("scope", "tenant_id", "entity_type", F.explode(F.col("m").try_cast(kinds)).alias("key", "r"))
     value = F.when(v.is_object(F.col("r")), v.text(v.member(F.col("r"), "value"))).otherwise(v.text(F.col("r")))
-    return rows.select("scope", "tenant_id", "entity_type", "key", clean(value).alias("target"), F.to_json(v.member(F.col("r"), "provenance")).alias("provenance"), v.text(v.member(F.col("r"), "learned_at")).alias("learned_at"))
+    return rows.select(
+        "scope", "tenant_id", "entity_type", "key", clean(value).alias("target"), F.to_json(v.member(F.col("r"), "provenance")).alias("provenance"),
+        v.text(v.member(F.col("r"), "learned_at")).alias("learned_at"),
+    )
 
 
 def learning_enabled(spark: SparkSession, path: str) -> DataFrame:
     """(tenant_id or null for all, enabled) of the file's settings; a tenant's own setting goes before the global one."""
     data = spark.read.text(path, wholetext=True).select(v.parse_json(F.col("value")).alias("d"))
     flag = lambda x: F.try_variant_get(x, "$.settings.learn_on_approval", "boolean")
-    everyone = data.select(F.lit(None).cast("string").alias("tenant_id"), F.coalesce(flag(v.member(F.col("d"), "global")), flag(F.col("d")), F.lit(False)).alias("enabled"))
-    tenants = data.select(F.explode(v.member(F.col("d"), "tenants").try_cast("map<string,variant>")).alias("tenant_id", "g")).select("tenant_id", flag(F.col("g")).alias("enabled")).where("enabled IS NOT NULL")
+    everyone = data.select(
+        F.lit(None).cast("string").alias("tenant_id"),
+        F.coalesce(flag(v.member(F.col("d"), "global")), flag(F.col("d")), F.lit(False)).alias("enabled"),
+    )
+    tenants = data.select(
+        F.explode(v.member(F.col("d"), "tenants").try_cast("map<string,variant>")).alias("tenant_id", "g")
+    ).select("tenant_id", flag(F.col("g")).alias("enabled")).where("enabled IS NOT NULL")
     return everyone.unionByName(tenants)
 
 
 def from_snapshot(rows: DataFrame, target: str = "ledger_name") -> DataFrame:
     """Rules of a database snapshot (tenant_id, entity_type, normalized_value, target, ...) in scope db; older ones lack provenance."""
     more = [F.col(c) if c in rows.columns else F.lit(None) for c in ("provenance_json", "learned_at")]
-    return rows.select(F.lit("db").alias("scope"), "tenant_id", "entity_type", F.col("normalized_value").alias("key"), F.col(target).alias("target"), more[0].cast("string").alias("provenance"), more[1].cast("string").alias("learned_at"))
+    return rows.select(
+        F.lit("db").alias("scope"), "tenant_id", "entity_type", F.col("normalized_value").alias("key"), F.col(target).alias("target"),
+        more[0].cast("string").alias("provenance"), more[1].cast("string").alias("learned_at"),
+    )
 
 
 def read_database(spark: SparkSession, url: str, table: str = "mapping_rules", target: str = "ledger_name", **options) -> DataFrame:
@@ -67,7 +78,10 @@ def merged(rules: DataFrame, learned: DataFrame, scope: str = "tenant", now: str
     """rules with those of learned (tenant_id, entity_type, key, target, status, approved_by) that are new put in; a key's later rule wins."""
     at = F.lit(now) if now is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
     provenance = F.to_json(F.struct(F.lit("approval").alias("source"), "approved_by", "tenant_id"))
-    new = learned.where("status = 'learned'").select(F.lit(scope).alias("scope"), "tenant_id", "entity_type", "key", strip(F.col("target")).alias("target"), provenance.alias("provenance"), at.alias("learned_at"))
+    new = learned.where("status = 'learned'").select(
+        F.lit(scope).alias("scope"), "tenant_id", "entity_type", "key", strip(F.col("target")).alias("target"), provenance.alias("provenance"),
+        at.alias("learned_at"),
+    )
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     both = rules.select(*columns, F.lit(0).alias("turn")).unionByName(new.withColumn("turn", F.lit(1)))
     best = F.max_by(F.struct("target", "provenance", "learned_at"), F.struct("turn", F.coalesce("learned_at", F.lit("")), F.coalesce("target", F.lit(""))))
@@ -81,7 +95,11 @@ def write_rules(rules: DataFrame, path: str, settings: dict | None = None) -> No
     """
     spark = rules.sparkSession
     rule = F.when(F.col("provenance").isNull() & F.col("learned_at").isNull(), F.to_json(F.struct(F.col("target").alias("v")))).otherwise(
-        F.concat(F.lit('{"v":'), F.to_json(F.struct(F.col("target").alias("value"), F.from_json("provenance", "map<string,string>").alias("provenance"), "learned_at")), F.lit("}"))
+        F.concat(
+            F.lit('{"v":'),
+            F.to_json(F.struct(F.col("target").alias("value"), F.from_json("provenance", "map<string,string>").alias("provenance"), "learned_at")),
+            F.lit("}"),
+        )
     )
     rows = rules.where("scope <> 'db'").select(F.when(F.col("scope") == "tenant", F.col("tenant_id")).alias("tenant_id"), "entity_type", "key", rule.alias("rule"))
     kinds: dict = {}
@@ -102,7 +120,10 @@ def write_rules(rules: DataFrame, path: str, settings: dict | None = None) -> No
 
 def write_database(rules: DataFrame, url: str, table: str = "mapping_rules", target: str = "ledger_name", **options) -> None:
     """The rules of scope db as the whole of a database table: the rows of `merged`, with the columns of from_snapshot."""
-    rows = rules.where("scope = 'db'").select("tenant_id", "entity_type", F.col("key").alias("normalized_value"), F.col("target").alias(target), F.col("provenance").alias("provenance_json"), "learned_at")
+    rows = rules.where("scope = 'db'").select(
+        "tenant_id", "entity_type", F.col("key").alias("normalized_value"), F.col("target").alias(target),
+        F.col("provenance").alias("provenance_json"), "learned_at",
+    )
     place = shared.folder(rules.sparkSession, "rules")
     rows.write.parquet(place)  # the table may be what the rows come from
     rules.sparkSession.read.schema(rows.schema).parquet(place).write.format("jdbc").options(url=url, dbtable=table, **options).mode("overwrite").save()

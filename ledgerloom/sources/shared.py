@@ -11,13 +11,22 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only a local master may do without the setting."""
+    """A new path under ``spark.checkpoint.dir``, which lasts as long as the application; only a local master may do without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="ledgerloom-")
-    return f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    root = f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    until_exit(spark, root)
+    return f"{root}/tables"
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Make a folder that goes, with all in it, when the application ends."""
+    system, place = files(spark, path)
+    system.mkdirs(place)
+    system.deleteOnExit(place)
 
 
 def files(spark: SparkSession, path: str):

@@ -7,11 +7,17 @@ from ledgerloom.operators import batch, jobs, workflow
 from ledgerloom.sources import providers, readers
 
 MASTER = [("party", 0, "Buyer", "B1", []), ("ledger", 0, "Seller", "S1", []), ("stock_item", 0, "Item", "I1", [])]
-GOOD = {"invoice_number": "7", "invoice_date": "2025-01-31", "seller": "Seller", "buyer": "Buyer", "currency": "INR", "subtotal": 100, "tax": 18, "total": 118, "line_items": [{"description": "Item", "quantity": 1, "unit_price": 100, "total_price": 100}]}
+GOOD = {
+    "invoice_number": "7", "invoice_date": "2025-01-31", "seller": "Seller", "buyer": "Buyer", "currency": "INR", "subtotal": 100, "tax": 18,
+    "total": 118, "line_items": [{"description": "Item", "quantity": 1, "unit_price": 100, "total_price": 100}],
+}
 
 
 def run(spark, payloads, posted=(), **config):
-    rows = spark.createDataFrame([(f"j{i}", "t", "ann", i, json.dumps(p) if p is not None else None) for i, p in enumerate(payloads)], "job_id string, tenant_id string, operator string, arrival long, p string")
+    rows = spark.createDataFrame(
+        [(f"j{i}", "t", "ann", i, json.dumps(p) if p is not None else None) for i, p in enumerate(payloads)],
+        "job_id string, tenant_id string, operator string, arrival long, p string",
+    )
     rows = rows.select("job_id", "tenant_id", "operator", "arrival", v.parse_json(F.col("p")).alias("payload"))
     master = spark.createDataFrame(MASTER, "entity_type string, pos int, name string, code string, aliases array<string>")
     rules = spark.createDataFrame([], "scope string, tenant_id string, entity_type string, key string, target string")
@@ -20,9 +26,17 @@ def run(spark, payloads, posted=(), **config):
 
 
 def test_states(spark):
-    got = run(spark, [GOOD, GOOD, GOOD | {"seller": "Nobody"}, GOOD | {"buyer": "Nobody"}, GOOD | {"total": 300}, [1], None, GOOD | {"invoice_number": "8", "invoice_date": "soon"}])
+    got = run(
+        spark,
+        [
+            GOOD, GOOD, GOOD | {"seller": "Nobody"}, GOOD | {"buyer": "Nobody"}, GOOD | {"total": 300}, [1], None,
+            GOOD | {"invoice_number": "8", "invoice_date": "soon"},
+        ],
+    )
     assert [(got[f"j{i}"].state, got[f"j{i}"].reason, got[f"j{i}"].error_code) for i in range(8)] == [
-        ("validated", None, None), ("posted", None, None), ("review_required", "validation_failed", None), ("review_required", "manual_review_required", None), ("review_required", "validation_failed", "ACCOUNTING_VALIDATION_ERROR"),
+        ("validated", None, None), ("posted", None, None), ("review_required", "validation_failed", None), ("review_required", "manual_review_required", None), (
+            "review_required", "validation_failed", "ACCOUNTING_VALIDATION_ERROR",
+        ),
         ("failed", None, "FIELD_NORMALIZATION_ERROR"), ("failed", None, "FIELD_NORMALIZATION_ERROR"), ("failed", None, "VOUCHER_DATE"),
     ]
     assert (got["j0"].post_status, got["j1"].post_status) == ("new", "duplicate") and got["j0"].xml and not got["j1"].xml
@@ -48,7 +62,10 @@ def test_from_files_to_answers(spark, tmp_path):
     (inbox / "c.txt").write_bytes(b"three")
     (inbox / "d.png").write_bytes(b"four")
     answers = {"one": json.dumps(GOOD), "two": json.dumps(GOOD | {"buyer": "Nobody"}), "four": json.dumps(GOOD | {"invoice_number": "9"})}
-    asked = spark.createDataFrame([(x, "t", "ann", i, f"{inbox}/{x}") for i, x in enumerate(("a.png", "b.png", "c.txt", "d.png", "e.png"))], "job_id string, tenant_id string, operator string, arrival long, path string")
+    asked = spark.createDataFrame(
+        [(x, "t", "ann", i, f"{inbox}/{x}") for i, x in enumerate(("a.png", "b.png", "c.txt", "d.png", "e.png"))],
+        "job_id string, tenant_id string, operator string, arrival long, path string",
+    )
     master = spark.createDataFrame(MASTER, "entity_type string, pos int, name string, code string, aliases array<string>")
     rules = spark.createDataFrame([], "scope string, tenant_id string, entity_type string, key string, target string")
     sent = tmp_path / "sent"
@@ -74,10 +91,16 @@ def test_from_files_to_answers(spark, tmp_path):
 
 
 def test_refused_uploads_hold_back_their_duplicates(spark):
-    rows = spark.createDataFrame([("j0", "t", "ann", 0, json.dumps(GOOD)), ("j1", "t", "ann", 1, json.dumps(GOOD))], "job_id string, tenant_id string, operator string, arrival long, p string")
+    rows = spark.createDataFrame(
+        [("j0", "t", "ann", 0, json.dumps(GOOD)), ("j1", "t", "ann", 1, json.dumps(GOOD))],
+        "job_id string, tenant_id string, operator string, arrival long, p string",
+    )
     rows = rows.select("job_id", "tenant_id", "operator", "arrival", v.parse_json(F.col("p")).alias("payload"))
     master = spark.createDataFrame(MASTER, "entity_type string, pos int, name string, code string, aliases array<string>")
-    done = jobs.process(rows, master, spark.createDataFrame([], "scope string, tenant_id string, entity_type string, key string, target string"), spark.createDataFrame([], "idempotency_key string"), jobs.JobConfig(review_below=0.7))
+    done = jobs.process(
+        rows, master, spark.createDataFrame([], "scope string, tenant_id string, entity_type string, key string, target string"),
+        spark.createDataFrame([], "idempotency_key string"), jobs.JobConfig(review_below=0.7),
+    )
     for ok, strict, want in ((False, False, ["failed", "retry_pending"]), (True, False, ["posted", "posted"]), (False, True, ["posted", "posted"])):
         answers = spark.createDataFrame([("j0", ok, "m")], "job_id string, ok boolean, message string")
         assert [r.state for r in jobs.finish(done, answers, jobs.JobConfig(strict_reference=strict)).orderBy("job_id").collect()] == want

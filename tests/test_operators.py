@@ -20,9 +20,17 @@ def vouch(spark, total, lines, tax=None, config=None):
 
 
 @pytest.mark.parametrize(("total", "lines", "tax", "entries", "error"), [
-    ("1740", [("1000", "90", "90", None, None, None), ("500", "30", "30", None, None, None)], None, [("Buyer", 1740, "debit"), ("Sales", 1500, "credit"), ("CGST", 120, "credit"), ("SGST", 120, "credit")], None),
-    ("1000", [("1000", None, None, "180", None, None)], None, None, "ROUND_OFF_LIMIT"), ("1181", [("1000", None, None, "180", None, None)], None, [("Buyer", 1181, "debit"), ("Sales", 1000, "credit"), ("IGST", 180, "credit"), ("Round Off", 1, "credit")], None),
-    ("10", [("3.333", "3.333", "3.333", None, None, None)], None, None, "UNBALANCED"), ("118", [(None, None, None, None, "18", "118")], "18", [("Buyer", 118, "debit"), ("Sales", 100, "credit"), ("IGST", 18, "credit")], None),
+    (
+        "1740", [("1000", "90", "90", None, None, None), ("500", "30", "30", None, None, None)], None,
+        [("Buyer", 1740, "debit"), ("Sales", 1500, "credit"), ("CGST", 120, "credit"), ("SGST", 120, "credit")], None,
+    ),
+    ("1000", [("1000", None, None, "180", None, None)], None, None, "ROUND_OFF_LIMIT"), (
+        "1181", [("1000", None, None, "180", None, None)], None,
+        [("Buyer", 1181, "debit"), ("Sales", 1000, "credit"), ("IGST", 180, "credit"), ("Round Off", 1, "credit")], None,
+    ),
+    ("10", [("3.333", "3.333", "3.333", None, None, None)], None, None, "UNBALANCED"), (
+        "118", [(None, None, None, None, "18", "118")], "18", [("Buyer", 118, "debit"), ("Sales", 100, "credit"), ("IGST", 18, "credit")], None,
+    ),
     ("0", [], None, [("Buyer", 0, "debit"), ("Sales", 0, "credit")], None),
 ])
 def test_voucher(spark, total, lines, tax, entries, error):
@@ -33,28 +41,52 @@ def test_voucher(spark, total, lines, tax, entries, error):
 
 
 def test_voucher_config_and_xml(spark):
-    config = voucher.VoucherConfig(ledgers=voucher.VoucherConfig().ledgers | {"round_off": "Round Off Adj", "igst": "Output IGST 18%"}, voucher_type="Receipt", company="A&B")
-    invoices = spark.createDataFrame([(1, "B<", "1180.25", None, "7", "20250131", None)], "invoice_id int, buyer string, total string, tax string, invoice_number string, voucher_day string, invoice_type string")
+    config = voucher.VoucherConfig(
+        ledgers=voucher.VoucherConfig().ledgers | {"round_off": "Round Off Adj", "igst": "Output IGST 18%"}, voucher_type="Receipt", company="A&B",
+    )
+    invoices = spark.createDataFrame(
+        [(1, "B<", "1180.25", None, "7", "20250131", None)],
+        "invoice_id int, buyer string, total string, tax string, invoice_number string, voucher_day string, invoice_type string",
+    )
     rows = voucher.ledger_entries(voucher.collect_amounts(invoices, spark.createDataFrame([(1, "1000", None, None, "180", None, None)], LINES)), config)
     xml = rows.select(voucher.voucher_xml(rows, config).alias("x")).first().x
     assert 'VCHTYPE="Receipt"' in xml and "<SVCURRENTCOMPANY>A&amp;B<" in xml and "<PARTYLEDGERNAME>B&lt;<" in xml and "Round Off Adj</LEDGERNAME><ISDEEMEDPOSITIVE>No</ISDEEMEDPOSITIVE><AMOUNT>0.25<" in xml
 
 
 def test_acknowledgement(spark):
-    bodies = ["<R><CREATED>1</CREATED><ERRORS>0</ERRORS></R>", "<R><IGNORED>1</IGNORED><ERRORS> 1 </ERRORS><LINEERROR> no ledger </LINEERROR></R>", "<R><CREATED>", "<R><ERRORS>0</ERRORS><LINEERROR>x</LINEERROR></R>", None]
+    bodies = [
+        "<R><CREATED>1</CREATED><ERRORS>0</ERRORS></R>", "<R><IGNORED>1</IGNORED><ERRORS> 1 </ERRORS><LINEERROR> no ledger </LINEERROR></R>",
+        "<R><CREATED>", "<R><ERRORS>0</ERRORS><LINEERROR>x</LINEERROR></R>", None,
+    ]
     got = voucher.parse_acknowledgement(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")).orderBy("i").collect()
     assert [r.ok for r in got] == [True, False, False, False, False]
     assert got[0].created == 1 and got[1].line_errors == ["no ledger"] and got[1].message == "Import failed. no ledger" and "parse" in got[2].message
 
 
-MASTER = [("party", 0, "ACME CORPORATION", "P100", ["ACME CORP LTD"]), ("party", 1, "Acme Corporation", "P101", []), ("ledger", 0, "SALES LEDGER", "L200", ["Sales"]), ("stock_item", 0, "WIDGET-A", None, ["Widget A"])]
+MASTER = [
+    ("party", 0, "ACME CORPORATION", "P100", ["ACME CORP LTD"]), ("party", 1, "Acme Corporation", "P101", []),
+    ("ledger", 0, "SALES LEDGER", "L200", ["Sales"]), ("stock_item", 0, "WIDGET-A", None, ["Widget A"]),
+]
 NAMES = "entity_type string, pos int, name string, code string, aliases array<string>"
 RULES = "scope string, tenant_id string, entity_type string, key string, target string"
 
 
 def test_resolution_order(spark):
-    entities = spark.createDataFrame([(0, "t", "party", " acme  corp "), (1, "t", "ledger", "Sales"), (2, "t", "stock_item", "widget a"), (3, "t", "party", "nobody"), (4, "t", "ledger", "nothing"), (5, "t", "party", None), (6, "t", "ledger", "by code"), (7, "t", "ledger", "bad rule"), (8, "t", "ledger", "l200"), (9, "t", "party", "acme corporation")], "ord int, tenant_id string, entity_type string, value string")
-    rules = spark.createDataFrame([("tenant", "t", "party", "acme corp", "ACME CORPORATION"), ("global", None, "party", "acme corp", "Other"), ("db", "t", "ledger", "by code", "L200"), ("tenant", "t", "ledger", "bad rule", "gone")], RULES)
+    entities = spark.createDataFrame(
+        [
+            (0, "t", "party", " acme  corp "), (1, "t", "ledger", "Sales"), (2, "t", "stock_item", "widget a"), (3, "t", "party", "nobody"),
+            (4, "t", "ledger", "nothing"), (5, "t", "party", None), (6, "t", "ledger", "by code"), (7, "t", "ledger", "bad rule"),
+            (8, "t", "ledger", "l200"), (9, "t", "party", "acme corporation"),
+        ],
+        "ord int, tenant_id string, entity_type string, value string",
+    )
+    rules = spark.createDataFrame(
+        [
+            ("tenant", "t", "party", "acme corp", "ACME CORPORATION"), ("global", None, "party", "acme corp", "Other"),
+            ("db", "t", "ledger", "by code", "L200"), ("tenant", "t", "ledger", "bad rule", "gone"),
+        ],
+        RULES,
+    )
     got = reconcile.resolve(entities, spark.createDataFrame(MASTER, NAMES), rules).orderBy("ord").collect()
     assert [r.source for r in got] == ["rule", "alias", "alias", "unresolved", "unresolved", "unresolved", "rule", "unresolved", "exact", "exact"]
     assert [r.issue.action if r.issue else None for r in got] == [None, None, None, "manual_review", "reject", "manual_review", None, "reject", None, None]
@@ -63,22 +95,41 @@ def test_resolution_order(spark):
 
 def test_suggestions_fold_ocr(spark):
     names = spark.createDataFrame([("party", i, n, None, []) for i, n in enumerate(["ORBITAL VENDORS", "GLOBAL SOLUTIONS LLP", "GLOBE SOLVENTS"])], NAMES)
-    got = reconcile.suggest(spark.createDataFrame([("party", "GL0BAL S0LUT10NS LLP"), ("party", "0RBITAL VEND0R5")], "entity_type string, value string"), names).where("rank = 1").orderBy("value").collect()
+    got = reconcile.suggest(
+        spark.createDataFrame([("party", "GL0BAL S0LUT10NS LLP"), ("party", "0RBITAL VEND0R5")], "entity_type string, value string"), names,
+    ).where("rank = 1").orderBy("value").collect()
     assert [r.name for r in got] == ["ORBITAL VENDORS", "GLOBAL SOLUTIONS LLP"] and all(r.ocr_boost == 0.05 for r in got)
 
 
 def test_learning(spark):
-    made = spark.createDataFrame([(1, 0, "t", "ledger", "new", "New", "created"), (1, 1, "t", "ledger", "new", "New", "created"), (2, 0, "t", "ledger", "old", "Old", "created"), (3, 0, "t", "ledger", "x", "X", "exact")], "invoice_id int, ord int, tenant_id string, entity_type string, key string, resolved_name string, source string")
+    made = spark.createDataFrame(
+        [
+            (1, 0, "t", "ledger", "new", "New", "created"), (1, 1, "t", "ledger", "new", "New", "created"),
+            (2, 0, "t", "ledger", "old", "Old", "created"), (3, 0, "t", "ledger", "x", "X", "exact"),
+        ],
+        "invoice_id int, ord int, tenant_id string, entity_type string, key string, resolved_name string, source string",
+    )
     rules = spark.createDataFrame([("tenant", "t", "ledger", "old", "Old")], RULES)
-    assert sorted((r.invoice_id, r.ord, r.status) for r in reconcile.learn_rules(made, rules, "me").collect()) == [(1, 0, "learned"), (1, 1, "duplicate"), (2, 0, "duplicate")]
+    assert sorted(
+        (r.invoice_id, r.ord, r.status) for r in reconcile.learn_rules(made, rules, "me").collect()
+    ) == [(1, 0, "learned"), (1, 1, "duplicate"), (2, 0, "duplicate")]
     assert reconcile.learn_rules(made, rules, "me", enabled=False).collect() == []
 
 
 def test_routing(spark):
     issue = "array<struct<field:string,code:string,action:string>>"
-    rows = spark.createDataFrame([(0, [("b", "M", "reject"), ("s", "M", "manual_review")], 0.9, False), (1, [("b", "M", "manual_review"), ("l", "M", "auto_create")], 0.1, False), (2, [], 0.79, False), (3, [], 0.8, False), (4, [], 0.9, True), (5, [("l", "M", "auto_create")], 0.9, False)], f"i int, issues {issue}, c double, critical boolean")
+    rows = spark.createDataFrame(
+        [
+            (0, [("b", "M", "reject"), ("s", "M", "manual_review")], 0.9, False),
+            (1, [("b", "M", "manual_review"), ("l", "M", "auto_create")], 0.1, False), (2, [], 0.79, False), (3, [], 0.8, False), (4, [], 0.9, True),
+            (5, [("l", "M", "auto_create")], 0.9, False),
+        ],
+        f"i int, issues {issue}, c double, critical boolean",
+    )
     got = rows.select("i", workflow.route(F.col("issues"), F.col("c"), F.col("critical")).alias("r")).orderBy("i").collect()
-    assert [(r.r.reason, len(r.r.queued)) for r in got] == [("validation_failed", 2), ("manual_review_required", 1), ("low_confidence", 0), (None, 0), ("validation_failed", 0), (None, 0)]
+    assert [(r.r.reason, len(r.r.queued)) for r in got] == [
+        ("validation_failed", 2), ("manual_review_required", 1), ("low_confidence", 0), (None, 0), ("validation_failed", 0), (None, 0),
+    ]
 
 
 def test_posting_states(spark):
@@ -97,8 +148,19 @@ def test_evaluation_cases(spark):
 
 def test_file_routing_and_limits(spark):
     pages = lambda content, language, on: iter(content.decode().split("|"))
-    files = spark.createDataFrame([("/a/x.PDF", "t", bytearray(b"one|two")), ("/a/y.gif", "t", bytearray(b"z")), ("/a/z.txt", "t", bytearray(b"q")), ("/a/many.pdf", "u", bytearray(b"1|2|3"))], "path string, tenant_id string, content binary")
-    got = {r.path[-5:]: r for r in documents.extract(files, {"pdf": pages, "image": pages}, {"t": "deu", "u": ""}, flags={"binarization": True, "deskew": True}, limits=documents.Limits(max_pages=2)).collect()}
+    files = spark.createDataFrame(
+        [
+            ("/a/x.PDF", "t", bytearray(b"one|two")), ("/a/y.gif", "t", bytearray(b"z")), ("/a/z.txt", "t", bytearray(b"q")),
+            ("/a/many.pdf", "u", bytearray(b"1|2|3")),
+        ],
+        "path string, tenant_id string, content binary",
+    )
+    got = {
+        r.path[-5:]: r for r in documents.extract(
+            files, {"pdf": pages, "image": pages}, {"t": "deu", "u": ""}, flags={"binarization": True, "deskew": True},
+            limits=documents.Limits(max_pages=2),
+        ).collect()
+    }
     assert got["x.PDF"].text == "one\ntwo" and got["x.PDF"].language == "deu" and got["x.PDF"].preprocessing_steps == ["deskew", "binarization"]
     assert got["y.gif"].error == got["z.txt"].error == "INGESTION_ERROR" and got["y.pdf"].error == "OCR_PAGE_LIMIT_EXCEEDED" and got["y.pdf"].language == "eng"
     assert "split the document" in got["y.pdf"].message and got["y.pdf"].context == {"max_pages": "2", "detected_pages": "over 2"} and "DOCX" in got["z.txt"].message
@@ -155,7 +217,13 @@ def test_posting_survives_a_restart_and_refusals(spark, tmp_path):
 def test_first_arrivals_and_ties(spark):
     rows = spark.createDataFrame([("a", 2, 1), ("a", 1, 9), ("a", 1, 8), ("a", 1, 8), ("b", None, 1), (None, 1, 1)], "idempotency_key string, arrival int, n int")
     got = sorted(((r.idempotency_key, r.arrival, r.n, r.post_status) for r in workflow.post_once(rows, rows.limit(0)).collect()), key=repr)
-    assert got == sorted([("a", 1, 8, "new"), ("a", 1, 8, "duplicate"), ("a", 1, 9, "duplicate"), ("a", 2, 1, "duplicate"), ("b", None, 1, "new"), (None, 1, 1, "unkeyed")], key=repr)
+    assert got == sorted(
+        [
+            ("a", 1, 8, "new"), ("a", 1, 8, "duplicate"), ("a", 1, 9, "duplicate"), ("a", 2, 1, "duplicate"), ("b", None, 1, "new"),
+            (None, 1, 1, "unkeyed"),
+        ],
+        key=repr,
+    )
     many = spark.range(20_000).select(F.lit("k").alias("idempotency_key"), F.lit(0).alias("arrival"))
     assert {r.post_status: r["count"] for r in workflow.post_once(many, many.limit(0)).groupBy("post_status").count().collect()} == {"new": 1, "duplicate": 19_999}
     assert [tuple(r) for r in workflow.first_arrivals(rows.where("idempotency_key = 'a'"), "idempotency_key", "arrival").collect()] == [("a", 1, 8)]
@@ -179,7 +247,13 @@ def test_label_folders(spark, tmp_path):
 def test_rules_are_written_back(spark, tmp_path):
     path, now = str(tmp_path / "rules.json"), "2025-01-01T00:00:00Z"
     old = spark.createDataFrame([("tenant", "t", "ledger", "old", "Old", None, None), ("global", None, "party", "a", "A", None, None)], rules.SCHEMA)
-    learned = spark.createDataFrame([("t", "ledger", "new", " New ", "learned", "ann"), ("t", "ledger", "old", "Newer", "learned", "ann"), ("t", "party", "x", "X", "duplicate", "ann")], "tenant_id string, entity_type string, key string, target string, status string, approved_by string")
+    learned = spark.createDataFrame(
+        [
+            ("t", "ledger", "new", " New ", "learned", "ann"), ("t", "ledger", "old", "Newer", "learned", "ann"),
+            ("t", "party", "x", "X", "duplicate", "ann"),
+        ],
+        "tenant_id string, entity_type string, key string, target string, status string, approved_by string",
+    )
     for _ in range(2):
         rules.write_rules(rules.merged(old, learned, now=now), path, {None: True, "t": False})
         got = {(r.scope, r.tenant_id, r.entity_type, r.key): (r.target, r.learned_at) for r in rules.read_rules(spark, path).collect()}
@@ -192,21 +266,32 @@ def test_rules_are_written_back(spark, tmp_path):
 def test_rules_of_a_database(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/rules;create=true"
     assert rules.read_database(spark, url).collect() == []
-    learned = spark.createDataFrame([("t", "ledger", "k", "K", "learned", "ann")], "tenant_id string, entity_type string, key string, target string, status string, approved_by string")
+    learned = spark.createDataFrame(
+        [("t", "ledger", "k", "K", "learned", "ann")],
+        "tenant_id string, entity_type string, key string, target string, status string, approved_by string",
+    )
     for _ in range(2):
         rules.write_database(rules.merged(rules.read_database(spark, url), learned, "db", "2025-01-01"), url)
         assert [(r.scope, r.tenant_id, r.key, r.target, r.learned_at) for r in rules.read_database(spark, url).collect()] == [("db", "t", "k", "K", "2025-01-01")]
 
 
 def test_collections_of_the_server(spark):
-    answers = {"Ledger": "<E><COLLECTION><LEDGER><NAME>Acme (Sundry Debtors)</NAME></LEDGER><LEDGER NAME=\"Sales\"><MasterId>7</MasterId></LEDGER><LEDGER><Name> </Name></LEDGER></COLLECTION></E>", "StockItem": "<E><COLLECTION><STOCKITEM><NAME>W</NAME></STOCKITEM></COLLECTION></E>"}
+    answers = {
+        "Ledger": "<E><COLLECTION><LEDGER><NAME>Acme (Sundry Debtors)</NAME></LEDGER><LEDGER NAME=\"Sales\"><MasterId>7</MasterId></LEDGER><LEDGER><Name> </Name></LEDGER></COLLECTION></E>",
+        "StockItem": "<E><COLLECTION><STOCKITEM><NAME>W</NAME></STOCKITEM></COLLECTION></E>",
+    }
     found = master.fetch_collections(spark, answers.__getitem__)
-    assert sorted((r.entity_type, r.name) for r in found.collect()) == [("ledger", "Acme (Sundry Debtors)"), ("ledger", "Sales"), ("party", "Acme (Sundry Debtors)"), ("stock_item", "W")]
+    assert sorted((r.entity_type, r.name) for r in found.collect()) == [
+        ("ledger", "Acme (Sundry Debtors)"), ("ledger", "Sales"), ("party", "Acme (Sundry Debtors)"), ("stock_item", "W"),
+    ]
     assert [r.name for r in master.of_type(found, "ledger").collect()] == ["Acme (Sundry Debtors)", "Sales"]
 
 
 def test_issues_carry_suggestions(spark):
-    entities = spark.createDataFrame([(0, "t", "party", "acme corporatlon"), (1, "t", "ledger", None), (2, "t", "ledger", "Sales")], "ord int, tenant_id string, entity_type string, value string")
+    entities = spark.createDataFrame(
+        [(0, "t", "party", "acme corporatlon"), (1, "t", "ledger", None), (2, "t", "ledger", "Sales")],
+        "ord int, tenant_id string, entity_type string, value string",
+    )
     records = spark.createDataFrame(MASTER, NAMES)
     resolved = reconcile.resolve(entities, records, spark.createDataFrame([], RULES))
     got = {r.ord: r.issue for r in reconcile.advise(resolved, records).collect()}
@@ -219,7 +304,9 @@ def test_suggestions_in_blocks_equal_all_pairs(spark):
 
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abl10s5") for _ in range(rng.randint(1, 5)))
-    records = spark.createDataFrame([("party", i, f"{word()} {word()}", str(i), [word()] * rng.randint(0, 2)) for i in range(60)] + [("ledger", 0, "x", None, None)], NAMES)
+    records = spark.createDataFrame(
+        [("party", i, f"{word()} {word()}", str(i), [word()] * rng.randint(0, 2)) for i in range(60)] + [("ledger", 0, "x", None, None)], NAMES,
+    )
     values = spark.createDataFrame([("party", f"{word()} {word()}") for _ in range(20)] + [("party", None), ("stock_item", "x")], "entity_type string, value string")
     few, one = ({(r.value, r.rank): (r.name, r.code, round(r.score, 9)) for r in reconcile.suggest(values, records, block=b).collect()} for b in (7, 1000))
     assert few == one and len(few) == 3 * len({v for v, _ in few})
@@ -244,6 +331,10 @@ def test_stream_posts_once(spark, tmp_path):
     for n, rows in enumerate(([("a", 1), ("b", 2), ("a", 3)], [("b", 4), ("c", 5)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        query = stream.writeStream.foreachBatch(lambda batch, _: posting.post_batch(batch, f"{tmp_path}/posted")).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query = stream.writeStream.foreachBatch(
+            lambda batch, _: posting.post_batch(batch, f"{tmp_path}/posted")
+        ).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
         query.awaitTermination()
-        assert sorted((r.idempotency_key, r.arrival) for r in posting.posted(spark, f"{tmp_path}/posted", stream.schema).collect()) == [("a", 1), ("b", 2), ("c", 5)][: 2 + n]
+        assert sorted(
+            (r.idempotency_key, r.arrival) for r in posting.posted(spark, f"{tmp_path}/posted", stream.schema).collect()
+        ) == [("a", 1), ("b", 2), ("c", 5)][: 2 + n]
