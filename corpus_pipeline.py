@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. The result of each is written as Parquet and
 read again for the next, so no stage depends on the lineage of those before it.
+
+Null, empty and blank texts are clean and of no group, and are packed as documents
+without words. Rows that share an id are judged one by one, but for
+near-duplicates, where they are one document and the least row of it stays; rows
+without an id stay there. Empty tables give empty ones, and other columns are kept.
 """
 
 from __future__ import annotations
