@@ -24,7 +24,10 @@ def _plain(c: Column) -> Column:
     return F.regexp_replace(c, r"<\|(im_start|im_end)\|>", "<| $1 |>")
 
 
-def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: str = "system", segment: int | None = SEGMENT, scratch: Scratch | None = None) -> DataFrame:
+def rotate_perspectives(
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: str = "system",
+    segment: int | None = SEGMENT, scratch: Scratch | None = None,
+) -> DataFrame:
     """conv_id, perspective, segment, n_turns, dialogue, mask: one row for each participant and segment.
 
     A participant is any speaker but ``system``. A turn is rendered as
@@ -51,12 +54,23 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     people = scratch.save(rows.where(F.col("speaker") != system).select("conv_id", F.col("speaker").alias("perspective")).distinct(), "participants")
     seen = rows.join(people, "conv_id")
     number = F.floor(F.col("turn") / segment).cast("long") if segment else F.lit(0).cast("long")
-    role = F.when(F.col("speaker") == system, F.lit("system")).when(F.col("speaker") == F.col("perspective"), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), F.col("speaker")))
+    role = F.when(F.col("speaker") == system, F.lit("system")).when(
+        F.col("speaker") == F.col("perspective"), F.lit("assistant"),
+    ).otherwise(F.concat(F.lit("user name="), F.col("speaker")))
     own = (F.col("speaker") == F.col("perspective")).cast("int")
     head, body = F.concat(F.lit(OPEN), role, F.lit("\n")), F.concat("text", F.lit(CLOSE))
     shown = seen.select(
         "conv_id", "perspective", number.alias("segment"),
-        F.struct("turn", "speaker", "text", F.concat(head, body, F.lit("\n")).alias("shown"), F.array(F.struct(F.length(head).alias("length"), F.lit(0).alias("loss")), F.struct(F.length(body).alias("length"), own.alias("loss")), F.struct(F.lit(1).alias("length"), F.lit(0).alias("loss"))).alias("mask")).alias("t"),
+        F.struct(
+            "turn", "speaker", "text", F.concat(head, body, F.lit("\n")).alias("shown"),
+            F.array(
+                F.struct(F.length(head).alias("length"), F.lit(0).alias("loss")), F.struct(F.length(body).alias("length"), own.alias("loss")),
+                F.struct(F.lit(1).alias("length"), F.lit(0).alias("loss")),
+            ).alias("mask"),
+        ).alias("t"),
     )
     grouped = shown.groupBy("conv_id", "perspective", "segment").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    return grouped.select("conv_id", "perspective", "segment", F.size("ts").alias("n_turns"), F.array_join(F.transform("ts", lambda t: t["shown"]), "").alias("dialogue"), F.flatten(F.transform("ts", lambda t: t["mask"])).alias("mask"))
+    return grouped.select(
+        "conv_id", "perspective", "segment", F.size("ts").alias("n_turns"),
+        F.array_join(F.transform("ts", lambda t: t["shown"]), "").alias("dialogue"), F.flatten(F.transform("ts", lambda t: t["mask"])).alias("mask"),
+    )

@@ -257,7 +257,10 @@ def _scan(items, size: int, first: bool, inside: str | None):
                     spans.append([{"start": a, "end": e} for a, e in merged(s + [(x["start"], x["end"]) for x in old])])
                     found.append(sorted(hit | set(ids)))
                 extra = [c for c in part.schema.names if c not in ("n_words", "word_spans", "items")]
-                yield pa.record_batch([*(part.column(c) for c in extra), pa.array(n, pa.int64()), pa.array(spans, _SPAN), pa.array(found, pa.list_(pa.int64()))], names=[*extra, "n_words", "word_spans", "items"])
+                yield pa.record_batch(
+                    [*(part.column(c) for c in extra), pa.array(n, pa.int64()), pa.array(spans, _SPAN), pa.array(found, pa.list_(pa.int64()))],
+                    names=[*extra, "n_words", "word_spans", "items"],
+                )
 
     return run
 
@@ -274,7 +277,13 @@ def _places(inside: str | None):
             n = b.column("n_words").to_pylist()
             bad = [h > 0 and 20 * h >= w for h, w in zip(n_hit, n, strict=True)]
             extra = [c for c in b.schema.names if c not in ("n_words", "word_spans", "items")]
-            yield pa.record_batch([*(b.column(c) for c in extra), b.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array(bad), b.column("items"), pa.array(places, _SPAN)], names=[*extra, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
+            yield pa.record_batch(
+                [
+                    *(b.column(c) for c in extra), b.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
+                    pa.array(sha), pa.array(bad), b.column("items"), pa.array(places, _SPAN),
+                ],
+                names=[*extra, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
+            )
 
     return run
 
@@ -286,7 +295,10 @@ def _chained(first, then):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, limit: int = AUTOMATON_BYTES, carry: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    size: int = WINDOW, limit: int = AUTOMATON_BYTES, carry: bool = False, scratch: Scratch | None = None,
+) -> DataFrame:
     """One row per document: doc_id, text, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
 
     With carry, row, a struct of all the document's columns, in place of text.
@@ -307,7 +319,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "decontamination")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(
+        F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"),
+    ).where("item_id is not null and text is not null")
     items = scratch.save(items.mapInArrow(_normalised(size), "item_id long, words binary").distinct(), "items")
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     passes = -(-total // limit) or 1
@@ -322,4 +336,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if n + 1 < passes:
             out = scratch.save(out.mapInArrow(scan, f"{kept}, {_HITS}"), f"pass-{n}")
     # the last pass and the places come from one worker
-    return out.mapInArrow(_chained(scan, _places(inside)), f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<bigint>, spans {_SPANS}")
+    return out.mapInArrow(
+        _chained(scan, _places(inside)),
+        f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<bigint>, spans {_SPANS}",
+    )

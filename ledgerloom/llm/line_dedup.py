@@ -48,7 +48,10 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t and k: keys of the text and of the line; site: hash, or null.
     """
     text, site = F.col(text_col).cast("string"), F.col(site_col).cast("string")
-    rows = docs.where(F.length(text) > 0).select(F.col(id_col).alias("doc_id"), _key(text).alias("t"), F.when(site.isNotNull(), F.xxhash64(site)).alias("site"), F.explode(F.array_distinct(_lines(text))).alias("line"))
+    rows = docs.where(F.length(text) > 0).select(
+        F.col(id_col).alias("doc_id"), _key(text).alias("t"), F.when(site.isNotNull(), F.xxhash64(site)).alias("site"),
+        F.explode(F.array_distinct(_lines(text))).alias("line"),
+    )
     rows = rows.where((F.length("line") >= min_chars) & (F.trim(F.col("line"), F.lit(_BLANK)) != ""))
     return rows.select("doc_id", "t", _key(F.col("line")).alias("k"), (F.length("line") < SHORT).alias("short"), "site")
 
@@ -90,7 +93,10 @@ def independent(docs: DataFrame, holders: DataFrame, id_col: str, text_col: str,
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _key(text).alias("t")).join(firsts, ["t", "doc_id"])
     pieces = F.transform(F.split(F.array_join(_cut(F.col("text"), F.col("keys")), "\n"), PIECE_ENDS), F.trim)
-    pieces = F.transform(F.filter(F.array_distinct(pieces), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.length(x).alias("n")))
+    pieces = F.transform(
+        F.filter(F.array_distinct(pieces), lambda x: x != ""),
+        lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.length(x).alias("n")),
+    )
     pieces = scratch.save(texts.select("t", "doc_id", pieces.alias("pieces")), "pieces")
     owner = pieces.select("doc_id", F.inline("pieces")).groupBy("h", "g", "n").agg(F.min("doc_id").alias("doc_id"))
     own = owner.groupBy("doc_id").agg(F.sum("n").alias("own"))
@@ -103,7 +109,10 @@ def independent(docs: DataFrame, holders: DataFrame, id_col: str, text_col: str,
     return found
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = 1, near: float = NEAR, scratch: Scratch | None = None) -> DataFrame:
+def remove_boilerplate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = 1,
+    near: float = NEAR, scratch: Scratch | None = None,
+) -> DataFrame:
     """docs with boilerplate lines cut out of the text, and n_removed (lines cut).
 
     All rows and columns stay; a column of docs named n_removed gives way. Lines

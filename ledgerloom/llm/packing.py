@@ -243,7 +243,10 @@ def best_fit_pack(pieces: DataFrame, capacity: int, max_open: int = MAX_OPEN, pe
     return dealt.mapInArrow(_fit(capacity, max_open, lookahead), f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, max_open: int = MAX_OPEN, scratch: Scratch | None = None) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False,
+    max_open: int = MAX_OPEN, scratch: Scratch | None = None,
+) -> DataFrame:
     """Whole documents packed into sequences of at most ``capacity`` tokens.
 
     Returns, for each piece: doc_id, piece (from 0), start, length, ids_crc32,

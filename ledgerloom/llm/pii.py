@@ -248,7 +248,10 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [(t, *e) for t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in sorted({e[2:] for e in find(text or "")})]
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.record_batch([pa.array(columns[0], b.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["t", "kind", "normal"])
+        yield pa.record_batch(
+            [pa.array(columns[0], b.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
+            names=["t", "kind", "normal"],
+        )
 
 
 def _drawn(key: bytes):
@@ -335,4 +338,6 @@ def surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     changed = entities.join(again, ["kind", "normal"]).groupBy("t").agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias("changed"))
     changed = scratch.save(changed, "changed")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.join(changed, "t", "left").select("doc_id", "text", "changed").mapInArrow(_replaced(key), f"doc_id {kind}, text string, spans array<struct<start:bigint,end:bigint,kind:string>>")
+    return texts.join(changed, "t", "left").select("doc_id", "text", "changed").mapInArrow(
+        _replaced(key), f"doc_id {kind}, text string, spans array<struct<start:bigint,end:bigint,kind:string>>",
+    )

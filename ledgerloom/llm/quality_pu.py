@@ -32,7 +32,10 @@ STEPS = 400
 WORD_BUCKETS = 64
 
 #: Groups of bytes whose shares of a text are measured.
-_GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"?", b".", b",", b"|", b"#", b"%", b"&", b"*", b"$", b"<>", b"\n", b"'\"", b"()[]{}", b":;", b"-_", b"/\\@", bytes(range(0x80, 0x100))]
+_GROUPS = [
+    b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"?", b".", b",", b"|", b"#", b"%", b"&", b"*", b"$", b"<>",
+    b"\n", b"'\"", b"()[]{}", b":;", b"-_", b"/\\@", bytes(range(0x80, 0x100)),
+]
 _GROUP = np.full(256, len(_GROUPS))
 for _i, _g in enumerate(_GROUPS):
     _GROUP[list(_g)] = _i
@@ -70,7 +73,12 @@ def measures(w: Words) -> np.ndarray:
     sign = (h >> np.uint64(32) & np.uint64(1)).astype(float) * 2 - 1
     bucket = (h % np.uint64(WORD_BUCKETS)).astype(np.int64)
     bag = np.bincount(w.doc * WORD_BUCKETS + bucket, weights=sign, minlength=n * WORD_BUCKETS).reshape(n, WORD_BUCKETS) / np.sqrt(some)[:, None]
-    return np.column_stack((shares, np.log1p(words), mean / 10, spread / 10, capital, marked, twice, repeated(w.doc, w.hash), repeated(w.doc[two], h2), repeated(w.doc[five], h5), np.log1p(words / lines), bag))
+    return np.column_stack(
+        (
+            shares, np.log1p(words), mean / 10, spread / 10, capital, marked, twice, repeated(w.doc, w.hash), repeated(w.doc[two], h2),
+            repeated(w.doc[five], h5), np.log1p(words / lines), bag,
+        )
+    )
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +177,10 @@ def _scored(model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = TRAIN_POSITIVES, unlabelled: int = TRAIN_UNLABELLED) -> Network:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = TRAIN_POSITIVES,
+    unlabelled: int = TRAIN_UNLABELLED,
+) -> Network:
     """A network from labelled good documents that are not held out, and any documents as unlabelled.
 
     An id counts once, with the least of its texts.

@@ -144,5 +144,10 @@ def ablations(rows: DataFrame, version: int = LATEST) -> DataFrame:
     for r in rules:
         one = F.lit(1 << r.bit).cast("long")
         aggs += [F.count_if(masked.bitwiseAND(one) != 0).alias(f"f{r.bit}"), F.count_if(masked == one).alias(f"o{r.bit}")]
-    parts = [F.struct(F.lit(version).alias("version"), F.lit(r.name).alias("rule"), F.col(f"f{r.bit}").alias("n_failed"), F.col(f"o{r.bit}").alias("n_only"), F.col("n_kept"), (F.col("n_kept") + F.col(f"o{r.bit}")).alias("n_kept_without")) for r in rules]
+    parts = [
+        F.struct(
+            F.lit(version).alias("version"), F.lit(r.name).alias("rule"), F.col(f"f{r.bit}").alias("n_failed"), F.col(f"o{r.bit}").alias("n_only"),
+            F.col("n_kept"), (F.col("n_kept") + F.col(f"o{r.bit}")).alias("n_kept_without"),
+        ) for r in rules
+    ]
     return rows.agg(*aggs).select(F.inline(F.array(*parts)))

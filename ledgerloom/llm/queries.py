@@ -75,7 +75,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     base_failed = F.col("failed").bitwiseAND(F.lit(quality_rules.mask(quality_rules.BASE)).cast("long")) != 0
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return rows.select("doc_id", *measures, base_failed.alias("base_failed"), quality_rules.passes(quality_rules.LATEST).alias("kept"), "failed", quality_rules.passes(1).alias("kept_v1"))
+    return rows.select(
+        "doc_id", *measures, base_failed.alias("base_failed"), quality_rules.passes(quality_rules.LATEST).alias("kept"), "failed",
+        quality_rules.passes(1).alias("kept_v1"),
+    )
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

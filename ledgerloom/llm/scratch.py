@@ -46,6 +46,9 @@ class Scratch:
             root = tempfile.mkdtemp(prefix="ledgerloom-")
         small_batches(spark)
         self.spark, self.root = spark, f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+        files, path = self._at("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # the folder lasts as long as the application
 
     def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """The table, written and read again. With about how many rows it comes from, small tables take few tasks."""
@@ -68,7 +71,7 @@ class Scratch:
             files.delete(path, True)
 
     def _at(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
 

@@ -344,7 +344,10 @@ def _score(model, least: float, inside: tuple[str, str] | None = None):
                 scores.append(1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", x, chain.calibration), -30, 30))))
                 spans += _spans(w, p, least)
             rest = [c for c in b.schema.names if c not in ("doc_id", "text")]
-            yield pa.record_batch([ids, pa.array(np.concatenate(scores)), pa.array(spans, _SPAN), *(b.column(c) for c in rest)], names=["doc_id", "score", "spans", *rest])
+            yield pa.record_batch(
+                [ids, pa.array(np.concatenate(scores)), pa.array(spans, _SPAN), *(b.column(c) for c in rest)],
+                names=["doc_id", "score", "spans", *rest],
+            )
 
     return run
 

@@ -78,7 +78,12 @@ def join_rules(rows: DataFrame, rules: DataFrame, scratch: Scratch) -> DataFrame
     labels = F.split("host", r"\.")
     endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = rows.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(endings).alias("ending")).join(lengths, "ending")
-    asked = asked.select("host", "path", "ending", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("prefix"))
+    asked = asked.select(
+        "host", "path", "ending",
+        F.explode(
+            F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+        ).alias("prefix"),
+    )
     found = asked.join(split, ["ending", "prefix"]).groupBy("host", "path").agg(F.max("fit").alias("fit"))
     return rows.join(found, ["host", "path"], "left")
 
@@ -89,7 +94,10 @@ def _strength(children: DataFrame, by: list[str]) -> DataFrame:
     Kleinman's moments: the share of variance beyond binomial, kept within 0.01
     to 0.5, so that the strength is 1 to 99 outcomes.
     """
-    stats = children.groupBy(*by).agg(F.sum("n").alias("t"), F.sum("good").alias("g"), F.count("*").alias("j"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("s2"))
+    stats = children.groupBy(*by).agg(
+        F.sum("n").alias("t"), F.sum("good").alias("g"), F.count("*").alias("j"), F.sum(F.col("n") * F.col("n")).alias("n2"),
+        F.sum(F.col("good") * F.col("good") / F.col("n")).alias("s2"),
+    )
     p = F.col("g") / F.col("t")
     pq = p * (1 - p)
     spread = F.col("s2") - F.col("g") * p
@@ -126,7 +134,9 @@ def reputation(outcomes: DataFrame, url_col: str = "url", good_col: str = "good"
     # one row: the share of good pages overall, and how far suffixes vary
     top = _strength(suffixes.select(F.lit(1).alias("one"), "n", "good"), ["one"])
     top = whole.join(top.select("strength"), F.lit(True), "left").withColumn("strength", F.coalesce("strength", F.lit(1.0)))
-    top = top.select("n", "good", (F.col("good") + 1.0).alias("a"), (F.col("n") - F.col("good") + 1.0).alias("b"), "strength").withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
+    top = top.select(
+        "n", "good", (F.col("good") + 1.0).alias("a"), (F.col("n") - F.col("good") + 1.0).alias("b"), "strength",
+    ).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
     top = scratch.save(top, "whole")
     # prior strength of a level's nodes is their parent's
     s = suffixes.withColumnRenamed("strength", "own").crossJoin(F.broadcast(top.select("strength", F.col("mean").alias("prior"))))  # one row
@@ -137,13 +147,19 @@ def reputation(outcomes: DataFrame, url_col: str = "url", good_col: str = "good"
     h = _posterior(h, F.col("prior"), "h")
 
     def level(df: DataFrame, kind: str, name: Column, a: str, b: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("level"), name.alias("name"), "n", "good", F.col(a).alias("a"), F.col(b).alias("b"), (F.col(a) / (F.col(a) + F.col(b))).alias("mean"), _bound(F.col(a), F.col(b), z).alias("upper"))
+        return df.select(
+            F.lit(kind).alias("level"), name.alias("name"), "n", "good", F.col(a).alias("a"), F.col(b).alias("b"),
+            (F.col(a) / (F.col(a) + F.col(b))).alias("mean"), _bound(F.col(a), F.col(b), z).alias("upper"),
+        )
 
     found = level(h, "host", F.col("host"), "h_a", "h_b").unionByName(level(d, "domain", F.col("domain"), "d_a", "d_b"))
     return found.unionByName(level(s, "suffix", F.col("suffix"), "s_a", "s_b")).unionByName(level(top, "whole", F.lit(""), "a", "b"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", least_good: float = LEAST_GOOD, z: float = Z, scratch: Scratch | None = None) -> DataFrame:
+def judge(
+    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url",
+    least_good: float = LEAST_GOOD, z: float = Z, scratch: Scratch | None = None,
+) -> DataFrame:
     """page_id, host, path, rule, verdict, mean, upper for every page.
 
     A rule fits its host and all subdomains if the path starts with the rule's;
@@ -170,4 +186,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] |
     rows = rows.withColumn("p", p)
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)) if isinstance(rules, list) else join_rules(rows, rules, scratch)
     own = F.when(F.col("p.upper") < least_good, "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), F.col("p.mean").alias("mean"), F.col("p.upper").alias("upper"))
+    return rows.select(
+        "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), F.col("p.mean").alias("mean"),
+        F.col("p.upper").alias("upper"),
+    )

@@ -1,11 +1,14 @@
+import math
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
-from ledgerloom.llm import quality_pu, queries, samples, toxicity
+from ledgerloom.llm import quality_pu, queries, samples, toxicity, wordhash
 
-from .util import ODD, docs
+from .util import LONG, ODD, docs
 
 SF = "/root/testdata/sf0.01"
 
@@ -91,8 +94,71 @@ def test_non_negative_risk_finds_the_prior():
     assert (net.logit(good(300)) > 0).mean() > 0.97 and (net.logit(bad(300)) < 0).mean() > 0.95
 
 
+def plain_chain(chain, text):
+    """Score of one text: words one by one, forwards and backwards over the whole of it."""
+    tokens = [w for _, w in wordhash.chunks(pa.array([text or ""], pa.large_string()), is_word=toxicity._IS_WORD, fold_case=True)][0]
+    places = toxicity._indices(toxicity.token_features(tokens), tokens.doc)
+    odds = [math.exp(min(30.0, max(-30.0, chain.bias + sum(float(chain.weights[i]) for i in row)))) for row in places]
+    step = [[math.exp(x) for x in row] for row in chain.steps]
+    ahead, behind = [], [(1.0, 1.0)]
+    for e in odds:
+        a, b = ahead[-1] if ahead else (None, None)
+        x, y = (1.0, e) if a is None else (a * step[0][0] + b * step[1][0], (a * step[0][1] + b * step[1][1]) * e)
+        ahead.append((x / (x + y), y / (x + y)))
+    for e in reversed(odds[1:]):
+        a, b = behind[-1]
+        x, y = step[0][0] * a + step[0][1] * b * e, step[1][0] * a + step[1][1] * b * e
+        behind.append((x / (x + y), y / (x + y)))
+    p = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, reversed(behind), strict=False)]
+    inputs = (1.0, math.log(sum(p) + 1e-3), max(p, default=0.0), sum(p) / max(1, len(p)))
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, sum(x * float(c) for x, c in zip(inputs, chain.calibration, strict=True))))))
+
+
+def plain_measures(text):
+    """A text's measurements, but for hashed words, from its bytes and words."""
+    data = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    n = max(1, len(words))
+    shares = [sum(b in g for b in data) / max(1, len(data)) for g in quality_pu._GROUPS]
+    shares.append(sum(not any(b in g for g in quality_pu._GROUPS) for b in data) / max(1, len(data)))
+    mean = sum(map(len, words)) / n
+    spread = max(0.0, sum(len(w) ** 2 for w in words) / n - mean**2) ** 0.5
+    again = lambda k: (len(w := list(zip(*(words[i:] for i in range(k)), strict=False))) - len(set(w))) / max(1, len(w))
+    return [
+        *shares, math.log1p(len(words)), mean / 10, spread / 10, sum(65 <= w[0] <= 90 for w in words) / n, sum(w[-1] in b"!#%&*$|" for w in words) / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, again(1), again(2), again(5), math.log1p(len(words) / (data.count(b"\n") + 1)),
+    ]
+
+
+def test_toxicity_query_equals_plain_scoring(spark, sf):
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    chain = toxicity.fit(texts, spark.read.parquet(f"{sf}/labels.parquet"))
+    found = {r.doc_id: r for r in queries.op4_toxicity(spark, sf).collect()}
+    for r in texts.collect():
+        want = plain_chain(chain, r.text)
+        assert abs(found[r.doc_id].score - want) < 1e-6 and found[r.doc_id].predicted == (found[r.doc_id].score >= 0.5)
+    assert abs(toxicity.score(docs(spark, [(1, LONG)]), chain).first().score - plain_chain(chain, LONG)) < 1e-6
+
+
+def test_quality_query_equals_plain_scoring(spark, sf):
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    net = quality_pu.fit(texts, spark.read.parquet(f"{sf}/labels.parquet"))
+    found = {r.doc_id: r for r in queries.op7_quality_classifier(spark, sf).collect()}
+    for r in texts.collect():
+        x = quality_pu.measures([w for _, w in wordhash.chunks(pa.array([r.text or ""], pa.large_string()))][0])[0]
+        plain = plain_measures(r.text)
+        assert np.allclose(x[: len(plain)], plain, atol=1e-9) and len(x) == len(plain) + quality_pu.WORD_BUCKETS
+        z = [min(8.0, max(-8.0, (a - m) / s)) for a, m, s in zip(x, net.mean, net.scale, strict=True)]
+        hidden = [max(0.0, sum(a * w for a, w in zip(z, column, strict=True)) + b) for column, b in zip(net.w1.T, net.b1, strict=True)]
+        g = sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2
+        assert abs(found[r.doc_id].score - 1 / (1 + math.exp(-min(30.0, max(-30.0, g))))) < 1e-9 and found[r.doc_id].predicted == (found[r.doc_id].score >= 0.3)
+
+
 def test_odd_rows(spark):
-    labels = spark.createDataFrame([(i, i % 2, i % 2, "x") for i in range(1, 10)] + [(None, 1, 1, "x"), (6, None, None, "x")], "doc_id long, quality int, toxic int, score string")
+    labels = spark.createDataFrame(
+        [(i, i % 2, i % 2, "x") for i in range(1, 10)] + [(None, 1, 1, "x"), (6, None, None, "x")],
+        "doc_id long, quality int, toxic int, score string",
+    )
     frame = docs(spark, ODD)
     for fit, score in ((toxicity.fit, toxicity.score), (quality_pu.fit, quality_pu.score)):
         found = score(frame, fit(frame, labels)).collect()

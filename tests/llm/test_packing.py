@@ -18,7 +18,10 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_ids_are_the_tokenizers(spark):
     tokenizer, ids = Tokenizer.from_file(PATH), packing.TokenIds(open(PATH).read())
     rng = random.Random(7)
-    pool = ["a", "B", "é", "e\u0301", "'s", "'", "12", "<|endoftext|>", "<|startoftext|>", "<|", " ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "İ", "ß", "ﬁ", "漢字", "!!", "don't", "\x00", "ᄀ", "ᅡ", "🙂", ".", ",", "%%%", "É", "Σ", "the"]
+    pool = [
+        "a", "B", "é", "e\u0301", "'s", "'", "12", "<|endoftext|>", "<|startoftext|>", "<|", " ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "İ",
+        "ß", "ﬁ", "漢字", "!!", "don't", "\x00", "ᄀ", "ᅡ", "🙂", ".", ",", "%%%", "É", "Σ", "the",
+    ]
     for _ in range(1500):
         texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(4)]
         for text, data in zip(texts, ids.of([t.encode() for t in texts]), strict=True):

@@ -1,9 +1,11 @@
 import corpus_pipeline
+import duckdb
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import queries
+from ledgerloom.llm import oracles, toxicity
 from ledgerloom.llm.scratch import Scratch
 
+from .test_classifiers import plain_chain
 from .test_decontamination import brute as contaminated_by
 from .test_near_dup import brute as groups_of
 from .test_packing import check
@@ -16,17 +18,19 @@ def test_stages_against_brute_force(spark, sf):
     scratch = Scratch(spark, "t")
     now = spark.read.parquet(f"{sf}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-    before = {}
+    before, frames = {}, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before[name] = {r.doc_id: r.text for r in now.collect()}
+        before[name], frames[name] = {r.doc_id: r.text for r in now.collect()}, now
         now = scratch.save(stage(spark, now, sf), name)
         assert now.columns == COLUMNS
     after = {r.doc_id: r for r in now.collect()}
     # toxic documents go, others stay
-    scores = {r.doc_id: r.predicted for r in queries.op4_toxicity(spark, sf).collect()}
-    assert set(before["line_dedup"]) == {i for i, p in scores.items() if not p}
+    chain = toxicity.fit(frames["toxicity"], spark.read.parquet(f"{sf}/labels.parquet"))
+    assert set(before["line_dedup"]) == {i for i, t in before["toxicity"].items() if plain_chain(chain, t) < corpus_pipeline.TOXIC}
     # lines are cut, documents are not
-    assert set(before["minhash_near_dedup"]) == set(before["line_dedup"])
+    con = duckdb.connect()
+    con.register("documents", frames["line_dedup"].toPandas())
+    assert {i: t for i, t, _ in con.execute(oracles.ORACLES["op1_line_dedup"]).fetchall()} == before["minhash_near_dedup"]
     # one of each group
     groups = groups_of(list(before["minhash_near_dedup"].items()), 5, 80)
     assert set(before["benchmark_decontamination"]) == {i for i, (_, low) in groups.items() if i == low}
@@ -37,7 +41,9 @@ def test_stages_against_brute_force(spark, sf):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf)
     rows = packed.withColumn("ids", F.lit(None).cast("binary")).collect()
     assert {r.doc_id for r in rows} == set(after)
-    assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect())
+    assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows) == sorted(
+        (r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect()
+    )
 
 
 def test_pipeline_of_no_documents(spark, tmp_path, sf):

@@ -12,7 +12,10 @@ def judged(spark, urls, outcomes, rules=()):
 
 
 def test_hosts_paths_and_rules(spark):
-    urls = ["https://WWW.Example.com/en/7?x=1#y", "http://a.example.com/en/8", "https://example.net/de/9", "https://b.example.net/de/8#t", "http://x.org/es/", "ftp no scheme", None, "http://h.com?q=/en/", "http://a://b/c", "http://notcom/en/1"]
+    urls = [
+        "https://WWW.Example.com/en/7?x=1#y", "http://a.example.com/en/8", "https://example.net/de/9", "https://b.example.net/de/8#t",
+        "http://x.org/es/", "ftp no scheme", None, "http://h.com?q=/en/", "http://a://b/c", "http://notcom/en/1",
+    ]
     r = judged(spark, urls, [], queries.URL_RULES)
     assert (r[0].host, r[0].path, r[0].rule, r[0].verdict) == ("www.example.com", "/en/7", "example.com/en/7", "allow")
     assert (r[1].rule, r[1].verdict) == ("com/en/", "block") and (r[2].rule, r[2].verdict) == ("net/de/", "allow") and (r[3].rule, r[3].verdict) == ("example.net/de/8", "block")
@@ -31,7 +34,11 @@ def test_shrinkage(spark):
 
 
 def test_levels_of_hosts(spark):
-    hosts = {"a.b.example.com": ("example.com", "com"), "a.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1:80": ("10.0.0.1", "ip"), "10.0.0.2": ("10.0.0.2", "ip"), "[2001:db8::1]:8080": ("[2001:db8::1]", "ip"), "u:p@x.org.": ("x.org", "org"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    hosts = {
+        "a.b.example.com": ("example.com", "com"), "a.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "10.0.0.1:80": ("10.0.0.1", "ip"), "10.0.0.2": ("10.0.0.2", "ip"), "[2001:db8::1]:8080": ("[2001:db8::1]", "ip"),
+        "u:p@x.org.": ("x.org", "org"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
     rows = spark.createDataFrame([(h,) for h in hosts], "host string")
     assert {r.host: (r.d, r.s) for r in rows.select("host", *(c.alias(n) for c, n in zip(url_filters.levels(F.col("host")), "ds", strict=True))).collect()} == hosts
 
@@ -39,9 +46,18 @@ def test_levels_of_hosts(spark):
 def test_any_number_of_rules(spark, monkeypatch):
     rng = random.Random(6)
     part = lambda: rng.choice(("a", "bb", "c"))
-    rules = sorted({(f"{'.'.join(part() for _ in range(rng.randint(1, 3)))}/{'/'.join(part() for _ in range(rng.randint(0, 3)))}", rng.choice(("allow", "block"))) for _ in range(120)})
+    rules = sorted(
+        {
+            (
+                f"{'.'.join(part() for _ in range(rng.randint(1, 3)))}/{'/'.join(part() for _ in range(rng.randint(0, 3)))}",
+                rng.choice(("allow", "block")),
+            ) for _ in range(120)
+        }
+    )
     rules = list(dict(rules).items())
-    urls = [f"http://{'.'.join(part() for _ in range(rng.randint(1, 4)))}/{'/'.join(part() for _ in range(rng.randint(0, 4)))}" for _ in range(300)] + [None, "x", "http://", "http://a.bb/" + "z" * 20_000]
+    urls = [
+        f"http://{'.'.join(part() for _ in range(rng.randint(1, 4)))}/{'/'.join(part() for _ in range(rng.randint(0, 4)))}" for _ in range(300)
+    ] + [None, "x", "http://", "http://a.bb/" + "z" * 20_000]
     want = {i: (r.rule, r.verdict) for i, r in judged(spark, urls, [], rules).items()}
     assert len({r for r, _ in want.values()}) > 20
     monkeypatch.setattr(url_filters, "INLINE_RULES", 3)
@@ -81,6 +97,8 @@ def test_nobody_can_open_a_turn(spark):
 def test_segments_and_odd_rows(spark):
     rows = [(2, i, "ab"[i % 2], f"t{i}") for i in range(25)] + [(None, 0, "a", "lost"), (3, None, None, "who"), (4, 0, "system", "alone")]
     got = rotated(spark, rows, segment=10)
-    assert sorted((r.conv_id, r.perspective, r.segment, r.n_turns) for r in got) == sorted([(2, p, s, n) for p in "ab" for s, n in ((0, 10), (1, 10), (2, 5))] + [(3, "unknown", 0, 1)])
+    assert sorted((r.conv_id, r.perspective, r.segment, r.n_turns) for r in got) == sorted(
+        [(2, p, s, n) for p in "ab" for s, n in ((0, 10), (1, 10), (2, 5))] + [(3, "unknown", 0, 1)]
+    )
     assert "".join(r.dialogue for r in sorted((r for r in got if r.perspective == "a"), key=lambda r: r.segment)).count("assistant") == 13
     assert rotated(spark, []) == []

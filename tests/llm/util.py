@@ -16,7 +16,11 @@ def docs(spark, rows):
 
 LONG = " ".join(f"w{i % 997} v{i % 1009}" for i in range(30_000))
 #: Nulls, empty and blank texts, one very long text, ties, repeated rows and ids.
-ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, LONG), (6, "a b c d e f g h i j k l"), (6, "a b c d e f g h i j k l"), (7, "a b c d e f g h i j k l"), (None, "a b c d e f g h i j k l"), (8, "x" * 100_000), (8, "other words under one id"), (9, "Ünïcode 漢字 \U0001f642 \x00 end")]
+ODD = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, LONG), (6, "a b c d e f g h i j k l"), (6, "a b c d e f g h i j k l"),
+    (7, "a b c d e f g h i j k l"), (None, "a b c d e f g h i j k l"), (8, "x" * 100_000), (8, "other words under one id"),
+    (9, "Ünïcode 漢字 \U0001f642 \x00 end"),
+]
 
 
 def numpy_free(value):
