@@ -233,8 +233,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def _learnt(features: np.ndarray, places: np.ndarray, doc: np.ndarray, toxic: np.ndarray, some: np.ndarray, seed: int) -> Chain:
     """A chain, not calibrated, from the tokens of some documents (mask)."""
     size = 1 << TABLE_BITS
-    mine = some[doc]
-    features, places, doc, toxic = features[mine], places[mine], (np.cumsum(some) - 1)[doc[mine]], toxic[some]
+    share = some.mean()
+    if share < 1:  # the whole is not copied
+        mine = some[doc]
+        features, places, doc, toxic = features[mine], places[mine], (np.cumsum(some) - 1)[doc[mine]], toxic[some]
     chain = Chain(np.zeros(size), -2.0, np.zeros((2, 2)), np.zeros(4))
     if not len(doc):
         return chain
@@ -245,7 +247,7 @@ def _learnt(features: np.ndarray, places: np.ndarray, doc: np.ndarray, toxic: np
     rng = np.random.default_rng(seed)
     telling = np.zeros(n, dtype=bool)
     telling[segment[label]] = True
-    most = int(TRAIN_SEGMENTS * some.mean())
+    most = int(TRAIN_SEGMENTS * share)
     order = np.concatenate((rng.permutation(np.flatnonzero(telling))[: most // 2], rng.permutation(np.flatnonzero(~telling))))[:most]
     number = np.full(n, -1)
     number[order] = np.arange(len(order))
