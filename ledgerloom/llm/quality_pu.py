@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .samples import held_out, sample_ids
-from .scratch import small_batches
+from .scratch import shared, small_batches
 from .wordhash import NON_SPACE, Words, chunks, mix
 
 TRAIN_POSITIVES = 6000
@@ -166,7 +166,7 @@ def train(p: np.ndarray, u: np.ndarray, seed: int = 5) -> Network:
 
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
+        net = Network(*model.value)
         for b in batches:
             s = [np.zeros(0)]
             for _, w in chunks(b.column(1), is_word=NON_SPACE):
@@ -208,7 +208,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     equal scores; an empty table gives an empty one; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(net)
+    model = shared(docs.sparkSession, net)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(_scored(model), f"doc_id {kind}, score double")

@@ -85,3 +85,8 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(name))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+
+
+def shared(spark: SparkSession, model):
+    """A broadcast of a dataclass's fields. Broadcast values are pickled by reference, so of the instance workers would need this package."""
+    return spark.sparkContext.broadcast(tuple(vars(model).values()))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import _TABLE
 from .samples import held_out, sample_ids
-from .scratch import small_batches
+from .scratch import shared, small_batches
 from .wordhash import Words, _powers, chunks, mix, shingle_sets
 
 SEGMENT = 64
@@ -336,7 +336,7 @@ def _score(model, least: float, inside: tuple[str, str] | None = None):
     """inside: names of id and text in the column row, where that is all there is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = model.value
+        chain = Chain(*model.value)
         for b in batches:
             scores, spans = [np.zeros(0)], []
             texts, ids = (b.column(1), b.column(0)) if inside is None else (b.column("row").field(inside[1]), b.column("row").field(inside[0]))
@@ -375,7 +375,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     spans. Rows are judged one by one from their text alone; repeated rows get
     equal scores; an empty table gives an empty one; other columns are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(chain)
+    model = shared(docs.sparkSession, chain)
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"doc_id {kind}, score double, spans {_SPANS}"

@@ -174,3 +174,14 @@ def test_samples_do_not_depend_on_layout(spark):
     ids = spark.range(1000).withColumnRenamed("id", "doc_id")
     a, b = (sorted(r.doc_id for r in samples.sample_ids(x, 50, 1).collect()) for x in (ids, ids.repartition(7)))
     assert a == b and len(a) == 50 and isinstance(pd.Series(a).sum().item(), int)
+
+
+def test_models_travel_without_the_package(spark):
+    import pickle
+
+    from ledgerloom.llm.scratch import shared
+
+    for model in (toxicity.train([], np.zeros(0, dtype=bool)), quality_pu.train(np.zeros((0, 1)), np.zeros((0, 1)))):
+        value = shared(spark, model).value
+        assert b"ledgerloom" not in pickle.dumps(value)
+        assert vars(type(model)(*value)).keys() == vars(model).keys()
