@@ -185,3 +185,33 @@ SELECT conv_id, perspective, segment, CAST(count(*) AS INTEGER) AS n_turns, stri
   string_agg(length(head) || ':0,' || length(body) || ':' || own || ',1:0', ',' ORDER BY turn, speaker, text) AS mask
 FROM x GROUP BY conv_id, perspective, segment
 """
+
+ORACLES["op12_filter_interactions"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id
+), first AS (SELECT text, min(doc_id) AS least FROM t GROUP BY text
+), b AS (
+  SELECT part, CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(t.doc_id > least, false) THEN 'E' ELSE '' END AS fails,
+    coalesce(good, false) AS good, coalesce(bad, false) AS bad
+  FROM t LEFT JOIN l USING (doc_id) JOIN first USING (text)
+), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (SELECT filter_order, step, filter_order[step] AS filter, filter_order[1:step - 1] AS behind FROM o, (SELECT unnest(range(1, 6)) AS step)
+), g AS (SELECT part, fails, good, bad, count(*) AS n FROM b GROUP BY ALL
+), x AS (
+  SELECT part, filter_order, step, filter, n, good, bad, fails, contains(fails, filter) AS hit, len(regexp_extract_all(fails, '[' || behind || '_]')) > 0 AS gone FROM g, s
+), y AS (
+  SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant, coalesce(sum(n) FILTER (fails = filter), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0) AS good_lost, coalesce(sum(n) FILTER (NOT gone AND hit AND bad), 0) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM y
+"""

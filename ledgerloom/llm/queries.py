@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, near_dup, packing, pii, quality_pu, quality_rules, toxicity, url_filters
+from . import chat, decontamination, filter_audit, line_dedup, mixing, near_dup, packing, pii, quality_pu, quality_rules, toxicity, url_filters
 from .samples import held_out
 
 
@@ -93,6 +93,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op11_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document; sources weigh 1, 2, 3 in turn."""
+    return mixing.mix(table(spark, sf_dir, "documents"), (1, 2, 3), 3)
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by language."""
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -104,4 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_cube_mixing": op11_cube_mixing,
+    "op12_filter_interactions": op12_filter_interactions,
 }
