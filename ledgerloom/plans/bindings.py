@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import voucher
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,11 +36,20 @@ def _off(order: Column) -> Column:
     return out.cast("decimal(20,2)")
 
 
+#: Columns of invoices.
+INVOICE = ["invoice_id", "invoice_number", "invoice_date", "buyer", "seller", "invoice_type", "subtotal", "tax", "total", "o_orderpriority"]
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One invoice per order; its total is off by an amount that the order number sets."""
-    sums = invoice_lines(spark, sf_dir).groupBy("invoice_id").agg(
-        F.sum("total_price").cast("decimal(28,4)").alias("gross"), F.sum("taxable_value").cast("decimal(28,2)").alias("net"),
-        F.min("l_suppkey").alias("s_suppkey"),
+    return summed_invoices(spark, sf_dir).select(*INVOICE)
+
+
+def summed_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """invoices with the sums of their lines that voucher.amounts takes, from one pass over the lines."""
+    sums = voucher.line_sums(
+        invoice_lines(spark, sf_dir), gross=F.sum("total_price").cast("decimal(28,4)"), net=F.sum("taxable_value").cast("decimal(28,2)"),
+        s_suppkey=F.min("l_suppkey"),
     )
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("invoice_id"), F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("invoice_date"),
@@ -52,6 +63,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "invoice_id", F.col("invoice_id").cast("string").alias("invoice_number"), "invoice_date", "buyer", "seller", F.element_at(kinds, (F.col("invoice_id") % 5 + 1).cast("int")).alias("invoice_type"),
         net.alias("subtotal"), (gross - net).cast("decimal(20,2)").alias("tax"), (gross + _off(F.col("invoice_id"))).cast("decimal(20,2)").alias("total"), "o_orderpriority",
+        "__t", "__c", "__s", "__i",
     )
 
 

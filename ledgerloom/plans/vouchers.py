@@ -14,7 +14,7 @@ _DOUBLES = ("taxable", "cgst", "sgst", "igst", "round_off", "total_amount", "deb
 
 
 def _vouchers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voucher.ledger_entries(voucher.collect_amounts(b.invoices(spark, sf_dir), b.invoice_lines(spark, sf_dir)))
+    return voucher.ledger_entries(voucher.amounts(b.summed_invoices(spark, sf_dir), b.INVOICE))
 
 
 @query("voucher_balance", f"""WITH {b.SQL}, {b.AMOUNTS_SQL}

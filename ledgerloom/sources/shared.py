@@ -10,15 +10,16 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, which lasts as long as the application; only a local master may do without the setting."""
+def folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path under ``spark.checkpoint.dir``, which lasts as long as the application, or stays; only a local master may do without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="ledgerloom-")
     root = f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
-    until_exit(spark, root)
+    if not keep:
+        until_exit(spark, root)
     return f"{root}/tables"
 
 

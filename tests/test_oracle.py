@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+import jobs.queries  # noqa: F401
 import ledgerloom.plans  # noqa: F401
 from ledgerloom.plans import catalog
 
