@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import variants as v
 from ..sinks import files, upload
 from ..sources import documents, providers, shared
+from ..sources import rules as rule_files
 from ..streaming import posting
 from . import jobs
 
@@ -45,8 +46,11 @@ def _once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Data
 def run(asked: DataFrame, folder: str, master: DataFrame, rules: DataFrame, root: str, number: str, outside: Outside, config: jobs.JobConfig | None = None) -> DataFrame:
     """asked (job_id, tenant_id, operator, arrival, path) with their final states; tables below root keep every stage.
 
-    raw_text, extracted, processed, ledger (claims and answers of posted vouchers),
-    review_queue (JSON lines), vouchers (XML) and jobs are partitioned by batch.
+    raw_text, extracted, processed, learned (rules), ledger (claims and answers of
+    posted vouchers), review_queue (JSON lines), vouchers (XML) and jobs are
+    partitioned by batch. If asked have approved (boolean), names that a policy created
+    for approved jobs of tenants that learn become rules, which later batches go by
+    beside those given. Duplicates have the answer that the first of their key got.
     """
     config = config or jobs.JobConfig()
     spark = asked.sparkSession
@@ -59,21 +63,26 @@ def run(asked: DataFrame, folder: str, master: DataFrame, rules: DataFrame, root
         lambda: providers.extract(texts.where("read_error IS NULL"), outside.provider, attempts=outside.attempts, delay=outside.delay),
     )
     found = texts.join(told.select("job_id", "payload", "error"), "job_id", "left")
+    approved = F.col("approved") if "approved" in asked.columns else F.lit(False)
     found = found.select(
-        "job_id", "tenant_id", "operator", "arrival", v.parse_json(F.col("payload")).alias("payload"),
+        approved.alias("approved"), "job_id", "tenant_id", "operator", "arrival", v.parse_json(F.col("payload")).alias("payload"),
         F.coalesce("read_error", "error").alias("payload_error"),
     )
     ledger, keys = f"{root}/ledger", "idempotency_key string"
+    sending = outside.transport is not None and not config.dry_run
+    known_rules = rules.unionByName(rule_files.learned_before(spark, f"{root}/learned", number).select(*rules.columns))
 
     def process() -> DataFrame:
-        known = posting.done(spark, ledger, spark.createDataFrame([], keys).schema).where(F.col("batch") != number)
-        return jobs.process(found, master, rules, known.select("idempotency_key"), config)
+        known = posting.done(spark, ledger, spark.createDataFrame([], keys).schema, sending).where(F.col("batch") != number)
+        return jobs.process(found, master, known_rules, known.select("idempotency_key"), config)
 
     done = _once(spark, place("processed"), process)
-    if outside.transport is not None and not config.dry_run:
+    if config.learning:
+        _once(spark, place("learned"), lambda: rule_files.from_approvals(jobs.learn(done, known_rules, config)))
+    if sending:
         waiting = jobs.ready(done).withColumn("arrival", F.lit(0))
         answers = posting.post_batch(waiting, ledger, lambda rows: upload.upload(rows, outside.transport), number)
-        done = jobs.finish(done, answers.select("job_id", "ok", "message"), config)
+        done = jobs.finish(done, answers.select("job_id", "ok", "message"), config, posting.first_answers(spark, ledger))
     done = _once(spark, place("jobs"), lambda: done)
     if not shared.exists(spark, f"{place('vouchers')}/_SUCCESS"):
         files.append_review_queue(jobs.review_queue(done), place("review_queue"), "overwrite")

@@ -168,6 +168,38 @@ def stream_replay_equals_batch(spark, sf_dir):
 REPLAY_PARTS = 4
 
 
+@query("duplicate_responses", """
+WITH e AS (SELECT *, CASE WHEN event_id % 4 = 3 THEN 3 WHEN event_id % 4 = 2 THEN 2 ELSE 1 END AS batch FROM events),
+f AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY batch, event_id) AS first FROM e)
+SELECT 'j' || event_id AS job_id, CASE WHEN user_id % 7 = 0 THEN 'open' WHEN event_id = first THEN 'posted' ELSE 'duplicate' END AS status,
+  CASE WHEN user_id % 7 <> 0 THEN 'j' || first END AS first_job_id, CASE WHEN user_id % 7 <> 0 THEN 'took j' || first END AS answer FROM f""")
+def duplicate_responses(spark, sf_dir):
+    """Three batches into one ledger, of which the second dies before its upload and the third uploads for it; every duplicate has the first answer."""
+    from ..streaming import posting
+
+    events = b.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    rows = events.select(
+        F.concat(F.lit("j"), "event_id").alias("job_id"), F.concat_ws("-", "user_id", "event_type").alias("idempotency_key"), F.col("event_id").alias("arrival"), "user_id",
+    )
+    place = shared.folder(spark, "responses")
+
+    def upload(claimed):
+        return claimed.select("idempotency_key", "job_id", (F.col("user_id") % 7 != 0).alias("ok"), F.concat(F.lit("took "), "job_id").alias("message"))
+
+    def dies(claimed):
+        raise ConnectionError("the batch ends here")
+
+    for number, rest, send in (("1", (0, 1), upload), ("2", (2,), dies), ("3", (3,), upload)):
+        try:
+            posting.post_batch(rows.where((F.col("arrival") % 4).isin(*rest)), place, send, number)
+        except ConnectionError:
+            assert posting.unanswered(spark, place) == [number]
+    known = posting.first_answers(spark, place)
+    found = rows.join(known, "idempotency_key", "left")
+    status = F.when(F.col("first_job_id").isNull(), "open").when(F.col("first_job_id") == F.col("job_id"), "posted").otherwise("duplicate")
+    return found.select("job_id", status.alias("status"), "first_job_id", F.col("first_message").alias("answer"))
+
+
 @query("first_arrivals_window", "SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type")
 def first_arrivals_window(spark, sf_dir):
     return workflow.first_arrivals(

@@ -74,16 +74,37 @@ def read_database(spark: SparkSession, url: str, table: str = "mapping_rules", t
     return from_snapshot(rows.select(*(F.col(c).alias(c.lower()) for c in rows.columns)), target)
 
 
-def merged(rules: DataFrame, learned: DataFrame, scope: str = "tenant", now: str | None = None) -> DataFrame:
-    """rules with those of learned (tenant_id, entity_type, key, target, status, approved_by) that are new put in; a key's later rule wins."""
-    at = F.lit(now) if now is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def from_approvals(learned: DataFrame, scope: str = "tenant", now: str | None = None) -> DataFrame:
+    """Rules of the rows of learned (tenant_id, entity_type, key, target, status, approved_by) that are new."""
+    at = F.lit(now) if now is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
     provenance = F.to_json(F.struct(F.lit("approval").alias("source"), "approved_by", "tenant_id"))
-    new = learned.where("status = 'learned'").select(
+    return learned.where("status = 'learned'").select(
         F.lit(scope).alias("scope"), "tenant_id", "entity_type", "key", strip(F.col("target")).alias("target"), provenance.alias("provenance"),
         at.alias("learned_at"),
     )
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    both = rules.select(*columns, F.lit(0).alias("turn")).unionByName(new.withColumn("turn", F.lit(1)))
+
+
+def learned_before(spark: SparkSession, path: str, number: str) -> DataFrame:
+    """Rules that batches other than this one learnt, from the folders batch=... below path; none where there is no path.
+
+    Each batch adds its own folder and changes no other's, so readers need no lock.
+    If two batches learnt a key beside each other, what was learnt first holds.
+    """
+    if not shared.exists(spark, path):
+        return spark.createDataFrame([], SCHEMA)
+    rows = spark.read.schema(f"{SCHEMA}, batch string").parquet(path).where(F.col("batch") != number)
+    rest = [c for c in COLUMNS if c not in ("scope", "tenant_id", "entity_type", "key")]
+    first = F.min(F.struct("learned_at", "batch", *(c for c in rest if c != "learned_at"))).alias("r")
+    return rows.groupBy("scope", "tenant_id", "entity_type", "key").agg(first).select("scope", "tenant_id", "entity_type", "key", *(f"r.{c}" for c in rest))
+
+
+def merged(rules: DataFrame, learned: DataFrame, scope: str = "tenant", now: str | None = None) -> DataFrame:
+    """rules with those of learned (see from_approvals) that are new put in; a key's later rule wins."""
+    new = from_approvals(learned, scope, now)
+    both = rules.select(*COLUMNS, F.lit(0).alias("turn")).unionByName(new.withColumn("turn", F.lit(1)))
     best = F.max_by(F.struct("target", "provenance", "learned_at"), F.struct("turn", F.coalesce("learned_at", F.lit("")), F.coalesce("target", F.lit(""))))
     return both.groupBy("scope", "tenant_id", "entity_type", "key").agg(best.alias("r")).select("scope", "tenant_id", "entity_type", "key", "r.*")
 

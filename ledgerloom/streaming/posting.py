@@ -48,21 +48,60 @@ def posted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(full).parquet(f"{path}/claims")
 
 
-def done(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows of the ledger but those that the server refused, which may be posted again."""
-    rows = posted(spark, path, schema)
+ANSWER = "idempotency_key string, job_id string, ok boolean, message string, batch string"
+
+
+def answers(spark: SparkSession, path: str) -> DataFrame:
+    """(idempotency_key, job_id, ok, message, batch): all that the server said; null where an upload does not tell."""
     if not shared.exists(spark, f"{path}/answers"):
-        return rows
-    refused = spark.read.schema("idempotency_key string, ok boolean, batch string").parquet(f"{path}/answers").where("NOT ok").select("batch", "idempotency_key")
-    return rows.join(refused, ["batch", "idempotency_key"], "left_anti")
+        return spark.createDataFrame([], ANSWER)
+    return spark.read.schema(ANSWER).parquet(f"{path}/answers")
+
+
+def done(spark: SparkSession, path: str, schema: StructType, uploading: bool = False) -> DataFrame:
+    """Rows of the ledger that count as posted.
+
+    Where rows are uploaded, those that the server took: a claim that it refused, or
+    was never asked about because its batch died, may be posted again. Else all but
+    those refused.
+    """
+    rows, keys = posted(spark, path, schema), ["batch", "idempotency_key"]
+    if uploading:
+        return rows.join(answers(spark, path).where("ok").select(*keys), keys, "left_semi")
+    return rows.join(answers(spark, path).where("NOT ok").select(*keys), keys, "left_anti")
+
+
+def first_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(idempotency_key, first_job_id, first_message) of keys that the server took: what duplicates are answered with."""
+    taken = answers(spark, path).where("ok").groupBy("idempotency_key").agg(F.min(F.struct("batch", "job_id", "message")).alias("a"))
+    return taken.select("idempotency_key", F.col("a.job_id").alias("first_job_id"), F.col("a.message").alias("first_message"))
+
+
+def unanswered(spark: SparkSession, path: str) -> list[str]:
+    """Numbers of batches that claimed rows and have no answers: they are at work, or died before they were through."""
+    system, _ = shared.files(spark, path)
+
+    def whole(kind: str) -> set[str]:
+        found = system.globStatus(shared.files(spark, f"{path}/{kind}/batch=*/_SUCCESS")[1])
+        return {x.getPath().getParent().getName().removeprefix("batch=") for x in found or ()}
+
+    return sorted(whole("claims") - whole("answers"))
+
+
+def _ask(spark: SparkSession, path: str, number: str, upload: Callable[[DataFrame], DataFrame]) -> None:
+    """Upload what a batch claimed, and keep the answers."""
+    claimed = spark.read.parquet(f"{path}/claims/batch={number}").drop("prefix")
+    upload(claimed).write.mode("overwrite").parquet(f"{path}/answers/batch={number}")
 
 
 def post_batch(batch: DataFrame, path: str, upload: Callable[[DataFrame], DataFrame] | None = None, number: str | None = None, wait: float = 600.0) -> DataFrame:
     """Post the rows of one batch that are new against the ledger at path; what comes back is read from there.
 
-    With upload, the answers (upload's rows) of the new rows, else the rows. A
-    number that was posted before stands for the same batch: its rows are claimed
-    and uploaded as they were then, and answers that exist are not asked for again.
+    With upload, the answers (upload's rows) of the new rows, else the rows; a row
+    that another batch posted first is in neither. A number that was posted before
+    stands for the same batch: its rows are claimed and uploaded as they were then,
+    and answers that exist are not asked for again. Claims of batches that died before
+    their answers are uploaded first, under their own keys: nobody else holds the ledger.
     """
     spark = batch.sparkSession
     number = uuid.uuid4().hex if number is None else str(number)
@@ -70,17 +109,18 @@ def post_batch(batch: DataFrame, path: str, upload: Callable[[DataFrame], DataFr
     mine = F.col("batch") == number
     with locked(spark, path, wait):
         if not shared.exists(spark, f"{path}/answers/batch={number}/_SUCCESS"):
+            for other in unanswered(spark, path) if upload is not None else ():
+                _ask(spark, path, other, upload)
             if not shared.exists(spark, f"{path}/claims/batch={number}/_SUCCESS"):
                 prefix = F.substring("idempotency_key", 1, PREFIX)
                 keyed = batch.withColumn("prefix", prefix)
-                known = done(spark, path, schema).where(~mine)
+                known = done(spark, path, schema, upload is not None).where(~mine)
                 # a small batch is broadcast, and prunes the ledger's folders as well as its rows
                 known = known.join(keyed.select("prefix", "idempotency_key").distinct(), ["prefix", "idempotency_key"], "left_semi")
                 new = workflow.post_once(batch, known).where("post_status = 'new'").drop("post_status")
                 new.withColumn("prefix", prefix).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/claims/batch={number}")
-            if upload is not None:
-                claimed = posted(spark, path, schema).where(mine).select(*schema.names)
-                upload(claimed).write.mode("overwrite").parquet(f"{path}/answers/batch={number}")
+                if upload is not None:
+                    upload(posted(spark, path, schema).where(mine).select(*schema.names)).write.mode("overwrite").parquet(f"{path}/answers/batch={number}")
     if upload is not None:
         return spark.read.parquet(f"{path}/answers/batch={number}")
     return posted(spark, path, schema).where(mine).select(*schema.names)

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import variants as v
 from ledgerloom.operators import batch, jobs, workflow
 from ledgerloom.sources import providers, readers
+from ledgerloom.sources import rules as rule_files
+from ledgerloom.streaming import posting
 
 MASTER = [("party", 0, "Buyer", "B1", []), ("ledger", 0, "Seller", "S1", []), ("stock_item", 0, "Item", "I1", [])]
 GOOD = {
@@ -119,3 +121,83 @@ def test_evaluation_of_folders(spark, tmp_path, capsys):
     assert told["passed"] and told["summary"]["documents"] == 2 and told["summary"]["exact_rate"] == 0.5 and told["summary"]["line_tp"] == 2
     assert [r.field for r in spark.read.option("header", True).csv(f"{tmp_path}/report/fields").collect()][-1] == "line_items"
     assert {r.doc_id: r.prediction_found for r in spark.read.json(f"{tmp_path}/report/documents").collect()} == {"a": True, "b": True}
+
+
+NO_RULES = "scope string, tenant_id string, entity_type string, key string, target string"
+LEDGER = "job_id string, idempotency_key string, arrival int"
+
+
+def answering(ok=True, sent=None):
+    def upload(claimed):
+        rows = claimed.select("job_id", "idempotency_key", F.lit(ok).alias("ok"), F.concat(F.lit("took "), "job_id").alias("message"))
+        if sent is not None:
+            sent.extend(r.job_id for r in rows.collect())
+        return rows
+
+    return upload
+
+
+def test_claims_of_a_dead_batch_are_uploaded_by_the_next(spark, tmp_path):
+    place = str(tmp_path)
+
+    def dies(claimed):
+        raise ConnectionError
+
+    one, two, sent = [spark.createDataFrame([r], LEDGER) for r in (("j1", "key-a", 0), ("j2", "key-a", 0))] + [[]]
+    try:
+        posting.post_batch(one, place, dies, "1")
+    except ConnectionError:
+        pass
+    assert posting.unanswered(spark, place) == ["1"]
+    schema = spark.createDataFrame([], "idempotency_key string").schema
+    assert posting.done(spark, place, schema, uploading=True).count() == 0  # the server never saw it
+    assert posting.post_batch(two, place, answering(sent=sent), "2").count() == 0 and sent == ["j1"]
+    assert [tuple(r) for r in posting.first_answers(spark, place).collect()] == [("key-a", "j1", "took j1")]
+    assert posting.post_batch(one, place, answering(sent=sent), "1").count() == 1 and sent == ["j1"] and posting.unanswered(spark, place) == []
+
+
+def test_a_job_that_loses_its_key_ends_with_the_first_answer(spark, tmp_path):
+    place = str(tmp_path)
+    fields = "job_id string, state string, post_status string, xml string, idempotency_key string, error_code string, events array<struct<state:string,action:string>>"
+    # both batches looked at the ledger before either had claimed
+    done = {n: spark.createDataFrame([(f"{n}{k}", "validated", "new", "<x/>", k, None, []) for k in ("a", "b")], fields) for n in ("first", "second")}
+    posted = {}
+    for n, ok in (("first", "a"), ("second", None)):
+        waiting = jobs.ready(done[n]).withColumn("arrival", F.lit(0))
+        answers = posting.post_batch(waiting, place, lambda rows, ok=ok: rows.select("job_id", "idempotency_key", (F.col("idempotency_key") == (ok or "")).alias("ok"), F.concat(F.lit("to "), "job_id").alias("message")), n)
+        posted[n] = {r.job_id: r for r in jobs.finish(done[n], answers, first=posting.first_answers(spark, place)).collect()}
+    got = {k: (r.state, r.post_status, r.answer, r.first_job_id, [e.action for e in r.events]) for x in posted.values() for k, r in x.items()}
+    assert got["firsta"] == ("posted", "new", "to firsta", None, ["system:posted"]) and got["firstb"][0] == "failed"
+    assert got["seconda"] == ("posted", "duplicate", "to firsta", "firsta", ["system:duplicate_post_prevented"])
+    assert got["secondb"][0] == "failed"  # the server refused the first one's, so this one asked again
+
+
+def test_approved_names_are_rules_of_the_next_batch(spark, tmp_path):
+    inbox, root = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    master = spark.createDataFrame([*MASTER, ("ledger", 1, "New Seller", None, [])], "entity_type string, pos int, name string, code string, aliases array<string>")
+    config = jobs.JobConfig(review_below=0.1, policies={"ledger": "auto_create"}, learning={"t": True, "u": False}, suggestions=0, dry_run=True)
+    rules = spark.createDataFrame([("global", None, "party", "x", "Buyer")], NO_RULES)
+    outcome = {}
+    for number, seller in (("1", "Unheard Of"), ("2", " unheard  of")):
+        names = [(f"{number}{t}{i}", t, "ann", i, f"{inbox}/{number}.png", approved) for i, (t, approved) in enumerate((("t", True), ("u", True), ("t", False), ("t", True)))]
+        (inbox / f"{number}.png").write_bytes(number.encode())
+        asked = spark.createDataFrame(names, "job_id string, tenant_id string, operator string, arrival long, path string, approved boolean")
+        outside = batch.Outside({"image": readers.ocr_image(lambda image, lang=None: image.decode())}, providers.FixtureProvider({number: json.dumps(GOOD | {"seller": seller})}), delay=0.0)
+        # by the next batch the server has made the ledger
+        known = master if number == "1" else master.union(spark.createDataFrame([("ledger", 2, "Unheard Of", None, [])], master.schema))
+        done = batch.run(asked, str(inbox), known, rules, root, number, outside, config)
+        outcome |= {r.job_id: next(x.source for x in r.resolutions if x.field == "seller") for r in done.collect()}
+    learned = [tuple(r) for r in spark.read.parquet(f"{root}/learned").select("tenant_id", "key", "target", "batch").collect()]
+    assert learned == [("t", "unheard of", "Unheard Of", 1)]
+    assert [outcome[k] for k in ("1t0", "1u1", "2t0", "2u1")] == ["created", "created", "rule", "exact"]
+
+
+def test_of_two_learners_the_first_holds(spark, tmp_path):
+    for number, at, target in (("9", "2025-01-01T00:00:00.000Z", "Early"), ("3", "2025-01-02T00:00:00.000Z", "Late")):
+        learned = spark.createDataFrame([("t", "ledger", "k", target, "learned", "ann"), ("t", "ledger", "other", target, "duplicate", "ann")], "tenant_id string, entity_type string, key string, target string, status string, approved_by string")
+        rule_files.from_approvals(learned, now=at).write.parquet(f"{tmp_path}/batch={number}")
+    got = [(r.scope, r.target, json.loads(r.provenance)["approved_by"]) for r in rule_files.learned_before(spark, str(tmp_path), "1").collect()]
+    assert got == [("tenant", "Early", "ann")]
+    assert [r.target for r in rule_files.learned_before(spark, str(tmp_path), "9").collect()] == ["Late"]
+    assert rule_files.learned_before(spark, f"{tmp_path}/none", "1").collect() == []
