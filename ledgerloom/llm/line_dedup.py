@@ -11,6 +11,12 @@ copies are left out: a document counts for its wide lines if most of the rest of
 it is its own, in pieces between punctuation. Of documents with wide lines that
 share a piece, the one of the smallest id owns it. A group of copies, exact or edited, then counts
 about once, and can neither make a line boilerplate nor keep one.
+
+Template pages have little of their own, or nothing. What tells them from copies is
+that a copied line brings others along: its mate in a text is the text's other wide
+line of the least MD5, and the lines of a copied document mostly have the same mate in all
+copies. A wide line that has no mate in three of five of its texts stands alone; it is no
+part of a copied document, and all its texts count for it, own words or not.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ SHORT_SITES = 2 * MIN_SITES
 NEAR = 0.1
 #: Share (own, whole) of its rest that a text must own to count; edited copies of a text own up to about two thirds.
 OWN = (3, 4)
+#: Share of its texts in which a copied line has one and the same mate.
+MATES = (3, 5)
 #: What ends a piece of text.
 PIECE_ENDS = r"[\n.,;:!?。、，！？]+"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -87,8 +95,8 @@ def _cut(text: Column, keys: Column) -> Column:
     return F.filter(_lines(text), lambda x: ~F.array_contains(keys, _key(x)))
 
 
-def independent(docs: DataFrame, holders: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(doc_id) of the holders (t, first (doc_id, site), keys of wide lines) that own most of their rest."""
+def _rests(docs: DataFrame, holders: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(t, doc_id, pieces, wide) of the holders (t, first (doc_id, site), keys of wide lines): pieces of their rest, and wide lines (k, o: by MD5)."""
     firsts = scratch.side(holders.select("t", F.col("first.doc_id").alias("doc_id"), "keys").where("doc_id is not null"), "firsts")
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _key(text).alias("t")).join(firsts, ["t", "doc_id"])
@@ -97,16 +105,33 @@ def independent(docs: DataFrame, holders: DataFrame, id_col: str, text_col: str,
         F.filter(F.array_distinct(pieces), lambda x: x != ""),
         lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.length(x).alias("n")),
     )
-    pieces = scratch.save(texts.select("t", "doc_id", pieces.alias("pieces")), "pieces")
-    owner = pieces.select("doc_id", F.inline("pieces")).groupBy("h", "g", "n").agg(F.min("doc_id").alias("doc_id"))
+    wide = F.filter(F.array_distinct(_lines(F.col("text"))), lambda x: F.array_contains(F.col("keys"), _key(x)))
+    wide = F.transform(wide, lambda x: F.struct(_key(x).alias("k"), F.substring(F.md5(x), 1, 16).alias("o")))
+    rests = scratch.save(texts.select("t", "doc_id", pieces.alias("pieces"), wide.alias("wide")), "rests")
+    scratch.drop("firsts")
+    return rests
+
+
+def independent(rests: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id) of documents that own most of their rest."""
+    owner = rests.select("doc_id", F.inline("pieces")).groupBy("h", "g", "n").agg(F.min("doc_id").alias("doc_id"))
     own = owner.groupBy("doc_id").agg(F.sum("n").alias("own"))
     # rows of one id and text say the same; different texts of one id are judged together
     weight = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    whole = pieces.groupBy("doc_id", "t").agg(F.max(weight).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("whole"))
+    whole = rests.groupBy("doc_id", "t").agg(F.max(weight).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("whole"))
     found = whole.join(own, "doc_id").where(F.col("own") * OWN[1] >= F.col("whole") * OWN[0]).select("doc_id")
-    found = scratch.side(found, "independent")
-    scratch.drop("pieces", "firsts")
-    return found
+    return scratch.side(found, "independent")
+
+
+def alone(rests: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k) of wide lines without a mate in MATES of their texts."""
+    least = lambda wide: F.array_min(F.transform(wide, lambda x: x["o"]))
+    texts = rests.groupBy("t").agg(F.any_value("wide").alias("wide")).withColumn("first", least(F.col("wide")))
+    texts = texts.withColumn("second", least(F.filter("wide", lambda x: x["o"] != F.col("first"))))
+    mates = texts.select("first", "second", F.inline("wide")).withColumn("mate", F.when(F.col("o") == F.col("first"), F.col("second")).otherwise(F.col("first")))
+    counts = mates.groupBy("k", "mate").agg(F.count("*").alias("n"))
+    most = F.coalesce(F.max(F.when(F.col("mate").isNotNull(), F.col("n"))), F.lit(0))
+    return scratch.side(counts.groupBy("k").agg(most.alias("most"), F.sum("n").alias("n")).where(F.col("most") * MATES[1] < F.col("n") * MATES[0]).select("k"), "alone")
 
 
 def remove_boilerplate(
@@ -122,7 +147,7 @@ def remove_boilerplate(
     order of id and site, so repeated rows change nothing; texts of which no row
     has an id are cleaned but count for no line. An empty table gives an empty
     one. A line goes if min_sites sites (SHORT_SITES at least for lines under SHORT
-    characters) hold it, and still do with copies left out.
+    characters) hold it, and still do with copies left out, or if it stands alone.
     """
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
     lines = scratch.save(line_table(docs, id_col, text_col, site_col, min_chars), "lines")
@@ -132,7 +157,11 @@ def remove_boilerplate(
     holders = scratch.save(holders.select("t", "first", "ks", F.col("ks.k").alias("keys")), "holders")
     scratch.drop("lines")
     counting = holders.select(F.col("first.doc_id").alias("doc_id"), F.col("first.site").alias("site"), F.explode("ks").alias("x"))
-    counting = counting.join(independent(docs, holders, id_col, text_col, scratch), "doc_id", "left_semi").select("x.k", "x.short", "site")
+    rests = _rests(docs, holders, id_col, text_col, scratch)
+    counting = counting.select("doc_id", "x.k", "x.short", "site").join(independent(rests, scratch).withColumn("own", F.lit(True)), "doc_id", "left")
+    counting = counting.join(alone(rests, scratch).withColumn("lonely", F.lit(True)), "k", "left").where("own OR lonely").select("k", "short", "site")
+    counting = scratch.save(counting, "counting")
+    scratch.drop("rests")
     cut = spread(counting, min_sites, near, scratch, "cut")
     hits = holders.select("t", F.explode("keys").alias("k")).join(cut.select("k"), "k", "left_semi")
     hits = hits.groupBy("t").agg(F.collect_list("k").alias("keys"))

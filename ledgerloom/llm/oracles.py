@@ -107,8 +107,12 @@ WITH l AS (
 ), ok AS (
   SELECT p.doc_id FROM p JOIN own USING (piece) GROUP BY p.doc_id
   HAVING 4 * sum(CASE WHEN owner = p.doc_id THEN length(piece) ELSE 0 END) >= 3 * sum(length(piece))
+), h AS (SELECT o.doc_id, o.line, md5(o.line) AS h FROM o JOIN f ON f.first.doc_id = o.doc_id
+), m AS (SELECT x.doc_id, x.line, min(y.h) AS mate FROM h x LEFT JOIN h y ON y.doc_id = x.doc_id AND y.line <> x.line GROUP BY ALL
+), alone AS (SELECT line FROM (SELECT line, mate, count(*) AS n FROM m GROUP BY ALL) GROUP BY line HAVING 2 * coalesce(max(n) FILTER (mate IS NOT NULL), 0) < sum(n)
 ), b AS (
-  SELECT line FROM o JOIN f ON f.first.doc_id = o.doc_id AND f.first.source = o.source JOIN ok ON ok.doc_id = o.doc_id GROUP BY line
+  SELECT line FROM o JOIN f ON f.first.doc_id = o.doc_id AND f.first.source = o.source
+  WHERE o.doc_id IN (FROM ok) OR line IN (FROM alone) GROUP BY line
   HAVING count(DISTINCT o.source) >= CASE WHEN length(line) < 20 THEN 10 ELSE 5 END
 ), q AS (
   SELECT doc_id, i, lines[i] AS line

@@ -1,3 +1,5 @@
+import itertools
+
 import corpus_pipeline
 
 from ledgerloom.llm import line_dedup
@@ -39,6 +41,29 @@ def test_passage_longer_than_all_own_lines(spark):
     assert all(found[i] == f"{words(i, 9)}\n{words(100 + i, 8)}" for i in range(100))
 
 
+NOTICES = [f"{words(9000 + n, 30)}, {words(9100 + n, 30)}." for n in range(8)]
+
+
+def test_notice_on_pages_of_one_template(spark):
+    own = "Copyright 2024, All rights reserved by the owner of this site, web{}"
+    found = stage(spark, [(i, f"{NOTICES[0]}\n{own.format(i)}", f"site{i}") for i in range(40)])
+    assert all(found[i] == own.format(i) for i in range(40))
+
+
+def test_pages_of_nothing_but_notices(spark):
+    mixes = [m for m in itertools.combinations(range(8), 3)]
+    found = stage(spark, [(i, "\n".join(NOTICES[n] for n in mixes[i]), f"site{i}") for i in range(40)])
+    assert all(found[i] == "" for i in range(40))
+
+
+def test_copies_with_notices_of_their_own_keep_their_lines(spark):
+    whole = [words(7000 + n, 12) for n in range(6)]
+    # each copy lacks a line, and stands on another site
+    rows = [(i, "\n".join(x for n, x in enumerate(whole) if (n + i) % 6), f"site{i % 9}") for i in range(60)]
+    found = stage(spark, [(i, f"{t}\n{words(i % 3, 2)}", s) for i, t, s in rows])
+    assert all(found[i] == f"{t}\n{words(i % 3, 2)}" for i, t, _ in rows)
+
+
 def test_short_lines_need_more_sites(spark):
     rows = [(i, f"{words(i, 9)}\nRead more\n \n{'On nine sites' if i % 12 < 9 else ''}", f"site{i % 12}") for i in range(48)]
     found = stage(spark, rows)
