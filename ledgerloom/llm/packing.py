@@ -169,10 +169,27 @@ def _token_ids(model: str) -> TokenIds:
     return kept[key]
 
 
-def _pieces(model: str, max_length: int, end_id: int, keep_ids: bool):
+def _forget_token_ids() -> None:
+    """Let go of what this worker process kept for tokenizing."""
+    kept = sys.modules.get("_ledgerloom_token_ids")
+    if kept is not None:
+        for key in [k for k, v in vars(kept).items() if isinstance(k, int)]:
+            del vars(kept)[key]
+
+
+def _narrow(ids: bytes) -> bytes:
+    """The same ids with 16 bits each."""
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError(f"the id {wide.max()} does not fit into two bytes")
+    return wide.astype("<u2").tobytes()
+
+
+def _pieces(model: str, max_length: int, end_id: int, keep_ids: bool, id_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _token_ids(model.value)
         end, step = end_id.to_bytes(4, "little"), 4 * max_length
+        shown = (_narrow if id_bytes == 2 else bytes) if keep_ids else (lambda piece: None)
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -182,7 +199,7 @@ def _pieces(model: str, max_length: int, end_id: int, keep_ids: bool):
                     data += end
                     for n, at in enumerate(range(0, len(data), step)):
                         piece = data[at : at + step]
-                        for column, value in zip(out, (doc_id, n, at // 4, len(piece) // 4, zlib.crc32(piece), piece), strict=True):
+                        for column, value in zip(out, (doc_id, n, at // 4, len(piece) // 4, zlib.crc32(piece), shown(piece)), strict=True):
                             column.append(value)
                 columns = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
@@ -192,17 +209,22 @@ def _pieces(model: str, max_length: int, end_id: int, keep_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, max_length: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, max_length: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, id_bytes: int = 4,
+) -> DataFrame:
     """Pieces of at most max_length tokens of each document's ids and end_id.
 
     ``tokenizer`` is the path of a tokenizer file on the driver; it drops white
     space, as BPE with word ends does. With keep_ids, column ids holds the
-    piece's ids as little-endian unsigned 32-bit integers.
+    piece's ids as little-endian unsigned integers of id_bytes (4, or 2 where the
+    vocabulary has no larger ids; any that does not fit is an error).
     """
+    if id_bytes not in (2, 4):
+        raise ValueError("id_bytes must be 2 or 4")
     with open(tokenizer, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(model, max_length, end_id, keep_ids), schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(model, max_length, end_id, keep_ids, id_bytes), schema)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -220,6 +242,7 @@ def _runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 
 def _fit(capacity: int, max_open: int, lookahead: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_token_ids()  # all is tokenized; the memory is better spent here
         packer, first = BestFit(capacity, max_open), TaskContext.get().partitionId() << 32
         for b in _runs(batches, lookahead):
             lengths = b.column("length").to_numpy()
@@ -245,7 +268,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int, max_open: int = MAX_OPEN, pe
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False,
-    max_open: int = MAX_OPEN, scratch: Scratch | None = None,
+    max_open: int = MAX_OPEN, scratch: Scratch | None = None, id_bytes: int = 4,
 ) -> DataFrame:
     """Whole documents packed into sequences of at most ``capacity`` tokens.
 
@@ -257,5 +280,5 @@ def pack_documents(
     not read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "packing")
-    pieces = scratch.save(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids), "pieces")
+    pieces = scratch.save(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids, id_bytes), "pieces")
     return best_fit_pack(pieces, capacity, max_open)

@@ -80,7 +80,7 @@ def test_few_open_bins_fill_sequences(spark):
         assert packer.n_bins <= 1.01 * sum(lengths) * n / 2048 + 1 and len(places) == n * len(lengths) and packer.n_open <= packing.MAX_OPEN
 
 
-def check(rows, texts, capacity):
+def check(rows, texts, capacity, kind="<u4"):
     """Every document whole and in order; sequences gapless and within capacity. Returns their number."""
     tokenizer = Tokenizer.from_file(PATH)
     by_doc, by_sequence = {}, {}
@@ -93,7 +93,7 @@ def check(rows, texts, capacity):
         assert [r.start for r in pieces] == list(range(0, len(ids), capacity))
         for r in pieces:
             part = ids[r.start : r.start + r.length]
-            assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes()) and bytes(r.ids) == np.array(part, "<u4").tobytes()
+            assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes()) and bytes(r.ids) == np.array(part, kind).tobytes()
             assert r.length == capacity or r is pieces[-1]
     for pieces in by_sequence.values():
         at = 0
@@ -118,3 +118,12 @@ def test_odd_rows(spark):
     repeated = packing.pack_documents(docs(spark, ODD), PATH, 64).collect()
     assert sum(r.doc_id == 6 for r in repeated) == 2 and any(r.doc_id is None for r in repeated)
     assert packing.pack_documents(docs(spark, []), PATH, 64).collect() == []
+
+
+def test_ids_of_two_bytes(spark):
+    import pytest
+
+    odd = [(1, "one two three"), (2, None), (3, "x " * 300)]
+    assert check(packing.pack_documents(docs(spark, odd), PATH, 64, keep_ids=True, id_bytes=2).collect(), dict(odd), 64, "<u2")
+    with pytest.raises(ValueError, match="does not fit"):
+        packing._narrow((70_000).to_bytes(4, "little"))
