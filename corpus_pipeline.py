@@ -48,8 +48,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: pieces with their place and their ids (little-endian unsigned 32-bit integers)."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, keep_ids=True)
+    """Sequences of at most 2048 tokens: pieces with their place and their ids (little-endian unsigned 16-bit integers)."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, keep_ids=True, id_bytes=2)
 
 
 STAGES = [
