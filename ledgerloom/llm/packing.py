@@ -141,15 +141,18 @@ class TokenIds:
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         for i in range(0, len(texts), 16):
             parts = [t.split() for t in texts[i : i + 16]]
-            missing = set().union(*parts).difference(self.cache)
+            found = [list(map(self.cache.get, p)) for p in parts]
+            holes = [[n for n, x in enumerate(f) if x is None] if None in f else [] for f in found]
+            missing = {p[n] for p, hs in zip(parts, holes, strict=True) for n in hs}
             if missing:
                 if len(self.cache) + len(missing) > CACHED_PARTS:
                     short = {k: v for k, v in self.cache.items() if len(k) <= KEPT_LENGTH}
                     self.cache = short if 2 * len(short) < CACHED_PARTS else {}
-                    missing = set().union(*parts).difference(self.cache)
                 self.learn(missing)
-            for p in parts:
-                yield b"".join(map(self.cache.__getitem__, p))
+            for p, f, hs in zip(parts, found, holes, strict=True):
+                for n in hs:
+                    f[n] = self.cache[p[n]]
+                yield b"".join(f)
 
 
 def _letters(word: bytes) -> bool:
