@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,13 +63,28 @@ def from_snapshot(rows: DataFrame, target: str = "ledger_name") -> DataFrame:
     )
 
 
+#: SQL states and messages of databases that lack a table: the standard's, Derby's, PostgreSQL's and SQL Server's; Oracle's and SQLite's words.
+NO_TABLE_STATES, NO_TABLE_WORDS = ("42S02", "42X05", "42P01", "S0002"), ("ORA-00942", "no such table")
+
+
+def _lacks_table(failed: Exception) -> bool:
+    """Whether a database was reached and said that it has no such table."""
+    cause = getattr(failed, "java_exception", None) or getattr(getattr(failed, "_origin", None), "java_exception", None) or getattr(failed, "_origin", None)
+    while cause is not None and hasattr(cause, "getCause"):
+        state = cause.getSQLState() if "SQL" in cause.getClass().getSimpleName() else None
+        if state in NO_TABLE_STATES or any(w in str(cause.getMessage()) for w in NO_TABLE_WORDS):
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def read_database(spark: SparkSession, url: str, table: str = "mapping_rules", target: str = "ledger_name", **options) -> DataFrame:
-    """Rules of a database table over JDBC. A missing table, or a database that is not there, gives no rules."""
+    """Rules of a database table over JDBC. A table that is not there yet gives no rules; any other failure is one."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     try:
         rows = reader.load()
-    except Exception as missing:
-        if not any(m in str(missing) for m in ("does not exist", "no such table", "not found", "not exist", "Database '")):
+    except Exception as failed:
+        if not _lacks_table(failed):
             raise
         return spark.createDataFrame([], SCHEMA)
     return from_snapshot(rows.select(*(F.col(c).alias(c.lower()) for c in rows.columns)), target)
@@ -139,12 +155,79 @@ def write_rules(rules: DataFrame, path: str, settings: dict | None = None) -> No
     system.delete(fresh, True)
 
 
-def write_database(rules: DataFrame, url: str, table: str = "mapping_rules", target: str = "ledger_name", **options) -> None:
-    """The rules of scope db as the whole of a database table: the rows of `merged`, with the columns of from_snapshot."""
-    rows = rules.where("scope = 'db'").select(
+KEYS = ("tenant_id", "entity_type", "normalized_value")
+#: Types of the table's columns (lower case), where it is made or lacks them; keys are short enough for an index.
+TYPES = dict.fromkeys(KEYS, "VARCHAR(200)") | {"provenance_json": "VARCHAR(4000)", "learned_at": "VARCHAR(40)"}
+
+
+def _database_rows(rules: DataFrame, target: str) -> DataFrame:
+    return rules.where("scope = 'db'").select(
         "tenant_id", "entity_type", F.col("key").alias("normalized_value"), F.col("target").alias(target),
         F.col("provenance").alias("provenance_json"), "learned_at",
     )
+
+
+def upsert_database(rules: DataFrame, url: str, table: str = "mapping_rules", target: str = "ledger_name", **options) -> None:
+    """Put the rules of scope db into a database table by key; rows of other keys, indexes and the table itself stay.
+
+    Tasks write a table of their own beside it, which one MERGE then takes over in a
+    transaction, so writers of different keys do not undo each other and readers see
+    all or nothing. The latest rule of a key counts; rules without a whole key have no place
+    there. A table that is not there is made with its primary key, and columns that an
+    older one lacks are added. Doing it again changes nothing.
+    """
+    types = TYPES | {target: "VARCHAR(400)"}
+    rest = [c for c in types if c not in KEYS]
+    rows = _database_rows(rules, target).dropna(subset=list(KEYS))
+    latest = F.max_by(F.struct(*rest), F.struct(F.coalesce("learned_at", F.lit("")), F.coalesce(target, F.lit("")))).alias("r")
+    rows = rows.groupBy(*KEYS).agg(latest).select(*KEYS, *(f"r.{c}" for c in rest))
+    beside = f"{table}_{uuid.uuid4().hex[:12]}"
+    rows.write.format("jdbc").options(url=url, dbtable=beside, **options).save()
+    jvm = rules.sparkSession._jvm
+    login = jvm.java.util.Properties()
+    for k, v_ in options.items():
+        login.setProperty(k, str(v_))
+    link = jvm.java.sql.DriverManager.getConnection(url, login)
+    try:
+        link.setAutoCommit(False)
+        does = link.createStatement()
+        try:
+            found = does.executeQuery(f"SELECT * FROM {table} WHERE 1 = 0").getMetaData()
+            named = [found.getColumnName(i + 1) for i in range(found.getColumnCount())]
+        except Exception as failed:
+            if not _lacks_table(failed):
+                raise
+            link.rollback()
+            columns = ", ".join(f'"{c}" {t}{" NOT NULL" if c in KEYS else ""}' for c, t in types.items())
+            does.executeUpdate(f"CREATE TABLE {table} ({columns}, PRIMARY KEY ({', '.join(f'"{c}"' for c in KEYS)}))")
+            named = list(types)
+        # names in quotes, as Spark writes them, in the case that the table has
+        at = {c.lower(): f'"{c}"' for c in named}
+        for c in types:
+            if c not in at:
+                at[c] = f'"{c}"'
+                does.executeUpdate(f"ALTER TABLE {table} ADD COLUMN {at[c]} {types[c]}")
+        new = {c: f'CAST(s."{c}" AS {t})' for c, t in types.items()}
+        same = " AND ".join(f"t.{at[c]} = {new[c]}" for c in KEYS)
+        does.executeUpdate(
+            f"MERGE INTO {table} t USING {beside} s ON {same} WHEN MATCHED THEN UPDATE SET {', '.join(f'{at[c]} = {new[c]}' for c in rest)} "
+            f"WHEN NOT MATCHED THEN INSERT ({', '.join(at[c] for c in types)}) VALUES ({', '.join(new.values())})"
+        )
+        link.commit()
+    except BaseException:
+        link.rollback()
+        raise
+    finally:
+        try:
+            link.createStatement().executeUpdate(f"DROP TABLE {beside}")
+            link.commit()
+        finally:
+            link.close()
+
+
+def write_database(rules: DataFrame, url: str, table: str = "mapping_rules", target: str = "ledger_name", **options) -> None:
+    """The rules of scope db as the whole of a database table: the rows of `merged`, with the columns of from_snapshot."""
+    rows = _database_rows(rules, target)
     place = shared.folder(rules.sparkSession, "rules")
     rows.write.parquet(place)  # the table may be what the rows come from
     rules.sparkSession.read.schema(rows.schema).parquet(place).write.format("jdbc").options(url=url, dbtable=table, **options).mode("overwrite").save()

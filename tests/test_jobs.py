@@ -41,6 +41,10 @@ def test_states(spark):
         ),
         ("failed", None, "FIELD_NORMALIZATION_ERROR"), ("failed", None, "FIELD_NORMALIZATION_ERROR"), ("failed", None, "VOUCHER_DATE"),
     ]
+    assert got["j4"].error.message.startswith("HEADER_OFF") and got["j4"].error.context == {"tenant_id": "t", "invoice_number": "7"} and got["j0"].error is None
+    assert got["j7"].error.message == "The voucher could not be made: VOUCHER_DATE."
+    parts = got["j6"].confidence_parts
+    assert (parts.overall, parts.completeness, parts.schema_valid, parts.accounting, parts.present) == (0.0, 0.0, 0.0, 0.0, 0) and not any(parts.inputs)
     assert (got["j0"].post_status, got["j1"].post_status) == ("new", "duplicate") and got["j0"].xml and not got["j1"].xml
     assert "<AMOUNT>118.00</AMOUNT>" in got["j0"].xml and [e.state for e in got["j0"].events] == ["ingested", "ingested", "extracted", "validated", "validated"]
     told = [("j0", "ann", [(e.state, e.action) for e in got["j0"].events])]
@@ -84,6 +88,7 @@ def test_from_files_to_answers(spark, tmp_path):
             ("a.png", "posted", None), ("b.png", "review_required", None), ("c.txt", "failed", "INGESTION_ERROR"), ("d.png", "failed", "UPLOAD_FAILED"), ("e.png", "failed", "INGESTION_ERROR"),
         ]
         assert len(sent.read_text().split()) == 2
+        assert done["d.png"].error.code == "UPLOAD_FAILED" and list(done["d.png"].error.context) == ["idempotency_key"] and done["c.txt"].error.code == "INGESTION_ERROR"
     queue = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/review_queue").collect()]
     assert [(q["job_id"], q["reason"], q["issues"][0]["suggestions"][0]["name"]) for q in queue] == [("b.png", "manual_review_required", "Buyer")]
     assert done["a.png"].events[-1].action == "system:posted" and done["a.png"].invoice.line_items[0].description == "Item"

@@ -60,7 +60,7 @@ def test_acknowledgement(spark):
     ]
     got = voucher.parse_acknowledgement(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")).orderBy("i").collect()
     assert [r.ok for r in got] == [True, False, False, False, False]
-    assert got[0].created == 1 and got[1].line_errors == ["no ledger"] and got[1].message == "Import failed. no ledger" and "parse" in got[2].message
+    assert got[0].created == 1 and got[1].line_errors == ["no ledger"] and got[1].message == "REFUSED: no ledger" and got[2].message.startswith("UNREADABLE")
 
 
 MASTER = [
@@ -275,6 +275,42 @@ def test_rules_of_a_database(spark, tmp_path):
         assert [(r.scope, r.tenant_id, r.key, r.target, r.learned_at) for r in rules.read_database(spark, url).collect()] == [("db", "t", "k", "K", "2025-01-01")]
 
 
+def query(spark, url, sql):
+    return sorted(map(tuple, spark.read.format("jdbc").options(url=url, query=sql).load().collect()))
+
+
+def test_upserts_keep_other_writers_rows_and_the_table(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/rules;create=true"
+    fields = "scope string, tenant_id string, entity_type string, key string, target string, provenance string, learned_at string"
+    one = spark.createDataFrame([("db", "t", "ledger", "k", "K", "{}", "1"), ("db", "t", "ledger", "both", "Old", None, "1"), ("global", None, "ledger", "no", "No", None, None)], fields)
+    two = spark.createDataFrame([("db", "u", "ledger", "k", "O'Hara", None, "2"), ("db", "t", "ledger", "both", "New", None, "2"), ("db", "t", "ledger", "both", "Earlier", None, "1")], fields)
+    rules.upsert_database(one, url)
+    for _ in range(2):
+        rules.upsert_database(two, url)
+        assert query(spark, url, 'SELECT "tenant_id", "normalized_value", "ledger_name", "learned_at" FROM mapping_rules') == [
+            ("t", "both", "New", "2"), ("t", "k", "K", "1"), ("u", "k", "O'Hara", "2"),
+        ]
+    assert {(r.scope, r.tenant_id, r.target) for r in rules.read_database(spark, url).collect()} == {("db", "t", "New"), ("db", "t", "K"), ("db", "u", "O'Hara")}
+    # keys stay, and nothing but the table is left
+    assert query(spark, url, "SELECT COUNT(*) AS n FROM sys.sysconstraints WHERE type = 'P'") == [(1,)]
+    assert query(spark, url, "SELECT tablename FROM sys.systables WHERE tabletype = 'T'") == [("MAPPING_RULES",)]
+
+
+def test_upserts_add_columns_that_older_tables_lack(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/rules;create=true"
+    old = spark.createDataFrame([("t", "ledger", "k", "K")], "tenant_id string, entity_type string, normalized_value string, ledger_name string")
+    old.write.format("jdbc").options(url=url, dbtable="mapping_rules", createTableColumnTypes=", ".join(f"{c} VARCHAR(100)" for c in old.columns)).save()
+    rules.upsert_database(spark.createDataFrame([("db", "t", "ledger", "k2", "K2", '{"a":1}', "now")], rules.SCHEMA), url)
+    assert sorted((r.key, r.target, r.provenance) for r in rules.read_database(spark, url).collect()) == [("k", "K", None), ("k2", "K2", '{"a":1}')]
+
+
+def test_only_a_missing_table_is_no_rules(spark, tmp_path):
+    assert rules.read_database(spark, f"jdbc:derby:{tmp_path}/new;create=true").collect() == []
+    for url in (f"jdbc:derby:{tmp_path}/nowhere", "jdbc:nonsense:there"):
+        with pytest.raises(Exception, match="(?i)nowhere|driver"):
+            rules.read_database(spark, url)
+
+
 def test_collections_of_the_server(spark):
     answers = {
         "Ledger": "<E><COLLECTION><LEDGER><NAME>Acme (Sundry Debtors)</NAME></LEDGER><LEDGER NAME=\"Sales\"><MasterId>7</MasterId></LEDGER><LEDGER><Name> </Name></LEDGER></COLLECTION></E>",
