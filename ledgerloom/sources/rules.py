@@ -149,9 +149,7 @@ def write_rules(rules: DataFrame, path: str, settings: dict | None = None) -> No
     system, place = shared.files(spark, path)
     _, fresh = shared.files(spark, f"{path}.new")
     part = next(x.getPath() for x in system.listStatus(fresh) if x.getPath().getName().startswith("part-"))
-    system.delete(place, True)
-    if not system.rename(part, place):
-        raise OSError(f"{path}.new holds the rules, but could not be renamed")
+    shared.replace(spark, system.makeQualified(part), system.makeQualified(place))
     system.delete(fresh, True)
 
 

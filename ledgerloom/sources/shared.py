@@ -64,3 +64,12 @@ def create(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     system, place = files(spark, path)
     system.delete(place, True)
+
+
+def replace(spark: SparkSession, new, old) -> None:
+    """Rename a file (a qualified path) over another in one step, so that readers always find one of the two."""
+    jvm = spark.sparkContext._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, old, over)
