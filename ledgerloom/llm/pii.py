@@ -4,10 +4,17 @@ Entities (e-mail addresses, secrets, account numbers, IP addresses, card, phone
 and national numbers, persons after a title) are found by pattern; a person's
 names are then found without a title too, in the same text. A keyed hash of an
 entity's normal form draws a surrogate of the same type and format: signs stay
-in place, digits stay digits, letters keep their case, check digits stay right
-or wrong as they were, a person's name parts keep script and the gender that the
-title tells. The same entity has the same surrogate everywhere, however it is
-written.
+in place, digits stay digits, letters keep their case, country codes stay, check
+digits stay right or wrong as they were, a person's name parts keep script and the
+gender that titles tell. The same entity has the same surrogate everywhere,
+however it is written and whatever the title: a name's gender is what all titles
+of the corpus tell of it together, and none if they disagree.
+
+A name is all capitalised words that follow a title, with hyphens, apostrophes,
+initials and particles between them. Particles, initials and prefixes such as O'
+stay; words after the first are given names up to the last, or to a particle, and family
+names from there on. A capitalised word right after a name counts as part of it,
+unless it is a title or a common short word.
 
 A check over all distinct entities of the corpus draws anew wherever two of
 them would share a surrogate, or a surrogate is itself an entity of the corpus,
@@ -36,22 +43,31 @@ KINDS = ("email", "secret", "iban", "ip", "card", "national", "phone", "person")
 GROW_EVERY = 3
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: From where a run of signs begins, so that long runs without @ are read once; letters of any script, marks on them too.
+_EMAIL = re.compile(r"(?<![\w\u0300-\u036f.%+-])[._%+-]*([^\W_][\w\u0300-\u036f.%+-]*@[\w\u0300-\u036f-]+(?:\.[\w\u0300-\u036f-]+)*\.[^\W\d_]{2,})")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[:=]\s*[\"']?([A-Za-z0-9_+/=-]{12,})|(?<![A-Za-z0-9])([0-9a-f]{32,})(?![A-Za-z0-9])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _IP = re.compile(rf"(?<![0-9.])({_OCTET}(?:\.{_OCTET}){{3}})(?![0-9]|\.[0-9])")
 _IP6 = re.compile(r"(?<![\w:.])(?=[A-Fa-f:]*[0-9])((?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4})(?![\w:.])")
-_CARD = re.compile(r"(?<![\w.-])([0-9](?:[ -]?[0-9]){12,18})(?![\w-])")
+_CARD = re.compile(r"(?<![\w.+-])(?!00)([0-9](?:[ -]?[0-9]){12,18})(?![\w-])")
 #: Social security numbers of the USA, and national insurance numbers of the United Kingdom.
 _NATIONAL = re.compile(r"(?<![\w-])((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z](?: ?[0-9]{2}){3} ?[A-D])(?![\w-])")
 _PHONE = re.compile(r"(?<![\w.])((?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4})(?![\w-])")
+#: Numbers with a country code, in groups of any lengths.
+_ABROAD = re.compile(r"(?<![\w.+])((?:\+|00)[1-9][0-9]{0,2}[ .-](?:\(?[0-9]{1,5}\)?[ .-]?){1,4}[0-9]{2,5})(?![\w-])")
+#: Country codes of one and of two digits; all others have three.
+_CODE_1, _CODE_2 = "17", "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: Titles that tell a gender, and titles that do not.
 _MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος")
 _FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Señorita", "Doña", "Госпожа", "Κυρία")
 _EITHER = ("Dr", "Prof", "Professor", "Доктор", "Профессор")
-_NAME = r"[^\W\d_a-z][^\W\d_]+"
-_PERSON = re.compile(rf"\b({'|'.join((*_MALE, *_FEMALE, *_EITHER))})\.?[ \u00a0](?:({'|'.join(_EITHER)})\.? )?({_NAME}(?:[ -]{_NAME})?)")
-_WORD = re.compile(rf"\b{_NAME}")
+_TITLES = frozenset((*_MALE, *_FEMALE, *_EITHER))
+#: Words within names that are written small, and capitalised words that end a name.
+_PARTICLES = frozenset("van von der den ter ten zu zum zur vom am de del della di da do dos das du des la le los las y e bin ibn bint ben al el d l af av".split())
+_STOPS = frozenset("The An And Or But Of In On At To For From With By As Is Was Are Were Has Had Have Will Said Who He She It They We You His Her My Our Und Oder Im Am Ist War Et Ou Est Dans El En Los И В На".split())
+_TITLE = re.compile(rf"\b({'|'.join(sorted(_TITLES, key=len, reverse=True))})\b\.?(?=[ \u00a0])")
+_PIECE = re.compile(r"([ \u00a0'’-])([^\W\d_]+)")
+_WORD = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])")
 _DIGIT = re.compile("[0-9]")
 
 
@@ -76,36 +92,72 @@ def _ip6(text: str) -> str | None:
     return None if address.is_loopback or address.is_unspecified or address.is_multicast else address.exploded
 
 
+def _role(roles: set[str]) -> str:
+    """One role of a name that was seen in these: m or f if titles agree, u if none tells or they don't, s if it is only a family name."""
+    given = roles - {"s"}
+    return "u" if {"m", "f"} <= given else next((r for r in "mfu" if r in given), "s")
+
+
+def _after(text: str, at: int, gender: str) -> tuple[list[tuple[str, str]], int]:
+    """((name, role) of the name that stands from a place on, where it ends)."""
+    groups: list[list[str]] = []
+    family = None  # the group that follows the first particle
+    while m := _PIECE.match(text, at):
+        sign, word = m[1], m[2]
+        apart = sign not in "-'’"
+        if apart and word in _TITLES:
+            if groups:
+                break
+            gender = "m" if word in _MALE else "f" if word in _FEMALE else gender
+            at = m.end() + (text[m.end() : m.end() + 1] == ".")
+        elif word in _PARTICLES:
+            family = len(groups) if family is None else family
+            at = m.end()
+        elif word[0].islower() or (apart and word in _STOPS):
+            break
+        elif len(word) == 1 and word.isupper():
+            at = m.end() + (text[m.end() : m.end() + 1] == ".")
+            if not apart:
+                continue
+        else:
+            if apart or not groups:
+                groups.append([])
+            groups[-1].append(word.casefold())
+            at = m.end()
+    last = len(groups) - 1 if family is None else max(0, min(family, len(groups) - 1))
+    return [(word, "s" if i >= last else gender) for i, group in enumerate(groups) for word in group], at
+
+
 def _persons(text: str) -> list[tuple[int, int, str, str]]:
-    """Names after titles, and the same names elsewhere in the text; a name has one gender in a text if a title tells it."""
-    found, roles = [], {}
-    for m in _PERSON.finditer(text):
-        gender = "m" if m[1] in _MALE else "f" if m[1] in _FEMALE else "u"
-        parts = [(p.start() + m.start(3), p.end() + m.start(3)) for p in re.finditer(r"[^ -]+", m[3])]
-        for n, (a, b) in enumerate(parts):
-            role, name = gender if n == 0 and len(parts) > 1 else "s", text[a:b].casefold()
-            found.append((a, b, role, name))
-            given = roles.setdefault(name, {})
-            given.setdefault("s" if role == "s" else "given", role)
-            if role in "mf" and given["given"] == "u":
-                given["given"] = role
-    if not found:
+    """Names after titles, and the same names elsewhere in the text."""
+    roles: dict[str, set[str]] = {}
+    at = 0
+    while m := _TITLE.search(text, at):
+        found, at = _after(text, m.end(), "m" if m[1] in _MALE else "f" if m[1] in _FEMALE else "u")
+        for name, role in found:
+            roles.setdefault(name, set()).add(role)
+    if not roles:
         return []
-    known = {(a, b): role for a, b, role, _ in found}
-    out = []
-    for m in _WORD.finditer(text):
-        given = roles.get(m[0].casefold())
-        if given and (m.span() in known or not m[0][0].islower()):
-            role = known.get(m.span(), "given" if "given" in given else "s")
-            out.append((*m.span(), "person", f"{role if role == 's' else given['given']}:{m[0].casefold()}"))
-    return out
+    words = ((m, m[0].casefold()) for m in _WORD.finditer(text) if not m[0][0].islower())
+    return [(*m.span(), "person", f"{_role(roles[name])}:{name}") for m, name in words if name in roles and m[0] not in _TITLES]
+
+
+def _small(c: str) -> str:
+    """A sign in lower case, if that is one sign too."""
+    return c.lower() if len(c.lower()) == 1 else c
+
+
+def _number(text: str) -> str:
+    """Digits of a phone number, after a + if it has a country code."""
+    digits = re.sub("[^0-9]", "", text)
+    return "+" + digits if text[0] == "+" else "+" + digits[2:] if text[:2] == "00" else digits
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities of a text, in order, none overlapping; earlier kinds win."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
-        found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+        found += [(*m.span(1), "email", "".join(map(_small, m[1]))) for m in _EMAIL.finditer(text)]
     for m in _SECRET.finditer(text):
         g = 1 if m[1] else 2
         found.append((*m.span(g), "secret", m[g]))
@@ -115,7 +167,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         found += [(*m.span(1), "ip", m[1]) for m in _IP.finditer(text)]
         found += [(*m.span(1), "card", re.sub("[^0-9]", "", m[1])) for m in _CARD.finditer(text)]
         found += [(*m.span(1), "national", re.sub("[ -]", "", m[1])) for m in _NATIONAL.finditer(text)]
-        found += [(*m.span(1), "phone", re.sub("[^0-9]", "", m[1])) for m in _PHONE.finditer(text)]
+        found += [(*m.span(1), "phone", x) for p in (_ABROAD, _PHONE) for m in p.finditer(text) if 7 <= len(x := _number(m[1])) <= 16]
     if "::" in text or text.count(":") > 6:
         found += [(*m.span(1), "ip", x) for m in _IP6.finditer(text) if (x := _ip6(m[1]))]
     found += _persons(text)
@@ -205,6 +257,8 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         digits = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", normal) else None
         return "".join(digits[draw.below(16)] if digits else _sign(draw, c) for c in normal + "x" * more)
     kept = 1 if kind == "phone" else 0
+    if normal[0] == "+":
+        kept = 2 if normal[1] in _CODE_1 else 3 if normal[1:3] in _CODE_2 else 4
     check = _luhn(normal) if kind == "card" else 0
     normal += "0" * late if kind == "card" else ""
     out = normal[:kept] + "".join(str(draw.below(10)) for _ in normal[kept:])
@@ -220,19 +274,34 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
 def _sign(draw: _Draw, c: str) -> str:
     if c.isdigit():
         return str(draw.below(10))
-    if c.isascii() and c.isalpha():
+    if c.isalpha() and (c.isascii() or unicodedata.name(c, "").startswith("LATIN")):
         return chr((97 if c.islower() else 65) + draw.below(26))
+    if c.isalpha() or unicodedata.combining(c):
+        return _other(draw, c)
     return c
 
 
+def _other(draw: _Draw, c: str) -> str:
+    """Another letter of the same script; of scripts without lists, and of marks, another sign of the same block of 16 that is one too."""
+    lists = next((x for s, x in _SYLLABLES.items() if unicodedata.name(c, "").startswith(s)), None)
+    if lists:
+        signs = [*lists[0], *lists[1]]
+    else:
+        block = ord(c) - ord(c) % 16
+        signs = [x for x in map(chr, range(block, block + 16)) if (x.isalpha(), unicodedata.category(x)) == (c.isalpha(), unicodedata.category(c))]
+    return signs[draw.below(len(signs))]
+
+
 def written(original: str, kind: str, replacement: str) -> str:
     """A surrogate's normal form in the format of one occurrence."""
     if kind == "person":
         name = replacement.partition(":")[2]
         return name.upper() if original.isupper() else name.capitalize()
     if kind in ("card", "phone", "iban", "national"):
-        signs = iter(replacement)
-        return "".join(next(signs) if c.isalnum() else c for c in original) + "".join(signs)
+        abroad = original[:2] == "00" and replacement[0] == "+"
+        original, before = (original[2:], "00") if abroad else (original, "")
+        signs = iter(replacement.removeprefix("+"))
+        return before + "".join(next(signs) if c.isalnum() else c for c in original) + "".join(signs)
     if kind == "ip" and ":" in replacement:
         new = ipaddress.IPv6Address(replacement).compressed if "::" in original else ":".join(g.lstrip("0") or "0" for g in replacement.split(":"))
         new = replacement if len(original) == len(replacement) else new
@@ -240,7 +309,7 @@ def written(original: str, kind: str, replacement: str) -> str:
     if kind == "email":
         user, at = original.index("@"), replacement.index("@")
         original = original[:user] + "x" * (at - user) + original[user:]
-        return "".join(r.upper() if o.isupper() else r for o, r in zip(original, replacement, strict=True))
+        return "".join(r.upper() if o.isupper() and len(r.upper()) == 1 else r for o, r in zip(original, replacement, strict=True))
     return replacement
 
 
@@ -296,6 +365,16 @@ def redrawn(entities: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
             return kept.where("attempt > 0").select("kind", "normal", "attempt")
 
 
+def canonical(entities: DataFrame, scratch: Scratch) -> DataFrame:
+    """(kind, normal, canon) of the distinct entities: a name has one canonical form, with the role that all its titles tell together."""
+    spelt = scratch.save(entities.select("kind", "normal").distinct(), "spelt")
+    names = spelt.where("kind = 'person'").select("normal", F.substring_index("normal", ":", 1).alias("role"), F.substring_index("normal", ":", -1).alias("name"))
+    m, f, u = (F.max(F.col("role") == r) for r in "mfu")
+    role = F.when(m & f, "u").when(m, "m").when(f, "f").when(u, "u").otherwise("s")
+    names = names.join(names.groupBy("name").agg(role.alias("one")), "name").select(F.lit("person").alias("kind"), "normal", F.concat_ws(":", "one", "name").alias("canon"))
+    return scratch.save(names.unionByName(spelt.where("kind <> 'person'").withColumn("canon", F.col("normal"))), "canon")
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
@@ -304,13 +383,13 @@ def _replaced(key: bytes):
         for b in batches:
             texts, spans = [], []
             for text, changed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                attempts = {(c["kind"], c["normal"]): c["attempt"] for c in changed or []}
+                ways = {(c["kind"], c["normal"]): (c["canon"], c["attempt"]) for c in changed or []}
                 drawn: dict[tuple[str, str], str] = {}
                 parts, at, out, mine = [], 0, 0, []
                 for start, end, kind, normal in find(text or ""):
                     one = (kind, normal)
                     if one not in drawn:
-                        drawn[one] = surrogate(key, kind, normal, attempts.get(one, 0))
+                        drawn[one] = surrogate(key, kind, *ways.get(one, (normal, 0)))
                     new = written(text[start:end], kind, drawn[one])
                     parts += [text[at:start], new]
                     out += start - at
@@ -334,8 +413,11 @@ def surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.struct(F.xxhash64(text).alias("h"), F.hash(text).alias("g")).alias("t"))
     entities = scratch.save(texts.select("t", "text").mapInArrow(_listed, "t struct<h:bigint,g:int>, kind string, normal string"), "entities")
-    again = scratch.save(redrawn(entities, key, scratch), "again")
-    changed = entities.join(again, ["kind", "normal"]).groupBy("t").agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias("changed"))
+    canon = canonical(entities, scratch)
+    again = scratch.save(redrawn(canon.select("kind", F.col("canon").alias("normal")), key, scratch), "again")
+    ways = canon.join(again.select("kind", F.col("normal").alias("canon"), "attempt"), ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    ways = scratch.save(ways.where("attempt > 0 OR canon <> normal").select("kind", "normal", "canon", "attempt"), "ways")
+    changed = entities.join(ways, ["kind", "normal"]).groupBy("t").agg(F.collect_set(F.struct("kind", "normal", "canon", "attempt")).alias("changed"))
     changed = scratch.save(changed, "changed")
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.join(changed, "t", "left").select("doc_id", "text", "changed").mapInArrow(

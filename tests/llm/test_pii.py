@@ -93,3 +93,47 @@ def test_query_equals_brute_force(spark, sf):
             text = text[:a] + pii.written(text[a:b], kind, new[kind, normal]) + text[b:]
         assert r.text == text
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(e[2] == k for e in spots[r.doc_id]) for k in pii.KINDS]
+
+
+def test_names_of_any_build(spark):
+    texts = [
+        "Mr John Paul Smith came. Smith left.", "Mr Jean-Luc Picard spoke; Luc slept.", "Dr. Ludwig van Beethoven and Beethoven's dog", "Prof. Dr. Anna Maria Weber, Weber",
+        "Mrs O'Brien and O'Brien", "Mr John F. Kennedy-Lee, Kennedy", "Herr von der Heide", "Mr Smith Mr Jones", "Dr Quill And The Rest. The end", "Mr ", "Mr. d'Artagnan", "Sir Al-Rashid Khan",
+    ]
+    new = {r.doc_id: r.text for r in pii.surrogates(docs(spark, list(enumerate(texts))), b"key").collect()}
+    forms = [
+        r"Mr (\w+) (\w+) (\w+) came\. \3 left\.", r"Mr (\w+)-(\w+) (\w+) spoke; \2 slept\.", r"Dr\. (\w+) van (\w+) and \2's dog", r"Prof\. Dr\. (\w+) (\w+) (\w+), \3",
+        r"Mrs O'(\w+) and O'\1", r"Mr (\w+) F\. (\w+)-(\w+), \2", r"Herr von der (\w+)", r"Mr (\w+) Mr (\w+)", r"Dr (\w+) And The Rest\. The end", "Mr ", r"Mr\. d'(\w+)", r"Sir (\w+)-(\w+) (\w+)",
+    ]
+    old = {w for t in texts for w in re.findall(r"[A-Z]\w+", t)} - {"Mr", "Dr", "Prof", "Mrs", "Herr", "And", "The", "Rest", "Sir"}
+    for i, form in enumerate(forms):
+        found = re.fullmatch(form, new[i])
+        assert found and not set(found.groups()) & old, (texts[i], new[i])
+    given = re.fullmatch(forms[1], new[1])
+    assert given[1][-1] in "nrs" and given[2][-1] in "nrs" and given[3].endswith(("er", "man", "son"))
+
+
+def test_one_surrogate_a_name_whatever_the_title(spark):
+    rows = [(1, "Mr John Smith"), (2, "Dr John Smith"), (3, "Prof. Kim Park"), (4, "Mr Kim Park"), (5, "Mrs Kim Park"), (6, "Mr Park John"), (None, "Dr Kim Park")]
+    new = sorted((r.text for r in pii.surrogates(docs(spark, rows), b"key").collect()), key=str)
+    pairs = {t.split(" ", 1)[1] for t in new}
+    john = {p for p in pairs if p.split()[0][-1] in "nrs"}
+    assert len(pairs) == 3 and len({w for p in pairs for w in p.split()}) == 4 and len(john) >= 1
+    kim = next(t for t in new if t.startswith("Mrs")).split()[1]
+    assert kim.lower().endswith(("le", "ry", "kie"))  # titles disagree
+
+
+def test_letters_of_any_script_in_mail_and_country_codes(spark):
+    texts = ["müller@example.de, Müller@Example.de", "müller@example.de", "иван.петров@почта.рф", "İz@x.de --a.b@c.org", "+44 20 7946 0958 and 0044 20 7946 0958", "0049 30 123456", "+351 21 123 4567", "ring 12 345 678"]
+    new = {r.doc_id: r.text for r in pii.surrogates(docs(spark, list(enumerate(texts))), b"key").collect()}
+    one, two = new[0].split(", ")
+    assert one.lower() == two.lower() and re.fullmatch(r"[a-z]{6}@[a-z]{7}\.de", one) and one[:6] != "müller"
+    assert re.fullmatch(r"[a-z]{2}.[a-z]{4}@[a-z]{7}\.de", new[1]) and "ller@" not in new[1]
+    assert re.fullmatch(r"[а-я]{4}\.[а-я]{6}@[а-я]{5}\.рф", new[2]) and "иван" not in new[2]
+    assert re.fullmatch(r"\w\w@\w\.de --\w\.\w@\w\.org", new[3])
+    plus, zeros = re.fullmatch(r"\+44 (\d\d \d{4} \d{4}) and 0044 (\d\d \d{4} \d{4})", new[4]).groups()
+    assert plus == zeros != "20 7946 0958" and re.fullmatch(r"0049 \d\d \d{6}", new[5]) and new[5] != texts[5] and re.fullmatch(r"\+351 \d\d \d{3} \d{4}", new[6])
+
+
+def test_long_runs_are_read_once():
+    pii.find("x" * 1_000_000 + " @ " + "Mr " * 200_000 + "A-" * 200_000 + "+44 " * 50_000)
