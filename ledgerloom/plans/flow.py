@@ -200,6 +200,34 @@ def duplicate_responses(spark, sf_dir):
     return found.select("job_id", status.alias("status"), "first_job_id", F.col("first_message").alias("answer"))
 
 
+@query("keyed_responses", """
+WITH e AS (SELECT *, CASE WHEN event_id % 4 = 3 THEN 3 WHEN event_id % 4 = 2 THEN 2 ELSE 1 END AS batch FROM events),
+f AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY batch, event_id) AS first,
+  first_value(event_id) OVER (PARTITION BY user_id, event_type, batch ORDER BY event_id) AS sent FROM e)
+SELECT 'j' || event_id AS job_id, CASE WHEN user_id % 7 <> 0 THEN CASE WHEN event_id = first THEN 'posted' ELSE 'duplicate' END WHEN event_id = sent THEN 'failed' ELSE 'retry_pending' END AS status,
+  'j' || CASE WHEN user_id % 7 <> 0 THEN first ELSE sent END AS first_job_id, CASE WHEN user_id % 7 <> 0 THEN 'took j' || first ELSE 'refused j' || sent END AS message FROM f""")
+def keyed_responses(spark, sf_dir):
+    """Three batches of a stream that is stopped and started between them, posted by keyed state; some keys the server always refuses."""
+    from ..streaming import keyed
+
+    events = b.table(spark, sf_dir, "events")
+    rows = events.select(
+        F.concat_ws("-", "user_id", "event_type").alias("idempotency_key"), F.concat(F.lit("j"), "event_id").alias("job_id"), F.col("event_id").alias("arrival"),
+        F.concat(F.lit("j"), "event_id").alias("xml"),
+    )
+    place = shared.folder(spark, "keyed")
+
+    def ask(xml: str, key: str) -> tuple[bool, str]:
+        took = int(key.split("-")[0]) % 7 != 0
+        return took, f"{'took' if took else 'refused'} {xml}"
+
+    for rest in ((0, 1), (2,), (3,)):
+        rows.where((F.col("arrival") % 4).isin(*rest)).write.mode("append").parquet(f"{place}/arrivals")
+        stream = spark.readStream.schema(keyed.JOB).parquet(f"{place}/arrivals")
+        keyed.start(stream, f"{place}/responses", f"{place}/checkpoint", ask, available_now=True).awaitTermination()
+    return spark.read.schema(keyed.RESPONSE).parquet(f"{place}/responses").select("job_id", "status", "first_job_id", "message")
+
+
 @query("first_arrivals_window", "SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type")
 def first_arrivals_window(spark, sf_dir):
     return workflow.first_arrivals(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import mimetypes
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -192,6 +193,17 @@ def extract(
 
 
 def listed(spark: SparkSession, asked: DataFrame, path: str) -> DataFrame:
-    """asked (path, tenant_id) with content from the files below a folder; null where there is no such file."""
-    found = read_files(spark, path).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    """asked (path, tenant_id) with content from the files below a folder; null where there is no such file.
+
+    The folder is listed; of its files only those asked for are opened. Their paths, not what is in
+    them, go by the driver, which holds the paths of all that a Spark reader opens.
+    """
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    there = read_files(spark, path).select("path", plain.alias("plain"))  # without content, which is not read then
+    wanted = there.join(asked.select(F.col("path").alias("plain")).distinct(), "plain").select("path")
+    # a reader takes paths for patterns
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path) for r in wanted.toLocalIterator()]
+    if not paths:
+        return asked.withColumn("content", F.lit(None).cast("binary"))
+    found = spark.read.format("binaryFile").load(paths).select(plain.alias("path"), "content")
     return asked.join(found, "path", "left")
