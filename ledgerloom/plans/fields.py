@@ -240,6 +240,33 @@ def schema_violations(spark, sf_dir):
     return found.groupBy(F.regexp_replace("path", r"\[[0-9]+\]", "[]").alias("path"), "keyword").agg(F.count("*").alias("n"))
 
 
+@query("party_violations", f"""WITH {b.SQL}, i AS (SELECT invoice_id % 4 AS n FROM inv)
+SELECT 'seller.pan' AS path, 'pattern' AS keyword, count(*) AS n FROM i WHERE n = 1 UNION ALL SELECT 'seller', 'additionalProperties', count(*) FROM i WHERE n = 2
+UNION ALL SELECT 'seller.address', 'additionalProperties', count(*) FROM i WHERE n = 3""")
+def party_violations(spark, sf_dir):
+    """Parties and addresses take no other members, and a PAN has its shape."""
+    n = F.col("invoice_id") % 4
+    place = F.struct(*(F.lit(None).cast("string").alias(a) for a in checks.ADDRESS))
+    seller = F.struct(F.lit("S").alias("name"), F.lit("").alias("gstin"), F.when(n == 1, "12345").otherwise("").alias("pan"), place.alias("address"))
+    doc = F.to_json(F.struct(seller.alias("seller")), {"ignoreNullFields": "false"})
+    doc = F.when(n == 2, F.replace(doc, F.lit('"pan"'), F.lit('"fax":1,"pan"'))).when(n == 3, F.replace(doc, F.lit('"address":{'), F.lit('"address":{"planet":"x",'))).otherwise(doc)
+    found = b.invoices(spark, sf_dir).select(F.inline(checks.violations(v.parse_json(doc)))).where(F.col("path").startswith("seller"))
+    return found.groupBy("path", "keyword").agg(F.count("*").alias("n"))
+
+
+@query("v2_transport", f"""WITH {b.SQL}, i AS (SELECT invoice_id, invoice_id % 3 AS n FROM inv)
+SELECT invoice_id, CASE n WHEN 0 THEN 'Road' WHEN 1 THEN 'Rail' END AS transport_mode, CAST(NULL AS VARCHAR) AS transporter_name, CASE n WHEN 0 THEN 'V' || invoice_id END AS vehicle_number,
+  CASE n WHEN 1 THEN 'L' || invoice_id END AS lr_number, CASE n WHEN 2 THEN 'E' || invoice_id END AS eway_bill_number FROM i""")
+def v2_transport(spark, sf_dir):
+    """Transport from its own object, from older fields beside it, and from these where the object is none."""
+    n = F.col("invoice_id") % 3
+    own = F.to_json(F.struct(F.struct(F.lit(" Road ").alias("transport_mode"), F.concat(F.lit("V"), "invoice_id").alias("vehicle_number")).alias("transport")))
+    flat = F.to_json(F.struct(F.lit("Rail").alias("transport_mode"), F.concat(F.lit("L"), "invoice_id").alias("lr_number")))
+    odd = F.to_json(F.struct(F.lit("by sea").alias("transport"), F.concat(F.lit("E"), "invoice_id").alias("eway_bill_number"), F.lit("").alias("transporter_name")))
+    rows = b.invoices(spark, sf_dir).select("invoice_id", v.parse_json(F.when(n == 0, own).when(n == 1, flat).otherwise(odd)).alias("payload"))
+    return normalize.normalize_v2(rows).select("invoice_id", "invoice.transport.*")
+
+
 @query("accounting_checks", f"""WITH {b.SQL}, l AS (SELECT invoice_id, CAST(sum(taxable_value) AS DECIMAL(20,2)) AS s FROM il WHERE line_no <> 1 OR invoice_id % 3 <> 0 GROUP BY invoice_id)
 SELECT inv.invoice_id, abs(subtotal + tax - total) <= 0.05 AS header_ok, abs(coalesce(l.s, 0) - subtotal) <= 0.05 AS lines_ok, abs(subtotal + tax - total) > 0.05 OR abs(coalesce(l.s, 0) - subtotal) > 0.05 AS critical_failure FROM inv LEFT JOIN l USING (invoice_id)""")
 def accounting_checks(spark, sf_dir):

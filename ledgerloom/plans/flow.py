@@ -21,6 +21,28 @@ def master_party_filter(spark, sf_dir):
     return rows.join(b.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
+@query("master_collections", """
+WITH s AS (SELECT s_suppkey AS n, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN s_name || ' & Co (Creditors)' ELSE s_name END AS name FROM supplier),
+r AS (SELECT name, CASE WHEN n % 2 = 0 THEN 'M' || n END AS code, CASE WHEN n % 2 = 0 THEN 'S ' || n || '|T ' || n ELSE '' END AS aliases FROM s WHERE name IS NOT NULL)
+SELECT 'ledger' AS entity_type, * FROM r UNION ALL SELECT 'party', * FROM r WHERE name LIKE '%(Creditors)'""")
+def master_collections(spark, sf_dir):
+    """Suppliers as ledgers of an XML export, read in parts and kept as a snapshot, which the second call finds."""
+    n, text = F.col("s_suppkey"), lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c))
+    name = F.when(n % 5 == 0, " ").when(n % 3 == 0, text(F.col("s_name"), " &amp; Co (Creditors)")).otherwise(F.col("s_name"))
+    full = text("<LEDGER><Name>", name, "</Name><MASTERID> M", n, " </MASTERID><ALIASES>S ", n, ", T ", n, ",</ALIASES></LEDGER>")
+    short = text('<LEDGER NAME="', name, '"/>')
+    place = shared.folder(spark, "collections")
+    b.table(spark, sf_dir, "supplier").select(F.when(n % 2 == 0, full).otherwise(short)).write.text(f"{place}/export")
+
+    def fetch():
+        ledgers = master.read_collection_files(spark, f"{place}/export", "ledger", "LEDGER")
+        return ledgers.unionByName(ledgers.where(master.is_party(F.col("name"))).withColumn("entity_type", F.lit("party")))
+
+    for _ in range(2):
+        rows = master.cached(spark, f"{place}/cache", fetch)
+    return rows.where("source = 'cache'").select("entity_type", "name", "code", F.array_join("aliases", "|").alias("aliases"))
+
+
 @query("alias_split", "SELECT s_suppkey, s_name || '|S ' || s_suppkey AS aliases, 2 AS n FROM supplier")
 def alias_split(spark, sf_dir):
     aliases = master.split_aliases(F.concat(F.lit(" , "), "s_name", F.lit(" ,, S "), "s_suppkey", F.lit(", ")))

@@ -14,6 +14,8 @@ from xml.etree import ElementTree
 
 from .documents import Pages, ReadError, Reader
 
+#: A program that takes longer than this for one call is ended, and fails its document.
+PROGRAM_SECONDS = 120.0
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -33,7 +35,7 @@ def doc(command: str = "antiword") -> Reader:
         with tempfile.NamedTemporaryFile(suffix=".doc") as f:
             f.write(content)
             f.flush()
-            told = subprocess.run([program, f.name], capture_output=True, check=True).stdout
+            told = printed([program, f.name])
         return Pages(iter([told.decode("utf-8", errors="ignore").strip()]), "word_parser", limited=False)
 
     return read
@@ -75,6 +77,14 @@ def required(command: str) -> str:
     return found
 
 
+def printed(call: list[str], given: bytes | None = None) -> bytes:
+    """What a program prints, within PROGRAM_SECONDS."""
+    try:
+        return subprocess.run(call, input=given, capture_output=True, check=True, timeout=PROGRAM_SECONDS).stdout
+    except subprocess.TimeoutExpired as late:
+        raise ReadError("OCR_TIMEOUT", f"{os.path.basename(call[0])} took over {PROGRAM_SECONDS:g} s and was ended.", program=call[0]) from late
+
+
 def deskew(image):
     """A step that an engine may replace; as it stands it changes nothing, like the other two."""
     return image
@@ -130,7 +140,7 @@ def tesseract(command: str = "tesseract") -> Callable[..., str]:
 
     def recognise(image: bytes, lang: str | None = None) -> str:
         program = required(command)
-        return subprocess.run([program, "stdin", "stdout", *(["-l", lang] if lang else [])], input=image, capture_output=True, check=True).stdout.decode("utf-8")
+        return printed([program, "stdin", "stdout", *(["-l", lang] if lang else [])], image).decode("utf-8")
 
     return recognise
 
@@ -140,7 +150,7 @@ def poppler(folder: str | None = None) -> tuple[Callable[[bytes], int], Callable
 
     def run(name: str, content: bytes, *options: str) -> bytes:
         program = required(os.path.join(folder, name) if folder else name)
-        return subprocess.run([program, *options, "-"], input=content, capture_output=True, check=True).stdout
+        return printed([program, *options, "-"], content)
 
     def count(content: bytes) -> int:
         lines = run("pdfinfo", content).decode("utf-8", errors="ignore").splitlines()

@@ -2,7 +2,7 @@
 
 import os
 
-from ledgerloom.sources import documents, master
+from ledgerloom.sources import documents, master, readers
 from ledgerloom.streaming import keyed
 
 
@@ -88,3 +88,9 @@ def test_only_asked_files_are_opened(spark, tmp_path):
     got = {(r.path, r.tenant_id): None if r.content is None else bytes(r.content) for r in found.collect()}
     assert got == {(p, t): c for p, c in zip(names, (b"3", b"30", b"odd", None), strict=True) for t in ("t", None)}
     assert {r.content for r in documents.listed(spark, asked.where("path LIKE '%none%'"), str(tmp_path)).collect()} == {None}
+
+
+def test_a_program_that_hangs_is_ended(monkeypatch):
+    monkeypatch.setattr(readers, "PROGRAM_SECONDS", 0.2)
+    row = documents.read_one(lambda *_: readers.Pages(iter([readers.printed(["sleep", "60"]).decode()]), "word_parser", False), "word", ".doc", b"x", "eng", [], documents.Limits(), lambda: 0.0)
+    assert row["error"] == "OCR_TIMEOUT" and row["context"] == {"program": "sleep"} and readers.printed(["cat"], b"told") == b"told"
