@@ -23,13 +23,17 @@ from . import jobs
 
 @dataclass
 class Outside:
-    """What a batch asks: readers by branch, the extraction provider, and the transport to the server (None: nothing is sent)."""
+    """What a batch asks: readers by branch, the extraction provider, and the transport to the server (None: nothing is sent).
+
+    rate: at most so many texts a second are asked of the provider (None: no limit).
+    """
 
     readers: dict[str, documents.Reader]
     provider: providers.Provider
     transport: Callable[[str, str], tuple[int, str]] | None = None
     attempts: int = 3
     delay: float = 1.0
+    rate: float | None = None
     languages: dict[str, str] = field(default_factory=dict)
     default_language: str = "eng"
     flags: dict[str, bool] = field(default_factory=dict)
@@ -60,7 +64,9 @@ def run(asked: DataFrame, folder: str, master: DataFrame, rules: DataFrame, root
     texts = asked.join(read.select("path", "tenant_id", "text", F.col("error").alias("read_error")), ["path", "tenant_id"], "left")
     told = _once(
         spark, place("extracted"),
-        lambda: providers.extract(texts.where("read_error IS NULL"), outside.provider, attempts=outside.attempts, delay=outside.delay),
+        lambda: providers.extract_logged(
+            texts.where("read_error IS NULL"), outside.provider, place("answer_log"), attempts=outside.attempts, delay=outside.delay, rate=outside.rate,
+        ),
     )
     found = texts.join(told.select("job_id", "payload", "error"), "job_id", "left")
     approved = F.col("approved") if "approved" in asked.columns else F.lit(False)

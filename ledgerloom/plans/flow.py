@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as v
 from ..operators import jobs, workflow
-from ..sources import documents, master, shared
+from ..sources import documents, master, providers, shared
 from . import bindings as b
 from .catalog import query
 from .matching import _INVOICE_RES, invoice_report
@@ -250,6 +250,31 @@ def keyed_responses(spark, sf_dir):
     return spark.read.schema(keyed.RESPONSE).parquet(f"{place}/responses").select("job_id", "status", "first_job_id", "message")
 
 
+class _Counting:
+    """A provider that tells a text's length, and nothing usable of short ones."""
+
+    name, model = "counting", "1"
+
+    def extract(self, text: str) -> str:
+        return f'{{"n": {len(text)}}}' if len(text) >= 40 else "no JSON"
+
+    def repair(self, text: str, broken: str, error: str) -> str:
+        return f'{{"short": {len(text)}}}'
+
+
+@query("extraction_log", """
+SELECT conv_id || '-' || turn AS job_id, CASE WHEN length(text) >= 40 THEN '{"n": ' ELSE '{"short": ' END || length(text) || '}' AS payload,
+  CASE WHEN length(text) >= 40 THEN 'strict_json' ELSE 'repaired_json' END AS strategy, CASE WHEN length(text) >= 40 THEN 1 ELSE 2 END AS attempts
+FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)""")
+def extraction_log(spark, sf_dir):
+    """Turns as texts to extract from, in two calls on one log, of which the second asks only for what is new."""
+    rows = b.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("job_id"), "turn", "text")
+    place = shared.folder(spark, "answers")
+    for asked in (rows.where("turn % 2 = 0"), rows):
+        found = providers.extract_logged(asked, _Counting(), place, chunk=4096, tasks=64)
+    return found.select("job_id", "payload", "strategy", "attempts")
+
+
 @query("first_arrivals_window", "SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type")
 def first_arrivals_window(spark, sf_dir):
     return workflow.first_arrivals(

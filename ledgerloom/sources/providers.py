@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.workflow import TRANSIENT_MARKERS
+from . import shared
 
 
 class Provider(Protocol):
@@ -165,3 +166,60 @@ def extract(texts: DataFrame, provider: Provider, id_col: str = "job_id", text_c
     return texts.select(F.col(id_col).cast("string").alias("job_id"), F.col(text_col).alias("text")).mapInPandas(
         run, "job_id string, payload string, strategy string, error string, attempts int",
     )
+
+
+ASKED = "key string, text string"
+ANSWERED = "key string, payload string, strategy string, error string, attempts int"
+
+
+def _asking(provider: Provider, attempts: int, delay: float, pause: float):
+    def run(batches: Iterator):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for k, t in zip(pdf["key"], pdf["text"], strict=True):
+                rows.append((k, *extract_one(provider, t, attempts, delay)))
+                time.sleep(pause)
+            yield pd.DataFrame(rows, columns=["key", "payload", "strategy", "error", "attempts"])
+
+    return run
+
+
+def extract_logged(
+    texts: DataFrame, provider: Provider, log: str, id_col: str = "job_id", text_col: str = "text", attempts: int = 3, delay: float = 1.0, chunk: int = 64,
+    tasks: int = 16, rate: float | None = None,
+) -> DataFrame:
+    """`extract`, with answers kept in a folder: each different text is asked once, over all ids, calls and restarts.
+
+    Texts that no answer is known for are written to files of at most chunk texts,
+    which a file stream asks, so many files (tasks) at a time. What a batch of
+    them answered stays: a lost task asks its files again, and a call that was cut off
+    asks only for its last batch again when it, or a later call, goes on. An answer
+    holds for a text and the provider's model; failures are asked again by the next call.
+    A null text is asked as an empty one. rate: at most so many texts a second,
+    by all tasks together. One caller at a time may use a log.
+    """
+    spark = texts.sparkSession
+    source = texts.select(F.col(id_col).cast("string").alias("job_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = source.withColumn("key", F.sha2(F.concat_ws("\n", F.lit(f"{provider.name} {provider.model}"), "text"), 256))
+    pause = tasks / rate if rate else 0.0
+
+    def answers() -> DataFrame:
+        if not shared.exists(spark, f"{log}/answers"):
+            return spark.createDataFrame([], ANSWERED)
+        return spark.read.schema(ANSWERED).parquet(f"{log}/answers")
+
+    def ask() -> None:
+        stream = spark.readStream.schema(ASKED).option("maxFilesPerTrigger", tasks).parquet(f"{log}/asked")
+        told = stream.mapInPandas(_asking(provider, attempts, delay, pause), ANSWERED)
+        writer = told.writeStream.format("parquet").option("path", f"{log}/answers").option("checkpointLocation", f"{log}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    if shared.exists(spark, f"{log}/asked"):
+        ask()  # what a call before this one left
+    new = source.groupBy("key").agg(F.min("text").alias("text")).join(answers().where("error IS NULL").select("key"), "key", "left_anti")
+    new.select("key", "text").write.mode("append").option("maxRecordsPerFile", chunk).parquet(f"{log}/asked")
+    ask()
+    best = answers().groupBy("key").agg(F.min_by(F.struct("payload", "strategy", "error", "attempts"), F.col("error").isNotNull()).alias("a"))
+    return source.join(best, "key", "left").select("job_id", "a.*")
