@@ -14,7 +14,8 @@
    similar such document is confirmed on full sets. Components of these links
    leave few keys with more than one component.
 4. In those keys, documents outside the component of the key's smallest are
-   split by a second key where they are very many, and
+   split where they are very many by the rarest hashes of their sets, of which
+   similar sets must share one, and
    held against the key's others by sketch, block by block: first for their most
    similar neighbour alone, then, for what is left, for each component they may
    belong to. That is confirmed on full sets for the most similar member and,
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, merged_components
@@ -46,7 +47,7 @@ BITS = 512
 #: Rows of one block when documents of a key, or sets of a component, are compared.
 BLOCK_ROWS = 1024
 BLOCK_HASHES = 1 << 16
-#: Documents outside a key's first component, beyond which the key is split by every other key of its documents.
+#: Documents outside a key's first component, beyond which the key is split by the rarest hashes of its documents.
 REBAND_ROWS = 4096
 #: Ids up to this many are broadcast to filter texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -292,6 +293,37 @@ def _sets(k: int):
     return run
 
 
+def _hashes(k: int):
+    """One row for each hash of a text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                sets = [s for _, w in chunks(part.column(1), fold_case=True) for s in shingle_sets(w, k)]
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                ids = np.repeat(np.asarray(part.column(0)), sizes)
+                # rows that share an id may have different sets
+                which = np.repeat(np.array([np.bitwise_xor.reduce(s) for s in sets], dtype=_U).view(np.int64), sizes)
+                yield pa.record_batch([pa.array(ids), pa.array(which), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*sets, np.zeros(0, dtype=_U)]).view(np.int64))], names=["doc_id", "which", "n", "key"])
+
+    return run
+
+
+def _rarest(texts: DataFrame, ids: DataFrame, k: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """(doc_id, key): of each set the hashes that fewest of these documents have, so many that two similar sets share one of them.
+
+    Of x and y at least p/100 alike, y holds all of x but (100 - p)/100 of it at most; so,
+    in one order of all hashes, their first common one is among the first of both.
+    """
+    p = round(similarity * 100)
+    rows = scratch.save(_texts_of(texts, ids).distinct().mapInArrow(_hashes(k), "doc_id long, which long, n long, key long"), f"{name}-hashes")
+    counts = rows.groupBy("key").agg(F.count("*").alias("c"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "which").orderBy("c", "key"))
+    first = rows.join(counts, "key").withColumn("place", place)
+    return first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * p / 100) + 1).select("doc_id", "key").distinct()
+
+
 def _blocks(similarity: float):
     """Links between the left and right sets of one block pair, at most one for each left document."""
 
@@ -373,10 +405,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sized = scratch.save(mixed.join(outside, "key").select("key", "outside"), f"{name}-sized", n_placed)
         hot = scratch.side(sized.where(F.col("outside") > REBAND_ROWS).select("key"), f"{name}-hot")
         if not hot.isEmpty():
-            # similar documents that share one key share a second one, but for a chance of 7e-6; others hardly ever do
-            two = lambda k: F.xxhash64(F.least("key", k), F.greatest("key", k))
-            again = placed.join(hot, "key").select("key", "doc_id", "root").join(reps.select("doc_id", "keys"), "doc_id")
-            again = again.select("doc_id", "root", F.explode(F.transform(F.filter("keys", lambda k: k != F.col("key")), two)).alias("key")).distinct()
+            # similar documents share one of the rarest hashes of their sets, so none is lost where keys are too common
+            again = placed.join(hot, "key").select("doc_id", "root").distinct()
+            again = again.join(_rarest(texts, again.select("doc_id"), k, similarity, scratch, name), "doc_id").select("doc_id", "root", "key")
             again = scratch.save(again, f"{name}-two")
             lows = again.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").drop("hi")
             again = again.join(scratch.side(lows, f"{name}-lows"), "key").select("key", "doc_id", "m", "root", "lo")
@@ -406,7 +437,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             maybe.groupBy(*by).agg(best.alias("best")).select("a", "root_a", F.col("best.b").alias("b"), F.col("best.root_b").alias("root_b")),
             f"{name}-maybe", n_placed,
         )
-        scratch.drop(*(f"{name}-{x}" for x in ("roots", "mixed", "placed", "sized", "hot", "two", "lows", "placed2", "sized2")))
+        scratch.drop(*(f"{name}-{x}" for x in ("roots", "mixed", "placed", "sized", "hot", "hashes", "two", "lows", "placed2", "sized2")))
         return maybe
 
     def one_way(pairs: DataFrame) -> DataFrame:

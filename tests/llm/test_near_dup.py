@@ -62,6 +62,18 @@ def test_equals_brute_force_on_chained_families(spark, monkeypatch, block, reban
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_documents_that_share_only_a_crowded_key_are_linked(spark, monkeypatch):
+    # one band, the same for all: no second key splits it
+    monkeypatch.setattr(near_dup, "_bands", lambda samples, full, kind: [np.array([7], dtype=np.int64)] * len(samples))
+    monkeypatch.setattr(near_dup, "REBAND_ROWS", 1)
+    texts = [t for seed in range(11, 17) for t in family(seed, 4, 80, 3)]
+    rows = list(enumerate(texts, start=1))
+    found = near_dup.near_duplicates(docs(spark, rows), k=2).collect()
+    want = brute(rows, 2, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert len({c for _, c in want.values()}) < len(rows)
+
+
 def test_odd_rows(spark):
     found = near_dup.near_duplicates(docs(spark, ODD)).collect()
     assert len(found) == len(ODD)
