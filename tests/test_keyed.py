@@ -94,3 +94,25 @@ def test_a_program_that_hangs_is_ended(monkeypatch):
     monkeypatch.setattr(readers, "PROGRAM_SECONDS", 0.2)
     row = documents.read_one(lambda *_: readers.Pages(iter([readers.printed(["sleep", "60"]).decode()]), "word_parser", False), "word", ".doc", b"x", "eng", [], documents.Limits(), lambda: 0.0)
     assert row["error"] == "OCR_TIMEOUT" and row["context"] == {"program": "sleep"} and readers.printed(["cat"], b"told") == b"told"
+
+
+def test_first_jobs_are_found_without_sorting_frames(monkeypatch):
+    """By arrival (null last), job_id and xml, over all parts; each part was sorted as a frame before."""
+    import pandas as pd
+
+    class State:
+        exists, kept = False, None
+
+        def update(self, value):
+            self.kept = value
+
+    def fails(*_, **__):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(pd.DataFrame, "sort_values", fails)
+    frame = lambda *rows: pd.DataFrame(list(rows), columns=["idempotency_key", "job_id", "arrival", "xml"])
+    parts = [frame(("k", "a", float("nan"), "x"), ("k", "c", 2.0, "y")), frame(("k", "b", 2.0, "z"), ("k", None, 2.0, None))]
+    state, asked = State(), []
+    found = pd.concat(keyed._answers(lambda xml, key: asked.append((xml, key)) or (True, "yes"))(("k",), iter(parts), state))
+    assert asked == [("z", "k")] and state.kept == ("b", True, "yes")
+    assert list(found["status"]) == ["duplicate", "duplicate", "posted", "duplicate"] and set(found["first_job_id"]) == {"b"} and list(found.columns) == [c.split()[0] for c in keyed.RESPONSE.split(", ")]
