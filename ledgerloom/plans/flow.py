@@ -180,14 +180,16 @@ def stream_replay_equals_batch(spark, sf_dir):
         # later events reach the folder only once the stream has ended, and is started anew
         for n in range(start, start + REPLAY_PARTS // 2):
             low = (bounds.a or 0) + n * step
-            keyed.where(F.col("event_id").between(low, low + step - 1)).coalesce(1).write.mode("append").parquet(f"{place}/arrivals")
-        stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/arrivals")
+            part = keyed.where(F.col("event_id").between(low, low + step - 1))
+            part.repartition(REPLAY_FILES).write.mode("append").parquet(f"{place}/arrivals")
+        # older files come first, so a batch holds no event that is later than one of a batch after it
+        stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", REPLAY_FILES).parquet(f"{place}/arrivals")
         posting.start(stream, f"{place}/ledger", f"{place}/checkpoint", available_now=True).awaitTermination()
     return posting.posted(spark, f"{place}/ledger", keyed.schema).select("user_id", "event_type", "event_id")
 
 
-#: Batches of the replayed stream.
-REPLAY_PARTS = 4
+#: Batches of the replayed stream, and files of each, which are written and read by as many tasks.
+REPLAY_PARTS, REPLAY_FILES = 4, 16
 
 
 @query("duplicate_responses", """
