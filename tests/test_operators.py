@@ -374,3 +374,14 @@ def test_stream_posts_once(spark, tmp_path):
         assert sorted(
             (r.idempotency_key, r.arrival) for r in posting.posted(spark, f"{tmp_path}/posted", stream.schema).collect()
         ) == [("a", 1), ("b", 2), ("c", 5)][: 2 + n]
+
+
+def test_decimals_of_lines_are_summed_as_they_are(spark):
+    """Decimals give the sums of their texts; before, each was cast to text and read again."""
+    names = ("taxable_value", "cgst_amount", "sgst_amount", "igst_amount", "tax_amount", "total_price")
+    values = [(1, "1.005", "0.1", None, "0", "0.2", "9"), (1, None, "0.25", "0.25", None, "1.5", "7.25"), (2, "-3", None, None, "2.5", None, None)]
+    texts = spark.createDataFrame(values, "invoice_id int, " + ", ".join(f"{n} string" for n in names))
+    exact = texts.select("invoice_id", *(F.col(n).cast("decimal(20,4)").alias(n) for n in names))
+    found = [voucher.line_sums(rows).orderBy("invoice_id").collect() for rows in (texts, exact)]
+    assert found[0] == found[1] and str(found[1][0]["__t"]) == "6.7550000000"
+    assert "as string" not in voucher.line_sums(exact)._jdf.queryExecution().optimizedPlan().toString().lower()
